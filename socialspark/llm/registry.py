@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from socialspark.llm import decontaminate, exact_dedup, source_mix, token_output
+from socialspark.llm import decontaminate, exact_dedup, minhash_dedup, quality_qda, source_mix, token_output
 from socialspark.sources.tables import table
 
 END_ID = 2
@@ -28,6 +28,12 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(token_output.token_table(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID))
 
 
+def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_qda.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_qda.scores(docs.select("doc_id", "text"), model).select("doc_id", quality_qda.held_out().alias("held_out"), "score", "predicted")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,13 +42,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_components(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_decontaminate": decontaminate.SQL, "op5_exact_dedup": exact_dedup.SQL}
+    sql = {"op1_decontaminate": decontaminate.SQL, "op5_exact_dedup": exact_dedup.SQL, "op9_minhash_near_dedup": minhash_dedup.SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
