@@ -13,7 +13,11 @@ columns are not read. Added tokens that occur in a text are taken as the tokeniz
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +30,10 @@ from socialspark.llm.arrow_text import list_array
 from socialspark.sources.scratch import new_path
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, tokens array<int>"
+_LATIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The characters that byte-level models write for bytes: printable ones themselves, the others from 256 on.
+_BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -38,38 +46,54 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str, entries: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.entries, self.memo = entries, {"": b""}
+        self.entries, self.memo, self.stems = entries, {"": b""}, {}
+        # Words of Latin letters go straight to the library's model: its pre-tokens are the word with its space, and the marks after it.
+        self.direct = json.loads(self.tok.to_str())["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and self.tok.normalizer is None
 
     @staticmethod
     def _whole_only(piece: str) -> bool:
         body = piece[1:] if piece[0] in " \n" else piece
         return not body or body[0].isspace() or body[-1].isspace()
 
+    def _pretoken(self, token: str) -> bytes:
+        ids = self.stems.get(token)
+        if ids is None:
+            mapped = token if token.isascii() and token[0] not in " \n" else "".join([_BYTE_CHARS[b] for b in token.encode()])
+            ids = self.stems[token] = array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
+        return ids
+
     def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.memo]
-        good = []
-        for p in new:
-            if self._whole_only(p):
-                self.memo[p] = None
+        memo, rest = self.memo, []
+        for p in pieces:
+            if p in memo:
+                continue
+            m = _LATIN(p) if self.direct else None
+            if m:
+                lead, word, marks = m.groups()
+                ids = self._pretoken("\n") + self._pretoken(word) if lead == "\n" else self._pretoken(lead + word)
+                memo[p] = ids + self._pretoken(marks) if marks else ids
+            elif self._whole_only(p):
+                memo[p] = None
             else:
-                good.append(p)
-        for k in range(0, len(good), 4096):
-            part = good[k : k + 4096]
+                rest.append(p)
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
             for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[p] = np.array(e.ids, "<u4").tobytes()
+                memo[p] = array("I", e.ids).tobytes()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > self.entries:
-            self.memo = {"": b""}
+        if len(self.memo) + len(self.stems) > self.entries:
+            self.memo, self.stems = {"": b""}, {}
         split = [t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for t in texts]
         pieces: set[str] = set()
         for p in split:
@@ -99,7 +123,7 @@ def _texts(column: pa.Array, step: int = 1 << 20) -> Iterator[tuple[int, list[st
         yield first, texts
 
 
-def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: int = 400_000) -> DataFrame:
+def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: int = 1_200_000) -> DataFrame:
     """Documents in ascending doc_id order over range partitions, encoded: the rows of the format."""
     arrow = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
@@ -141,9 +165,9 @@ def write_tokens(rows: DataFrame, path: str, encoding: str = "dictionary", row_g
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The rows with ``start``: ids of all documents before each one. Select what you need; token pages load only if asked for."""
     rows = spark.read.schema(SCHEMA).parquet(path)
-    shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per file
+    shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per file: small enough to send to all tasks
     bases = shards.selectExpr("shard", "sum(n) OVER (ORDER BY shard) - n AS base")
-    return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "tokens")
+    return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "tokens")
 
 
 def token_digests(rows: DataFrame) -> DataFrame:
