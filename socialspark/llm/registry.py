@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from socialspark.llm import decontaminate, exact_dedup, minhash_dedup, quality_qda, source_mix, token_output, warc
+from socialspark.llm import decontaminate, exact_dedup, html_extract, minhash_dedup, quality_qda, source_mix, token_output, url_trust, warc
 from socialspark.sources.tables import table
 
 END_ID = 2
@@ -46,10 +46,18 @@ def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.response_records(table(spark, sf_dir, "pages"))).drop("record")
 
 
+def op8_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_components(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return named | {"pipeline": corpus_pipeline.run}
