@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from socialspark.llm import decontaminate, exact_dedup, html_extract, minhash_dedup, quality_qda, source_mix, token_output, url_trust, warc
+from socialspark.llm import decontaminate, exact_dedup, html_extract, minhash_dedup, quality_qda, source_mix, suffix_dedup, token_output, url_trust, warc
 from socialspark.sources.tables import table
 
 END_ID = 2
@@ -42,6 +42,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("begins", "ends")
+
+
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(warc.response_records(table(spark, sf_dir, "pages"))).drop("record")
 
@@ -64,7 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_decontaminate": decontaminate.SQL, "op5_exact_dedup": exact_dedup.SQL, "op7_warc_derivatives": warc.SQL, "op9_minhash_near_dedup": minhash_dedup.SQL}
+    sql = {"op1_decontaminate": decontaminate.SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op7_warc_derivatives": warc.SQL, "op9_minhash_near_dedup": minhash_dedup.SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
