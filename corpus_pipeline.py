@@ -3,10 +3,64 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from socialspark.llm import decontaminate, minhash_dedup, quality_qda, source_mix, token_output
+from socialspark.sources.scratch import cut
+from socialspark.sources.tables import table
+
+TOKENIZER = "byte_bpe_50k.json"
+END_ID = 2
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quadratic discriminant accepts; it learns from the labels of ``docs``."""
+    model = quality_qda.fit(docs, table(spark, sf_dir, "labels"))
+    rows = docs.select(*COLUMNS)
+    return quality_qda.scores(rows, model, keep=list(COLUMNS)).where("predicted = 1").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts at similarity 0.8 or more on five-word shingles."""
+    return minhash_dedup.drop_near_copies(docs.select(*COLUMNS), k=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of ten words of a benchmark item."""
+    return decontaminate.decontaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to the sources' target weights takes them."""
+    return source_mix.apply_mix(docs.select(*COLUMNS))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token file, read back: doc_id, start, n_tokens, tokens."""
+    return token_output.token_table(docs, tokenizer_path(), END_ID)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", mixture),
+    ("token output", tokens),
+]
+#: The stages use a trained model, sketches and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the whole of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -159,14 +159,14 @@ def _test_sets(benchmark: DataFrame, window: int, block_bytes: int):
         yield TestSet([(r.name, r.text) for r in part.select("name", "text").toLocalIterator()], window)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (word ranges hit)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns ``keep``, then n_words, n_hit, n_items, items_sha256, contaminated, items, begins, ends (word ranges hit)."""
+    carried = [f"_k{k}" for k in range(len(keep))]
+    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)], F.col("text").cast("string").alias("text"))
     rows = rows.selectExpr("*", "cast(null as long) n_words", "cast(array() as array<string>) items", "cast(array() as array<int>) begins", "cast(array() as array<int>) ends")
-    schema = "doc_id long, text string, n_words long, items array<string>, begins array<int>, ends array<int>"
     for test in _test_sets(benchmark, window, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(test)
-        rows = rows.mapInArrow(_pass(shared), schema)
+        rows = rows.mapInArrow(_pass(shared, carried), rows.schema)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,17 +174,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
             for b, e in zip(batch.column("begins").to_pylist(), batch.column("ends").to_pylist(), strict=True):
                 hit.append(sum(y - x for x, y in zip(b, e, strict=True)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+                [*[batch.column(c) for c in carried], batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
                  pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([x > 0 for x in hit]),
                  pa.array(items, pa.list_(pa.string())), batch.column("begins"), batch.column("ends")],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "begins", "ends"],
+                names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "begins", "ends"],
             )
 
-    return rows.select("doc_id", "n_words", "items", "begins", "ends").mapInArrow(
-        digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, begins array<int>, ends array<int>")
+    schema = docs.select(*keep).schema
+    for name, kind in (("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")):
+        schema = schema.add(name, kind)
+    for name in ("items", "begins", "ends"):
+        schema = schema.add(rows.schema[name])
+    return rows.drop("text").mapInArrow(digest, schema)
 
 
-def _pass(shared):
+def _pass(shared, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test: TestSet = shared.value
         shortest = int(test.lengths.min()) if len(test.lengths) else 1
@@ -218,10 +222,7 @@ def _pass(shared):
                 old = batch.slice(first, n)
                 if len(old.column("begins").flatten()) or len(old.column("items").flatten()):
                     items, b, e = _merge(old, items, b, e)
-                yield pa.RecordBatch.from_arrays(
-                    [old.column("doc_id"), old.column("text"), pa.array(shard.counts), items, b, e],
-                    schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("begins", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]),
-                )
+                yield pa.RecordBatch.from_arrays([*[old.column(c) for c in carried], old.column("text"), pa.array(shard.counts), items, b, e], names=[*carried, "text", "n_words", "items", "begins", "ends"])
 
     return run
 
@@ -274,9 +275,11 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without a hit, with all their columns."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The documents without a hit, with all their columns; no row is shuffled."""
+    names = docs.columns
+    marked = [f"_c{k}" for k in range(len(names))]  # free of clashes with the columns added
+    plain = docs.toDF(*marked).withColumn("text", F.col(marked[names.index("text")]))
+    return contamination(plain, benchmark, window, keep=tuple(marked)).where("NOT contaminated").select(*marked).toDF(*names)
 
 
 SQL = r"""
