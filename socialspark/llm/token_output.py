@@ -30,13 +30,46 @@ from socialspark.llm.arrow_text import list_array
 from socialspark.sources.scratch import new_path
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, tokens array<int>"
-_LATIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)").fullmatch
+_LATIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)").fullmatch
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The characters that byte-level models write for bytes: printable ones themselves, the others from 256 on.
 _BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
 _encoders: dict[str, PieceEncoder] = {}
 
 
+class Memo(dict):
+    """Ids of pieces as little-endian bytes, made on first use; None for a piece that needs its neighbours."""
+
+    def __init__(self, tok, direct: bool):
+        self.tok, self.direct, self.stems = tok, direct, {}
+
+    def _pretoken(self, token: str) -> bytes:
+        ids = self.stems.get(token)
+        if ids is None:
+            mapped = token if token.isascii() and token[0] not in " \n" else "".join([_BYTE_CHARS[b] for b in token.encode()])
+            ids = self.stems[token] = array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
+        return ids
+
+    def __missing__(self, piece: str) -> bytes | None:
+        m = _LATIN(piece) if self.direct else None
+        if m:
+            lead, word, marks = m.groups()
+            ids = b""
+            if lead == "\n":
+                ids, lead = self._pretoken("\n"), ""
+            if word:
+                ids, lead = ids + self._pretoken(lead + word), ""
+            if marks:
+                ids += self._pretoken(lead + marks)
+            elif lead or not word:
+                ids = None
+        else:
+            body = piece[1:] if piece[0] in " \n" else piece
+            ids = None if not body or body[0].isspace() or body[-1].isspace() else array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class PieceEncoder:
     """Encodes texts through a bounded memo of space- and newline-led pieces.
 
@@ -53,62 +86,27 @@ class PieceEncoder:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.entries, self.memo, self.stems = entries, {"": b""}, {}
         # Words of Latin letters go straight to the library's model: its pre-tokens are the word with its space, and the marks after it.
         self.direct = json.loads(self.tok.to_str())["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and self.tok.normalizer is None
+        self.entries, self.memo = entries, self._new_memo()
 
-    @staticmethod
-    def _whole_only(piece: str) -> bool:
-        body = piece[1:] if piece[0] in " \n" else piece
-        return not body or body[0].isspace() or body[-1].isspace()
-
-    def _pretoken(self, token: str) -> bytes:
-        ids = self.stems.get(token)
-        if ids is None:
-            mapped = token if token.isascii() and token[0] not in " \n" else "".join([_BYTE_CHARS[b] for b in token.encode()])
-            ids = self.stems[token] = array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
-        return ids
-
-    def _learn(self, pieces: set[str]) -> None:
-        memo, rest = self.memo, []
-        for p in pieces:
-            if p in memo:
-                continue
-            m = _LATIN(p) if self.direct else None
-            if m:
-                lead, word, marks = m.groups()
-                ids = self._pretoken("\n") + self._pretoken(word) if lead == "\n" else self._pretoken(lead + word)
-                memo[p] = ids + self._pretoken(marks) if marks else ids
-            elif self._whole_only(p):
-                memo[p] = None
-            else:
-                rest.append(p)
-        for k in range(0, len(rest), 4096):
-            part = rest[k : k + 4096]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[p] = array("I", e.ids).tobytes()
+    def _new_memo(self) -> Memo:
+        memo = Memo(self.tok, self.direct)
+        memo[""] = b""
+        return memo
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) + len(self.stems) > self.entries:
-            self.memo, self.stems = {"": b""}, {}
-        split = [t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for t in texts]
-        pieces: set[str] = set()
-        for p in split:
-            pieces.update(p)
-        self._learn(pieces)
-        memo, out = self.memo, []
-        for t, p in zip(texts, split, strict=True):
-            if "\0" in t or any(a in t for a in self.added):
-                out.append(self.whole(t))
-                continue
-            try:
-                out.append(b"".join([memo[x] for x in p]))
-            except TypeError:  # a piece that needs its neighbours
-                out.append(self.whole(t))
-        return out
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if len(self.memo) > self.entries:
+            self.memo = self._new_memo()
+        if "\0" in text or any(a in text for a in self.added):
+            return self.whole(text)
+        try:
+            return b"".join(map(self.memo.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")))
+        except TypeError:  # a piece that needs its neighbours
+            return self.whole(text)
 
 
 def _texts(column: pa.Array, step: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -123,7 +121,7 @@ def _texts(column: pa.Array, step: int = 1 << 20) -> Iterator[tuple[int, list[st
         yield first, texts
 
 
-def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: int = 1_200_000) -> DataFrame:
+def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: int = 1_000_000) -> DataFrame:
     """Documents in ascending doc_id order over range partitions, encoded: the rows of the format."""
     arrow = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
@@ -134,7 +132,7 @@ def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: in
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for first, texts in _texts(batch.column("text")):
-                ids = [x + end for x in encoder.encode(texts)]
+                ids = [encoder.encode(t) + end for t in texts]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = at + np.concatenate([[0], np.cumsum(n)[:-1]])
                 at += int(n.sum())
