@@ -24,21 +24,27 @@ VERSION = "WARC/1.1"
 CRLF = "\r\n"
 BLANK = "\r\n\r\n"
 #: What HTML-to-text conversion replaces, in order: (regular expression, replacement). Valid in Java and RE2 alike.
-TO_TEXT = (
+TAGS = (
     (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script\b.*?</script\s*>", " "),
-    (r"(?is)<style\b.*?</style\s*>", " "),
+    (r"(?is)<(?:script\b.*?</script|style\b.*?</style)\s*>", " "),
     (r"(?i)<(?:/?(?:p|div|section|article|header|footer|nav|aside|ul|ol|li|table|tr|h[1-6]|blockquote|pre|form|title|body|head|html)\b[^>]*|br\s*/?)>", "\n"),
     (r"<[^>]*>", ""),
-    (r"&nbsp;|&#160;", " "), (r"&copy;", "©"), (r"&middot;", "·"), (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;|&apos;", "'"), (r"&amp;", "&"),
-    (r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""),
 )
+#: Character references, in order; & comes last.
+REFERENCES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: White space: these characters become a space, then runs become one; line breaks take the spaces around them.
+BLANKS = ("\t", "\r", "\f", "\x0b")
 
 
 def plain_text(html: Column) -> Column:
-    for pattern, new in TO_TEXT:
+    for pattern, new in TAGS:
         html = F.regexp_replace(html, F.lit(pattern), F.lit(new))
-    return html
+    for name, new in REFERENCES:
+        html = F.replace(html, F.lit(name), F.lit(new))
+    for blank in BLANKS:
+        html = F.replace(html, F.lit(blank), F.lit(" "))
+    html = F.replace(F.regexp_replace(html, F.lit(" {2,}"), F.lit(" ")), F.lit(" \n"), F.lit("\n"))
+    return F.btrim(F.regexp_replace(html, F.lit("\n[ \n]+"), F.lit("\n")), F.lit(" \n"))
 
 
 def _uuid(seed: Column) -> Column:
@@ -97,15 +103,16 @@ def responses(records: DataFrame) -> DataFrame:
 
 def derivatives(records: DataFrame) -> DataFrame:
     """page_id, record_type, record_id, refers_to, target_uri, source_digest, block_digest, content_length, content, record."""
-    r = responses(records).where("well_formed AND lower(type) = 'response' AND record_id IS NOT NULL")
+    r = responses(records).withColumn("ok", F.coalesce(F.col("well_formed") & (F.lower("type") == "response") & F.col("record_id").isNotNull(), F.lit(False)))
     title = F.trim(plain_text(F.regexp_extract("body", r"(?is)<title[^>]*>(.*?)</title", 1)))
     r = r.withColumn("plain", plain_text(F.col("body")))
     field = lambda k, v: F.concat(F.lit(f"{k}: "), F.coalesce(v.cast("string"), F.lit("")))
     meta = F.concat_ws(CRLF, field("http-status", F.col("status")), field("title", F.regexp_replace(title, r"\s+", " ")), field("payload-bytes", F.octet_length("body")),
                        field("text-chars", F.char_length("plain")), field("links", F.size(F.regexp_extract_all("body", F.lit(r"(?i)<a\s[^>]*href"), F.lit(0)))), field("source-payload-digest", F.col("payload_digest")), F.col("http_headers"))
-    kinds = F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("mime"), meta.alias("content")),
-                    F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("mime"), F.col("plain").alias("content")))
-    d = r.withColumn("k", F.explode(kinds)).select("*", "k.*").withColumn("source_id", F.col("record_id"))
+    kinds = F.array(F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("mime"), meta.alias("content"), F.col("ok")),
+                    F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("mime"), F.col("plain").alias("content"), F.col("ok")))
+    # The test goes through the exploded rows: as a filter on the records it would be pushed below the parsing and repeat it.
+    d = r.withColumn("k", F.explode(kinds)).drop("ok").select("*", "k.*").where("ok").withColumn("source_id", F.col("record_id"))
     d = d.withColumn("record_id", _uuid(F.concat("record_type", F.lit(":"), "source_id"))).withColumn("block_digest", _digest(F.col("content")))
     headers = [
         ("WARC-Type", F.col("record_type")), ("WARC-Record-ID", F.col("record_id")), ("WARC-Refers-To", F.col("source_id")), ("WARC-Target-URI", F.col("target_uri")), ("WARC-Date", F.col("date")),
@@ -127,9 +134,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _sql_text(x: str) -> str:
-    for pattern, new in TO_TEXT:
-        x = "regexp_replace({}, '{}', '{}', 'g')".format(x, pattern.replace("'", "''"), new.replace("'", "''").replace("\n", "' || chr(10) || '"))
-    return x
+    quoted = lambda t: "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    for pattern, new in TAGS:
+        x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(new)}, 'g')"
+    for name, new in REFERENCES:
+        x = f"replace({x}, {quoted(name)}, {quoted(new)})"
+    for blank in BLANKS:
+        x = f"replace({x}, chr({ord(blank)}), ' ')"
+    x = f"replace(regexp_replace({x}, ' {{2,}}', ' ', 'g'), ' ' || chr(10), chr(10))"
+    return f"trim(regexp_replace({x}, chr(10) || '[ ' || chr(10) || ']+', chr(10), 'g'), ' ' || chr(10))"
 
 
 def _sql_uuid(x: str) -> str:
