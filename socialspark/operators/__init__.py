@@ -1 +1 @@
-
+"""Batch operators: functions from DataFrames to a DataFrame."""
