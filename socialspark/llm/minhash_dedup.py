@@ -6,8 +6,9 @@ the first hash of a bin is its minimum, and empty bins borrow from hashed choice
 (optimal densification). Classes that share a band of bins meet in a bucket; each bucket links its
 members to one centre only, so candidates grow with members, not pairs. Candidates are confirmed on full
 sets by exact integer comparison. Where a bucket still holds several components, its members outside the
-largest one become centres in turn, a few a round, until every pair across components was compared:
-no pair of a bucket is lost, and pairs within a component need no comparison.
+largest one are compared with the others, unless sizes or the number of shingles that occur in no other
+set of such buckets rule every link out. So no pair of a bucket is lost, and pairs within a component
+need no comparison.
 
 With 128 bins in 32 bands of 4, a pair at similarity 0.8 shares no bucket with probability 5e-8.
 
@@ -24,12 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.llm.arrow_text import blocks, list_array
 from socialspark.llm.components import components
-from socialspark.sources.scratch import cut, discard
+from socialspark.sources.scratch import cut
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -184,55 +185,60 @@ def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return two.mapInArrow(run, "a binary, b binary")
 
 
-def near_components(docs: DataFrame, k: int = 5, percent: int = 80, bins: int = BINS, bands: int = BANDS, centres: int = 16) -> DataFrame:
+def _shared_counts(texts: DataFrame, k: int) -> DataFrame:
+    """(set_key, shared): how many of a set's shingles occur in another of the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, data, offsets in blocks(batch, "text", 1 << 20):
+                hashes, owner = shingle_sets(data, offsets, k)
+                yield pa.RecordBatch.from_arrays([batch.column("set_key").take(pa.array(owner + first)), pa.array(hashes.astype(np.int64))], names=["set_key", "h"])
+
+    shingles = texts.mapInArrow(run, "set_key binary, h long")
+    common = cut(shingles.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared-shingles")
+    return shingles.join(common, "h", "left_semi").groupBy("set_key").agg(F.count("*").alias("shared"))
+
+
+def near_components(docs: DataFrame, k: int = 5, percent: int = 80, bins: int = BINS, bands: int = BANDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows = cut(sketch(docs, k, bins, bands), "sketches")
     linkable = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes")
-    members = linkable.select("set_key", F.explode("bands").alias("band")).distinct()
-    members = cut(members, "band-members")
-    buckets = cut(members.groupBy("band").agg(F.min("set_key").alias("centre"), F.count("*").alias("m")).where("m > 1").drop("m"), "buckets")
-    crowded = cut(members.join(buckets, "band"), "bucket-members")
-    discard(members)
-    sized = classes.select(F.col("set_key").alias("s"), "n")
-    near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  sizes further apart can't reach the similarity
-    pairs = crowded.where("centre <> set_key").select(F.col("centre").alias("a"), F.col("set_key").alias("b")).distinct()
-    pairs = pairs.join(sized.withColumnsRenamed({"s": "a", "n": "n_a"}), "a").join(sized.withColumnsRenamed({"s": "b", "n": "n_b"}), "b")
-    pairs = cut(pairs.where(near(F.col("n_a"), F.col("n_b"))).select("a", "b"), "star-pairs")
+    classes = cut(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+    members = classes.select("set_key", "n", F.explode("bands").alias("band"))
+    shared_bands = cut(members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band"), "buckets")
+    crowded = cut(members.join(shared_bands, "band", "left_semi"), "bucket-members")
+    # A centre for each bucket, by a hash of its own, so that one odd member is not the centre of many buckets.
+    centres = crowded.groupBy("band").agg(F.min(F.struct(F.xxhash64("set_key", "band").alias("turn"), "set_key", "n")).alias("c"))
+    centres = cut(centres.select("band", F.col("c.set_key").alias("centre"), F.col("c.n").alias("n_c")), "centres")
+    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sizes further apart can't reach the similarity
+    star = crowded.join(centres, (crowded["band"] == centres["band"]) & (F.col("centre") != F.col("set_key")) & near(F.col("n"), F.col("n_c")))
+    pairs = cut(star.select(F.least("centre", "set_key").alias("a"), F.greatest("centre", "set_key").alias("b")).distinct(), "star-pairs")
     # Texts of the classes that share a bucket, one for each set; they move once.
-    need = crowded.select("set_key").distinct().join(classes, "set_key").select("set_key", "rep")
+    need = crowded.select("set_key").distinct().join(classes.select("set_key", "rep"), "set_key")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(need, "rep")
     texts = cut(_matching(texts, k), "bucket-texts")
     links = cut(_confirm(pairs, texts, k, percent), "links")
     labels = components(links)
-    done: DataFrame | None = None  # members that were compared with all others of their bucket
-    while True:
-        placed = crowded.select("band", "set_key").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left")
-        placed = placed.withColumn("label", F.coalesce("label", "set_key"))
-        if done is not None:
-            placed = placed.join(done, ["band", "set_key"], "left_anti")
-        placed = cut(placed, "placed")
-        per = placed.groupBy("band", "label").agg(F.count("*").alias("m"))
-        main = per.groupBy("band").agg(F.max_by("label", "m").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        outside = placed.join(main, "band").where("label <> main")
-        turn = Window.partitionBy("band").orderBy("set_key")  # members outside the largest component only
-        chosen = cut(outside.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= centres).select("band", F.col("set_key").alias("c"), F.col("label").alias("c_label")), "centres")
-        if not chosen.limit(1).count():
-            break
-        across = chosen.join(placed, "band").where("label <> c_label").select(F.least("c", "set_key").alias("a"), F.greatest("c", "set_key").alias("b")).distinct()
-        across = across.join(sized.withColumnsRenamed({"s": "a", "n": "n_a"}), "a").join(sized.withColumnsRenamed({"s": "b", "n": "n_b"}), "b")
-        across = across.where(near(F.col("n_a"), F.col("n_b"))).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-        across = cut(across, "across")
-        pairs = pairs.unionByName(across)
-        found = cut(_confirm(across, texts, k, percent), "links")
-        used = chosen.select("band", F.col("c").alias("set_key"))
-        done = used if done is None else done.unionByName(used)
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links)
-    named = classes.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    # Buckets that still hold several components: their members outside the largest one are compared with all of the others.
+    placed = crowded.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+    per = cut(placed, "placed").groupBy("band", "label").agg(F.count("*").alias("m"), F.min("n").alias("least"))
+    parted = cut(per.groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("parts"), F.min("least").alias("least")).where("parts > 1").drop("parts"), "parted-buckets")
+    open_ = cut(placed.join(parted.select("band"), "band", "left_semi"), "open-members")
+    # A link needs an intersection of percent / (100 + percent) of both sizes; no more of a set than the shingles it shares can be in one.
+    part = texts.join(open_.select("set_key").distinct(), "set_key", "left_semi")
+    shared = cut(_shared_counts(part, k), "shared-counts")
+    open_ = cut(open_.join(shared, "set_key", "left").withColumn("shared", F.coalesce("shared", F.lit(0))), "open-members")
+    can = lambda s, x, y: (100 + percent) * s >= percent * (x + y)
+    outside = open_.join(parted, "band").where((F.col("label") != F.col("main")) & can(F.col("shared"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))))
+    outside = cut(outside.select(F.col("band").alias("o_band"), F.col("set_key").alias("o"), F.col("n").alias("o_n"), F.col("label").alias("o_label"), F.col("shared").alias("o_shared")), "outside-members")
+    across = outside.join(open_, (F.col("o_band") == F.col("band")) & (F.col("label") != F.col("o_label")) & near(F.col("n"), F.col("o_n")) & can(F.least("shared", "o_shared"), F.col("n"), F.col("o_n")))
+    across = across.select(F.least("o", "set_key").alias("a"), F.greatest("o", "set_key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    found = cut(_confirm(cut(across, "across"), texts, k, percent), "links")
+    if found.limit(1).count():
+        labels = components(links.unionByName(found))
+    named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
     named = cut(named, "class-labels")
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    smallest = cut(named.groupBy("label").agg(F.min("rep").alias("component_id")), "component-ids")
     final = cut(named.join(smallest, "label").select("set_key", "component_id"), "class-components")
     out = rows.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
