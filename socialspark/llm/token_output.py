@@ -31,6 +31,8 @@ from socialspark.sources.scratch import new_path
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, tokens array<int>"
 _LATIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)").fullmatch
+#: A mark after a letter and before a space or newline is a pre-token of its own.
+_MARK = re.compile(r"[.,](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)(?=[ \n])")
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The characters that byte-level models write for bytes: printable ones themselves, the others from 256 on.
 _BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
@@ -41,14 +43,14 @@ class Memo(dict):
     """Ids of pieces as little-endian bytes, made on first use; None for a piece that needs its neighbours."""
 
     def __init__(self, tok, direct: bool):
-        self.tok, self.direct, self.stems = tok, direct, {}
+        self.tok, self.direct = tok, direct
 
     def _pretoken(self, token: str) -> bytes:
-        ids = self.stems.get(token)
-        if ids is None:
-            mapped = token if token.isascii() and token[0] not in " \n" else "".join([_BYTE_CHARS[b] for b in token.encode()])
-            ids = self.stems[token] = array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
-        return ids
+        if token.isascii():
+            mapped = token.replace(" ", "Ġ").replace("\n", "Ċ")
+        else:
+            mapped = "".join([_BYTE_CHARS[b] for b in token.encode()])
+        return array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes | None:
         m = _LATIN(piece) if self.direct else None
@@ -103,10 +105,12 @@ class PieceEncoder:
             self.memo = self._new_memo()
         if "\0" in text or any(a in text for a in self.added):
             return self.whole(text)
+        if self.direct:
+            text = _MARK.sub("\0\\g<0>", text)
         try:
             return b"".join(map(self.memo.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")))
         except TypeError:  # a piece that needs its neighbours
-            return self.whole(text)
+            return self.whole(text.replace("\0", ""))
 
 
 def _texts(column: pa.Array, step: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -121,7 +125,7 @@ def _texts(column: pa.Array, step: int = 1 << 20) -> Iterator[tuple[int, list[st
         yield first, texts
 
 
-def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: int = 1_000_000) -> DataFrame:
+def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: int = 800_000) -> DataFrame:
     """Documents in ascending doc_id order over range partitions, encoded: the rows of the format."""
     arrow = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
