@@ -108,7 +108,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _dictionary(texts: DataFrame, length: int) -> DataFrame:
-    """Flagged phrases: name, phrase (identity of it and the bytes after it), sha, place, first, last, copies."""
+    """Flagged phrases: name, phrase (identity of it and the bytes after it), tid, place, first, last, copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,11 +121,11 @@ def _dictionary(texts: DataFrame, length: int) -> DataFrame:
                 raw = ids.tobytes()
                 base = offsets[doc[row]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[row].astype(np.int64)), pa.array([raw[24 * k : 24 * k + 24] for k in range(len(row))], pa.binary()), batch.column("sha").take(pa.array(doc[row] + first)),
+                    [pa.array(names[row].astype(np.int64)), pa.array([raw[24 * k : 24 * k + 24] for k in range(len(row))], pa.binary()), batch.column("tid").take(pa.array(doc[row] + first)),
                      pa.array(place), pa.array(lo_ - base), pa.array(hi_ - base), batch.column("copies").take(pa.array(doc[row] + first))],
-                    names=["name", "phrase", "sha", "place", "first", "last", "copies"])
+                    names=["name", "phrase", "tid", "place", "first", "last", "copies"])
 
-    return texts.mapInArrow(run, "name long, phrase binary, sha binary, place int, first long, last long, copies long")
+    return texts.mapInArrow(run, "name long, phrase binary, tid long, place int, first long, last long, copies long")
 
 
 def _flagged(batch: pa.RecordBatch, first: int, end: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,12 +133,13 @@ def _flagged(batch: pa.RecordBatch, first: int, end: int, doc: np.ndarray) -> tu
     at = np.searchsorted(doc, np.arange(end - first))
     col = batch.column("places").slice(first, end - first)
     places = col.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-    counts = np.diff(col.offsets.to_numpy())
-    return np.repeat(at, counts) + places, places
+    own = np.repeat(np.arange(end - first), np.diff(col.offsets.to_numpy()))
+    there = places < np.bincount(doc, minlength=end - first)[own]  # another text with the same mark may have more
+    return (at[own] + places)[there], places[there]
 
 
 def _starts(texts: DataFrame, length: int) -> DataFrame:
-    """One row per start of the flagged phrases: name, head, tail (names of its two parts), sha, start."""
+    """One row per start of the flagged phrases: name, head, tail (names of its two parts), tid, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,10 +152,10 @@ def _starts(texts: DataFrame, length: int) -> DataFrame:
                 i = lo[which] + np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(much)[:-1]]), much)
                 d = doc[which]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[which].astype(np.int64)), pa.array(h.of(i, a[which]).astype(np.int64)), pa.array(g.of(a[which], i + length).astype(np.int64)), batch.column("sha").take(pa.array(d + first)), pa.array(i - offsets[d])],
-                    names=["name", "head", "tail", "sha", "start"])
+                    [pa.array(names[which].astype(np.int64)), pa.array(h.of(i, a[which]).astype(np.int64)), pa.array(g.of(a[which], i + length).astype(np.int64)), batch.column("tid").take(pa.array(d + first)), pa.array((i - offsets[d]).astype(np.int32))],
+                    names=["name", "head", "tail", "tid", "start"])
 
-    return texts.mapInArrow(run, "name long, head long, tail long, sha binary, start long")
+    return texts.mapInArrow(run, "name long, head long, tail long, tid long, start int")
 
 
 def _removals(texts: DataFrame, length: int) -> DataFrame:
@@ -192,27 +193,27 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, begins, ends (byte ranges removed)."""
     parsed = cut(_parse(docs, length), "parsed")
     whole = cut(parsed.groupBy("sha").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("copies"), F.first("names").alias("names")), "whole-texts")
-    named = whole.where("size(names) > 0").select("sha", "rep", "copies", F.posexplode("names").alias("place", "name"))
+    # Texts go by their 64-bit mark here; where two share one, each gets the other's places as well, which only adds work.
+    named = whole.where("size(names) > 0").select(F.col("rep.mark").alias("mark"), "copies", F.posexplode("names").alias("place", "name"))
     repeated = cut(named.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select(F.col("name").alias("again")), "repeated-names")
-    places = named.join(repeated, named["name"] == repeated["again"], "left_semi").select("sha", "place")
-    places = places.groupBy("sha").agg(F.sort_array(F.collect_list("place")).alias("places"))  # of one text each
-    wanted = places.join(whole.select("sha", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("rep_mark")), "sha")
+    places = named.select("mark", "place", "name").join(repeated, F.col("name") == F.col("again"), "left_semi").groupBy("mark").agg(F.array_sort(F.collect_set("place")).alias("places"))  # of one text each
+    wanted = places.join(whole.select("sha", "copies", F.col("rep.doc_id").alias("rep_id"), F.col("rep.mark").alias("mark")), "mark").withColumnRenamed("mark", "rep_mark")
     t = _texts(docs)
-    # The one movement of texts: one of each, and only those with a repeated name go on.
+    # The one movement of texts: one of each, and only those with a repeated name go on, under a short id.
     texts = t.join(wanted, t["doc_id"].eqNullSafe(F.col("rep_id")) & (t["mark"] == F.col("rep_mark"))).where(F.unhex(F.sha2("text", 256)) == F.col("sha"))
-    texts = cut(texts.dropDuplicates(["sha"]).select("sha", "copies", "text", "places"), "repeated-texts")
+    texts = cut(texts.dropDuplicates(["sha"]).select(F.monotonically_increasing_id().alias("tid"), "sha", "copies", "text", "places"), "repeated-texts")
     found = cut(_dictionary(texts, length), "phrases")
-    kinds = cut(found.groupBy("name", "phrase").agg(F.sum("copies").alias("n"), F.min(F.struct("sha", "place")).alias("one")), "phrase-kinds")
+    kinds = cut(found.groupBy("name", "phrase").agg(F.sum("copies").alias("n"), F.min(F.struct("tid", "place")).alias("one")), "phrase-kinds")
     # Phrases repeated in full, and names with several phrases
-    full = found.join(kinds.where("n > 1").select("name", "phrase"), ["name", "phrase"], "left_semi").select("sha", "first", "last")
+    full = found.join(kinds.where("n > 1").select("name", "phrase"), ["name", "phrase"], "left_semi").select("tid", "first", "last")
     mixed = cut(kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("name"), "mixed-names")
-    ask = kinds.join(mixed, "name", "left_semi").select("one.sha", "one.place", "n")
-    ask = ask.groupBy("sha").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    starts = cut(_starts(texts.select("sha", "text").join(ask, "sha"), length), "starts")
+    ask = kinds.join(mixed, "name", "left_semi").select("one.tid", "one.place")
+    ask = ask.groupBy("tid").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    starts = cut(_starts(texts.select("tid", "text").join(ask, "tid"), length), "starts")
     twice = cut(starts.groupBy("name", "head", "tail").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-starts")
-    single = starts.join(twice, ["name", "head", "tail"], "left_semi").select("sha", F.col("start").alias("first"), F.col("start").alias("last"))
-    runs = full.unionByName(single).groupBy("sha").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    removed = cut(_removals(texts.select("sha", "text").join(runs, "sha"), length), "removals")
+    single = starts.join(twice, ["name", "head", "tail"], "left_semi").select("tid", F.col("start").cast("long").alias("first"), F.col("start").cast("long").alias("last"))
+    runs = full.unionByName(single).groupBy("tid").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
+    removed = cut(_removals(texts.select("tid", "sha", "text").join(runs, "tid"), length), "removals")
     discard(starts)
     fate = cut(whole.select("sha", "copies").join(removed, "sha", "left"), "fates")
     empty = hashlib.sha256(b"").hexdigest()
