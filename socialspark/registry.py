@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from socialspark.operators.jobs import like_counts
-from socialspark.plans import core
+from socialspark.plans import core, social
 from socialspark.plans.fixtures import Tables
 
-_PARTS = (core,)
+_PARTS = (core, social)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
