@@ -250,7 +250,7 @@ def _(t):
 
 
 @query_of("q19_notification_groups", """SELECT viewer, item, CASE WHEN reason IN ('follow', 'repost', 'reaction', 'zap') AND n >= 2 THEN CASE WHEN reason = 'follow' THEN coalesce(fc.followers, 0) ELSE n END ELSE 1 END AS total, reason IN ('follow', 'repost', 'reaction', 'zap') AND n >= 2 AS is_group FROM
- (SELECT viewer, reason, CASE WHEN reason = 'follow' THEN 'follow' WHEN reason IN ('repost', 'reaction', 'zap') THEN reason || ':' || coalesce(nullif(ev.tags[1][2], ''), 'profile') ELSE 'single:' || event_id END AS item, count(*) AS n, max(cand.created_at) AS last_at, arg_max(event_id, (cand.created_at, event_id)) AS eid FROM cand JOIN ev ON ev.id = cand.event_id GROUP BY 1, 2, 3) g LEFT JOIN fc ON fc.pubkey = viewer QUALIFY row_number() OVER (PARTITION BY viewer ORDER BY last_at DESC, eid DESC, item) <= 50""")
+ (SELECT viewer, reason, CASE WHEN reason = 'follow' THEN 'follow' WHEN reason IN ('repost', 'reaction', 'zap') THEN reason || ':' || coalesce(nullif(ev.tags[1][2], ''), 'profile') ELSE 'single:' || cand.event_id END AS item, count(*) AS n, max(cand.created_at) AS last_at, arg_max(cand.event_id, (cand.created_at, cand.event_id)) AS eid FROM cand JOIN ev ON ev.id = cand.event_id GROUP BY 1, 2, 3) g LEFT JOIN fc ON fc.pubkey = viewer QUALIFY row_number() OVER (PARTITION BY viewer ORDER BY last_at DESC, eid DESC, item) <= 50""")
 def _(t):
     first = t.events.select(F.col("id").alias("event_id"), tg.first_value(F.col("tags"), "e").alias("target_id"))
     return notify.grouped(jobs.notification_candidates(t.tags), first, jobs.follower_counts(jobs.contacts_latest(t.events))).select("viewer", "item", "total", "is_group")
