@@ -199,6 +199,63 @@ def _shared_counts(texts: DataFrame, k: int) -> DataFrame:
     return shingles.join(common, "h", "left_semi").groupBy("set_key").agg(F.count("*").alias("shared"))
 
 
+def _across(members: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 128) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket whose sets, as 32-bit hashes, reach the similarity.
+
+    ``members``: (band, set_key, n, label, m members of the band). A bucket's members go in blocks of
+    about ``block``; each pair of blocks is one row, compared inside a task, and only pairs that pass leave
+    it. Hashes that collide within a set are allowed for, so that no link is missed here.
+    """
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, data, offsets in blocks(batch, "text", 1 << 20):
+                hashes, owner = shingle_sets(data, offsets, k)
+                bounds = np.searchsorted(owner, np.arange(end - first + 1)).tolist()
+                small = (hashes >> np.uint64(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([batch.column("set_key").slice(first, end - first), pa.array([small[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["set_key", "hashes"])
+
+    short = cut(texts.mapInArrow(shorten, "set_key binary, hashes binary"), "short-sets")
+    chunk = F.pmod(F.xxhash64("set_key"), F.ceil(F.col("m") / block))
+    rows = members.join(short, "set_key").select("band", chunk.alias("chunk"), F.struct("set_key", "label", "n", "hashes").alias("x"))
+    chunks = cut(rows.groupBy("band", "chunk").agg(F.collect_list("x").alias("x")), "member-blocks")  # about ``block`` members each
+    two = chunks.join(chunks.select(F.col("band").alias("band_y"), F.col("chunk").alias("chunk_y"), F.col("x").alias("y")), (F.col("band") == F.col("band_y")) & (F.col("chunk") <= F.col("chunk_y")))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list[bytes], list[bytes]] = ([], [])
+            for r in range(batch.num_rows):
+                x, y = batch.column("x")[r].as_py(), batch.column("y")[r].as_py()
+                if len({v["label"] for v in x} | {v["label"] for v in y}) == 1:
+                    continue
+                sets = [[np.unique(np.frombuffer(v["hashes"], np.uint32)) for v in side] for side in (x, y)]
+                both = np.intersect1d(np.unique(np.concatenate(sets[0])), np.unique(np.concatenate(sets[1])), assume_unique=True)
+                common = np.zeros((len(x), len(y)), np.float32)
+                for at in range(0, len(both), 4096):
+                    part = both[at : at + 4096]
+                    grids = []
+                    for side in sets:
+                        g = np.zeros((len(side), len(part)), np.float32)
+                        for i, own in enumerate(side):
+                            place = np.searchsorted(part, own)
+                            place[place == len(part)] = 0
+                            g[i, place[part[place] == own]] = 1
+                        grids.append(g)
+                    common += grids[0] @ grids[1].T
+                n = [np.array([v["n"] for v in side], np.float32) for side in (x, y)]
+                lost = [np.array([v["n"] - len(own) for v, own in zip(side, held, strict=True)], np.float32) for side, held in zip((x, y), sets, strict=True)]
+                common += np.minimum(lost[0][:, None], lost[1][None, :]) + lost[0][:, None] + lost[1][None, :]
+                ok = (100 + percent) * common >= percent * (n[0][:, None] + n[1][None, :])
+                for i, j in zip(*(v.tolist() for v in np.nonzero(ok)), strict=True):
+                    if x[i]["label"] != y[j]["label"]:
+                        p, q = sorted((x[i]["set_key"], y[j]["set_key"]))
+                        out[0].append(p)
+                        out[1].append(q)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in out], names=["a", "b"])
+
+    return two.select("x", "y").mapInArrow(compare, "a binary, b binary")
+
+
 def near_components(docs: DataFrame, k: int = 5, percent: int = 80, bins: int = BINS, bands: int = BANDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
     rows = cut(sketch(docs, k, bins, bands), "sketches")
@@ -229,11 +286,11 @@ def near_components(docs: DataFrame, k: int = 5, percent: int = 80, bins: int =
     shared = cut(_shared_counts(part, k), "shared-counts")
     open_ = cut(open_.join(shared, "set_key", "left").withColumn("shared", F.coalesce("shared", F.lit(0))), "open-members")
     can = lambda s, x, y: (100 + percent) * s >= percent * (x + y)
-    outside = open_.join(parted, "band").where((F.col("label") != F.col("main")) & can(F.col("shared"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))))
-    outside = cut(outside.select(F.col("band").alias("o_band"), F.col("set_key").alias("o"), F.col("n").alias("o_n"), F.col("label").alias("o_label"), F.col("shared").alias("o_shared")), "outside-members")
-    across = outside.join(open_, (F.col("o_band") == F.col("band")) & (F.col("label") != F.col("o_label")) & near(F.col("n"), F.col("o_n")) & can(F.least("shared", "o_shared"), F.col("n"), F.col("o_n")))
-    across = across.select(F.least("o", "set_key").alias("a"), F.greatest("o", "set_key").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    found = cut(_confirm(cut(across, "across"), texts, k, percent), "links")
+    fits = can(F.col("shared"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))
+    able = cut(open_.join(parted, "band").where(fits).select("band", "set_key", "n", "label", (F.col("label") != F.col("main")).alias("outside")), "able-members")
+    busy = able.groupBy("band").agg(F.count("*").alias("m"), F.count_if("outside").alias("o")).where("o > 0 AND m > 1").select("band", "m")
+    across = _across(able.join(busy, "band"), part, k, percent)
+    found = cut(_confirm(cut(across.distinct().join(pairs, ["a", "b"], "left_anti"), "across"), texts, k, percent), "links")
     if found.limit(1).count():
         labels = components(links.unionByName(found))
     named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
