@@ -154,7 +154,7 @@ def write_tokens(rows: DataFrame, path: str, encoding: str = "dictionary", row_g
     if encoding not in ("dictionary", "delta"):
         raise ValueError("encoding is 'dictionary' or 'delta'")
     (
-        rows.write.option("compression", "zstd")
+        rows.write.option("compression", "snappy")
         .option("parquet.writer.version", "v2")  # delta encoding for integers without a dictionary
         .option("parquet.enable.dictionary#tokens.list.element", str(encoding == "dictionary").lower())
         .option("parquet.block.size", str(row_group_bytes))
