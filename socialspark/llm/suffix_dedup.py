@@ -193,6 +193,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, begins, ends (byte ranges removed)."""
     parsed = cut(_parse(docs, length), "parsed")
     whole = cut(parsed.groupBy("sha").agg(F.min(F.struct("doc_id", "mark")).alias("rep"), F.count("*").alias("copies"), F.first("names").alias("names")), "whole-texts")
+    rows = cut(parsed.select("doc_id", "sha", "n_bytes"), "rows")
+    discard(parsed)  # the names live on in ``whole``
     # Texts go by their 64-bit mark here; where two share one, each gets the other's places as well, which only adds work.
     named = whole.where("size(names) > 0").select(F.col("rep.mark").alias("mark"), "copies", F.posexplode("names").alias("place", "name"))
     repeated = cut(named.groupBy("name").agg(F.sum("copies").alias("n")).where("n > 1").select(F.col("name").alias("again")), "repeated-names")
@@ -202,6 +204,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     # The one movement of texts: one of each, and only those with a repeated name go on, under a short id.
     texts = t.join(wanted, t["doc_id"].eqNullSafe(F.col("rep_id")) & (t["mark"] == F.col("rep_mark"))).where(F.unhex(F.sha2("text", 256)) == F.col("sha"))
     texts = cut(texts.dropDuplicates(["sha"]).select(F.monotonically_increasing_id().alias("tid"), "sha", "copies", "text", "places"), "repeated-texts")
+    counts = cut(whole.select("sha", "copies"), "copies")
+    discard(whole)
     found = cut(_dictionary(texts, length), "phrases")
     kinds = cut(found.groupBy("name", "phrase").agg(F.sum("copies").alias("n"), F.min(F.struct("tid", "place")).alias("one")), "phrase-kinds")
     # Phrases repeated in full, and names with several phrases
@@ -215,9 +219,9 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     runs = full.unionByName(single).groupBy("tid").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
     removed = cut(_removals(texts.select("tid", "sha", "text").join(runs, "tid"), length), "removals")
     discard(starts)
-    fate = cut(whole.select("sha", "copies").join(removed, "sha", "left"), "fates")
+    fate = cut(counts.join(removed, "sha", "left"), "fates")
     empty = hashlib.sha256(b"").hexdigest()
-    out = parsed.select("doc_id", "sha", "n_bytes").join(fate, "sha")
+    out = rows.join(fate, "sha")
     all_ = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     none = F.array().cast("array<long>")
     return out.select(
