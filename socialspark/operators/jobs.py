@@ -92,7 +92,7 @@ def user_stats(contacts: DataFrame, posts: DataFrame, profiles: DataFrame, touch
     return rows.groupBy("pubkey").agg(F.sum("following").alias("following"), F.sum("followers").alias("followers"), F.sum("posts").alias("posts"))
 
 
-def scored_actors(scores: DataFrame, min_score: float, source: str = "vertex") -> DataFrame:
+def scored_actors(scores: DataFrame, min_score: float, source: str = "reputation") -> DataFrame:
     newest = latest(scores.where(F.col("source") == source), ["pubkey"], [F.desc("fetched_at"), F.desc("score")])
     return newest.where(F.col("score") >= min_score).select("pubkey")
 
@@ -140,20 +140,20 @@ def note_stats(ids: DataFrame, tags: DataFrame, zaps: DataFrame, edges: DataFram
     return out.select("event_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names])
 
 
-def latest_scores(scores: DataFrame, source: str = "vertex") -> DataFrame:
+def latest_scores(scores: DataFrame, source: str = "reputation") -> DataFrame:
     return latest(scores.where(F.col("source") == source), ["pubkey"], [F.desc("fetched_at"), F.desc("score")])
 
 
 def rank_features(real: DataFrame, stats: DataFrame, events: DataFrame, scores: DataFrame, users: DataFrame, metrics: DataFrame) -> DataFrame:
     """The wide feature row of each target."""
     e = events.select(F.col("id").alias("event_id"), "pubkey", "kind", "created_at")
-    s = latest_scores(scores).select("pubkey", F.col("score").alias("author_vertex_score"))
+    s = latest_scores(scores).select("pubkey", F.col("score").alias("author_score"))
     q = metrics.where("metric = 'contribution_quality'").select("event_id", F.col("value").alias("contribution_quality"))
     out = real.join(e, "event_id").join(stats.select("event_id", "likes", "reposts", "replies", "quotes", "zaps", "sats"), "event_id", "left").join(q, "event_id", "left")
     out = out.join(s, "pubkey", "left").join(users.select("pubkey", F.col("followers").alias("author_followers")), "pubkey", "left")
     raw = [F.coalesce(c, F.lit(0)).cast("long").alias(f"raw_{c}") for c in ("likes", "reposts", "replies", "quotes", "zaps", "sats")]
     return out.select("event_id", "pubkey", "kind", "created_at", *raw, *[c for c in real.columns if c.startswith("real_")],
-                      F.coalesce("author_vertex_score", F.lit(0.0)).alias("author_vertex_score"), F.coalesce("author_followers", F.lit(0)).cast("long").alias("author_followers"), F.coalesce("contribution_quality", F.lit(0.0)).alias("contribution_quality"))
+                      F.coalesce("author_score", F.lit(0.0)).alias("author_score"), F.coalesce("author_followers", F.lit(0)).cast("long").alias("author_followers"), F.coalesce("contribution_quality", F.lit(0.0)).alias("contribution_quality"))
 
 
 def notification_candidates(tags: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def with_tag(events: DataFrame, tags: DataFrame, f: TagFilter, how: str = "left_
     return events.join(t.select(F.col("event_id").alias(id_column)), id_column, how)
 
 
-def reputable(df: DataFrame, scores: DataFrame, n: int, source: str = "vertex") -> DataFrame:
+def reputable(df: DataFrame, scores: DataFrame, n: int, source: str = "reputation") -> DataFrame:
     """Rows whose author's greatest follower count at the source is ``n`` or more."""
     known = scores.where(F.col("source") == source).groupBy("pubkey").agg(F.max("followers").alias("f")).where(F.col("f") >= n)
     return in_keys(df, "pubkey", known)

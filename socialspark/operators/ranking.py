@@ -11,7 +11,7 @@ from socialspark.functions import text as tx
 from socialspark.operators.aggregate import references_per_target
 
 #: Feature column of each global term.
-FEATURES = {"likes": "real_likes", "replies": "real_replies", "reposts": "real_reposts", "quotes": "real_quotes", "zap_sats": "real_zap_sats", "actors": "real_actors", "author_score": "author_vertex_score", "quality": "contribution_quality", "recency": "created_at"}
+FEATURES = {"likes": "real_likes", "replies": "real_replies", "reposts": "real_reposts", "quotes": "real_quotes", "zap_sats": "real_zap_sats", "actors": "real_actors", "author_score": "author_score", "quality": "contribution_quality", "recency": "created_at"}
 LOGARITHMIC = ("likes", "replies", "reposts", "quotes", "zap_sats")
 
 
@@ -100,7 +100,7 @@ def weighted_scores(candidates: DataFrame, terms: tuple[Term, ...], tags: DataFr
 
 def route(terms: tuple[Term, ...], is_global: bool) -> str:
     """``features`` if the feature table can serve the ranking, else ``live``."""
-    served = {("references", "likes"), ("references", "reposts"), ("references", "replies"), ("author_score", "vertex"), ("metric", "contribution_quality"), ("field", "created_at")}
+    served = {("references", "likes"), ("references", "reposts"), ("references", "replies"), ("author_score", "reputation"), ("metric", "contribution_quality"), ("field", "created_at")}
     return "features" if is_global and all((t.source, t.name) in served for t in terms) else "live"
 
 

@@ -100,7 +100,9 @@ def _stream(t, after):
     _frames(t).write.json(f"{base}/in")
     frames = st.read_folder(t.spark, f"{base}/in")
     q = after(frames, base)
-    q.awaitTermination()
+    if not q.awaitTermination(600):
+        q.stop()
+        raise TimeoutError("the stream did not end")
     return base
 
 

@@ -82,7 +82,7 @@ def _(t):
     return t.events.where(tx.contains_ci(F.col("content"), "About PURCHASE 9")).select(*_IDS)
 
 
-@query_of("f9_reputable", f"SELECT {_SHORT} FROM ev WHERE kind = 6 AND pubkey IN (SELECT pubkey FROM sc WHERE source = 'vertex' GROUP BY pubkey HAVING max(followers) >= 600)")
+@query_of("f9_reputable", f"SELECT {_SHORT} FROM ev WHERE kind = 6 AND pubkey IN (SELECT pubkey FROM sc WHERE source = 'reputation' GROUP BY pubkey HAVING max(followers) >= 600)")
 def _(t):
     return query.reputable(t.events.where("kind = 6"), t.scores, 600).select(*_IDS)
 

@@ -96,7 +96,7 @@ class Tables:
         """source, pubkey, score, followers, nodes, fetched_at: two versions of each author's external score."""
         u = table(self.spark, self.sf_dir, "events").select("user_id").distinct()
         two = u.selectExpr("user_id", "explode(array(0, 1)) AS v")
-        return two.selectExpr("'vertex' AS source", "sha2('u' || user_id, 256) AS pubkey", "cast((user_id * 7 + v * 13) % 101 as double) AS score", "cast((user_id * 37 + v) % 1000 as bigint) AS followers",
+        return two.selectExpr("'reputation' AS source", "sha2('u' || user_id, 256) AS pubkey", "cast((user_id * 7 + v * 13) % 101 as double) AS score", "cast((user_id * 37 + v) % 1000 as bigint) AS followers",
                               "cast(1000 as bigint) AS nodes", "timestamp_ntz '2024-01-29 00:00:00' + make_interval(0, 0, 0, v, user_id % 24) AS fetched_at")
 
     @cached_property
@@ -126,4 +126,4 @@ class Tables:
         """url, name, state, n_mints, n_melts, n_errors, info (JSON in a string)."""
         s = table(self.spark, self.sf_dir, "supplier")
         return s.selectExpr("'https://mint-' || s_suppkey || '.example' AS url", "s_name AS name", "CASE WHEN s_suppkey % 5 = 0 THEN 'ERROR' ELSE 'OK' END AS state", "cast(s_suppkey * 3 % 100 as bigint) AS n_mints", "cast(s_suppkey * 7 % 50 as bigint) AS n_melts",
-                            "cast(s_suppkey % 4 as bigint) AS n_errors", "'{\"nuts\":{\"4\":{\"methods\":[{\"unit\":\" SAT\"},{\"unit\":\"usd\"}]},\"5\":{\"methods\":[{\"unit\":\"sat\"}]}},\"contact\":[{\"method\":\"nostr\",\"info\":\"op' || s_suppkey || '\"}]}' AS info").where("url NOT LIKE '%9.example'")
+                            "cast(s_suppkey % 4 as bigint) AS n_errors", "'{\"nuts\":{\"4\":{\"methods\":[{\"unit\":\" SAT\"},{\"unit\":\"usd\"}]},\"5\":{\"methods\":[{\"unit\":\"sat\"}]}},\"contact\":[{\"method\":\"key\",\"info\":\"op' || s_suppkey || '\"}]}' AS info").where("url NOT LIKE '%9.example'")

@@ -50,7 +50,7 @@ TABLES = [
     ("qt", "SELECT tag_value AS id, count(DISTINCT event_id) AS quotes FROM tg WHERE kind = 1 AND tag_key = 'q' AND strlen(tag_value) = 64 GROUP BY 1"),
     ("rc", "SELECT parent_id AS id, count(DISTINCT child_id) AS replies FROM edges GROUP BY 1"),
     ("zt", "SELECT target_event_id AS id, sum(sats) AS sats, count(*) AS zaps FROM zaps GROUP BY 1"),
-    ("sc", f"SELECT 'vertex' AS source, {_H('u', 'user_id')} AS pubkey, CAST((user_id * 7 + v * 13) % 101 AS DOUBLE) AS score, CAST((user_id * 37 + v) % 1000 AS BIGINT) AS followers, CAST(1000 AS BIGINT) AS nodes, TIMESTAMP '2024-01-29 00:00:00' + to_days(CAST(v AS INT)) + to_hours(user_id % 24) AS fetched_at FROM (SELECT DISTINCT user_id FROM events), (VALUES (0), (1)) AS t(v)"),
+    ("sc", f"SELECT 'reputation' AS source, {_H('u', 'user_id')} AS pubkey, CAST((user_id * 7 + v * 13) % 101 AS DOUBLE) AS score, CAST((user_id * 37 + v) % 1000 AS BIGINT) AS followers, CAST(1000 AS BIGINT) AS nodes, TIMESTAMP '2024-01-29 00:00:00' + to_days(CAST(v AS INT)) + to_hours(user_id % 24) AS fetched_at FROM (SELECT DISTINCT user_id FROM events), (VALUES (0), (1)) AS t(v)"),
     ("ls", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY fetched_at DESC, score DESC) AS r FROM sc) WHERE r = 1"),
     ("pf", """SELECT pubkey, id AS event_id, created_at, coalesce(content ->> '$.name', '') AS name, coalesce(content ->> '$.display_name', '') AS display_name, coalesce(content ->> '$.picture', '') AS picture, coalesce(content ->> '$.about', '') AS about,
   coalesce(content ->> '$.nip05', '') AS nip05, coalesce(content ->> '$.lud16', '') AS lud16, coalesce(content ->> '$.lud06', '') AS lud06, coalesce(content ->> '$.banner', '') AS banner, coalesce(content ->> '$.website', '') AS website, content AS raw_json

@@ -438,18 +438,18 @@ def _features(t):
     return jobs.rank_features(real, stats, t.events, t.scores, _user_stats(t), newest)
 
 
-_FT = "SELECT realc.event_id, ev.pubkey, ev.kind, ev.created_at, coalesce(lk.likes, 0) AS raw_likes, CAST(coalesce(zt.sats, 0) AS BIGINT) AS raw_sats, real_likes, real_reposts, real_replies, real_quotes, real_zap_sats, real_actors, coalesce(ls.score, 0) AS author_vertex_score, CAST(coalesce(st.followers, 0) AS BIGINT) AS author_followers, coalesce(mv.value, 0) AS contribution_quality FROM realc JOIN ev ON ev.id = realc.event_id LEFT JOIN lk ON lk.id = ev.id LEFT JOIN zt ON zt.id = ev.id LEFT JOIN ls ON ls.pubkey = ev.pubkey LEFT JOIN st ON st.pubkey = ev.pubkey LEFT JOIN mv ON mv.event_id = ev.id"
+_FT = "SELECT realc.event_id, ev.pubkey, ev.kind, ev.created_at, coalesce(lk.likes, 0) AS raw_likes, CAST(coalesce(zt.sats, 0) AS BIGINT) AS raw_sats, real_likes, real_reposts, real_replies, real_quotes, real_zap_sats, real_actors, coalesce(ls.score, 0) AS author_score, CAST(coalesce(st.followers, 0) AS BIGINT) AS author_followers, coalesce(mv.value, 0) AS contribution_quality FROM realc JOIN ev ON ev.id = realc.event_id LEFT JOIN lk ON lk.id = ev.id LEFT JOIN zt ON zt.id = ev.id LEFT JOIN ls ON ls.pubkey = ev.pubkey LEFT JOIN st ON st.pubkey = ev.pubkey LEFT JOIN mv ON mv.event_id = ev.id"
 
 
 @query_of("m9_note_rank_features", "SELECT * FROM ft", ("mv", _MV), ("ft", _FT))
 @query_of("j4_feature_assembly", "SELECT * FROM ft", ("mv", _MV), ("ft", _FT))
 @query_of("st11_rollup_tick", "SELECT * FROM ft", ("mv", _MV), ("ft", _FT))
 def _(t):
-    return _features(t).select("event_id", "pubkey", "kind", "created_at", "raw_likes", "raw_sats", "real_likes", "real_reposts", "real_replies", "real_quotes", "real_zap_sats", "real_actors", "author_vertex_score", "author_followers", "contribution_quality")
+    return _features(t).select("event_id", "pubkey", "kind", "created_at", "raw_likes", "raw_sats", "real_likes", "real_reposts", "real_replies", "real_quotes", "real_zap_sats", "real_actors", "author_score", "author_followers", "contribution_quality")
 
 
 _WEIGHTS = {"likes": 1.0, "replies": 2.0, "reposts": 1.5, "quotes": 1.2, "zap_sats": 0.3, "actors": 0.5, "author_score": 0.02, "quality": 1.0, "recency": 3.0}
-_SCORE = "ln(1.0::DOUBLE + real_likes) + 2.0::DOUBLE * ln(1.0::DOUBLE + real_replies) + 1.5::DOUBLE * ln(1.0::DOUBLE + real_reposts) + 1.2::DOUBLE * ln(1.0::DOUBLE + real_quotes) + 0.3::DOUBLE * ln(1.0::DOUBLE + real_zap_sats) + 0.5::DOUBLE * real_actors + 0.02::DOUBLE * CASE WHEN author_followers >= 2 THEN author_vertex_score ELSE 0 END + contribution_quality + 3.0::DOUBLE * pow(0.5::DOUBLE, greatest(epoch(as_of) - epoch(created_at), 0) / 86400.0::DOUBLE)"
+_SCORE = "ln(1.0::DOUBLE + real_likes) + 2.0::DOUBLE * ln(1.0::DOUBLE + real_replies) + 1.5::DOUBLE * ln(1.0::DOUBLE + real_reposts) + 1.2::DOUBLE * ln(1.0::DOUBLE + real_quotes) + 0.3::DOUBLE * ln(1.0::DOUBLE + real_zap_sats) + 0.5::DOUBLE * real_actors + 0.02::DOUBLE * CASE WHEN author_followers >= 2 THEN author_score ELSE 0 END + contribution_quality + 3.0::DOUBLE * pow(0.5::DOUBLE, greatest(epoch(as_of) - epoch(created_at), 0) / 86400.0::DOUBLE)"
 
 
 @query_of("r1_feature_ranking", f"SELECT event_id, pubkey, round({_SCORE}, 6) AS score FROM ft, bnd WHERE kind = 1 ORDER BY {_SCORE} DESC, created_at DESC, event_id DESC LIMIT 100", ("mv", _MV), ("ft", _FT))
@@ -464,7 +464,7 @@ def _(t):
     return ranking.by_references(t.events.where("kind = 1"), t.tags).orderBy(F.desc("score"), "id").limit(100)
 
 
-_TERMS = (ranking.Term("references", "likes", 1.0, "LOG1P"), ranking.Term("references", "replies", 0.5), ranking.Term("author_score", "vertex", 0.1, min_followers=300, fallback=5.0), ranking.Term("metric", "contribution_quality", 2.0), ranking.Term("field", "created_at", 4.0, "RECENCY_HALFLIFE", 172_800.0))
+_TERMS = (ranking.Term("references", "likes", 1.0, "LOG1P"), ranking.Term("references", "replies", 0.5), ranking.Term("author_score", "reputation", 0.1, min_followers=300, fallback=5.0), ranking.Term("metric", "contribution_quality", 2.0), ranking.Term("field", "created_at", 4.0, "RECENCY_HALFLIFE", 172_800.0))
 _W3 = """SELECT ev.id, ev.pubkey, ev.created_at, ln(1.0::DOUBLE + coalesce(a.c, 0)) + 0.5::DOUBLE * coalesce(b.c, 0) + 0.1::DOUBLE * coalesce(CASE WHEN ls.followers >= 300 THEN ls.score END, 5) + 2.0::DOUBLE * coalesce(mv.value, 0) + 4.0::DOUBLE * pow(0.5::DOUBLE, greatest(epoch(as_of) - epoch(ev.created_at), 0) / 172800.0::DOUBLE) AS score
  FROM ev JOIN bnd ON true LEFT JOIN (SELECT tag_value AS id, count(DISTINCT pubkey) AS c FROM tg WHERE tag_key = 'e' AND kind = 7 GROUP BY 1) a USING (id) LEFT JOIN (SELECT tag_value AS id, count(DISTINCT pubkey) AS c FROM tg WHERE tag_key = 'e' AND kind IN (1, 1111) GROUP BY 1) b USING (id) LEFT JOIN ls ON ls.pubkey = ev.pubkey LEFT JOIN mv ON mv.event_id = ev.id WHERE ev.kind = 1"""
 

@@ -105,12 +105,12 @@ def annotation_rows(annotations: DataFrame) -> DataFrame:
     return rows.select("event_id", "pubkey", "kind", "created_at", F.trim("m.name").alias("metric"), F.col("m.value").alias("value"), version.alias("model_version"), "computed_at").where("metric <> ''")
 
 
-def audit_units(audits: DataFrame) -> DataFrame:
-    """Audit rows with the union of units under nuts 4 and 5 and the first contact of method nostr."""
+def audit_units(audits: DataFrame, method: str = "key") -> DataFrame:
+    """Audit rows with the union of units under nuts 4 and 5 and the first contact of a method."""
     nut = "struct<methods: array<struct<unit: string>>>"
     info = F.from_json("info", f"nuts map<string, {nut}>, contact array<struct<method: string, info: string>>")
     pairs = F.from_json(F.get_json_object("info", "$.contact"), "array<array<string>>")
     units = F.concat(*[F.coalesce(F.transform(F.try_element_at(info["nuts"], F.lit(k))["methods"], lambda m: F.lower(F.trim(m["unit"]))), F.array().cast("array<string>")) for k in ("4", "5")])
-    named = F.get(F.filter(info["contact"], lambda c: F.lower(c["method"]) == "nostr"), F.lit(0))["info"]
-    paired = F.get(F.filter(pairs, lambda c: F.lower(F.get(c, F.lit(0))) == "nostr"), F.lit(0))
+    named = F.get(F.filter(info["contact"], lambda c: F.lower(c["method"]) == method), F.lit(0))["info"]
+    paired = F.get(F.filter(pairs, lambda c: F.lower(F.get(c, F.lit(0))) == method), F.lit(0))
     return audits.select("url", "name", "state", "n_mints", "n_melts", "n_errors", F.array_sort(F.array_distinct(F.filter(units, lambda u: u != ""))).alias("units"), F.coalesce(named, F.get(paired, F.lit(1)), F.lit("")).alias("operator"))

@@ -58,19 +58,15 @@ def capped(events: DataFrame, exempt: DataFrame, cap: int) -> DataFrame:
     schema = flagged.schema
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         used = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["ingest_ts", "id"], kind="stable")
         counts = rows["_counts"].to_numpy(bool)
         number = used + counts.cumsum()
         state.update((int(used + counts.sum()),))
-        state.setTimeoutDuration(2 * 86_400_000)
         yield rows.loc[~counts | (number <= cap), schema.names].reset_index(drop=True)
 
     day = flagged.withColumn("_day", F.to_date("ingest_ts")).groupBy("pubkey", "_day")
-    return day.applyInPandasWithState(step, schema, "used long", "append", GroupStateTimeout.ProcessingTimeTimeout).drop("_counts")
+    return day.applyInPandasWithState(step, schema, "used long", "append", GroupStateTimeout.NoTimeout).drop("_counts")
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
