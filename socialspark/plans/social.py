@@ -185,8 +185,12 @@ def _(t):
     return graph.thread_tree(_edges(t), jobs.like_counts(t.tags))
 
 
+def _thread_roots(t):
+    return t.events.where("kind = 1 AND size(tags) = 0")
+
+
 def _threads(t):
-    return graph.expand_threads(t.events.where("kind = 1 AND size(tags) = 0").where("event_id % 40 = 2"), t.tags, levels=4)
+    return graph.expand_threads(_thread_roots(t), t.tags)
 
 
 _EXPAND = "SELECT root_id, event_id, min(level) AS level FROM (WITH RECURSIVE c(root_id, event_id, level) AS (SELECT id, id, 0 FROM ev WHERE kind = 1 AND len(tags) = 0 AND event_id % 40 = 2 UNION SELECT root_id, tg.event_id, level + 1 FROM c JOIN tg ON tg.tag_value = c.event_id AND tag_key = 'e' AND tg.kind IN (1, 1111) WHERE level < 4) SELECT * FROM c) GROUP BY 1, 2"
@@ -199,7 +203,7 @@ def _(t):
 
 @query_of("q15_thread_order")
 def _(t):
-    roots, e, likes = t.events.where("kind = 1 AND size(tags) = 0").where("event_id % 40 = 2"), _edges(t), jobs.like_counts(t.tags)
+    roots, e, likes = _thread_roots(t), _edges(t), jobs.like_counts(t.tags)
     threads = latest.ranked(cut(_threads(t), "threads"), ["root_id"], [F.asc("level"), F.asc("event_id")], "place")
     ranked = latest.ranked(graph.ranked_replies(e, likes, "likes").withColumnsRenamed({"parent_id": "root_id", "child_id": "event_id"}), ["root_id"], [F.desc("position")], "recency")
     f = _follows(t)
