@@ -17,6 +17,8 @@ rows get equal shares or one more block than their twin); an empty table gives a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,9 +71,13 @@ def apportion(parties: DataFrame, within: list[str], key: list[str], seats: str,
     return won.select(*names, (F.col("_base") + F.col("_extra")).alias(out))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 16, seed: int = 7, shard_docs: int = 64, shards: int = 4096) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken (words the mix takes, repeats counted)."""
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count("text").alias("size"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 16, seed: int = 7, shard_docs: int = 64, shards: int = 4096, keep: dict[str, Column] | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, taken (words the mix takes, repeats counted).
+
+    ``keep`` adds columns computed from ``docs``; they also end ties on the tape.
+    """
+    more = list(keep or {})
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count("text").alias("size"), *[c.alias(name) for name, c in (keep or {}).items()])
     sizes = cut(slim.withColumn("mark", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix-sizes")
     goal = targets(sizes, weights, share, most)
     goal = goal.withColumn("n_shards", F.least(F.lit(shards), F.ceil(F.col("n_docs") / shard_docs)).cast("int"))
@@ -80,12 +86,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     goal = cut(goal.alias("g").join(quota.alias("q"), F.col("g.source").eqNullSafe(F.col("q.source")), "left").select("g.*", F.coalesce("q.source_blocks", F.lit(0)).cast("long").alias("source_blocks")), "mix-goals")
     shard = F.pmod(F.shiftright("mark", 20), F.col("n_shards")).alias("shard")
     dealt = sizes.alias("s").join(F.broadcast(goal) if goal.count() <= 10_000 else goal, sizes["source"].eqNullSafe(goal["source"]))
-    dealt = dealt.select("doc_id", goal["source"], "size", "mark", shard, "source_size", "target", "source_blocks")
+    dealt = dealt.select("doc_id", goal["source"], "size", "mark", shard, "source_size", "target", "source_blocks", *more)
     cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"), F.first("source_size").alias("source_size"), F.first("source_blocks").alias("source_blocks"))
     cells = cells.withColumn("weight", F.col("cell_size").cast("double"))
     quotas = apportion(cells.select("source", "shard", "cell_size", "source_blocks", "weight"), ["source"], ["shard"], "source_blocks", "weight", "quota")
     quotas = cut(quotas.select("source", "shard", "cell_size", "quota"), "mix-quotas")
-    tape = Window.partitionBy("source", "shard").orderBy("mark", "doc_id", "size")
+    tape = Window.partitionBy("source", "shard").orderBy("mark", "doc_id", "size", *more)
     placed = dealt.withColumn("end", F.sum("size").over(tape.rowsBetween(Window.unboundedPreceding, 0)))
     j = placed.join(quotas.withColumnsRenamed({"source": "q_source", "shard": "q_shard"}), F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")), "left")
     words = F.least(F.coalesce(F.col("quota"), F.lit(0)) * block, (F.col("cell_size") * most).cast("long"))
@@ -94,13 +100,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     part = F.when(F.col("cell_size") > 0, F.col("words") % F.col("cell_size")).otherwise(F.lit(0))
     begin = F.col("end") - F.col("size")
     again = F.greatest(F.least(F.col("end"), part) - begin, F.lit(0))
-    return j.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + again).cast("long").alias("taken"))
+    return j.select("doc_id", "source", "size", "source_size", "target", (whole * F.col("size") + again).cast("long").alias("taken"), *more)
 
 
 def apply_mix(docs: DataFrame, **params) -> DataFrame:
-    """Rows of the mix, with the columns of ``docs``: each document as many times as its taken words round to whole copies."""
+    """Rows of the mix, with the columns of ``docs``: each document as many times as its taken words round to whole copies.
+
+    Quotas go back to the rows by id (null too), source, size and a hash of the text; rows equal in all four are
+    numbered on both sides, so each row takes one quota.
+    """
     names = docs.columns
-    taken = mix(docs, **params).where("size > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_n"), F.col("size").alias("_size"))
-    taken = taken.groupBy("_id", "_size").agg(F.max("_n").alias("_n"))  # rows that repeat a document share its copies
-    kept = docs.withColumn("_words", word_count("text")).join(taken, (F.col("doc_id") == F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return kept.where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*names)
+    key = ["_id", "_source", "_size", "_text"]
+    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": word_count("text"), "_text": F.xxhash64("text")})
+    same = Window.partitionBy(*key)
+    rest = [F.col(c) for c in names if c not in ("doc_id", "source", "text")]
+    rows = marked.where("_size > 0").withColumn("_nth", F.row_number().over(same.orderBy(*rest) if rest else same.orderBy("_size")))
+    taken = mix(docs, keep={"_text": F.xxhash64("text")}, **params).where("size > 0")
+    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_text", F.round(F.col("taken") / F.col("size")).cast("int").alias("_n"))
+    taken = taken.withColumn("_nth", F.row_number().over(same.orderBy(F.desc("_n"))))
+    r, t = rows.alias("r"), taken.alias("t")
+    equal = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*key, "_nth")]
+    kept = r.join(t, reduce(Column.__and__, equal)).where("t._n > 0").select("r.*", "t._n")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*names)

@@ -1,0 +1,24 @@
+"""Whole jobs of the corpus operators: rows with null or repeated ids."""
+
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from socialspark.llm import source_mix
+
+
+def test_mixing_keeps_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 == 0 else i // 4 * 4, f"w{i} " * (5 + i % 40), "en", ("a", "b", None)[i % 7 % 3], i) for i in range(600)]
+    rows += [(9000, "same words here", "en", "a", 1)] * 5 + [(None, "the same null", "en", "b", 2)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mixture(spark, docs, "").select("doc_id", "text", "source").collect()
+    got = Counter((r.doc_id, r.text, r.source) for r in out)
+    assert any(i is None for i, _, _ in got)
+    taken = source_mix.mix(docs).agg(F.sum("taken")).first()[0]
+    assert abs(sum(len(t.split()) * n for (_, t, _), n in got.items()) - taken) < 0.03 * taken
+    shares = source_mix.mix(docs, keep={"text": F.col("text")}).collect()
+    want = Counter()
+    for r in shares:
+        want[r.doc_id, r.text, r.source] += int(r.taken / r.size + 0.5)
+    assert got == +want
