@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from socialspark.functions.tags import TagPredicate, root_ref
-from socialspark.operators.latest import latest, top_per_key
+from socialspark.operators.latest import latest, ranked, top_per_key
 from socialspark.sources.scratch import cut
 
 
@@ -23,15 +25,16 @@ def referenced_by(parents: DataFrame, tags: DataFrame, key: str = "e", target: C
     return top_per_key(rows, ["parent_id"], [F.desc("created_at"), F.desc("event_id")], limit, offset, name="position").select("parent_id", "event_id", "position")
 
 
-def walk(sources: DataFrame, links: DataFrame, depth: int = 8) -> DataFrame:
+def walk(sources: DataFrame, links: DataFrame, depth: int | None = 8) -> DataFrame:
     """(source_id, event_id, step): follow (event_id, next_id) links from each source, once to each event.
 
-    One join a step over what is left; steps are written, and the walk stops where no source goes on.
+    One join a step over what is left; steps are written, and the walk stops where no source goes on, or
+    after ``depth`` steps if that is given.
     """
     links = cut(links.select("event_id", "next_id"), "links")
     front = sources.select(F.col("id").alias("source_id"), F.col("id").alias("event_id"), F.array("id").alias("seen"))
     steps: list[DataFrame] = []
-    for step in range(1, depth + 1):
+    for step in count(1) if depth is None else range(1, depth + 1):
         nxt = front.join(links, "event_id").where(~F.array_contains("seen", F.col("next_id")))
         front = cut(nxt.select("source_id", F.col("next_id").alias("event_id"), F.concat("seen", F.array("next_id")).alias("seen")), "walk")
         if not front.limit(1).count():
@@ -98,7 +101,7 @@ def expand_threads(roots: DataFrame, tags: DataFrame, levels: int = 8, frontier:
     return top_per_key(kept, ["root_id"], [F.asc("level"), F.desc("created_at"), F.desc("event_id")], limit).select("root_id", "event_id", "level")
 
 
-def thread_tree(edges: DataFrame, likes: DataFrame, depth: int = 16) -> DataFrame:
+def thread_tree(edges: DataFrame, likes: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, depth, children, descendants, likes) of every node with a parent or a child."""
     e = cut(edges.select(F.col("child_id").alias("event_id"), F.col("parent_id").alias("next_id")), "parents")
     nodes = e.select(F.col("event_id").alias("id")).union(e.select("next_id")).distinct()
@@ -111,10 +114,20 @@ def thread_tree(edges: DataFrame, likes: DataFrame, depth: int = 16) -> DataFram
 
 
 def ranked_replies(edges: DataFrame, counter: DataFrame, by: str) -> DataFrame:
-    """(parent_id, child_id, score, position): direct replies by a counter of theirs; those without stay, with 0."""
+    """(parent_id, child_id, score, position): direct replies by a counter of theirs; those without stay, with 0.
+
+    All replies are range-partitioned in their order and numbered within a partition; a parent's earlier
+    partitions add their counts. So no task sorts all replies of a hot parent.
+    """
     c = counter.select(F.col("target_event_id").alias("child_id"), F.col(by).alias("score"))
     j = edges.join(c, "child_id", "left").withColumn("score", F.coalesce("score", F.lit(0)).cast("long"))
-    return top_per_key(j, ["parent_id"], [F.desc("score"), F.desc("created_at"), F.desc("child_id")], 5000, name="position").select("parent_id", "child_id", "score", "position")
+    order = [F.desc("score"), F.desc("created_at"), F.desc("child_id")]
+    j = j.select("parent_id", "child_id", "score", "created_at").repartitionByRange(F.asc("parent_id"), *order)
+    j = cut(j.withColumn("part", F.spark_partition_id()), "replies-in-order")
+    before = Window.partitionBy("parent_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = j.groupBy("parent_id", "part").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    j = ranked(j, ["parent_id", "part"], order, "place").join(earlier, ["parent_id", "part"])
+    return j.select("parent_id", "child_id", "score", (F.col("place") + F.col("earlier")).cast("int").alias("position"))
 
 
 def best_followed_reply(viewers: DataFrame, edges: DataFrame, follows: DataFrame, likes: DataFrame) -> DataFrame:

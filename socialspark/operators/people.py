@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.functions.tags import TagPredicate, relationship, refs, relay_list
 from socialspark.operators.latest import latest, newest_first, top_per_key
+from socialspark.sources.scratch import cut
 
 #: Search tiers: (score, how, field).
 TIERS = ((100, "is", "name"), (98, "is", "display_name"), (96, "is", "nip05"), (90, "starts", "name"), (88, "starts", "display_name"), (86, "starts", "nip05"),
@@ -34,12 +37,19 @@ def relationships(pairs: DataFrame, follows: DataFrame) -> DataFrame:
     return j.select("viewer", "candidate", relationship(F.coalesce("_a", F.lit(False)), F.coalesce("_b", F.lit(False))).alias("label"))
 
 
-def search_profiles(queries: DataFrame, profiles: DataFrame, limit: int = 10) -> DataFrame:
+def search_profiles(queries: DataFrame, profiles: DataFrame, limit: int = 10, block: int = 1000) -> DataFrame:
     """(query, pubkey, relevance, position): profiles that hold a query of three characters or more, by tier.
 
-    ``queries`` is a small stated set, sent to all profiles; a query that is a key finds its profile alone.
+    ``queries`` is a stated set, sent to all profiles in blocks of about ``block``; a query that is a key finds its profile alone.
     """
-    q = F.broadcast(queries.select(F.trim("query").alias("query")).where(F.octet_length("query") >= 3).distinct().limit(1000))
+    q = cut(queries.select(F.trim("query").alias("query")).where(F.octet_length("query") >= 3).distinct(), "search-queries")
+    blocks = max(-(-q.count() // block), 1)
+    parts = [_search_block(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b), profiles, limit) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _search_block(queries: DataFrame, profiles: DataFrame, limit: int) -> DataFrame:
+    q = F.broadcast(queries)
     low = F.lower("query")
     j = profiles.join(q, F.col("query").rlike("^[0-9a-f]{64}$") & (F.col("pubkey") == F.col("query")) | F.contains(F.lower(F.concat_ws(" ", "name", "display_name", "nip05", "lud16", "website", "about", "raw_json")), low))
     tests = {"is": lambda f: F.lower(f) == low, "starts": lambda f: F.startswith(F.lower(f), low), "has": lambda f: F.contains(F.lower(f), low)}

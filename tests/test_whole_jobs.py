@@ -6,6 +6,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
+from socialspark.operators import graph, people
 from socialspark.plans import social
 
 START = datetime(2024, 1, 1)
@@ -27,3 +28,32 @@ def test_threads_of_every_root_to_eight_levels(spark):
             seen.update(front)
             want |= {(root, c, level) for c in front}
     assert {tuple(r) for r in social._threads(SimpleNamespace(events=ev, tags=tags)).collect()} == want and len(want) == 40
+
+
+def test_all_replies_of_a_hot_parent_are_ranked(spark):
+    rows = [("hot", f"c{i:05d}", START + timedelta(seconds=i * 7 % 1000)) for i in range(5003)] + [("cold", "d1", START), ("cold", "d2", START)]
+    edges = spark.createDataFrame(rows, "parent_id string, child_id string, created_at timestamp_ntz")
+    likes = {c: i % 5 for i, (_, c, _) in enumerate(rows) if i % 5}
+    counter = spark.createDataFrame(list(likes.items()), "target_event_id string, likes long")
+    want = set()
+    for parent in ("hot", "cold"):
+        own = sorted(((likes.get(c, 0), at, c) for p, c, at in rows if p == parent), reverse=True)
+        want |= {(parent, c, n, i) for i, (n, _, c) in enumerate(own, 1)}
+    assert {tuple(r) for r in graph.ranked_replies(edges, counter, "likes").collect()} == want
+
+
+def test_tree_of_a_long_chain_and_a_cycle(spark):
+    chain = [(f"n{i}", f"n{i - 1}") for i in range(1, 21)]
+    edges = spark.createDataFrame([*chain, ("x", "y"), ("y", "z"), ("z", "x")], "child_id string, parent_id string")
+    likes = spark.createDataFrame([("n3", 2)], "target_event_id string, likes long")
+    got = {r.node: tuple(r)[1:] for r in graph.thread_tree(edges, likes).collect()}
+    want = {f"n{i}": (i, int(i < 20), 20 - i, 2 * (i == 3)) for i in range(21)}
+    assert got == want | {c: (2, 1, 2, 0) for c in "xyz"}
+
+
+def test_search_answers_every_query(spark):
+    names = [f"name{i:04d}" for i in range(1203)]
+    columns = "pubkey string, name string, display_name string, nip05 string, lud16 string, website string, about string, raw_json string, created_at timestamp_ntz"
+    profiles = spark.createDataFrame([(f"p{n}", n, "", "", "", "", "", "", START) for n in names], columns)
+    got = people.search_profiles(spark.createDataFrame([(n,) for n in names], "query string"), profiles).collect()
+    assert sorted((r.query, r.pubkey, r.position) for r in got) == [(n, f"p{n}", 1) for n in names]
