@@ -59,8 +59,8 @@ def _(t):
 
 
 def _frames(t):
-    """The events as relay frames, each from two relays, one in fifty malformed."""
-    e = t.events.selectExpr("id", "pubkey", "kind", "timestampdiff(SECOND, timestamp_ntz '1970-01-01', created_at) AS created_at", "tags", "content", "repeat('0', 128) AS sig", "event_id")
+    """The events as relay frames, each from two relays, one in fifty malformed; partitions follow each other in time of arrival."""
+    e = t.events.repartitionByRange("created_at", "id").selectExpr("id", "pubkey", "kind", "timestampdiff(SECOND, timestamp_ntz '1970-01-01', created_at) AS created_at", "tags", "content", "repeat('0', 128) AS sig", "event_id")
     body = F.to_json(F.struct("id", "pubkey", "created_at", "kind", "tags", "content", "sig"))
     frame = F.when(F.col("event_id") % 50 == 49, F.concat(F.lit('["EVENT","s",'), body)).when(F.col("event_id") % 50 == 48, '["EOSE","s"]').otherwise(F.concat(F.lit('["EVENT","s",'), body, F.lit("]")))
     return e.select(frame.alias("value"), F.timestamp_seconds("created_at").alias("ingest_ts"), F.explode(F.array(F.lit("wss://a"), F.lit("wss://b"))).alias("relay"))
@@ -95,9 +95,10 @@ def _(t):
 
 
 def _stream(t, after):
-    """Run a streaming plan over the frames to its end and return what it wrote."""
+    """Run a streaming plan over the frames, in order of arrival, to its end and return what it wrote."""
     base = new_path(t.spark, "stream")
     _frames(t).write.json(f"{base}/in")
+    st.in_file_order(t.spark, f"{base}/in")
     frames = st.read_folder(t.spark, f"{base}/in")
     q = after(frames, base)
     if not q.awaitTermination(600):

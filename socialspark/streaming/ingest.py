@@ -34,6 +34,17 @@ def read_topic(spark: SparkSession, servers: str, topic: str, offsets_per_batch:
     return raw.selectExpr("cast(key as string) AS relay", "timestamp AS ingest_ts", "cast(value as string) AS value")
 
 
+def in_file_order(spark: SparkSession, path: str) -> None:
+    """Give a folder's files modification times that rise with their names, the order in which a stream reads them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    if files:
+        start = fs.getFileStatus(files[0]).getModificationTime()
+        for i, file in enumerate(files):
+            fs.setTimes(file, start + 1000 * i, -1)
+
+
 def micro_batches(df: DataFrame, checkpoint: str, seconds: int = 5, once: bool = False) -> DataStreamWriter:
     """A writer that flushes every few seconds, or works off what is there and ends."""
     w = df.writeStream.option("checkpointLocation", checkpoint)
@@ -52,18 +63,27 @@ def seen_once(events: DataFrame, keep: str = "1 hour") -> DataFrame:
 
 
 def capped(events: DataFrame, exempt: DataFrame, cap: int) -> DataFrame:
-    """Without posts beyond an author's ``cap`` of a UTC day of ingestion; exempt authors and other kinds pass."""
+    """Without posts beyond an author's ``cap`` of a UTC day of ingestion; exempt authors and other kinds pass.
+
+    Of a micro-batch the first by (ingest_ts, id) stay; no more than ``cap`` of an author-day are held at once.
+    """
     flagged = events.join(exempt.select("pubkey").distinct().withColumn("_free", F.lit(True)), "pubkey", "left")
     flagged = flagged.withColumn("_counts", F.col("kind").isin(*CAPPED) & F.col("_free").isNull()).drop("_free")
     schema = flagged.schema
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["ingest_ts", "id"], kind="stable")
-        counts = rows["_counts"].to_numpy(bool)
-        number = used + counts.cumsum()
-        state.update((int(used + counts.sum()),))
-        yield rows.loc[~counts | (number <= cap), schema.names].reset_index(drop=True)
+        left, n, first = max(cap - used, 0), 0, None
+        for rows in frames:
+            counts = rows["_counts"].to_numpy(bool)
+            n += int(counts.sum())
+            if not counts.all():
+                yield rows.loc[~counts, schema.names].reset_index(drop=True)
+            if left and counts.any():
+                first = pd.concat([first, rows.loc[counts]]).sort_values(["ingest_ts", "id"], kind="stable").head(left)
+        state.update((used + n,))
+        if first is not None:
+            yield first[schema.names].reset_index(drop=True)
 
     day = flagged.withColumn("_day", F.to_date("ingest_ts")).groupBy("pubkey", "_day")
     return day.applyInPandasWithState(step, schema, "used long", "append", GroupStateTimeout.NoTimeout).drop("_counts")
