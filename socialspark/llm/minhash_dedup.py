@@ -7,8 +7,9 @@ the first hash of a bin is its minimum, and empty bins borrow from hashed choice
 members to one centre only, so candidates grow with members, not pairs. Candidates are confirmed on full
 sets by exact integer comparison. Where a bucket still holds several components, its members outside the
 largest one are compared with the others, unless sizes or the number of shingles that occur in no other
-set of such buckets rule every link out. So no pair of a bucket is lost, and pairs within a component
-need no comparison.
+set of such buckets rule every link out. That comparison runs in cells of bounded size inside tasks, and
+only pairs of components that it joins leave a cell. So no pair of a bucket is lost, pairs within a
+component need no comparison, and links grow with members.
 
 With 128 bins in 32 bands of 4, a pair at similarity 0.8 shares no bucket with probability 5e-8.
 
@@ -25,12 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.llm.arrow_text import blocks, list_array
 from socialspark.llm.components import components
-from socialspark.sources.scratch import cut
+from socialspark.sources.scratch import cut, discard
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -159,161 +160,212 @@ def sketch(docs: DataFrame, k: int, bins: int = BINS, bands: int = BANDS) -> Dat
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    one = pairs.join(texts.withColumnRenamed("text", "text_b"), pairs["b"] == texts["set_key"]).select("a", "b", "text_b")
-    two = one.join(texts.withColumnRenamed("text", "text_a"), one["a"] == texts["set_key"]).select("a", "b", "text_a", "text_b")
+def _node(rep: str, set_key: str) -> Column:
+    """A class's name: its smallest doc_id as 8 bytes that sort like the number, then the set's key."""
+    return F.unhex(F.concat(F.lpad(F.hex(F.col(rep).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.hex(set_key)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last_set = None, None
-        for batch in batches:
-            a, keep = batch.column("a").to_pylist(), []
-            at = 0
-            for first, end, data, offsets in blocks(batch, "text_b", 1 << 20):
-                hashes, owner = shingle_sets(data, offsets, k)
-                bounds = np.searchsorted(owner, np.arange(end - first + 1))
-                for r in range(end - first):
-                    if a[at] != last_key:
-                        raw = np.frombuffer((batch.column("text_a")[at].as_py() or "").encode(), np.uint8)
-                        last_key, last_set = a[at], shingle_sets(raw, np.array([0, len(raw)]), k)[0]
-                    own = hashes[bounds[r] : bounds[r + 1]]
-                    both = len(np.intersect1d(own, last_set, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(own) + len(last_set) - both))
-                    at += 1
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return two.mapInArrow(run, "a binary, b binary")
+def _rep(node: str) -> Column:
+    """The doc_id in a node's name."""
+    return (F.conv(F.hex(F.substring(node, 1, 8)), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
 
+def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, hashes): the sorted 64-bit hashes of each node's set, once.
 
-def _shared_counts(texts: DataFrame, k: int) -> DataFrame:
-    """(set_key, shared): how many of a set's shingles occur in another of the sets."""
+    Texts move once, by doc_id; a doc_id may come with several texts, of which the one with the node's set counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, offsets in blocks(batch, "text", 1 << 20):
+            for first, end, data, offsets in blocks(batch, "text", 1 << 20):
+                n = end - first
                 hashes, owner = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([batch.column("set_key").take(pa.array(owner + first)), pa.array(hashes.astype(np.int64))], names=["set_key", "h"])
+                _, keys = _set_keys(hashes, owner, n)
+                want = batch.column("node").slice(first, n)
+                keep = pa.array([x == y[8:] for x, y in zip(keys, want.to_pylist(), strict=True)], pa.bool_())
+                bounds, raw = (np.searchsorted(owner, np.arange(n + 1)) * 8).tolist(), hashes.tobytes()
+                held = pa.array([raw[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([want, held], names=["node", "hashes"]).filter(keep)
 
-    shingles = texts.mapInArrow(run, "set_key binary, h long")
-    common = cut(shingles.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared-shingles")
-    return shingles.join(common, "h", "left_semi").groupBy("set_key").agg(F.count("*").alias("shared"))
+    wanted = nodes.select("node", _rep("node").alias("rep"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(wanted, "rep").select("node", "text")
+    return texts.mapInArrow(run, "node binary, hashes binary").dropDuplicates(["node"])
 
 
-def _across(members: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 128) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket whose sets, as 32-bit hashes, reach the similarity.
+def _linked(both: np.ndarray, x: np.ndarray | int, y: np.ndarray | int, percent: int) -> np.ndarray:
+    return 100 * both >= percent * (x + y - both)
 
-    ``members``: (band, set_key, n, label, m members of the band). A bucket's members go in blocks of
-    about ``block``; each pair of blocks is one row, compared inside a task, and only pairs that pass leave
-    it. Hashes that collide within a set are allowed for, so that no link is missed here.
-    """
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b")
+    two = one.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a").select("a", "b", "hashes_a", "hashes_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in blocks(batch, "text", 1 << 20):
-                hashes, owner = shingle_sets(data, offsets, k)
-                bounds = np.searchsorted(owner, np.arange(end - first + 1)).tolist()
-                small = (hashes >> np.uint64(32)).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column("set_key").slice(first, end - first), pa.array([small[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["set_key", "hashes"])
+            keep = []
+            for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True):
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                if len(p) > len(q):
+                    p, q = q, p
+                both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                keep.append(bool(_linked(both, len(p), len(q), percent)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return two.mapInArrow(run, "a binary, b binary")
+
 
-    short = cut(texts.mapInArrow(shorten, "set_key binary, hashes binary"), "short-sets")
-    chunk = F.pmod(F.xxhash64("set_key"), F.ceil(F.col("m") / block))
-    rows = members.join(short, "set_key").select("band", chunk.alias("chunk"), F.struct("set_key", "label", "n", "hashes").alias("x"))
-    chunks = cut(rows.groupBy("band", "chunk").agg(F.collect_list("x").alias("x")), "member-blocks")  # about ``block`` members each
-    two = chunks.join(chunks.select(F.col("band").alias("band_y"), F.col("chunk").alias("chunk_y"), F.col("x").alias("y")), (F.col("band") == F.col("band_y")) & (F.col("chunk") <= F.col("chunk_y")))
+def _shared_counts(sets: DataFrame) -> DataFrame:
+    """(node, shared): how many of a set's shingles occur in another of the sets."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list[bytes], list[bytes]] = ([], [])
-            for r in range(batch.num_rows):
-                x, y = batch.column("x")[r].as_py(), batch.column("y")[r].as_py()
-                if len({v["label"] for v in x} | {v["label"] for v in y}) == 1:
-                    continue
-                sets = [[np.unique(np.frombuffer(v["hashes"], np.uint32)) for v in side] for side in (x, y)]
-                both = np.intersect1d(np.unique(np.concatenate(sets[0])), np.unique(np.concatenate(sets[1])), assume_unique=True)
-                common = np.zeros((len(x), len(y)), np.float32)
-                for at in range(0, len(both), 4096):
-                    part = both[at : at + 4096]
-                    grids = []
-                    for side in sets:
-                        g = np.zeros((len(side), len(part)), np.float32)
-                        for i, own in enumerate(side):
-                            place = np.searchsorted(part, own)
-                            place[place == len(part)] = 0
-                            g[i, place[part[place] == own]] = 1
-                        grids.append(g)
-                    common += grids[0] @ grids[1].T
-                n = [np.array([v["n"] for v in side], np.float32) for side in (x, y)]
-                lost = [np.array([v["n"] - len(own) for v, own in zip(side, held, strict=True)], np.float32) for side, held in zip((x, y), sets, strict=True)]
-                common += np.minimum(lost[0][:, None], lost[1][None, :]) + lost[0][:, None] + lost[1][None, :]
-                ok = (100 + percent) * common >= percent * (n[0][:, None] + n[1][None, :])
-                for i, j in zip(*(v.tolist() for v in np.nonzero(ok)), strict=True):
-                    if x[i]["label"] != y[j]["label"]:
-                        p, q = sorted((x[i]["set_key"], y[j]["set_key"]))
-                        out[0].append(p)
-                        out[1].append(q)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in out], names=["a", "b"])
-
-    return two.select("x", "y").mapInArrow(compare, "a binary, b binary")
-
-
-def near_components(docs: DataFrame, k: int = 5, percent: int = 80, bins: int = BINS, bands: int = BANDS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+            held = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("hashes")]
+            if held:
+                owner = pa.array(np.repeat(np.arange(len(held)), list(map(len, held))))
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(owner), pa.array(np.concatenate(held))], names=["node", "h"])
+
+    shingles = sets.mapInArrow(run, "node binary, h long")
+    common = cut(shingles.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared-shingles")
+    out = cut(shingles.join(common, "h", "left_semi").groupBy("node").agg(F.count("*").alias("shared")), "shared-counts")
+    discard(common)
+    return out
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """len(x) x len(y): the intersection sizes of two lists of sorted sets, by products of 0/1 slices over the common hashes."""
+    all_x, all_y = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(np.unique(all_x), np.unique(all_y), assume_unique=True)
+    out = np.zeros((len(x), len(y)), np.float64)
+    sides = []
+    for side, flat in ((x, all_x), (y, all_y)):
+        owner = np.repeat(np.arange(len(side)), list(map(len, side)))
+        place = np.searchsorted(both, flat)
+        there = place < len(both)
+        there[there] = both[place[there]] == flat[there]
+        order = np.argsort(place[there], kind="stable")
+        sides.append((owner[there][order], place[there][order], len(side)))
+    for at in range(0, len(both), 4096):
+        grids = []
+        for owner, place, n in sides:
+            lo, hi = np.searchsorted(place, (at, at + 4096))
+            g = np.zeros((n, min(4096, len(both) - at)), np.float32)
+            g[owner[lo:hi], place[lo:hi] - at] = 1
+            grids.append(g)
+        out += grids[0] @ grids[1].T
+    return out
+
+
+def _merges(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): labels that a link between two of ``members`` joins.
+
+    ``members``: (band, node, label, main, outside, parts_out, parts_main, hashes). A band's members outside its
+    largest component, and those in it, are dealt to parts of a bounded size. Each cell, a pair of parts
+    of which one is outside, is one group of rows; its sets are compared exactly there, and only the label
+    pairs that a union-find of the cell has not joined before leave it: fewer than the cell has members.
+    """
+    part = F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("parts_out")).otherwise(F.col("parts_main"))) + F.when(F.col("outside"), 0).otherwise(F.col("parts_out"))
+    last = F.when(F.col("outside"), F.col("parts_out") + F.col("parts_main")).otherwise(F.col("parts_out")) - 1
+    rows = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    rows = rows.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("first"), "label", "hashes")
+
+    def compare(group: pa.Table) -> pa.Table:
+        labels = group.column("label").to_pylist()
+        a: list[bytes] = []
+        b: list[bytes] = []
+        if len(set(labels)) > 1:
+            held = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
+            first = np.array(group.column("first").to_pylist())
+            x = np.flatnonzero(first)
+            y = x if group.column("i")[0] == group.column("j")[0] else np.flatnonzero(~first)
+            if len(x) and len(y):
+                n = np.array(list(map(len, held)))
+                names, of = np.unique(np.array(labels, object), return_inverse=True)
+                p, q = np.nonzero(_linked(common_counts([held[k] for k in x], [held[k] for k in y]), n[x][:, None], n[y][None, :], percent))
+                p, q = of[x[p]], of[y[q]]
+                pairs = np.unique(np.minimum(p, q) * len(names) + np.maximum(p, q))
+                up = list(range(len(names)))
+
+                def top(v: int) -> int:
+                    while up[v] != v:
+                        up[v] = up[up[v]]
+                        v = up[v]
+                    return v
+
+                for pair in pairs.tolist():
+                    u, v = top(pair // len(names)), top(pair % len(names))
+                    if u != v:
+                        up[max(u, v)] = min(u, v)
+                        a.append(names[pair // len(names)])
+                        b.append(names[pair % len(names)])
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return rows.groupBy("band", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+
+
+def near_components(docs: DataFrame, k: int = 5, percent: int = 80, bins: int = BINS, bands: int = BANDS, part_shingles: int = 1 << 16, part_sets: int = 512) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    ``part_shingles`` and ``part_sets`` bound (on average) the parts in which leftover members of a bucket are compared.
+    """
     rows = cut(sketch(docs, k, bins, bands), "sketches")
     linkable = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    members = classes.select("set_key", "n", F.explode("bands").alias("band"))
-    shared_bands = cut(members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band"), "buckets")
-    crowded = cut(members.join(shared_bands, "band", "left_semi"), "bucket-members")
+    classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = cut(classes.select("set_key", _node("rep", "set_key").alias("node"), "n", "bands"), "classes")
+    members = classes.select("node", "n", F.explode("bands").alias("band"))
     # A centre for each bucket, by a hash of its own, so that one odd member is not the centre of many buckets.
-    centres = crowded.groupBy("band").agg(F.min(F.struct(F.xxhash64("set_key", "band").alias("turn"), "set_key", "n")).alias("c"))
-    centres = cut(centres.select("band", F.col("c.set_key").alias("centre"), F.col("c.n").alias("n_c")), "centres")
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sizes further apart can't reach the similarity
-    star = crowded.join(centres, (crowded["band"] == centres["band"]) & (F.col("centre") != F.col("set_key")) & near(F.col("n"), F.col("n_c")))
-    pairs = cut(star.select(F.least("centre", "set_key").alias("a"), F.greatest("centre", "set_key").alias("b")).distinct(), "star-pairs")
-    # Texts of the classes that share a bucket, one for each set; they move once.
-    need = crowded.select("set_key").distinct().join(classes.select("set_key", "rep"), "set_key")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(need, "rep")
-    texts = cut(_matching(texts, k), "bucket-texts")
-    links = cut(_confirm(pairs, texts, k, percent), "links")
+    buckets = members.groupBy("band").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("node", "band").alias("turn"), "node", "n")).alias("c")).where("m > 1")
+    buckets = cut(buckets.select("band", F.col("c.node").alias("centre"), F.col("c.n").alias("n_c")), "buckets")
+    crowded = cut(members.join(buckets, "band"), "bucket-members")
+    discard(buckets)
+    near = 100 * F.least("n", "n_c") >= percent * F.greatest("n", "n_c")  # sizes further apart can't reach the similarity
+    star = crowded.where((F.col("centre") != F.col("node")) & near)
+    pairs = star.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    sets = cut(_sets(docs, crowded.select("node").distinct(), k), "bucket-sets")
+    links = cut(_confirm(pairs, sets, percent), "links")
     labels = components(links)
-    # Buckets that still hold several components: their members outside the largest one are compared with all of the others.
-    placed = crowded.join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    per = cut(placed, "placed").groupBy("band", "label").agg(F.count("*").alias("m"), F.min("n").alias("least"))
-    parted = cut(per.groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("parts"), F.min("least").alias("least")).where("parts > 1").drop("parts"), "parted-buckets")
-    open_ = cut(placed.join(parted.select("band"), "band", "left_semi"), "open-members")
-    # A link needs an intersection of percent / (100 + percent) of both sizes; no more of a set than the shingles it shares can be in one.
-    part = texts.join(open_.select("set_key").distinct(), "set_key", "left_semi")
-    shared = cut(_shared_counts(part, k), "shared-counts")
-    open_ = cut(open_.join(shared, "set_key", "left").withColumn("shared", F.coalesce("shared", F.lit(0))), "open-members")
-    can = lambda s, x, y: (100 + percent) * s >= percent * (x + y)
-    fits = can(F.col("shared"), F.col("n"), F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))
-    able = cut(open_.join(parted, "band").where(fits).select("band", "set_key", "n", "label", (F.col("label") != F.col("main")).alias("outside")), "able-members")
-    busy = able.groupBy("band").agg(F.count("*").alias("m"), F.count_if("outside").alias("o")).where("o > 0 AND m > 1").select("band", "m")
-    across = _across(able.join(busy, "band"), part, k, percent)
-    found = cut(_confirm(cut(across.distinct().join(pairs, ["a", "b"], "left_anti"), "across"), texts, k, percent), "links")
-    if found.limit(1).count():
-        labels = components(links.unionByName(found))
-    named = classes.select("set_key", "rep").join(labels.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
-    named = cut(named, "class-labels")
-    smallest = cut(named.groupBy("label").agg(F.min("rep").alias("component_id")), "component-ids")
-    final = cut(named.join(smallest, "label").select("set_key", "component_id"), "class-components")
-    out = rows.select("doc_id", "n_shingles", "set_key").join(final, "set_key", "left")
+    discard(links)
+    merges = _leftover(crowded.select("band", "node", "n"), labels, sets, percent, part_shingles, part_sets)
+    discard(crowded)
+    discard(sets)
+    merged = components(merges)
+    discard(merges)
+    named = classes.select("set_key", "node").join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("set_key", F.coalesce("label", "node").alias("was"))
+    named = named.join(merged, named["was"] == merged["node"], "left").select("set_key", _rep(F.coalesce("label", "was")).alias("component_id"))
+    named = cut(named, "class-components")
+    for done in (classes, labels, merged):
+        discard(done)
+    out = rows.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _matching(texts: DataFrame, k: int) -> DataFrame:
-    """The rows whose text has the set they stand for (a doc_id may come with several texts), once each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want, keep = batch.column("set_key").to_pylist(), []
-            for first, end, data, offsets in blocks(batch, "text", 1 << 20):
-                _, keys = _set_keys(*shingle_sets(data, offsets, k), end - first)
-                keep += [x == y for x, y in zip(keys, want[first:end], strict=True)]
-            yield batch.select(["set_key", "text"]).filter(pa.array(keep, pa.bool_()))
-
-    return texts.select("set_key", "text").mapInArrow(run, "set_key binary, text string").dropDuplicates(["set_key"])
+def _leftover(crowded: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, part_shingles: int, part_sets: int) -> DataFrame:
+    """(a, b): label pairs joined by links within buckets that still hold several components."""
+    placed = crowded.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = cut(placed, "placed")
+    per = placed.groupBy("band", "label").agg(F.count("*").alias("m"), F.min("n").alias("least"))
+    parted = per.groupBy("band").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("parts"), F.min("least").alias("least")).where("parts > 1").drop("parts")
+    parted = cut(parted, "parted-buckets")
+    open_ = cut(placed.join(parted, "band"), "open-members")
+    discard(placed)
+    discard(parted)
+    held = sets.join(open_.select("node").distinct(), "node", "left_semi")
+    shared = _shared_counts(held)
+    # A link needs an intersection of percent / (100 + percent) of both sizes; no more of a set than the shingles it shares can be in one.
+    fits = (100 + percent) * F.coalesce("shared", F.lit(0)) >= percent * (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))
+    able = open_.join(shared, "node", "left").where(fits).select("band", "node", "n", "label", (F.col("label") != F.col("main")).alias("outside"))
+    able = cut(able, "able-members")
+    discard(open_)
+    discard(shared)
+    parts = lambda own: F.ceil(F.greatest(F.sum(F.when(own, F.col("n"))) / part_shingles, F.count_if(own) / part_sets))
+    busy = able.groupBy("band").agg(F.count("*").alias("m"), parts(F.col("outside")).alias("parts_out"), F.coalesce(parts(~F.col("outside")), F.lit(0)).alias("parts_main"))
+    busy = cut(busy.where("parts_out > 0 AND m > 1"), "busy-buckets")
+    merges = cut(_merges(able.join(busy, "band").join(sets, "node"), percent), "merges")
+    discard(able)
+    discard(busy)
+    return merges
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
