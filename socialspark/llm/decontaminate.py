@@ -1,11 +1,13 @@
 """Benchmark decontamination with training suffix arrays.
 
 Each task builds word-level suffix arrays over blocks of whole documents (its shards): words outside the
-benchmark's vocabulary end a run, runs too short for any window are left out, and the suffixes of the
-others are sorted by prefix doubling. Every test window and every test suffix is then found by binary
-search in every shard; equal ranges give all locations, neighbours the longest verbatim match. No
-document is shuffled. The benchmark is collected and broadcast in blocks of at most ``block_bytes``;
-further blocks are further passes over the same rows inside one stage, so its size has no limit.
+benchmark's vocabulary end a run, runs too short for any match are left out, and the suffixes of the
+others are sorted by prefix doubling. Every test suffix is then found by binary search in every shard:
+the range of shard suffixes that share its first ``window`` words gives all locations, and matches are
+followed from there to their end, so each document's longest verbatim match is known. Documents with a
+location are affected and can be removed. No document is shuffled. The benchmark goes out in blocks of about
+``block_bytes``, one after another; test suffixes are searched a batch at a time, so memory is bounded
+by a block of the benchmark and one block of documents.
 
 Defined cases: null and empty texts have no words and are clean; items without words have no window;
 rows that repeat a doc_id are judged one by one; null doc_ids pass through; a null item_id is the
@@ -24,38 +26,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from socialspark.llm.arrow_text import blocks, list_array
+from socialspark.sources.scratch import cut, discard
 
 #: A-Z to a-z; digits, a-z and all bytes of non-ASCII characters stay; everything else parts words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+#: Test suffixes searched at once, and words compared at once past the window.
+BATCH, BATCH_WORDS = 1 << 16, 16
+
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
 class TestSet:
-    """One block of the benchmark: vocabulary, suffixes as id sequences, distinct windows and their items."""
+    """One block of the benchmark: vocabulary, words as ids (each item ended by 0) and every suffix's start, item, place and match length needed."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.window, self.vocab, self.names = window, {}, sorted({n for n, _ in items})
-        rank = {n: k for k, n in enumerate(self.names)}
-        tokens, self.suffixes, grams = [0], [], {}
+        rank, tokens, parts = {n: k for k, n in enumerate(self.names)}, [np.zeros(1, np.int64)], []
+        at = 1
         for name, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text.encode())]
-            at, size = len(tokens), min(window, len(ids))
-            tokens += [*ids, 0]
-            self.suffixes += [(rank[name], k, at + k) for k in range(len(ids))]
-            for k in range(len(ids) - size + 1 if ids else 0):
-                grams.setdefault(tuple(ids[k : k + size]), set()).add(rank[name])
-        self.tokens = np.array(tokens, np.int64)
-        self.longest = max((len(words(t.encode())) for _, t in items), default=0)
-        self.lengths = np.array([len(g) for g in grams], np.int64)
-        self.patterns = np.zeros((len(grams), window), np.int64)
-        for k, g in enumerate(grams):
-            self.patterns[k, : len(g)] = g
-        owners = [sorted(v) for v in grams.values()]
-        self.owner_start = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-        self.owners = np.array([x for o in owners for x in o], np.int64)
+            own = words(text.encode())
+            tokens.append(np.array([*(self.vocab.setdefault(w, len(self.vocab) + 1) for w in own), 0], np.int64))
+            parts.append((at, len(own), rank[name]))
+            at += len(own) + 1
+        self.tokens = np.concatenate([*tokens, np.zeros(window + BATCH_WORDS, np.int64)])
+        first, size, item = (np.array(x, np.int64) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+        self.item = np.repeat(item, size)
+        self.word = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self.start = np.repeat(first, size) + self.word
+        self.left = np.repeat(size, size) - self.word
+        self.need = np.repeat(np.minimum(size, window), size)
+        self.longest = int(size.max(initial=0))
 
 
 class Shard:
@@ -100,45 +103,85 @@ class Shard:
             new += 1
             new[zero] = 0
             rank, step = new, 2 * step
+            if len(np.unique(sorted_key)) == n:
+                break
         return order[text[order] > 0]
 
-    def _padded(self, depth: int) -> np.ndarray:
-        return np.concatenate([self.text, np.zeros(depth + 1, np.int64)])
-
-    def bounds(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of the suffix array whose suffixes start with each pattern."""
-        text, width, n = self._padded(patterns.shape[1]), patterns.shape[1], len(self.order)
-        steps, inside = np.arange(width), np.arange(width)[None, :] < lengths[:, None]
+    def bounds(self, patterns: np.ndarray, lengths: np.ndarray, lo: np.ndarray, hi: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Within the ranges [lo, hi): those whose suffixes, after ``skip`` words, go on with each pattern."""
+        text, width = np.concatenate([self.text, np.zeros(skip + patterns.shape[1] + 1, np.int64)]), patterns.shape[1]
+        steps, inside = np.arange(width) + skip, np.arange(width)[None, :] < lengths[:, None]
         found = []
         for upper in (False, True):
-            lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), n, np.int64)
-            while (open_ := np.flatnonzero(lo < hi)).size:
-                mid = (lo[open_] + hi[open_]) // 2
+            low, high = lo.copy(), hi.copy()
+            while (open_ := np.flatnonzero(low < high)).size:
+                mid = (low[open_] + high[open_]) // 2
                 there = text[self.order[mid][:, None] + steps]
                 differs = (there != patterns[open_]) & inside[open_]
                 first = differs.argmax(1)
                 row = np.arange(len(open_))
                 less = np.where(differs[row, first], there[row, first] < patterns[open_][row, first], upper)
-                lo[open_[less]] = mid[less] + 1
-                hi[open_[~less]] = mid[~less]
-            found.append(lo)
+                low[open_[less]] = mid[less] + 1
+                high[open_[~less]] = mid[~less]
+            found.append(low)
         return found[0], found[1]
 
-    def longest(self, tokens: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Length and shard position of the longest match of each test suffix: at a neighbour of its place in the order."""
-        tail = np.concatenate([tokens, np.zeros(depth + 1, np.int64)])
-        patterns = tail[starts[:, None] + np.arange(depth)]
-        ends = (patterns == 0).argmax(1)
-        lengths = np.where((patterns == 0).any(1), ends, depth)
-        place, _ = self.bounds(patterns, lengths)
-        text, best, where = self._padded(depth), np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
-        for near in (place - 1, place):
-            ok = (near >= 0) & (near < len(self.order))
-            pos = self.order[np.where(ok, near, 0)] if len(self.order) else np.zeros(len(starts), np.int64)
-            same = (text[pos[:, None] + np.arange(depth)] == patterns) & (patterns > 0) if len(self.order) else np.zeros_like(patterns, bool)
-            n = np.where(ok, np.where(same.all(1), depth, (~same).argmax(1)), 0)
-            better = n > best
-            best[better], where[better] = n[better], pos[better]
+    def search(self, test: TestSet, which: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of the suffix array that share the first ``lengths`` words of the test suffixes ``which``."""
+        lo, hi = np.zeros(len(which), np.int64), np.full(len(which), len(self.order), np.int64)
+        for at in range(0, len(which), BATCH):
+            part = slice(at, at + BATCH)
+            width = int(lengths[part].max())
+            lo[part], hi[part] = self.bounds(test.tokens[test.start[which[part]][:, None] + np.arange(width)], lengths[part], lo[part], hi[part])
+        return lo, hi
+
+    def locations(self, test: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(test suffix, shard position, words in common) wherever a test suffix's needed words occur.
+
+        The words in common are counted once for a whole match and are less by one at each later word of it.
+        """
+        which = np.flatnonzero(test.left >= test.need)
+        lo, hi = self.search(test, which, test.need[which]) if len(self.order) and len(which) else (np.zeros(0, np.int64),) * 2
+        much = hi - lo
+        suffix = np.repeat(which[: len(much)], much)
+        pos = self.order[np.repeat(lo - (np.cumsum(much) - much), much) + np.arange(len(suffix))]
+        length = np.zeros(len(pos), np.int64)
+        text = np.concatenate([self.text, np.zeros(1, np.int64)])
+        before = np.where(pos > 0, text[pos - 1], 0)
+        active = np.flatnonzero((before == 0) | (before != test.tokens[test.start[suffix] - 1]))  # the others continue a match counted further left
+        size = test.need[suffix[active]]
+        while len(active):
+            length[active] = size
+            own = text[np.minimum(pos[active] + size, len(text) - 1)]
+            on = (own > 0) & (own == test.tokens[test.start[suffix[active]] + size])
+            active, size = active[on], size[on] + 1
+        return suffix, pos, length
+
+    def longest(self, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
+        """Words and one shard position of the longest match of every test suffix; the array must be sorted to ``test.longest`` words.
+
+        Ranges are narrowed by a few words at a time; where one gets empty, the place's neighbours share the most.
+        """
+        n = len(test.start)
+        best, where = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        lo, hi = np.zeros(n, np.int64), np.full(n, len(self.order), np.int64)
+        for at in range(0, n if len(self.order) else 0, BATCH):
+            live, skip = np.arange(at, min(at + BATCH, n)), 0
+            while len(live):
+                patterns = test.tokens[test.start[live][:, None] + skip + np.arange(BATCH_WORDS)]
+                lengths = np.minimum(test.left[live] - skip, BATCH_WORDS)
+                a, b = self.bounds(patterns, lengths, lo[live], hi[live], skip)
+                text = np.concatenate([self.text, np.zeros(skip + BATCH_WORDS + 1, np.int64)])
+                for near in (a - 1, a):
+                    ok = (near >= lo[live]) & (near < hi[live])
+                    pos = self.order[np.where(ok, near, 0)]
+                    same = (text[pos[:, None] + skip + np.arange(BATCH_WORDS)] == patterns) & (np.arange(BATCH_WORDS) < lengths[:, None])
+                    common = np.where(ok, skip + np.where(same.all(1), BATCH_WORDS, (~same).argmax(1)), 0)
+                    better = common > best[live]
+                    best[live[better]], where[live[better]] = common[better], pos[better]
+                lo[live], hi[live] = a, b
+                skip += BATCH_WORDS
+                live = live[(a < b) & (test.left[live] > skip)]
         return best, where
 
     def place(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,65 +191,71 @@ class Shard:
         return doc, at - self.doc_start[doc]
 
 
-def _test_sets(benchmark: DataFrame, window: int, block_bytes: int):
-    """The benchmark's items in blocks of at most ``block_bytes`` of text (a longer item is a block of its own)."""
+def _parts(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """The benchmark's items (name, text, part) and the number of blocks of about ``block_bytes`` of text they make."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("part", F.xxhash64("name", "text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-total // block_bytes) if total else 1
-    for k in range(parts):
-        part = rows.where(F.pmod("part", F.lit(parts)) == k) if parts > 1 else rows
-        yield TestSet([(r.name, r.text) for r in part.select("name", "text").toLocalIterator()], window)
+    return rows.withColumn("part", F.xxhash64("name", "text")), max(1, -(-total // block_bytes))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: the columns ``keep``, then n_words, n_hit, n_items, items_sha256, contaminated, items, begins, ends (word ranges hit)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns ``keep``, then n_words, n_hit, n_items, items_sha256, contaminated, longest, items, begins, ends.
+
+    ``longest`` is the number of words of the document's longest verbatim match that holds a window (0 if none);
+    ``begins`` and ``ends`` are the word ranges hit. A benchmark of several blocks is searched block by block: each pass is written before the next block is
+    broadcast, so neither the driver nor a task ever holds more than one block.
+    """
     carried = [f"_k{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)], F.col("text").cast("string").alias("text"))
-    rows = rows.selectExpr("*", "cast(null as long) n_words", "cast(array() as array<string>) items", "cast(array() as array<int>) begins", "cast(array() as array<int>) ends")
-    for test in _test_sets(benchmark, window, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(test)
-        rows = rows.mapInArrow(_pass(shared, carried), rows.schema)
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            items, hit = [sorted(x) for x in batch.column("items").to_pylist()], []
-            for b, e in zip(batch.column("begins").to_pylist(), batch.column("ends").to_pylist(), strict=True):
-                hit.append(sum(y - x for x, y in zip(b, e, strict=True)))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in carried], batch.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]), pa.array([x > 0 for x in hit]),
-                 pa.array(items, pa.list_(pa.string())), batch.column("begins"), batch.column("ends")],
-                names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "begins", "ends"],
-            )
-
+    rows = rows.selectExpr("*", "cast(null as long) n_words", "0L longest", "cast(array() as array<string>) items", "cast(array() as array<int>) begins", "cast(array() as array<int>) ends")
     schema = docs.select(*keep).schema
     for name, kind in (("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")):
         schema = schema.add(name, kind)
-    for name in ("items", "begins", "ends"):
+    for name in ("longest", "items", "begins", "ends"):
         schema = schema.add(rows.schema[name])
-    return rows.drop("text").mapInArrow(digest, schema)
-
+    rank, parts = _parts(benchmark, block_bytes)
+    before = None
+    for k in range(parts):
+        part = rank.where(F.pmod("part", F.lit(parts)) == k)
+        shared = docs.sparkSession.sparkContext.broadcast(TestSet([(r.name, r.text) for r in part.select("name", "text").toLocalIterator()], window))
+        if k + 1 == parts:
+            return rows.mapInArrow(_pass(shared, carried, keep), schema)
+        rows = cut(rows.mapInArrow(_pass(shared, carried), rows.schema), "contamination")
+        shared.unpersist()
+        if before is not None:
+            discard(before)
+        before = rows
+    raise AssertionError("at least one block")
+
+
+def _digests(carried: list[pa.Array], keep: tuple[str, ...], n_words: pa.Array, longest: pa.Array, items: pa.Array, b: pa.Array, e: pa.Array) -> pa.RecordBatch:
+    names = [sorted(x) for x in items.to_pylist()]
+    hit = [sum(y - x for x, y in zip(p, q, strict=True)) for p, q in zip(b.to_pylist(), e.to_pylist(), strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [*carried, n_words, pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
+         pa.array([x > 0 for x in hit], pa.bool_()), longest, pa.array(names, pa.list_(pa.string())), b, e],
+        names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "items", "begins", "ends"])
+
+
+def _pass(shared, carried: list[str], keep: tuple[str, ...] | None = None):
+    """One block of the benchmark against all rows; with ``keep``, the last pass, which gives the digests."""
 
-def _pass(shared, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test: TestSet = shared.value
-        shortest = int(test.lengths.min()) if len(test.lengths) else 1
+        shortest = int(test.need.min(initial=test.window))
         for batch in batches:
             for first, end, data, offsets in blocks(batch, "text"):
                 shard = Shard(test, data, offsets, shortest, test.window)
                 n, size = end - first, int(shard.doc_start[-1])
-                cover, found = np.zeros(size + 1, np.int32), np.zeros((0, 2), np.int64)
-                if len(shard.order) and len(test.lengths):
-                    lo, hi = shard.bounds(test.patterns, test.lengths)
-                    much = hi - lo
-                    which = np.repeat(np.arange(len(much)), much)
-                    pos = shard.order[np.repeat(lo - np.concatenate([[0], np.cumsum(much)[:-1]]), much) + np.arange(len(which))]
-                    at = shard.at[pos]
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + test.lengths[which], -1)
-                    doc = np.searchsorted(shard.doc_start, at, side="right") - 1
-                    found = np.unique(np.stack([doc, which], 1), axis=0)
+                suffix, pos, length = shard.locations(test)
+                at = shard.at[pos]
+                cover = np.zeros(size + 1, np.int32)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + test.need[suffix], -1)
+                doc = np.searchsorted(shard.doc_start, at, side="right") - 1
+                longest = np.zeros(n, np.int64)
+                np.maximum.at(longest, doc, length)
+                pairs = np.unique(np.stack([doc, test.item[suffix]], 1), axis=0)
                 # runs of words hit by this block, then merged with those of the blocks before
                 hit = np.concatenate([[0], (np.cumsum(cover)[:-1] > 0).astype(np.int8), [0]])
                 edges = np.flatnonzero(hit[1:] != hit[:-1])
@@ -214,15 +263,17 @@ def _pass(shared, carried: list[str]):
                 doc_of = np.searchsorted(shard.doc_start, begins, side="right") - 1
                 begins, ends = begins - shard.doc_start[doc_of], ends - shard.doc_start[doc_of]
                 spans_n = np.bincount(doc_of, minlength=n)[:n]
-                much = test.owner_start[found[:, 1] + 1] - test.owner_start[found[:, 1]]
-                own = test.owners[np.repeat(test.owner_start[found[:, 1]] - np.concatenate([[0], np.cumsum(much)[:-1]]), much) + np.arange(int(much.sum()))] if len(found) else np.zeros(0, np.int64)
-                pairs = np.unique(np.stack([np.repeat(found[:, 0], much), own], 1), axis=0) if len(found) else np.zeros((0, 2), np.int64)
                 items = list_array(pa.array([test.names[k] for k in pairs[:, 1].tolist()], pa.string()), np.bincount(pairs[:, 0], minlength=n)[:n])
                 b, e = list_array(pa.array(begins.astype(np.int32)), spans_n), list_array(pa.array(ends.astype(np.int32)), spans_n)
                 old = batch.slice(first, n)
+                longest = np.maximum(longest, old.column("longest").to_numpy())
                 if len(old.column("begins").flatten()) or len(old.column("items").flatten()):
                     items, b, e = _merge(old, items, b, e)
-                yield pa.RecordBatch.from_arrays([*[old.column(c) for c in carried], old.column("text"), pa.array(shard.counts), items, b, e], names=[*carried, "text", "n_words", "items", "begins", "ends"])
+                kept = [old.column(c) for c in carried]
+                if keep:
+                    yield _digests(kept, keep, pa.array(shard.counts), pa.array(longest), items, b, e)
+                else:
+                    yield pa.RecordBatch.from_arrays([*kept, old.column("text"), pa.array(shard.counts), pa.array(longest), items, b, e], names=[*carried, "text", "n_words", "longest", "items", "begins", "ends"])
 
     return run
 
@@ -243,31 +294,28 @@ def _merge(old: pa.RecordBatch, items: pa.Array, b: pa.Array, e: pa.Array) -> tu
     return pa.array(out[0], pa.list_(pa.string())), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.int32()))
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
     """For every test suffix with a match: item_id, item_word, length (words), doc_id and doc_word of one longest verbatim match."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs_ = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rank, parts = _parts(benchmark, block_bytes)
     out = None
-    for test in _test_sets(benchmark, 1, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(test)
+    for k in range(parts):
+        own = rank.where(F.pmod("part", F.lit(parts)) == k)
+        shared = docs.sparkSession.sparkContext.broadcast(TestSet([(r.name, r.text) for r in own.select("name", "text").toLocalIterator()], 1))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             test: TestSet = shared.value
-            starts = np.array([s for _, _, s in test.suffixes], np.int64)
             for batch in batches:
                 for first, _, data, offsets in blocks(batch, "text"):
                     shard = Shard(test, data, offsets, 1, test.longest)
-                    if not len(starts) or not len(shard.order):
-                        continue
-                    best, pos = shard.longest(test.tokens, starts, test.longest)
+                    best, pos = shard.longest(test)
                     some = np.flatnonzero(best > 0)
                     doc, word = shard.place(pos[some])
-                    names = [test.names[test.suffixes[k][0]] for k in some.tolist()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names, pa.string()), pa.array([test.suffixes[k][1] for k in some.tolist()], pa.int64()), pa.array(best[some]), batch.column("doc_id").take(pa.array(doc + first)), pa.array(word)],
-                        names=["item_id", "item_word", "length", "doc_id", "doc_word"],
-                    )
+                        [pa.array([test.names[x] for x in test.item[some].tolist()], pa.string()), pa.array(test.word[some]), pa.array(best[some]), batch.column("doc_id").take(pa.array(doc + first)), pa.array(word)],
+                        names=["item_id", "item_word", "length", "doc_id", "doc_word"])
 
-        part = rows.mapInArrow(run, "item_id string, item_word long, length long, doc_id long, doc_word long")
+        part = cut(docs_.mapInArrow(run, "item_id string, item_word long, length long, doc_id long, doc_word long"), "longest-matches")
         out = part if out is None else out.unionByName(part)
     best = Window.partitionBy("item_id", "item_word").orderBy(F.desc("length"), "doc_id", "doc_word")
     # one row per shard and suffix at most meets here: the shards' maxima, not the matches

@@ -79,6 +79,14 @@ def test_contamination(spark, rows):
     for block_bytes in (1 << 25, 200):  # one block, and many
         got = decontaminate.contamination(table(spark, rows), bench, block_bytes=block_bytes).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
         assert sorted(map(tuple, got), key=str) == sorted(want.values(), key=str)
+    far = {}  # longest verbatim match that holds a window
+    for n, (i, t, _) in enumerate(rows):
+        w = split(t)
+        far[n] = max((length for _, x in items for v in [split(x)] for a in range(len(w)) for b in range(len(v)) if (a == 0 or b == 0 or w[a - 1] != v[b - 1])
+                      for length in [next((c for c in range(len(v) - b + 1) if w[a : a + c + 1] != v[b : b + c + 1]), len(v) - b)] if length >= min(10, len(v))), default=0)
+    longest = decontaminate.contamination(table(spark, rows), bench).select("doc_id", "longest").collect()
+    assert sorted(map(tuple, longest), key=str) == sorted(((rows[n][0], x) for n, x in far.items()), key=str)
+    kept = decontaminate.decontaminated(table(spark, rows), bench)
     kept = decontaminate.decontaminated(table(spark, rows), bench)
     assert kept.columns == table(spark, []).columns and kept.count() == sum(not v[5] for v in want.values())
 
