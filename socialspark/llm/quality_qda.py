@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from socialspark.llm.arrow_text import blocks
 
 THRESHOLD = 0.3
+#: Bytes of text per numpy step; a longer text makes a step of its own.
+STEP = 1 << 20
 FEATURES = ("bytes", "words", "word_length", "upper", "digit", "punctuation", "symbol", "bar", "non_ascii", "space", "word_variety", "repeated_neighbour", "line_variety", "top_word", "capital_words")
 _KIND = np.zeros(256, np.uint8)
 _KIND[65:91] = 1  # upper
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
         d, got = len(FEATURES), {}
         for batch in batches:
             quality = batch.column("quality").to_numpy(zero_copy_only=False)
-            for first, end, data, offsets in blocks(batch, "text"):
+            for first, end, data, offsets in blocks(batch, "text", STEP):
                 x, y = statistics(data, offsets), quality[first:end]
                 for c in (0, 1):
                     own = x[y == c]
@@ -189,7 +191,7 @@ def scores(docs: DataFrame, model: Model, keep: list[str] | None = None, thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in blocks(batch, "_text"):
+            for first, end, data, offsets in blocks(batch, "_text", STEP):
                 s = shared.value.score(statistics(data, offsets))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(c).slice(first, end - first) for c in keep] + [pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
