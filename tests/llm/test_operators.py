@@ -164,23 +164,31 @@ def test_sainte_lague(spark):
     assert got == seats
 
 
-def test_repeated_spans(spark, rows):
-    data = [(i, t) for i, t, _ in rows]
+def covered_bytes(data, length):
     places = {}
     for n, (_, t) in enumerate(data):
         b = (t or "").encode()
-        for i in range(len(b) - 399):
-            places.setdefault(b[i : i + 400], []).append((n, i))
+        for i in range(len(b) - length + 1):
+            places.setdefault(b[i : i + length], []).append((n, i))
     covered = [set() for _ in data]
     for v in places.values():
         if len(v) > 1:
             for n, i in v:
-                covered[n].update(range(i, i + 400))
+                covered[n].update(range(i, i + length))
+    return covered
+
+
+@pytest.mark.parametrize("part_entries", [1024, 2])  # with 2, names are dealt to parts and matched between them
+def test_repeated_spans(spark, rows, part_entries):
+    r = random.Random(8)
+    passage = words(r, 90, 5000)
+    data = [(i, t) for i, t, _ in rows] + [(2000 + k, words(r, 20 + k, 5000) + passage[: 300 + 9 * k] + words(r, 20, 5000)) for k in range(30)] + [(3000, "\0" * 900), (3001, "é" * 450)]
+    covered, near = covered_bytes(data, 400), covered_bytes(data, 280)
     want = []
     for n, (i, t) in enumerate(data):
         b, c = (t or "").encode(), covered[n]
-        want.append((i, len(b), len(c), sum(x - 1 not in c for x in c), hashlib.sha256(bytes(v for k, v in enumerate(b) if k not in c)).hexdigest()))
-    got = suffix_dedup.repeated_spans(table(spark, rows)).drop("begins", "ends").collect()
+        want.append((i, len(b), len(c), sum(x - 1 not in c for x in c), hashlib.sha256(bytes(v for k, v in enumerate(b) if k not in c)).hexdigest(), len(near[n])))
+    got = suffix_dedup.repeated_spans(table(spark, [(i, t, "s") for i, t in data]), part_entries=part_entries).drop("begins", "ends").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
