@@ -63,3 +63,9 @@ def score_rows(payloads: DataFrame) -> DataFrame:
     """Score rows of (source, pubkey, payload JSON, fetched_at); payloads without a score give none."""
     p = F.from_json("payload", "score double, followers bigint, nodes bigint, rank double")
     return payloads.select("source", "pubkey", p.alias("p"), "fetched_at").where("p.score IS NOT NULL").select("source", "pubkey", "p.score", "p.followers", "p.nodes", "fetched_at")
+
+
+def keyword_tags(events: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
+    """Derived tags (event_id, pubkey, kind, created_at, tag_key, tag_value): each stated keyword among an event's tokens, once."""
+    found = F.array_intersect(tx.tokens(F.col("content")), F.array(*map(F.lit, keywords)))
+    return events.select(F.col("id").alias("event_id"), "pubkey", "kind", "created_at", F.lit("keyword").alias("tag_key"), F.explode(found).alias("tag_value"))

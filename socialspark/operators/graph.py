@@ -61,12 +61,18 @@ def first_own_reply(edges: DataFrame) -> DataFrame:
     return latest(e, ["parent_id", "author"], [F.asc("created_at"), F.asc("child_id")]).select("parent_id", "author", "child_id")
 
 
-def authored_chain(roots: DataFrame, edges: DataFrame, depth: int = 8, allowed: DataFrame | None = None) -> DataFrame:
+def authored_chain(roots: DataFrame, edges: DataFrame, depth: int = 8, allowed: DataFrame | None = None, via: Column | None = None, fan_out: int = 1) -> DataFrame:
     """(root_id, event_id, step): from each root (id, pubkey) the author's earliest reply, its earliest reply, and so on.
 
-    ``allowed`` (root_id, author) widens the authors; then the earliest reply of any of them is taken.
+    ``allowed`` gives other authors, for each root (root_id, author) or for all roots (author); then the earliest reply of
+    any of them is taken. ``via`` is a condition on the edges to go along, ``fan_out`` the number of replies a step takes.
     """
     depth = min(depth, 64)
+    if via is not None:
+        edges = edges.where(via)
+    common = allowed is not None and "root_id" not in allowed.columns
+    if common:
+        edges = edges.join(allowed.select(F.col("author").alias("child_pubkey")).distinct(), "child_pubkey", "left_semi")
     if allowed is None:
         allowed = roots.select(F.col("id").alias("root_id"), F.col("pubkey").alias("author"))
     replies = cut(edges.select("parent_id", F.col("child_pubkey").alias("author"), "child_id", "created_at"), "replies")
@@ -74,9 +80,11 @@ def authored_chain(roots: DataFrame, edges: DataFrame, depth: int = 8, allowed:
     seen = front
     out = None
     for step in range(1, depth + 1):
-        nxt = front.join(replies, front["event_id"] == replies["parent_id"]).join(allowed, ["root_id", "author"], "left_semi")
+        nxt = front.join(replies, front["event_id"] == replies["parent_id"])
+        if not common:
+            nxt = nxt.join(allowed, ["root_id", "author"], "left_semi")
         nxt = nxt.select("root_id", F.col("child_id").alias("event_id"), "created_at").join(seen, ["root_id", "event_id"], "left_anti")
-        front = cut(latest(nxt, ["root_id"], [F.asc("created_at"), F.asc("event_id")]).select("root_id", "event_id"), "chain")
+        front = cut(top_per_key(nxt, ["root_id"], [F.asc("created_at"), F.asc("event_id")], fan_out).select("root_id", "event_id"), "chain")
         part = front.withColumn("step", F.lit(step))
         out = part if out is None else out.unionByName(part)
         if not front.limit(1).count():

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from socialspark.functions.tags import address, refs
@@ -93,39 +94,41 @@ def user_stats(contacts: DataFrame, posts: DataFrame, profiles: DataFrame, touch
 
 
 def scored_actors(scores: DataFrame, min_score: float, source: str = "reputation") -> DataFrame:
-    newest = latest(scores.where(F.col("source") == source), ["pubkey"], [F.desc("fetched_at"), F.desc("score")])
-    return newest.where(F.col("score") >= min_score).select("pubkey")
+    return latest_scores(scores, source).where(F.col("score") >= min_score).select("pubkey")
 
 
-def engaged_targets(tags: DataFrame, zaps: DataFrame, since: Column, limit: int = 50_000) -> DataFrame:
-    """(event_id, engaged_at): targets with an engagement since, most recent first."""
+def engaged_targets(tags: DataFrame, zaps: DataFrame, since: Column, limit: int | None = None) -> DataFrame:
+    """(event_id, engaged_at): targets with an engagement since; a ``limit``, the work bound of a tick, takes the most recent."""
     a = tags.where(f"{REFERENCE} AND kind IN (1, 6, 7, 16, 1111)").select(F.col("tag_value").alias("event_id"), "created_at")
     both = a.unionByName(zaps.select(F.col("target_event_id").alias("event_id"), "created_at"))
-    return both.where(F.col("created_at") >= since).groupBy("event_id").agg(F.max("created_at").alias("engaged_at")).orderBy(F.desc("engaged_at"), "event_id").limit(limit)
+    out = both.where(F.col("created_at") >= since).groupBy("event_id").agg(F.max("created_at").alias("engaged_at"))
+    return out.orderBy(F.desc("engaged_at"), "event_id").limit(limit) if limit else out
 
 
 def engagement_real(targets: DataFrame, tags: DataFrame, zaps: DataFrame, edges: DataFrame, events: DataFrame, scores: DataFrame, min_score: float = 50.0, version: str = "v1") -> DataFrame:
     """Counters of a target by distinct reputable actors; the target's author does not count, save in zaps and sats.
 
-    All kinds of engagement are one table of (target, actor, type), so that a single conditional
-    aggregation replaces a join per counter.
+    All kinds of engagement are one table of (target, actor, type). It is folded to one row of flags for each target and
+    actor, then to sums for each target, both with partial aggregation, so a viral target spreads; the author's own flags are
+    one row to take off.
     """
     act = lambda df, target, actor, what, sats="cast(0 as bigint)": df.selectExpr(f"{target} AS event_id", f"{actor} AS actor", f"'{what}' AS what", f"{sats} AS sats")
-    rows = act(tags.where(f"kind = 7 AND {REFERENCE}"), "tag_value", "pubkey", "like")
+    rows = act(tags.where(f"kind = 7 AND {REFERENCE}"), "tag_value", "pubkey", "likes")
     for more in (
-        act(tags.where(f"kind IN (6, 16) AND {REFERENCE}"), "tag_value", "pubkey", "repost"), act(edges, "parent_id", "child_pubkey", "reply"),
-        act(tags.where("kind = 1 AND tag_key = 'q' AND octet_length(tag_value) = 64"), "tag_value", "pubkey", "quote"), act(zaps, "target_event_id", "pubkey", "zap", "sats"),
+        act(tags.where(f"kind IN (6, 16) AND {REFERENCE}"), "tag_value", "pubkey", "reposts"), act(edges, "parent_id", "child_pubkey", "replies"),
+        act(tags.where("kind = 1 AND tag_key = 'q' AND octet_length(tag_value) = 64"), "tag_value", "pubkey", "quotes"), act(zaps, "target_event_id", "pubkey", "zaps", "sats"),
     ):
         rows = rows.unionByName(more)
+    names = ("likes", "reposts", "replies", "quotes", "zaps")
     rows = rows.join(scored_actors(scores, min_score), F.col("actor") == F.col("pubkey"), "left_semi")
+    flags = rows.groupBy("event_id", "actor").agg(*[F.max(F.when(F.col("what") == n, 1).otherwise(0)).cast("long").alias(n) for n in names], F.sum("sats").alias("sats"))
+    totals = flags.groupBy("event_id").agg(*[F.sum(n).alias(n) for n in names], F.sum("sats").alias("sats"), F.count("*").alias("actors"))
     authors = targets.select("event_id").join(events.select(F.col("id").alias("event_id"), F.col("pubkey").alias("author")), "event_id")
-    rows = authors.join(rows, "event_id", "left").withColumn("other", F.col("actor") != F.col("author"))
-    by = lambda what: F.count_distinct(F.when((F.col("what") == what) & F.col("other"), F.col("actor")))
-    return rows.groupBy("event_id").agg(
-        by("like").alias("real_likes"), by("repost").alias("real_reposts"), by("reply").alias("real_replies"), by("quote").alias("real_quotes"),
-        F.count_distinct(F.when(F.col("what") == "zap", F.col("actor"))).alias("real_zaps"), F.coalesce(F.sum("sats"), F.lit(0)).cast("long").alias("real_zap_sats"),
-        F.count_distinct(F.when(F.col("other"), F.col("actor"))).alias("real_actors"),
-    ).withColumn("threshold_version", F.lit(version))
+    own = authors.join(flags.withColumnRenamed("actor", "author"), ["event_id", "author"]).select("event_id", *[F.col(n).alias(f"own_{n}") for n in names], F.lit(1).cast("long").alias("own_actors"))
+    out = authors.join(totals, "event_id", "left").join(own, "event_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    others = [(zero(n) - zero(f"own_{n}")).alias(f"real_{n}") for n in ("likes", "reposts", "replies", "quotes")]
+    return out.select("event_id", *others, zero("zaps").alias("real_zaps"), zero("sats").alias("real_zap_sats"), (zero("actors") - zero("own_actors")).alias("real_actors"), F.lit(version).alias("threshold_version"))
 
 
 def note_stats(ids: DataFrame, tags: DataFrame, zaps: DataFrame, edges: DataFrame, real: DataFrame | None = None) -> DataFrame:
@@ -141,7 +144,9 @@ def note_stats(ids: DataFrame, tags: DataFrame, zaps: DataFrame, edges: DataFram
 
 
 def latest_scores(scores: DataFrame, source: str = "reputation") -> DataFrame:
-    return latest(scores.where(F.col("source") == source), ["pubkey"], [F.desc("fetched_at"), F.desc("score")])
+    """The newest score of each author, by partial aggregation."""
+    newest = scores.where(F.col("source") == source).groupBy("pubkey").agg(F.max_by(F.struct(*scores.columns), F.struct("fetched_at", "score")).alias("s"))
+    return newest.select("s.*")
 
 
 def rank_features(real: DataFrame, stats: DataFrame, events: DataFrame, scores: DataFrame, users: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -194,3 +199,17 @@ def stale_authors(events: DataFrame, contacts: DataFrame, scores: DataFrame, as_
 
 def newest_children(edges: DataFrame, n: int = 5000) -> DataFrame:
     return top_per_key(edges, ["parent_id"], [F.desc("created_at"), F.desc("child_id")], n, name="position").select("parent_id", "child_id", "position")
+
+
+def run_stages(spark: SparkSession, stages: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], base: str) -> dict[str, DataFrame]:
+    """One roll-up tick: each stage gets the tables of those before it and its own is written; the first that fails ends the tick.
+
+    A failed tick leaves the tables of its earlier stages under ``base`` and raises, so that the next one starts over cleanly.
+    """
+    done: dict[str, DataFrame] = {}
+    for name, stage in stages.items():
+        df = stage(done)
+        schema = df.schema
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        done[name] = spark.read.schema(schema).parquet(f"{base}/{name}")
+    return done

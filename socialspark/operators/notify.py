@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from socialspark.functions.text import policy_thresholds
@@ -36,6 +38,39 @@ def feed(candidates: DataFrame, events: DataFrame, tags: DataFrame, scores: Data
                       F.coalesce("direct_parent_author", F.lit("")).alias("direct_parent_author"), F.coalesce("replies_viewer_thread", false).alias("replies_viewer_thread"), F.coalesce("actor_score", F.lit(0.0)).alias("actor_score"))
 
 
+@dataclass(frozen=True)
+class FeedCursors:
+    """How far the feed is built: up to ``head``, and back to ``edge``."""
+
+    head: datetime | None = None
+    edge: datetime | None = None
+
+
+def feed_slices(c: FeedCursors, now: datetime, slice_: timedelta = timedelta(hours=1), overlap: timedelta = timedelta(minutes=10), history: timedelta = timedelta(days=14)) -> tuple[list[tuple[datetime, datetime]], FeedCursors]:
+    """The windows of one tick and the cursors after it: [head - overlap, now) (one slice at first), then one slice of history, newest first, until it reaches back ``history``."""
+    start = c.head - overlap if c.head else now - slice_
+    windows, target = [(start, now)], now - history
+    edge = c.edge or c.head or start
+    if edge > target:
+        windows.append((max(edge - slice_, target), edge))
+        edge = windows[-1][0]
+    return windows, FeedCursors(now, edge)
+
+
+def walk_feed(build: Callable[[datetime, datetime], DataFrame], base: str, c: FeedCursors, now: datetime, **sizes: timedelta) -> FeedCursors:
+    """One tick: write ``build(start, end)`` of each window under ``base``, replacing what an aborted tick left; cursors move only after both."""
+    windows, after = feed_slices(c, now, **sizes)
+    for k, (start, end) in enumerate(windows):
+        build(start, end).withColumn("computed_at", F.lit(now.isoformat(" ")).cast("timestamp_ntz")).write.mode("overwrite").parquet(f"{base}/tick={now:%Y%m%dT%H%M%S}/slice={k}")
+    return after
+
+
+def built_feed(spark: SparkSession, base: str, schema: str) -> DataFrame:
+    """The rows of all slices; of a row built twice, the newest build."""
+    rows = spark.read.option("basePath", base).schema(f"{schema}, computed_at timestamp_ntz").parquet(f"{base}/tick=*/slice=*").drop("tick", "slice")
+    return latest(rows, ["viewer", "event_id", "reason"], [F.desc("computed_at")]).drop("computed_at")
+
+
 @dataclass(frozen=True)
 class NotificationQuery:
     tab: str = "ALL"

@@ -66,11 +66,11 @@ def merged_search(external: DataFrame, local: DataFrame, limit: int) -> DataFram
     return top_per_key(first, ["query"], [F.asc("src"), F.asc("position"), F.asc("pubkey")], limit, name="place").select("query", "pubkey", F.col("place").alias("position"))
 
 
-def messages(viewer: str, events: DataFrame, tags: DataFrame, kinds: tuple[int, ...] = (4, 1059), limit: int = 500) -> DataFrame:
-    """Message envelopes sent or received by one viewer, newest first."""
-    named = tags.where((F.col("tag_key") == "p") & (F.col("tag_value") == viewer) & F.col("kind").isin(*kinds)).select(F.col("event_id").alias("id")).distinct()
-    m = events.where(F.col("kind").isin(*kinds))
-    return newest_first(m.where(F.col("pubkey") == viewer).unionByName(m.join(named, "id", "left_semi")).dropDuplicates(["id"]), limit)
+def messages(events: DataFrame, tags: DataFrame, kinds: tuple[int, ...] = (4, 1059), limit: int = 500) -> DataFrame:
+    """(viewer, id, position): message envelopes sent or received by every viewer, newest first."""
+    sent = events.where(F.col("kind").isin(*kinds)).select(F.col("pubkey").alias("viewer"), "id", "created_at")
+    received = tags.where((F.col("tag_key") == "p") & F.col("kind").isin(*kinds)).select(F.col("tag_value").alias("viewer"), F.col("event_id").alias("id"), "created_at")
+    return top_per_key(sent.unionByName(received).distinct(), ["viewer"], [F.desc("created_at"), F.desc("id")], limit, name="position").select("viewer", "id", "position")
 
 
 def conversations(events: DataFrame) -> DataFrame:

@@ -55,6 +55,14 @@ def in_list(df: DataFrame, column: str, values: tuple) -> DataFrame:
     return df.join(keys, column, "left_semi")
 
 
+def not_in_list(df: DataFrame, column: str, values: tuple) -> DataFrame:
+    """Rows whose column is none of ``values``; a null is none of them."""
+    if len(values) <= LITERALS:
+        return df.where(F.col(column).isNull() | ~F.col(column).isin(*values))
+    keys = df.sparkSession.createDataFrame([(v,) for v in values], f"{column} {df.schema[column].dataType.simpleString()}")
+    return df.join(keys, column, "left_anti")
+
+
 def in_keys(df: DataFrame, column: str, keys: DataFrame, key: str | None = None) -> DataFrame:
     """Rows whose column occurs in ``keys``."""
     return df.join(keys.select(F.col(key or column).alias(column)), column, "left_semi")
@@ -98,7 +106,7 @@ def select_events(events: DataFrame, q: EventQuery, tags: DataFrame | None = Non
         df = df.where(contains_ci(F.col("content"), q.search))
     for column, values in (("id", q.exclude_ids), ("pubkey", q.exclude_pubkeys)):
         if values:
-            df = df.where(~F.col(column).isin(*values))
+            df = not_in_list(df, column, values)
     for f in q.tags:
         df = with_tag(df, tags, f)
     for f in q.exclude_tags:

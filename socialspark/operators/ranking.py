@@ -104,6 +104,19 @@ def route(terms: tuple[Term, ...], is_global: bool) -> str:
     return "features" if is_global and all((t.source, t.name) in served for t in terms) else "live"
 
 
+def feature_weights(terms: tuple[Term, ...]) -> tuple[dict[str, float], float, int]:
+    """(weights, half-life, least followers) by which :func:`feature_scores` serves terms that :func:`route` sends to the features."""
+    names = {"reputation": "author_score", "contribution_quality": "quality", "created_at": "recency"}
+    half = next((t.half_life for t in terms if t.source == "field"), 86_400.0)
+    return {names.get(t.name, t.name): t.weight for t in terms}, half, max((t.min_followers for t in terms if t.source == "author_score"), default=0)
+
+
+def boosted_per_viewer(scored: DataFrame, follows: DataFrame, weight: float) -> DataFrame:
+    """(viewer, id, score): the rows that a viewer's follows lift, with their score; all others keep the shared one."""
+    mine = follows.select(F.col("follower").alias("viewer"), F.col("followed").alias("pubkey")).distinct()
+    return scored.join(mine, "pubkey").select("viewer", "id", (F.col("score") + F.lit(float(weight))).alias("score"))
+
+
 def boosted(scored: DataFrame, keys: DataFrame, weight: float) -> DataFrame:
     """Add ``weight`` to rows whose author is among ``keys``."""
     flag = keys.select("pubkey").distinct().withColumn("_b", F.lit(float(weight)))

@@ -45,7 +45,7 @@ def report(before: DataFrame, rules: dict[str, DataFrame], min_matched: int = MI
     """(rule, matched, acts): how many rows each rule would remove, and whether that is enough to act."""
     spark = before.sparkSession
     total = before.agg(F.count("*").alias("n"))
-    rows = [after.agg((F.first(F.lit(name))).alias("rule"), F.count("*").alias("left")) for name, after in rules.items()]
+    rows = [after.agg(F.count("*").alias("left")).select(F.lit(name).alias("rule"), "left") for name, after in rules.items()]
     if not rows:
         return spark.createDataFrame([], "rule string, matched long, acts boolean")
     j = reduce(DataFrame.unionByName, rows).crossJoin(total)  # one row on each side

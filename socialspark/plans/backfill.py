@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from socialspark.operators import enrich, jobs
 from socialspark.plans.fixtures import Tables
 from socialspark.plans.oracle import sql
+from socialspark.plans.social import _QL
 from socialspark.sources.ingest import annotation_rows, decode_frames, profiles, split_by_shape, with_true_ids, write_events
 from socialspark.sources.scratch import new_path
 from socialspark.streaming import ingest as st
@@ -18,11 +19,11 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query_of(name: str, oracle: str | None = None):
+def query_of(name: str, oracle: str | None = None, *more: tuple[str, str]):
     def wrap(f: Callable[[Tables], DataFrame]):
         Q[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if oracle:
-            SQL[name] = sql(oracle)
+            SQL[name] = sql(oracle, *more)
         return f
 
     return wrap
@@ -30,8 +31,8 @@ def query_of(name: str, oracle: str | None = None):
 
 def rebuild(t: Tables, base: str) -> None:
     """Every derived table from events and tags; a second run gives the same tables."""
-    edges = jobs.reply_edges(t.tags)
-    contacts, posts, prof = jobs.contacts_latest(t.events), jobs.post_counts(t.events), profiles(t.events)
+    edges = t.edges
+    contacts, posts, prof = t.contacts, jobs.post_counts(t.events), profiles(t.events)
     tables = {
         "likes": jobs.like_counts(t.tags), "reposts": jobs.repost_counts(t.tags), "quotes": jobs.quote_counts(t.tags), "zaps": t.zaps, "zap_totals": jobs.zap_totals(t.zaps), "edges": edges,
         "replies": jobs.direct_reply_counts(edges), "profiles": prof, "contacts": contacts, "posts": posts, "user_stats": jobs.user_stats(contacts, posts, prof), "candidates": jobs.notification_candidates(t.tags),
@@ -51,19 +52,26 @@ def _(t):
     return out
 
 
-@query_of("s4_event_log", "SELECT strftime(created_at, '%Y-%m') AS month, CAST(kind AS INT) AS kind, count(*) AS n FROM ev GROUP BY 1, 2")
+@query_of("s4_event_log", "SELECT strftime(created_at, '%Y-%m') AS month, ev.id, CAST(kind AS INT) AS kind, len(tags) AS n_tags, min(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at FROM ev JOIN rl ON rl.event_id = ev.id GROUP BY ALL")
 def _(t):
     path = new_path(t.spark, "event-log")
-    write_events(t.events.drop("event_id", "user_id"), path)
-    return t.spark.read.option("basePath", path).schema("id string, kind int, month string").parquet(path).groupBy("month", "kind").agg(F.count("*").alias("n"))
+    write_events(t.events.drop("event_id", "user_id"), path, t.relays)
+    log = t.spark.read.option("basePath", path).schema("id string, kind int, tags_json string, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, month string").parquet(path)
+    return log.select("month", "id", "kind", F.json_array_length("tags_json").cast("long").alias("n_tags"), "first_seen_at", "last_seen_at")
 
 
-def _frames(t):
-    """The events as relay frames, each from two relays, one in fifty malformed; partitions follow each other in time of arrival."""
-    e = t.events.repartitionByRange("created_at", "id").selectExpr("id", "pubkey", "kind", "timestampdiff(SECOND, timestamp_ntz '1970-01-01', created_at) AS created_at", "tags", "content", "repeat('0', 128) AS sig", "event_id")
+def _frames(t, ahead=False, late=False):
+    """The events as relay frames, each from two relays, one in fifty malformed; partitions follow each other in time of arrival.
+
+    ``ahead``: one in fifty claims a time an hour after its arrival. ``late``: frames arrive in no order of time, the two copies of an event far apart.
+    """
+    e = t.events.repartitionByRange("created_at", "id").selectExpr("id", "pubkey", "kind", "timestampdiff(SECOND, timestamp_ntz '1970-01-01', created_at) AS arrival", "tags", "content", "repeat('0', 128) AS sig", "event_id")
+    claimed = F.when(F.col("event_id") % 50 == 7, F.col("arrival") + 3600).otherwise(F.col("arrival")) if ahead else F.col("arrival")
+    e = e.withColumn("created_at", claimed)
     body = F.to_json(F.struct("id", "pubkey", "created_at", "kind", "tags", "content", "sig"))
     frame = F.when(F.col("event_id") % 50 == 49, F.concat(F.lit('["EVENT","s",'), body)).when(F.col("event_id") % 50 == 48, '["EOSE","s"]').otherwise(F.concat(F.lit('["EVENT","s",'), body, F.lit("]")))
-    return e.select(frame.alias("value"), F.timestamp_seconds("created_at").alias("ingest_ts"), F.explode(F.array(F.lit("wss://a"), F.lit("wss://b"))).alias("relay"))
+    out = e.select(frame.alias("value"), F.timestamp_seconds("arrival").alias("ingest_ts"), F.explode(F.array(F.lit("wss://a"), F.lit("wss://b"))).alias("relay"))
+    return out.repartitionByRange(F.xxhash64("value", "relay")) if late else out
 
 
 @query_of("s1_decoded_frames", "SELECT id, pubkey, kind, created_at, CAST(len(tags) AS INT) AS n_tags FROM ev WHERE event_id % 50 < 48")
@@ -78,7 +86,7 @@ def _(t):
     return split_by_shape(e)[1].select("id", "reason")
 
 
-@query_of("s3_true_ids")
+@query_of("s3_true_ids", "SELECT sha256('[0,' || CAST(to_json(pubkey) AS VARCHAR) || ',' || CAST(epoch(created_at) AS BIGINT) || ',' || kind || ',' || CAST(to_json(tags) AS VARCHAR) || ',' || CAST(to_json(content) AS VARCHAR) || ']') AS id, event_id FROM ev WHERE event_id % 3 <> 0")
 def _(t):
     from socialspark.sources.ingest import canonical_id
 
@@ -87,19 +95,19 @@ def _(t):
     return with_true_ids(e).select("id", "event_id")
 
 
-@query_of("s12_annotations")
+@query_of("s12_annotations", "SELECT id AS event_id, 'contribution_quality' AS metric, round(greatest(least(rel * 0.25 + inf * 0.35 + nov * 0.15 + con * 0.25, 1), 0), 6) AS value, 'unknown' AS model_version FROM ql3", *_QL)
 def _(t):
     quality = enrich.quality_columns(t.replies_with_text)
     a = quality.select(F.col("id").alias("event_id"), "pubkey", "kind", "created_at", F.array(F.struct(F.lit("contribution_quality").alias("name"), F.col("contribution_quality").alias("value")), F.struct(F.lit(" ").alias("name"), F.lit(0.0).alias("value"))).alias("metrics"), F.lit("").alias("model_version"), F.col("created_at").alias("computed_at"))
     return annotation_rows(a).select("event_id", "metric", F.round("value", 6).alias("value"), "model_version")
 
 
-def _stream(t, after):
+def _stream(t, after, files_per_batch=100, **order):
     """Run a streaming plan over the frames, in order of arrival, to its end and return what it wrote."""
     base = new_path(t.spark, "stream")
-    _frames(t).write.json(f"{base}/in")
+    _frames(t, **order).write.json(f"{base}/in")
     st.in_file_order(t.spark, f"{base}/in")
-    frames = st.read_folder(t.spark, f"{base}/in")
+    frames = st.read_folder(t.spark, f"{base}/in", files_per_batch)
     q = after(frames, base)
     if not q.awaitTermination(600):
         q.stop()
@@ -128,13 +136,67 @@ def _(t):
     return t.spark.read.schema("id string").parquet(f"{_stream(t, run)}/out")
 
 
-@query_of("st3_ahead_of_time", "SELECT id, false AS ahead FROM ev WHERE event_id % 50 < 48")
-@query_of("st8_late_and_repeated", "SELECT id, false AS ahead FROM ev WHERE event_id % 50 < 48")
+@query_of("st3_ahead_of_time", "SELECT id, event_id % 50 = 7 AS ahead FROM ev WHERE event_id % 50 < 48")
 def _(t):
     def run(frames, base):
         return st.micro_batches(st.seen_once(st.valid_events(frames)).select("id", "ahead"), f"{base}/state", once=True).format("parquet").option("path", f"{base}/out").outputMode("append").start()
 
-    return t.spark.read.schema("id string, ahead boolean").parquet(f"{_stream(t, run)}/out")
+    return t.spark.read.schema("id string, ahead boolean").parquet(f"{_stream(t, run, ahead=True)}/out")
+
+
+@query_of("st3_relay_marks", "SELECT relay, max(created_at) AS mark, max(created_at) - INTERVAL 5 MINUTE AS resume_at FROM ev, (VALUES ('wss://a'), ('wss://b')) AS r(relay) WHERE event_id % 50 < 48 AND event_id % 50 <> 7 GROUP BY 1")
+def _(t):
+    def run(frames, base):
+        return st.micro_batches(st.relay_marks(st.valid_events(frames)), f"{base}/state", once=True).outputMode("complete").foreachBatch(st.write_table(f"{base}/marks")).start()
+
+    base = _stream(t, run, 4, ahead=True)
+    rows = t.spark.read.option("basePath", f"{base}/marks").schema("relay string, mark timestamp_ntz, resume_at timestamp_ntz, batch int").parquet(f"{base}/marks")
+    return rows.groupBy("relay").agg(F.max_by(F.struct("mark", "resume_at"), "batch").alias("m")).select("relay", "m.*")
+
+
+_VIEW_ROWS = {
+    "events": ("id string, kind int", "id AS key, cast(kind AS string) AS value"), "likes": ("target_event_id string, pubkey string", "target_event_id AS key, pubkey AS value"),
+    "reposts": ("target_event_id string, pubkey string", "target_event_id AS key, pubkey AS value"), "quotes": ("target_event_id string, event_id string", "target_event_id AS key, event_id AS value"),
+    "posts": ("pubkey string, id string", "pubkey AS key, id AS value"), "zaps": ("zap_receipt_id string, sats long", "zap_receipt_id AS key, cast(sats AS string) AS value"),
+    "contacts": ("pubkey string, event_id string, created_at timestamp_ntz, contacts array<string>", "pubkey AS key, event_id || ':' || size(contacts) AS value"),
+    "candidates": ("viewer string, event_id string, reason string", "viewer AS key, event_id || ':' || reason AS value"),
+    "profiles": ("pubkey string, event_id string, created_at timestamp_ntz, name string", "pubkey AS key, event_id || ':' || name AS value"),
+}
+_VIEW_SQL = {
+    "events": "SELECT 'events' AS view, id AS key, CAST(kind AS VARCHAR) AS value FROM ev2",
+    "likes": "SELECT DISTINCT 'likes', tag_value, pubkey FROM tg2 WHERE kind = 7 AND tag_key = 'e' AND strlen(tag_value) = 64",
+    "reposts": "SELECT DISTINCT 'reposts', tag_value, pubkey FROM tg2 WHERE kind IN (6, 16) AND tag_key = 'e' AND strlen(tag_value) = 64",
+    "quotes": "SELECT DISTINCT 'quotes', tag_value, event_id FROM tg2 WHERE kind = 1 AND tag_key = 'q' AND strlen(tag_value) = 64",
+    "posts": "SELECT 'posts', pubkey, id FROM ev2 WHERE kind IN (1, 1111)",
+    "zaps": "SELECT 'zaps', zap_receipt_id, CAST(sats AS VARCHAR) FROM zaps WHERE zap_receipt_id IN (SELECT id FROM ev2)",
+    "contacts": "SELECT 'contacts', pubkey, id || ':' || len(list_filter(tags, lambda t: t[1] = 'p' AND strlen(t[2]) = 64)) FROM (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, id DESC) AS r FROM ev2 WHERE kind = 3) WHERE r = 1",
+    "candidates": "SELECT 'candidates', viewer, event_id || ':' || reason FROM cand WHERE event_id IN (SELECT id FROM ev2)",
+    "profiles": "SELECT 'profiles', pubkey, id || ':' || coalesce(content ->> '$.name', '') FROM (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY created_at DESC, id DESC) AS r FROM ev2 WHERE kind = 0) WHERE r = 1",
+}
+_EV2, _TG2 = ("ev2", "SELECT * FROM ev WHERE event_id % 50 < 48"), ("tg2", "SELECT * FROM tg WHERE event_id IN (SELECT id FROM ev2)")
+
+
+def _views(t, names, files_per_batch=100, dedup=True, **order):
+    def run(frames, base):
+        events = st.valid_events(frames)
+        return st.micro_batches(st.seen_once(events) if dedup else events, f"{base}/state", once=True).foreachBatch(st.write_views(f"{base}/out", names)).start()
+
+    base, out = _stream(t, run, files_per_batch, **order), None
+    for name in names:
+        schema, pair = _VIEW_ROWS[name]
+        rows = st.read_view(t.spark, f"{base}/out", name, schema).selectExpr(f"'{name}' AS view", *pair.split(", ", 1))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query_of("st7_insert_views", " UNION ALL ".join(_VIEW_SQL.values()), _EV2, _TG2)
+def _(t):
+    return _views(t, tuple(_VIEW_ROWS))
+
+
+@query_of("st8_late_and_repeated", " UNION ALL ".join(_VIEW_SQL[n] for n in ("events", "likes", "contacts", "profiles")), _EV2, _TG2)
+def _(t):
+    return _views(t, ("events", "likes", "contacts", "profiles"), 3, dedup=False, late=True)
 
 
 @query_of("st9_stream_annotations")

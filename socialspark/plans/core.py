@@ -52,7 +52,7 @@ def _(t):
 
 @query_of("f3_include_keys", f"SELECT {_SHORT} FROM ev WHERE kind IN (0, 3, 10002) AND pubkey IN (SELECT followed FROM fe)")
 def _(t):
-    follows = jobs.follow_edges(jobs.contacts_latest(t.events))
+    follows = jobs.follow_edges(t.contacts)
     return query.in_keys(query.in_list(t.events, "kind", (0, 3, 10002)), "pubkey", follows, "followed").select(*_IDS)
 
 
@@ -71,10 +71,14 @@ def _(t):
     return query.with_tag(t.events.where("kind = 30078"), t.tags, TagFilter("d", ("seen",)), "left_anti").select(*_IDS)
 
 
-@query_of("f7_derived_tags", "SELECT tag_value AS id, count(*) AS n FROM tg WHERE tag_key = 'r' GROUP BY 1")
+_KEYWORDS = "SELECT id AS event_id, pubkey, 'keyword' AS tag_key, k AS tag_value FROM ev, (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) AS w(k) WHERE kind IN (1, 1111) AND list_contains(string_split(content, ' '), k)"
+
+
+@query_of("f7_derived_tags", "SELECT 'raw' AS dataset, event_id AS id FROM tg WHERE tag_key = 'r' AND tag_value = 'wss://b.example' UNION ALL SELECT 'derived', event_id FROM dt WHERE tag_value IN ('click', 'view')", ("dt", _KEYWORDS))
 def _(t):
-    derived = t.tags.where("tag_key = 'r'").select("event_id", "tag_key", "tag_value")
-    return derived.groupBy(F.col("tag_value").alias("id")).agg(F.count("*").alias("n"))
+    ask = {"raw": (t.tags, TagFilter("r", ("wss://b.example",))), "derived": (t.derived_tags, TagFilter("keyword", ("click", "view")))}
+    parts = [query.with_tag(t.events, tags, f).select(F.lit(name).alias("dataset"), "id") for name, (tags, f) in ask.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query_of("f8_search", f"SELECT {_SHORT} FROM ev WHERE contains(lower(content), 'about purchase 9')")
@@ -134,9 +138,9 @@ _spec("a7_tag_metrics", AggregateSpec("TAGS", ("KIND",), ("UNIQUE_EVENTS", "UNIQ
 _spec("a23_daily_activity", AggregateSpec("EVENTS", ("DAY", "KIND", "PUBKEY"), ("COUNT",), 1000), "SELECT CAST(created_at AS DATE) AS day, kind, pubkey, count(*) AS count FROM ev GROUP BY 1, 2, 3 ORDER BY 4 DESC, 1, 2, 3 LIMIT 1000")
 
 
-@query_of("a3_derived_tags", "SELECT tag_value, count(*) AS count FROM tg WHERE tag_key = 'r' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
+@query_of("a3_derived_tags", "SELECT tag_value, count(*) AS count, count(DISTINCT pubkey) AS unique_authors FROM dt GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100", ("dt", _KEYWORDS))
 def _(t):
-    return ag.aggregate(t.tags.where("tag_key = 'r'"), AggregateSpec("DERIVED_TAGS", ("TAG_VALUE",), ("COUNT",)))
+    return ag.aggregate(t.derived_tags, AggregateSpec("DERIVED_TAGS", ("TAG_VALUE",), ("COUNT", "UNIQUE_AUTHORS")))
 
 
 _REFS = """SELECT tag_value, event_id, pubkey, kind, created_at, row_number() OVER (PARTITION BY tag_value ORDER BY created_at DESC, event_id DESC) AS r FROM (SELECT DISTINCT tag_value, event_id, pubkey, kind, created_at FROM tg WHERE tag_key = 'e')"""
@@ -181,7 +185,7 @@ def _(t):
 
 @query_of("a14_direct_reply_counts", "SELECT id AS target_event_id, replies FROM rc")
 def _(t):
-    return jobs.direct_reply_counts(jobs.reply_edges(t.tags))
+    return jobs.direct_reply_counts(t.edges)
 
 
 @query_of("a15_zap_totals", "SELECT id AS target_event_id, CAST(sats AS BIGINT) AS sats, zaps FROM zt")
@@ -203,11 +207,11 @@ def _(t):
 
 @query_of("a18_follower_counts", "SELECT pubkey, followers FROM fc")
 def _(t):
-    return jobs.follower_counts(jobs.contacts_latest(t.events))
+    return jobs.follower_counts(t.contacts)
 
 
 def _user_stats(t, touched=None):
-    return jobs.user_stats(jobs.contacts_latest(t.events), jobs.post_counts(t.events), profiles(t.events), touched)
+    return jobs.user_stats(t.contacts, jobs.post_counts(t.events), profiles(t.events), touched)
 
 
 _STATS = "SELECT pubkey, CAST(following AS BIGINT) AS following, CAST(followers AS BIGINT) AS followers, CAST(posts AS BIGINT) AS posts FROM st"
@@ -225,7 +229,7 @@ def _(t):
 
 @query_of("a21_having", "SELECT pubkey, followers FROM fc WHERE followers >= 8")
 def _(t):
-    return jobs.follower_counts(jobs.contacts_latest(t.events)).where("followers >= 8")
+    return jobs.follower_counts(t.contacts).where("followers >= 8")
 
 
 @query_of("a22_first_event", "SELECT k.pubkey, min(created_at) AS first_at FROM (SELECT DISTINCT pubkey FROM sc) k LEFT JOIN (SELECT * FROM ev WHERE kind = 0) e USING (pubkey) GROUP BY 1")
@@ -255,17 +259,17 @@ def _(t):
 
 @query_of("m5_note_reply_edges", "SELECT child_id, parent_id, child_pubkey, kind, created_at FROM edges")
 def _(t):
-    return jobs.reply_edges(t.tags)
+    return t.edges
 
 
 @query_of("m6_user_contacts_latest", "SELECT pubkey, event_id, created_at, array_to_string(contacts, ',') AS contacts FROM ct")
 def _(t):
-    return jobs.contacts_latest(t.events).withColumn("contacts", F.concat_ws(",", "contacts"))
+    return t.contacts.withColumn("contacts", F.concat_ws(",", "contacts"))
 
 
 def _real(t):
     targets = jobs.engaged_targets(t.tags, t.zaps, t.as_of - F.expr("INTERVAL 10 DAYS"))
-    return jobs.engagement_real(targets, t.tags, t.zaps, jobs.reply_edges(t.tags), t.events, t.scores)
+    return jobs.engagement_real(targets, t.tags, t.zaps, t.edges, t.events, t.scores)
 
 
 @query_of("m8_note_engagement_real", "SELECT * FROM realc")
@@ -366,7 +370,7 @@ def _(t):
 def _(t):
     e = f"{jobs.REFERENCE}"
     parts = [t.tags.where(f"kind = 7 AND {e}").selectExpr("tag_value AS event_id", "'like' AS what"), t.tags.where(f"kind IN (6, 16) AND {e}").selectExpr("tag_value", "'repost'"),
-             jobs.reply_edges(t.tags).selectExpr("parent_id", "'reply'"), t.tags.where("kind = 1 AND tag_key = 'q' AND octet_length(tag_value) = 64").selectExpr("tag_value", "'quote'"), t.zaps.selectExpr("target_event_id", "'zap'")]
+             t.edges.selectExpr("parent_id", "'reply'"), t.tags.where("kind = 1 AND tag_key = 'q' AND octet_length(tag_value) = 64").selectExpr("tag_value", "'quote'"), t.zaps.selectExpr("target_event_id", "'zap'")]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -418,15 +422,15 @@ def _(t):
 @query_of("e6_stale_authors", "SELECT a.pubkey, fc.followers, f.fetched_at FROM (SELECT DISTINCT pubkey FROM ev, bnd WHERE created_at >= as_of - INTERVAL 30 DAY) a JOIN fc USING (pubkey) JOIN bnd ON true LEFT JOIN (SELECT pubkey, max(fetched_at) AS fetched_at FROM sc GROUP BY 1) f USING (pubkey) WHERE fc.followers >= 2 AND (f.fetched_at IS NULL OR f.fetched_at < as_of - INTERVAL 6 HOUR) ORDER BY fc.followers DESC, a.pubkey LIMIT 500")
 @query_of("j13_recent_authors", "SELECT a.pubkey, fc.followers, f.fetched_at FROM (SELECT DISTINCT pubkey FROM ev, bnd WHERE created_at >= as_of - INTERVAL 30 DAY) a JOIN fc USING (pubkey) JOIN bnd ON true LEFT JOIN (SELECT pubkey, max(fetched_at) AS fetched_at FROM sc GROUP BY 1) f USING (pubkey) WHERE fc.followers >= 2 AND (f.fetched_at IS NULL OR f.fetched_at < as_of - INTERVAL 6 HOUR) ORDER BY fc.followers DESC, a.pubkey LIMIT 500")
 def _(t):
-    return jobs.stale_authors(t.events, jobs.contacts_latest(t.events), t.scores, t.as_of, 2, 500)
+    return jobs.stale_authors(t.events, t.contacts, t.scores, t.as_of, 2, 500)
 
 
 @query_of("q1_note_stats", "SELECT * FROM stats")
 @query_of("j3_sparse_stats", "SELECT * FROM stats")
 def _(t):
-    return jobs.note_stats(t.events.where("kind = 1"), t.tags, t.zaps, jobs.reply_edges(t.tags))
+    return jobs.note_stats(t.events.where("kind = 1"), t.tags, t.zaps, t.edges)
 
 
 @query_of("q2_direct_replies", "SELECT parent_id, child_id, CAST(row_number() OVER (PARTITION BY parent_id ORDER BY created_at DESC, child_id DESC) AS INT) AS position FROM edges")
 def _(t):
-    return jobs.newest_children(jobs.reply_edges(t.tags))
+    return jobs.newest_children(t.edges)

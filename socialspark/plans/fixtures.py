@@ -1,5 +1,9 @@
 """The given event, order and supplier tables as canonical social-event tables.
 
+Events, tags, zaps and the tables every read needs (reply edges, newest contact lists, scores) are written once for a data
+folder and application, to the shared folder, in the order of kind and time; queries read those, so that filters on kind, time
+and key prune their row groups and no query builds the log again.
+
 The mapping is arithmetic on event_id, with one join for the authors of targets, so it needs no ranking
 over all rows: in each run of ten ids the first four are notes, two are reactions, then a repost, a zap,
 a comment and an event of a rarer kind.
@@ -7,13 +11,17 @@ a comment and an event of a rarer kind.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from socialspark.operators import enrich, jobs
 from socialspark.sources.ingest import flatten_tags, note_zaps
+from socialspark.sources.scratch import cut, exists
 from socialspark.sources.tables import table
 
 KIND = """CASE WHEN event_id % 10 < 4 THEN 1 WHEN event_id % 10 < 6 THEN 7 WHEN event_id % 10 = 6 THEN 6
@@ -26,16 +34,32 @@ def _note(number: str) -> str:
     return f"(10 * (({number}) DIV 4) + ({number}) % 4)"
 
 
+#: (application, data folder, table): the written table's path and schema.
+_written: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_bounds: dict[tuple[str, str], Row] = {}
+
+
 @dataclass
 class Tables:
-    """Canonical tables of one data folder; each is built from the given files when asked for."""
+    """Canonical tables of one data folder; each is built from the given files when first asked for."""
 
     spark: SparkSession
     sf_dir: str
 
+    def _stored(self, name: str, build: Callable[[], DataFrame], order: tuple[str, ...]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _written or not exists(self.spark, _written[key][0]):
+            made = cut(build().sortWithinPartitions(*order), f"table-{name}")
+            _written[key] = (made.scratch_path, made.schema)
+        path, schema = _written[key]
+        return self.spark.read.schema(schema).parquet(path)
+
     @cached_property
     def bounds(self):
-        return table(self.spark, self.sf_dir, "events").selectExpr("max(event_id) + 1 AS n", "max(user_id) + 1 AS users", "date_trunc('second', max(ts)) AS as_of").first()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _bounds:
+            _bounds[key] = table(self.spark, self.sf_dir, "events").selectExpr("max(event_id) + 1 AS n", "max(user_id) + 1 AS users", "date_trunc('second', max(ts)) AS as_of").first()
+        return _bounds[key]
 
     @property
     def as_of(self):
@@ -45,6 +69,9 @@ class Tables:
     @cached_property
     def events(self) -> DataFrame:
         """id, pubkey, kind, created_at, tags, content, event_id, user_id: the canonical event."""
+        return self._stored("events", self._events, ("kind", "created_at"))
+
+    def _events(self) -> DataFrame:
         b, users = self.bounds, self.bounds.users
         notes = max(4 * (b.n // 10), 1)
         ev = table(self.spark, self.sf_dir, "events").selectExpr(
@@ -81,11 +108,30 @@ class Tables:
 
     @cached_property
     def tags(self) -> DataFrame:
-        return flatten_tags(self.events)
+        return self._stored("tags", lambda: flatten_tags(self.events), ("tag_key", "kind", "created_at"))
 
     @cached_property
     def zaps(self) -> DataFrame:
-        return note_zaps(self.events)
+        return self._stored("zaps", lambda: note_zaps(self.events), ("created_at",))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Reply edges."""
+        return self._stored("edges", lambda: jobs.reply_edges(self.tags), ("created_at",))
+
+    @cached_property
+    def contacts(self) -> DataFrame:
+        """Newest contact lists."""
+        return self._stored("contacts", lambda: jobs.contacts_latest(self.events), ("pubkey",))
+
+    @cached_property
+    def follows(self) -> DataFrame:
+        return jobs.follow_edges(self.contacts)
+
+    @cached_property
+    def derived_tags(self) -> DataFrame:
+        """Tags that a processor derived from contents."""
+        return enrich.keyword_tags(self.events.where("kind IN (1, 1111)"), ("click", "error", "purchase", "signup", "view"))
 
     @cached_property
     def users(self) -> DataFrame:
@@ -94,6 +140,9 @@ class Tables:
     @cached_property
     def scores(self) -> DataFrame:
         """source, pubkey, score, followers, nodes, fetched_at: two versions of each author's external score."""
+        return self._stored("scores", self._scores, ("pubkey",))
+
+    def _scores(self) -> DataFrame:
         u = table(self.spark, self.sf_dir, "events").select("user_id").distinct()
         two = u.selectExpr("user_id", "explode(array(0, 1)) AS v")
         return two.selectExpr("'reputation' AS source", "sha2('u' || user_id, 256) AS pubkey", "cast((user_id * 7 + v * 13) % 101 as double) AS score", "cast((user_id * 37 + v) % 1000 as bigint) AS followers",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from socialspark.plans.core import _REFS, _user_stats
 from socialspark.plans.fixtures import Tables
 from socialspark.plans.oracle import sql
 from socialspark.sources.ingest import audit_units, profiles
-from socialspark.sources.scratch import cut
+from socialspark.sources.scratch import cut, new_path
+from socialspark.streaming.ingest import ExemptAuthors
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,11 +35,11 @@ def query_of(name: str, oracle: str | None = None, *more: tuple[str, str]):
 
 
 def _edges(t):
-    return jobs.reply_edges(t.tags)
+    return t.edges
 
 
 def _follows(t):
-    return jobs.follow_edges(jobs.contacts_latest(t.events))
+    return t.follows
 
 
 # -- joins ---------------------------------------------------------------------------------------
@@ -109,11 +112,19 @@ _CHAIN = "SELECT parent_id, child_pubkey, child_id FROM (SELECT *, row_number()
 
 
 @query_of("q4_authored_chain", "SELECT root_id, event_id, step FROM (WITH RECURSIVE c(root_id, author, event_id, step) AS (SELECT id, pubkey, id, 0 FROM ev WHERE kind = 1 UNION ALL SELECT root_id, author, child_id, step + 1 FROM c JOIN own ON own.parent_id = c.event_id AND own.child_pubkey = author WHERE step < 8) SELECT * FROM c) WHERE step > 0", ("own", _CHAIN))
-@query_of("g7_live_chain", "SELECT root_id, event_id, step FROM (WITH RECURSIVE c(root_id, author, event_id, step) AS (SELECT id, pubkey, id, 0 FROM ev WHERE kind = 1 UNION ALL SELECT root_id, author, child_id, step + 1 FROM c JOIN own ON own.parent_id = c.event_id AND own.child_pubkey = author WHERE step < 8) SELECT * FROM c) WHERE step > 0", ("own", _CHAIN))
 def _(t):
     return graph.authored_chain(t.events.where("kind = 1"), _edges(t))
 
 
+_ALLOWED = "SELECT parent_id, child_id FROM (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY created_at, child_id) AS r FROM edges WHERE kind = 1 AND child_pubkey IN (SELECT pubkey FROM ls WHERE score >= 50)) WHERE r = 1"
+
+
+@query_of("g7_live_chain", "SELECT root_id, event_id, step FROM (WITH RECURSIVE c(root_id, event_id, step) AS (SELECT id, id, 0 FROM ev WHERE kind = 1 UNION ALL SELECT root_id, child_id, step + 1 FROM c JOIN own ON own.parent_id = c.event_id WHERE step < 8) SELECT * FROM c) WHERE step > 0", ("own", _ALLOWED))
+def _(t):
+    allowed = jobs.scored_actors(t.scores, 50).select(F.col("pubkey").alias("author"))
+    return graph.authored_chain(t.events.where("kind = 1"), _edges(t), allowed=allowed, via=F.col("kind") == 1)
+
+
 @query_of("q5_best_followed_reply", "SELECT viewer, parent_id, child_id FROM (SELECT fe.follower AS viewer, parent_id, child_id, row_number() OVER (PARTITION BY fe.follower, parent_id ORDER BY coalesce(likes, 0) DESC, created_at DESC, child_id DESC) AS r FROM edges JOIN fe ON fe.followed = child_pubkey LEFT JOIN lk ON lk.id = child_id) WHERE r = 1")
 def _(t):
     e, f = _edges(t), _follows(t)
@@ -124,12 +135,12 @@ def _(t):
 @query_of("q6_follow_counts", "SELECT st.pubkey, CAST(coalesce(len(list_distinct(contacts)), 0) AS BIGINT) AS following, CAST(st.followers AS BIGINT) AS followers FROM st LEFT JOIN ct USING (pubkey)")
 @query_of("q25_own_profiles", "SELECT st.pubkey, CAST(coalesce(len(list_distinct(contacts)), 0) AS BIGINT) AS following, CAST(st.followers AS BIGINT) AS followers FROM st LEFT JOIN ct USING (pubkey)")
 def _(t):
-    return people.follow_counts(jobs.contacts_latest(t.events), _user_stats(t))
+    return people.follow_counts(t.contacts, _user_stats(t))
 
 
 @query_of("q8_latest_contacts", "SELECT pubkey, CAST(len(list_distinct(contacts)) AS INT) AS n FROM ct")
 def _(t):
-    return jobs.contacts_latest(t.events).select("pubkey", F.size(F.array_distinct("contacts")).alias("n"))
+    return t.contacts.select("pubkey", F.size(F.array_distinct("contacts")).alias("n"))
 
 
 _SEARCH = "SELECT q AS query, pubkey, score AS relevance, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, created_at DESC, pubkey) AS INT) AS position FROM (SELECT q, pf.pubkey, pf.created_at, CAST(greatest(CASE WHEN lower(name) = q THEN 100 ELSE 0 END, CASE WHEN lower(display_name) = q THEN 98 ELSE 0 END, CASE WHEN lower(nip05) = q THEN 96 ELSE 0 END, CASE WHEN starts_with(lower(name), q) THEN 90 ELSE 0 END, CASE WHEN starts_with(lower(display_name), q) THEN 88 ELSE 0 END, CASE WHEN starts_with(lower(nip05), q) THEN 86 ELSE 0 END, CASE WHEN contains(lower(name), q) THEN 76 ELSE 0 END, CASE WHEN contains(lower(display_name), q) THEN 74 ELSE 0 END, CASE WHEN contains(lower(nip05), q) THEN 72 ELSE 0 END, CASE WHEN contains(lower(lud16), q) THEN 60 ELSE 0 END, CASE WHEN contains(lower(website), q) THEN 50 ELSE 0 END, CASE WHEN contains(lower(about), q) THEN 30 ELSE 0 END, CASE WHEN contains(lower(raw_json), q) THEN 10 ELSE 0 END) AS DOUBLE) AS score FROM pf, (VALUES ('user1'), ('user number 7'), ('about click'), ('site3'), ('u12@')) AS v(q) WHERE contains(lower(concat_ws(' ', name, display_name, nip05, lud16, website, about, raw_json)), q))"
@@ -152,13 +163,11 @@ def _(t):
     return people.merged_search(external, _search(t), 10)
 
 
-@query_of("q11_author_feed", "SELECT id FROM ev WHERE kind IN (1, 6, 16) AND pubkey IN (SELECT followed FROM fe WHERE follower = sha256('u1')) AND created_at < TIMESTAMP '2024-01-25' ORDER BY created_at DESC, id DESC LIMIT 100")
+@query_of("q11_author_feed", "SELECT viewer, id FROM (SELECT fe.follower AS viewer, ev.id, row_number() OVER (PARTITION BY fe.follower ORDER BY created_at DESC, id DESC) AS r FROM ev JOIN fe ON fe.followed = ev.pubkey WHERE kind IN (1, 6, 16) AND created_at < TIMESTAMP '2024-01-25') WHERE r <= 100")
 def _(t):
-    import hashlib
-
-    authors = _follows(t).where(F.col("follower") == hashlib.sha256(b"u1").hexdigest())
-    rows = query.between(query.in_keys(t.events.where("kind IN (1, 6, 16)"), "pubkey", authors, "followed"), None, "2024-01-25")
-    return latest.newest_first(rows, 100).select("id")
+    rows = query.between(t.events.where("kind IN (1, 6, 16)"), None, "2024-01-25").select("id", "pubkey", "created_at")
+    rows = rows.join(_follows(t).select(F.col("follower").alias("viewer"), F.col("followed").alias("pubkey")), "pubkey")
+    return latest.top_per_key(rows, ["viewer"], [F.desc("created_at"), F.desc("id")], 100).select("viewer", "id")
 
 
 @query_of("q12_feed_items", "SELECT ev.id, CASE WHEN ev.kind = 6 THEN 'repost' ELSE 'note' END AS item, o.id AS original_id, o.content AS original_content FROM ev LEFT JOIN ev o ON ev.kind = 6 AND o.id = ev.tags[1][2] WHERE ev.kind IN (1, 6)")
@@ -193,7 +202,7 @@ def _threads(t):
     return graph.expand_threads(_thread_roots(t), t.tags)
 
 
-_EXPAND = "SELECT root_id, event_id, min(level) AS level FROM (WITH RECURSIVE c(root_id, event_id, level) AS (SELECT id, id, 0 FROM ev WHERE kind = 1 AND len(tags) = 0 AND event_id % 40 = 2 UNION SELECT root_id, tg.event_id, level + 1 FROM c JOIN tg ON tg.tag_value = c.event_id AND tag_key = 'e' AND tg.kind IN (1, 1111) WHERE level < 4) SELECT * FROM c) GROUP BY 1, 2"
+_EXPAND = "SELECT root_id, event_id, min(level) AS level FROM (WITH RECURSIVE c(root_id, event_id, level) AS (SELECT id, id, 0 FROM ev WHERE kind = 1 AND len(tags) = 0 UNION SELECT root_id, tg.event_id, level + 1 FROM c JOIN tg ON tg.tag_value = c.event_id AND tag_key = 'e' AND tg.kind IN (1, 1111) WHERE level < 8) SELECT * FROM c) GROUP BY 1, 2"
 
 
 @query_of("q14_threads", "SELECT root_id, event_id, CAST(level AS INT) AS level FROM x WHERE level > 0", ("x", _EXPAND))
@@ -237,6 +246,17 @@ def _(t):
     return _feed(t)
 
 
+@query_of("st10_feed_walker", "SELECT * FROM feed", ("feed", _FEED))
+def _(t):
+    candidates = cut(jobs.notification_candidates(t.tags), "candidates")
+    at = lambda x: F.lit(x.isoformat(" ")).cast("timestamp_ntz")
+    build = lambda start, end: notify.feed(candidates, t.events, t.tags, t.scores, at(start), at(end))
+    base, cursors = new_path(t.spark, "feed"), notify.FeedCursors()
+    for day in (20, 21, 22):  # three ticks: the head moves on, history fills in behind it
+        cursors = notify.walk_feed(build, base, cursors, datetime(2024, 1, day), slice_=timedelta(days=3))
+    return notify.built_feed(t.spark, base, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in build(datetime(2024, 1, 8), datetime(2024, 1, 9)).schema))
+
+
 _WINDOW = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY viewer ORDER BY created_at DESC, event_id DESC, reason) AS w FROM feed) WHERE w <= 200"
 _FIRST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY viewer, reason, actor_pubkey ORDER BY created_at, event_id) AS k FROM win) WHERE reason <> 'follow' OR k = 1"
 _PAGE = "SELECT viewer, event_id, reason, CAST(row_number() OVER (PARTITION BY viewer ORDER BY created_at DESC, event_id DESC, reason) AS INT) AS position FROM one WHERE {} QUALIFY row_number() OVER (PARTITION BY viewer ORDER BY created_at DESC, event_id DESC, reason) <= 20"
@@ -257,14 +277,12 @@ def _(t):
  (SELECT viewer, reason, CASE WHEN reason = 'follow' THEN 'follow' WHEN reason IN ('repost', 'reaction', 'zap') THEN reason || ':' || coalesce(nullif(ev.tags[1][2], ''), 'profile') ELSE 'single:' || cand.event_id END AS item, count(*) AS n, max(cand.created_at) AS last_at, arg_max(cand.event_id, (cand.created_at, cand.event_id)) AS eid FROM cand JOIN ev ON ev.id = cand.event_id GROUP BY 1, 2, 3) g LEFT JOIN fc ON fc.pubkey = viewer QUALIFY row_number() OVER (PARTITION BY viewer ORDER BY last_at DESC, eid DESC, item) <= 50""")
 def _(t):
     first = t.events.select(F.col("id").alias("event_id"), tg.first_value(F.col("tags"), "e").alias("target_id"))
-    return notify.grouped(jobs.notification_candidates(t.tags), first, jobs.follower_counts(jobs.contacts_latest(t.events))).select("viewer", "item", "total", "is_group")
+    return notify.grouped(jobs.notification_candidates(t.tags), first, jobs.follower_counts(t.contacts)).select("viewer", "item", "total", "is_group")
 
 
-@query_of("q20_messages", "SELECT id FROM ev WHERE kind = 4 AND (pubkey = sha256('u3') OR id IN (SELECT event_id FROM tg WHERE kind = 4 AND tag_key = 'p' AND tag_value = sha256('u3'))) ORDER BY created_at DESC, id DESC LIMIT 500")
+@query_of("q20_messages", "SELECT viewer, id FROM (SELECT *, row_number() OVER (PARTITION BY viewer ORDER BY created_at DESC, id DESC) AS r FROM (SELECT pubkey AS viewer, id, created_at FROM ev WHERE kind IN (4, 1059) UNION SELECT tag_value, event_id, created_at FROM tg WHERE kind IN (4, 1059) AND tag_key = 'p')) WHERE r <= 500")
 def _(t):
-    import hashlib
-
-    return people.messages(hashlib.sha256(b"u3").hexdigest(), t.events, t.tags).select("id")
+    return people.messages(t.events, t.tags).select("viewer", "id")
 
 
 @query_of("q21_conversations", "SELECT least(pubkey, tag_value) AS one, greatest(pubkey, tag_value) AS other, event_id AS id, pubkey AS sender FROM tg WHERE kind = 4 AND tag_key = 'p'")
@@ -290,7 +308,7 @@ def _(t):
 
 @query_of("q28_profile_summaries", "SELECT pf.pubkey, name, CAST(coalesce(len(list_distinct(contacts)), 0) AS BIGINT) AS following, CAST(coalesce(st.followers, 0) AS BIGINT) AS followers, f.at AS created_at FROM pf LEFT JOIN st USING (pubkey) LEFT JOIN ct USING (pubkey) JOIN (SELECT pubkey, min(created_at) AS at FROM ev GROUP BY 1) f USING (pubkey)")
 def _(t):
-    return people.profile_summaries(profiles(t.events), t.events, people.follow_counts(jobs.contacts_latest(t.events), _user_stats(t)))
+    return people.profile_summaries(profiles(t.events), t.events, people.follow_counts(t.contacts, _user_stats(t)))
 
 
 @query_of("q29_thread_statistics", "SELECT root_id, count(*) AS events, count(DISTINCT pubkey) AS authors, count(*) FILTER (kind = 1111) AS comments FROM x JOIN ev ON ev.id = x.event_id WHERE level > 0 GROUP BY 1", ("x", _EXPAND))
@@ -447,11 +465,25 @@ _FT = "SELECT realc.event_id, ev.pubkey, ev.kind, ev.created_at, coalesce(lk.lik
 
 @query_of("m9_note_rank_features", "SELECT * FROM ft", ("mv", _MV), ("ft", _FT))
 @query_of("j4_feature_assembly", "SELECT * FROM ft", ("mv", _MV), ("ft", _FT))
-@query_of("st11_rollup_tick", "SELECT * FROM ft", ("mv", _MV), ("ft", _FT))
 def _(t):
     return _features(t).select("event_id", "pubkey", "kind", "created_at", "raw_likes", "raw_sats", "real_likes", "real_reposts", "real_replies", "real_quotes", "real_zap_sats", "real_actors", "author_score", "author_followers", "contribution_quality")
 
 
+@query_of("st11_rollup_tick", "SELECT * FROM ft", ("mv", _MV), ("ft", _FT))
+def _(t):
+    since = t.as_of - F.expr("INTERVAL 10 DAYS")
+    newest = _metrics(t).where("computed_at = 1").select("event_id", "metric", "value")
+    stages = {
+        "edges": lambda d: jobs.reply_edges(t.tags),
+        "targets": lambda d: jobs.engaged_targets(t.tags, t.zaps, since),
+        "engagement": lambda d: jobs.engagement_real(d["targets"], t.tags, t.zaps, d["edges"], t.events, t.scores),
+        "users": lambda d: _user_stats(t),
+        "features": lambda d: jobs.rank_features(d["engagement"], jobs.note_stats(d["targets"].select(F.col("event_id").alias("id")), t.tags, t.zaps, d["edges"]), t.events, t.scores, d["users"], newest),
+    }
+    done = jobs.run_stages(t.spark, stages, new_path(t.spark, "tick"))
+    return done["features"].select("event_id", "pubkey", "kind", "created_at", "raw_likes", "raw_sats", "real_likes", "real_reposts", "real_replies", "real_quotes", "real_zap_sats", "real_actors", "author_score", "author_followers", "contribution_quality")
+
+
 _WEIGHTS = {"likes": 1.0, "replies": 2.0, "reposts": 1.5, "quotes": 1.2, "zap_sats": 0.3, "actors": 0.5, "author_score": 0.02, "quality": 1.0, "recency": 3.0}
 _SCORE = "ln(1.0::DOUBLE + real_likes) + 2.0::DOUBLE * ln(1.0::DOUBLE + real_replies) + 1.5::DOUBLE * ln(1.0::DOUBLE + real_reposts) + 1.2::DOUBLE * ln(1.0::DOUBLE + real_quotes) + 0.3::DOUBLE * ln(1.0::DOUBLE + real_zap_sats) + 0.5::DOUBLE * real_actors + 0.02::DOUBLE * CASE WHEN author_followers >= 2 THEN author_score ELSE 0 END + contribution_quality + 3.0::DOUBLE * pow(0.5::DOUBLE, greatest(epoch(as_of) - epoch(created_at), 0) / 86400.0::DOUBLE)"
 
@@ -485,12 +517,30 @@ def _(t):
     return _weighted(t).select("id", F.round("score", 6).alias("score"))
 
 
-@query_of("r5_boosted", "SELECT id, round(score + CASE WHEN pubkey IN (SELECT followed FROM fe WHERE follower = sha256('u1')) THEN 10 ELSE 0 END, 6) AS score FROM w", ("mv", _MV), ("w", _W3))
+@query_of("r5_boosted", "SELECT fe.follower AS viewer, w.id, round(score + 10, 6) AS score FROM w JOIN fe ON fe.followed = w.pubkey", ("mv", _MV), ("w", _W3))
 def _(t):
-    import hashlib
+    return ranking.boosted_per_viewer(_weighted(t), _follows(t), 10.0).select("viewer", "id", F.round("score", 6).alias("score"))
 
-    mine = _follows(t).where(F.col("follower") == hashlib.sha256(b"u1").hexdigest()).select(F.col("followed").alias("pubkey"))
-    return ranking.boosted(_weighted(t), mine, 10.0).select("id", F.round("score", 6).alias("score"))
+
+_GLOBAL = "ln(1.0::DOUBLE + real_likes) + 0.5::DOUBLE * ln(1.0::DOUBLE + real_replies) + 0.1::DOUBLE * CASE WHEN author_followers >= 2 THEN author_score ELSE 0 END + 2.0::DOUBLE * contribution_quality + 4.0::DOUBLE * pow(0.5::DOUBLE, greatest(epoch(as_of) - epoch(created_at), 0) / 172800.0::DOUBLE)"
+
+
+@query_of("r4_routed_rankings", f"SELECT 'global' AS request, 'features' AS plan, event_id AS id, round({_GLOBAL}, 6) AS score FROM ft, bnd WHERE kind = 1 UNION ALL SELECT 'personal', 'live', id, round(score, 6) FROM w UNION ALL SELECT 'unmapped', 'live', ev.id, round(coalesce(z.c, 0), 6) FROM ev LEFT JOIN (SELECT tag_value AS id, count(DISTINCT pubkey) AS c FROM tg WHERE tag_key = 'e' AND kind = 9735 GROUP BY 1) z USING (id) WHERE ev.kind = 1", ("mv", _MV), ("ft", _FT), ("w", _W3))
+def _(t):
+    shared = tuple(replace(x, min_followers=2) if x.source == "author_score" else x for x in _TERMS)
+    requests = {"global": (shared, True), "personal": (_TERMS, False), "unmapped": ((ranking.Term("references", "zaps", 1.0),), True)}
+    newest = _metrics(t).where("computed_at = 1").select("event_id", "metric", "value")
+    out = None
+    for name, (terms, is_global) in requests.items():
+        plan = ranking.route(terms, is_global)
+        if plan == "features":
+            weights, half, least = ranking.feature_weights(terms)
+            rows = ranking.feature_scores(_features(t).where("kind = 1"), weights, t.as_of, half, least).withColumnRenamed("event_id", "id")
+        else:
+            rows = ranking.weighted_scores(t.events.where("kind = 1").select("id", "pubkey", "created_at"), terms, t.tags, jobs.latest_scores(t.scores), newest, t.as_of)
+        rows = rows.select(F.lit(name).alias("request"), F.lit(plan).alias("plan"), "id", F.round("score", 6).alias("score"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query_of("r6_jittered", "SELECT id, round(score + CAST(CAST('0x' || substr(sha256(id || 'z2'), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 * 0.15, 6) AS score FROM w", ("mv", _MV), ("w", _W3))
@@ -552,7 +602,10 @@ def _(t):
 
 @query_of("st5_exempt_authors", "SELECT pubkey FROM ls WHERE score >= 90 UNION SELECT unnest(contacts) FROM ct WHERE pubkey IN (SELECT pubkey FROM ls WHERE score >= 90)")
 def _(t):
-    return jobs.exempt_authors(jobs.scored_actors(t.scores, 90), jobs.contacts_latest(t.events), t.events)
+    loads = iter([lambda: jobs.exempt_authors(jobs.scored_actors(t.scores, 90), t.contacts, t.events), lambda: t.spark.read.parquet(f"{t.sf_dir}/no-such-table")])
+    exempt = ExemptAuthors(lambda: next(loads)())
+    assert exempt.refresh() and not exempt.refresh()  # the second load fails: the last good copy stays
+    return exempt.copy
 
 
 @query_of("st6_viewer_sightings", "SELECT pubkey, max(created_at) AS last_seen FROM ev WHERE kind IN (3, 7) GROUP BY 1")

@@ -29,9 +29,10 @@ def decode_frames(frames: DataFrame, value: str = "value") -> DataFrame:
 
 
 def shape_problem() -> Column:
-    """Why an event's shape is not acceptable; null if it is."""
+    """Why an event's shape is not acceptable; null if it is. A missing field has length 0."""
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
     return (
-        F.when(F.octet_length("id") != 64, "id").when(F.octet_length("pubkey") != 64, "pubkey").when(F.octet_length("sig") != 128, "sig")
+        F.when(size("id") != 64, "id").when(size("pubkey") != 64, "pubkey").when(size("sig") != 128, "sig")
         .when(F.size("tags") > MAX_TAGS, "tags").when(F.octet_length("content") > MAX_CONTENT, "content")
     )
 
@@ -58,10 +59,20 @@ def with_true_ids(events: DataFrame) -> DataFrame:
     return events.where(F.col("id") == canonical_id("pubkey", seconds, "kind", "tags", "content"))
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """The event log: tags as JSON, partitioned by month, each month's rows together."""
+def write_events(events: DataFrame, path: str, sightings: DataFrame | None = None, mode: str = "append") -> None:
+    """The event log: tags as JSON, first and last sighting, partitioned by month, each month's rows together.
+
+    ``sightings`` are provenance rows (event_id, first_seen_at, last_seen_at); an event without any was seen at its own
+    time. Adaptive execution sizes a month's files, so a busy month spreads over as many tasks as it needs.
+    """
     rows = events.withColumn("tags_json", F.to_json("tags")).withColumn("month", F.date_format("created_at", "yyyy-MM"))
-    rows.repartition("month", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("kind", "created_at", "pubkey", "id").write.mode(mode).partitionBy("month").parquet(path)
+    if sightings is not None:
+        seen = sightings.groupBy(F.col("event_id").alias("id")).agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
+        rows = rows.join(seen, "id", "left")
+    else:
+        rows = rows.withColumn("first_seen_at", F.lit(None).cast("timestamp_ntz")).withColumn("last_seen_at", F.lit(None).cast("timestamp_ntz"))
+    rows = rows.withColumn("first_seen_at", F.coalesce("first_seen_at", "created_at")).withColumn("last_seen_at", F.coalesce("last_seen_at", "created_at"))
+    rows.hint("rebalance", "month").sortWithinPartitions("kind", "created_at", "pubkey", "id").write.mode(mode).partitionBy("month").parquet(path)
 
 
 def flatten_tags(events: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from socialspark.operators import jobs
-from socialspark.sources.ingest import decode_frames, flatten_tags, note_zaps, split_by_shape
+from socialspark.operators.latest import latest
+from socialspark.sources.ingest import decode_frames, flatten_tags, note_zaps, profiles, split_by_shape
+from socialspark.sources.scratch import cut, discard
 
 CAPPED = (1, 6, 16, 1111)
 FRAMES = "relay string, ingest_ts timestamp, value string"
@@ -62,16 +64,21 @@ def seen_once(events: DataFrame, keep: str = "1 hour") -> DataFrame:
     return events.withWatermark("ingest_ts", keep).dropDuplicatesWithinWatermark(["id"])
 
 
-def capped(events: DataFrame, exempt: DataFrame, cap: int) -> DataFrame:
+def capped(events: DataFrame, exempt: DataFrame, cap: int, keep: str = "1 hour") -> DataFrame:
     """Without posts beyond an author's ``cap`` of a UTC day of ingestion; exempt authors and other kinds pass.
 
-    Of a micro-batch the first by (ingest_ts, id) stay; no more than ``cap`` of an author-day are held at once.
+    Of a micro-batch the first by (ingest_ts, id) stay; no more than ``cap`` of an author-day are held at once. A day's
+    counts leave the state when the watermark, ``keep`` behind the newest arrival, has passed its end.
     """
-    flagged = events.join(exempt.select("pubkey").distinct().withColumn("_free", F.lit(True)), "pubkey", "left")
+    free = exempt.select("pubkey").distinct().withColumn("_free", F.lit(True))
+    flagged = events.withWatermark("ingest_ts", keep).join(free, "pubkey", "left")
     flagged = flagged.withColumn("_counts", F.col("kind").isin(*CAPPED) & F.col("_free").isNull()).drop("_free")
     schema = flagged.schema
 
     def step(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         used = state.get[0] if state.exists else 0
         left, n, first = max(cap - used, 0), 0, None
         for rows in frames:
@@ -82,11 +89,48 @@ def capped(events: DataFrame, exempt: DataFrame, cap: int) -> DataFrame:
             if left and counts.any():
                 first = pd.concat([first, rows.loc[counts]]).sort_values(["ingest_ts", "id"], kind="stable").head(left)
         state.update((used + n,))
+        ends = int((pd.Timestamp(key[1], tz="UTC") + pd.Timedelta(days=1)).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         if first is not None:
             yield first[schema.names].reset_index(drop=True)
 
     day = flagged.withColumn("_day", F.to_date("ingest_ts")).groupBy("pubkey", "_day")
-    return day.applyInPandasWithState(step, schema, "used long", "append", GroupStateTimeout.NoTimeout).drop("_counts")
+    return day.applyInPandasWithState(step, schema, "used long", "append", GroupStateTimeout.EventTimeTimeout).drop("_counts")
+
+
+def relay_marks(events: DataFrame, back: str = "5 minutes") -> DataFrame:
+    """(relay, mark, resume_at): each relay's newest event time, without events ahead of their arrival, and where to resume from after a stop."""
+    marks = events.where("NOT ahead").groupBy("relay").agg(F.max("created_at").alias("mark"))
+    return marks.withColumn("resume_at", (F.col("mark") - F.expr(f"INTERVAL {back}")).cast("timestamp_ntz"))
+
+
+def write_table(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for complete mode: each batch's table in a folder of its own; the last one counts."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+class ExemptAuthors:
+    """The exemption set of the cap, refreshed between batches; a load that fails leaves the last good copy in place."""
+
+    def __init__(self, load: Callable[[], DataFrame]):
+        self.load, self.copy, self.error = load, None, None
+
+    def refresh(self) -> bool:
+        try:
+            new = cut(self.load().select("pubkey").distinct(), "exempt-authors")
+        except Exception as e:  # whatever stops a load; kept for the caller to report
+            self.error = e
+            if self.copy is None:
+                raise
+            return False
+        old, self.copy, self.error = self.copy, new, None
+        if old is not None:
+            discard(old)
+        return True
 
 
 def hourly_counts(events: DataFrame) -> DataFrame:
@@ -104,10 +148,23 @@ VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "posts": lambda e: e.where("kind IN (1, 1111)").select("pubkey", "id").distinct(),
     "zaps": note_zaps,
     "contacts": jobs.contacts_latest,
+    "profiles": profiles,
     "candidates": lambda e: jobs.notification_candidates(flatten_tags(e)),
 }
 
 
+#: Views whose newest row of a key counts, over all batches.
+LATEST = {"contacts": "pubkey", "profiles": "pubkey"}
+
+
+def read_view(spark: SparkSession, base: str, name: str, schema: str) -> DataFrame:
+    """A view over all its batches: rows written more than once count once; of a replaceable row the newest version counts, however late it came."""
+    rows = spark.read.option("basePath", f"{base}/{name}").schema(schema).parquet(f"{base}/{name}/batch=*").drop("batch")
+    if name in LATEST:
+        return latest(rows, [LATEST[name]], [F.desc("created_at"), F.desc("event_id")])
+    return rows.distinct()
+
+
 def write_views(base: str, names: tuple[str, ...] = tuple(VIEWS)) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: each view's rows of a batch go to a folder of that batch, replaced if it is repeated."""
 
