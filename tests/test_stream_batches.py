@@ -1,7 +1,5 @@
 """Streams of many micro-batches give what one batch gives."""
 
-from functools import partial
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture
 def one_file_a_batch(spark, monkeypatch):
-    monkeypatch.setattr(backfill.st, "read_folder", partial(backfill.st.read_folder, files_per_batch=1))
+    read = backfill.st.read_folder
+    monkeypatch.setattr(backfill.st, "read_folder", lambda spark, path, files_per_batch: read(spark, path, 1))
     several_files = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     for name, value in several_files.items():
         spark.conf.set(name, value)
