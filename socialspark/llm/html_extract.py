@@ -9,8 +9,8 @@ The labeller is trained here, once a process, on generated pages whose blocks ar
 same weights each time), and is sent to the tasks. Pages are batched by length inside a task; every
 page goes through whole.
 
-Text of script, style and similar elements and comments is never a block. Character references are
-decoded, white space inside a block becomes one space, blocks are joined by one line break.
+Text of script, style, textarea and iframe elements and comments is never a block; formulas, drawings and
+the like are text as any other. Character references are decoded, white space inside a block becomes one space, blocks are joined by one line break.
 
 Defined cases: null, empty or tag-free html works like any other (no blocks give an empty text); repeated
 rows are handled one by one; null url and page_id pass through; an empty table gives an empty result;
@@ -20,9 +20,11 @@ other columns are not read.
 from __future__ import annotations
 
 import html as html_lib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 #: Elements that part blocks.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose content is not text of the page.
-RAW = frozenset("script style noscript template textarea iframe svg math object".split())
+RAW = frozenset("script style textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the key ends an open element of the value.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -59,6 +61,12 @@ def leaf_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = pos = 0
+    opened: Counter[str] = Counter()  # open elements by tag, so that what is not open is not looked for
+    last = page.rfind(">")  # no tag ends after it, so nothing is searched there
+
+    def drop(k: int) -> None:
+        opened.subtract(t for t, _ in stack[k:])
+        del stack[k:]
 
     def flush() -> None:
         nonlocal linked
@@ -72,11 +80,11 @@ def leaf_blocks(page: str) -> list[Block]:
 
     size = len(page)
     while pos < size:
-        m = _TAG.search(page, pos)
+        m = _TAG.search(page, pos) if pos <= last else None
         raw = page[pos : m.start()] if m else page[pos:]
         if raw:
             parts.append(raw)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 linked += len(raw)
         if not m:
             break
@@ -88,9 +96,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if closing:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    drop(k)
                     break
             continue
         attrs = m[3] if m[2] else m[6]
@@ -102,15 +110,17 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
+            if opened["svg"] or opened["math"]:  # a block ends an open drawing or formula
+                drop(next(k for k, (t, _) in enumerate(stack) if t in ("svg", "math")))
+            for k in range(len(stack) - 1, -1, -1) if opened["p"] else ():
                 if stack[k][0] == "p":  # a block ends an open paragraph
-                    del stack[k:]
+                    drop(k)
                     break
                 if stack[k][0] in BLOCK:
                     break
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _CLOSES.get(tag, ()):
-                    del stack[k:]
+            for k in range(len(stack) - 1, -1, -1) if tag in _CLOSES else ():
+                if stack[k][0] in _CLOSES[tag]:
+                    drop(k)
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
                     break
@@ -119,6 +129,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag not in VOID:
             names = tuple("." + w.lower() for n in _NAMES.findall(attrs) for w in _WORD.findall(n[0] or n[1] or n[2])) if attrs else ()
             stack.append((tag, names))
+            opened[tag] += 1
     flush()
     return out
 
@@ -135,17 +146,17 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         for part in b.path:
             x[k, _bucket(part, PATHS)] = 1
         words = b.text.split(" ")
-        places = [_bucket(w, WORDS) for w in words if len(w) < 64]
+        places = [_bucket(w, WORDS) for w in words]
         x[k, PATHS : PATHS + WORDS] = np.bincount(places, minlength=WORDS) / len(words)
         e = x[k, PATHS + WORDS :]
         size = len(b.text)
-        e[0] = min(len(words), 400) ** 0.5 / 10
+        e[0] = math.log1p(len(words)) / 4
         e[1] = min(b.linked / size, 1)
         e[2] = b.text[-1] in ".!?…"
         e[3] = len(b.path) / 10
         e[4] = k / len(blocks)
         e[5] = b.path[-1:] == ("p",)
-        e[6] = sum(map(str.isdigit, b.text[:200])) / min(size, 200)
+        e[6] = sum(map(str.isdigit, b.text)) / size
         e[7] = 1
     return x
 
@@ -303,7 +314,7 @@ def training_page(r: random.Random) -> str:
     if r.random() < 0.4:
         before.append(f"<header{attr('header', 'masthead')}>{r.choice((menu(), phrase(1, 5), '<h2>' + phrase(1, 4) + '</h2>' + menu()))}</header>")
     after = [f() for f in (comments, sidebar, advert, notice, menu, form) if r.random() < 0.3]
-    foot = r.choice(("&copy; ", "")) + word() + ".example.com &middot; " + sentence(3, 14)
+    foot = r.choice(("&copy; ", "Copyright ", "")) + phrase(1, 3) + r.choice((".example.com", ".org", " Ltd", "")) + r.choice((" &middot; ", " | ", " - ", " ")) + sentence(3, 14)
     if r.random() < 0.85:
         after.append(f"<footer{attr('footer')}>{r.choice((foot, '<p>' + foot + '</p>'))}</footer>" if r.random() < 0.75 else f"<div{named('footer', 'copyright', 'legal')}>{foot}</div>")
     if r.random() < 0.7:
