@@ -6,11 +6,13 @@ Blocks of ``block`` words are then allocated to sources by the highest quotients
 within a source to its shards in the same way; each shard's documents, in the order of a seeded hash,
 form a tape of blocks, read from its start and again from its start, until the shard's quota is met.
 
-Sources with any share of the rows are cut to shards of about ``shard_docs`` documents (``shards`` at
-most per source), so no task gets a source as a whole. Seats are not handed out one by one: every
+Sources with any share of the rows are cut to shards of about ``shard_docs`` documents; beyond ``shards``
+per source they hold more, up to ``most_docs``, and from there on their number grows with the source. So no
+task gets a source as a whole. Seats are not handed out one by one: every
 quotient's rank is within a few seats of target / block, so only those few are ranked.
 
-Defined cases: null text has size 0; null is a source of its own, after all others; sources of size 0
+Defined cases: null text has size 0; in :func:`apply_mix` documents of size 0 take no words and
+leave, null doc_ids are ids like others; null is a source of its own, after all others; sources of size 0
 get target 0; rows that repeat a doc_id are separate documents (ties in the hash go by size, and equal
 rows get equal shares or one more block than their twin); an empty table gives an empty result.
 """
@@ -71,7 +73,7 @@ def apportion(parties: DataFrame, within: list[str], key: list[str], seats: str,
     return won.select(*names, (F.col("_base") + F.col("_extra")).alias(out))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 16, seed: int = 7, shard_docs: int = 64, shards: int = 4096, keep: dict[str, Column] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = 16, seed: int = 7, shard_docs: int = 64, shards: int = 4096, most_docs: int = 1_000_000, keep: dict[str, Column] | None = None) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, taken (words the mix takes, repeats counted).
 
     ``keep`` adds columns computed from ``docs``; they also end ties on the tape.
@@ -80,7 +82,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count("text").alias("size"), *[c.alias(name) for name, c in (keep or {}).items()])
     sizes = cut(slim.withColumn("mark", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix-sizes")
     goal = targets(sizes, weights, share, most)
-    goal = goal.withColumn("n_shards", F.least(F.lit(shards), F.ceil(F.col("n_docs") / shard_docs)).cast("int"))
+    goal = goal.withColumn("n_shards", F.least(F.greatest(F.lit(shards), F.ceil(F.col("n_docs") / most_docs)), F.ceil(F.col("n_docs") / shard_docs)).cast("int"))
     total = goal.withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long"))
     quota = apportion(total, [], ["source"], "blocks", "target", "source_blocks")
     goal = cut(goal.alias("g").join(quota.alias("q"), F.col("g.source").eqNullSafe(F.col("q.source")), "left").select("g.*", F.coalesce("q.source_blocks", F.lit(0)).cast("long").alias("source_blocks")), "mix-goals")
