@@ -9,8 +9,8 @@ function decodes every named and numeric one inside the tasks. Nothing is shuffl
 
 The SQL twin decodes the nine references of ``REFERENCES`` only, ended by a semicolon; on pages with others it differs.
 
-Files: ``write_warc`` writes uncompressed records ended by two line breaks, ``read_warc`` splits at the
-version line and marks a record ``well_formed`` only if its block has the stated length.
+Files: ``write_warc`` writes uncompressed records ended by two line breaks; ``read_warc`` walks plain or gzip
+files by Content-Length and marks a record complete only if its block has the stated length.
 
 Defined cases: a null body is an empty block; a null URL leaves the target header out and target_uri
 null; line breaks in a URL become %0D / %0A; records that are not well formed or not responses give no
@@ -21,6 +21,8 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -109,7 +111,8 @@ def _header(lines: Column, name: str) -> Column:
 def responses(records: DataFrame) -> DataFrame:
     """Parsed records: type, record_id, target_uri, date, payload_digest, page_id, status, content_type, body, http_headers, well_formed."""
     cut = F.instr("record", BLANK)
-    df = records.select("record", F.split(F.substring(F.col("record"), F.lit(1), cut - 1), CRLF).alias("h"), F.substring(F.col("record"), cut + 4, F.lit(1 << 30)).alias("block"))
+    stated = F.col("complete") if "complete" in records.columns else F.lit(None).cast("boolean")  # the reader's judgement, by bytes
+    df = records.select("record", stated.alias("complete"), F.split(F.substring(F.col("record"), F.lit(1), cut - 1), CRLF).alias("h"), F.substring(F.col("record"), cut + 4, F.lit(1 << 30)).alias("block"))
     df = df.withColumn("body_at", F.instr("block", BLANK))
     http = F.split(F.when(F.col("body_at") > 0, F.substring(F.col("block"), F.lit(1), F.col("body_at") - 1)).otherwise(F.col("block")), CRLF)
     df = df.withColumn("http", http)
@@ -121,7 +124,7 @@ def responses(records: DataFrame) -> DataFrame:
         F.regexp_extract(F.get("http", F.lit(0)), r"^HTTP/\S+ (\d{3})", 1).alias("status"), _header(F.col("http"), "Content-Type").alias("content_type"),
         F.when(F.col("body_at") > 0, F.substring(F.col("block"), F.col("body_at") + 4, F.lit(1 << 30))).otherwise(F.lit("")).alias("body"),
         F.array_join(F.slice("http", 2, 1 << 30), CRLF).alias("http_headers"),
-        F.coalesce(F.get("h", F.lit(0)).rlike(r"^WARC/1\.[01]$") & (length == F.octet_length("block")), F.lit(False)).alias("well_formed"),
+        F.coalesce(F.get("h", F.lit(0)).rlike(r"^WARC/1\.[01]$") & F.coalesce("complete", length == F.octet_length("block")), F.lit(False)).alias("well_formed"),
     )
 
 
@@ -150,11 +153,68 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select("record").write.option("lineSep", BLANK).text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of uncompressed WARC files, each starting with its version line."""
-    rows = spark.read.option("lineSep", BLANK + VERSION + CRLF).text(path)
-    body = F.when(F.col("value").endswith(BLANK), F.expr("substring(value, 1, char_length(value) - 4)")).otherwise(F.col("value"))
-    return rows.select(F.when(body.startswith(VERSION + CRLF), body).otherwise(F.concat(F.lit(VERSION + CRLF), body)).alias("record"))
+_LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)[ \t]*\r?$", re.I | re.M)
+
+
+def _unzipped(raw: bytes) -> bytes:
+    """The joined members of a gzip file (one a record, as crawlers write them), or the bytes themselves; a torn last member gives what it holds."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out, rest = [], raw
+    while rest[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        try:
+            out.append(z.decompress(rest) + z.flush())
+        except zlib.error:
+            break
+        rest = z.unused_data
+    return b"".join(out)
+
+
+def split_records(raw: bytes) -> Iterator[tuple[bytes, bool]]:
+    """(record, complete) of a WARC file, walked by Content-Length; after bytes that are no record, on from the next version line.
+
+    A record is complete if its block has the stated number of bytes; what a block holds, blank lines and version lines too, parts nothing.
+    """
+    at = 0
+    while at < len(raw):
+        if raw[at : at + 2] == b"\r\n":  # between records
+            at += 2
+            continue
+        head = raw.find(b"\r\n\r\n", at)
+        stated = _LENGTH.search(raw, at, head + 2) if head >= 0 and raw[at : at + 7] == b"WARC/1." else None
+        end = head + 4 + int(stated[1]) if stated else -1
+        if stated and end <= len(raw) and (end == len(raw) or raw[end : end + 2] == b"\r\n"):
+            yield raw[at:end], True
+        else:
+            end = raw.find(b"\r\n\r\nWARC/1.", at + 1)
+            end = len(raw) if end < 0 else end
+            yield raw[at:end], False
+        at = end
+
+
+def read_warc(spark: SparkSession, path: str, step: int = 16 << 20) -> DataFrame:
+    """(record, complete): the records of WARC 1.0 and 1.1 files, plain or gzip by member. Bytes that are not UTF-8 become U+FFFD.
+
+    A task holds one file at a time (2 GB at most, Spark's bound for a file as a row), and gives its records on in steps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                rows: list[str] = []
+                whole: list[bool] = []
+                size = 0
+                for record, complete in split_records(_unzipped(content.as_py() or b"")):
+                    rows.append(record.decode("utf-8", "replace"))
+                    whole.append(complete)
+                    size += len(record)
+                    if size >= step:
+                        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(whole, pa.bool_())], names=["record", "complete"])
+                        rows, whole, size = [], [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(whole, pa.bool_())], names=["record", "complete"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "record string, complete boolean")
 
 
 def _sql_text(x: str) -> str:
