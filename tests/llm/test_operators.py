@@ -277,7 +277,7 @@ def test_propagation_equals_power_iteration(spark):
 
     links = [("a", "b", 2), ("a", "c", 1), ("b", "c", 1), ("c", "a", 1), ("d", "a", 3)]
     seeds = [("a", 1.0, 0.0), ("b", 0.0, 0.5), ("c", 0.0, 1.0), ("d", 0.0, 0.0)]
-    got = {r.host: (r.trust, r.distrust) for r in url_trust.propagate(spark.createDataFrame(seeds, "host string, trust double, distrust double"), spark.createDataFrame(links, "src string, dst string, n long"), rounds=150, tolerance=1e-12).collect()}
+    got = {r.host: (r.trust, r.distrust) for r in url_trust.propagate(spark.createDataFrame(seeds, "host string, trust double, distrust double"), spark.createDataFrame(links, "src string, dst string, n long"), tolerance=1e-9).collect()}
     m = np.zeros((4, 4))
     for s, d, n in links:
         m["abcd".index(s), "abcd".index(d)] = n
@@ -300,8 +300,9 @@ def test_warc_round_trip(spark, tmp_path):
     assert d[1, "conversion"].content == "T\nA & B" and d[1, "conversion"].refers_to == d[1, "metadata"].refers_to
     assert d[2, "conversion"].content == "" and d[2, "conversion"].target_uri is None
     assert warc.responses(warc.derivatives(back).select("record")).where("NOT well_formed").count() == 0
-    cut = back.withColumn("record", F.substring("record", 1, 400))
-    assert warc.derivatives(cut).count() == 0
+    for size in (300, 120, 5):  # in the block, in the header, in the version line
+        cut = back.select(F.substring("record", 1, size).alias("record")).where("octet_length(record) = " + str(size))
+        assert cut.count() == 2 and warc.derivatives(cut).count() == 0
 
 
 def test_empty_tables(spark):
