@@ -1,4 +1,11 @@
-"""Corpus preparation in stages; each stage's result is written and read again as the next one's documents."""
+"""Corpus preparation in stages; each stage's result is written and read again as the next one's documents.
+
+Defined cases, of all stages: only ``COLUMNS`` go on, so further columns with any name do no harm; null doc_ids are
+documents of their own and stay with every row until the end; null and empty texts are judged by the classifier like
+others, are near copies of nothing, hold no benchmark passage, and leave at the mix, which takes no word of them; rows
+that repeat a doc_id are judged one by one, of rows that repeat a whole text one group is kept; ties end on the smaller
+doc_id; an empty table gives an empty table of tokens.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from socialspark.llm import decontaminate, minhash_dedup, quality_qda, source_mix, token_output
-from socialspark.sources.scratch import cut
+from socialspark.sources.scratch import cut, discard
 from socialspark.sources.tables import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,5 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        kept = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(docs)  # the stage before; the given table is left alone
+        docs = kept
+    out = STAGES[-1][1](spark, docs, sf_dir)  # written, and read back from its own files
+    discard(docs)
+    return out
