@@ -11,6 +11,7 @@ from corpus_pipeline import END_ID, tokenizer_path
 from socialspark.llm import decontaminate, exact_dedup, html_extract, minhash_dedup, quality_qda, source_mix, suffix_dedup, token_output, url_trust, warc
 from socialspark.sources.tables import table
 
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
