@@ -6,8 +6,8 @@ file's number), shard_start (ids of the shard's documents before this one), n_to
 parameters, and the writer adds column and offset indexes, so a reader of doc_id and n_tokens touches
 no token page and a doc_id range touches only its own pages.
 
-Defined cases: a null or empty text is the end id alone; rows with equal doc_id are ordered by text,
-nulls first; null doc_ids come first; an empty table gives an empty folder with the schema; other
+Defined cases: a null or empty text is the end id alone; rows with equal doc_id are ordered by the
+64-bit hash of their text (equal rows are alike, so their order says nothing); null doc_ids come first; an empty table gives an empty folder with the schema; other
 columns are not read. Added tokens that occur in a text are taken as the tokenizer file defines them.
 """
 
@@ -126,7 +126,11 @@ def _texts(column: pa.Array, step: int = 1 << 20) -> Iterator[tuple[int, list[st
 
 
 def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: int = 800_000) -> DataFrame:
-    """Documents in ascending doc_id order over range partitions, encoded: the rows of the format."""
+    """Documents in ascending doc_id order over range partitions, encoded: the rows of the format.
+
+    Below doc_id the ranges go by the text's hash and the row's place, so that the rows of one doc_id, or of one
+    doc_id with one text, spread over as many tasks as they need.
+    """
     arrow = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +151,8 @@ def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: in
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
+    keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("place"))
+    return keyed.repartitionByRange("doc_id", "text_hash", "place").sortWithinPartitions("doc_id", "text_hash", "place").select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def write_tokens(rows: DataFrame, path: str, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:

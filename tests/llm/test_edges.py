@@ -98,6 +98,22 @@ def test_every_suffix_finds_its_longest_match(spark):
 # -- tokens ---------------------------------------------------------------------------------------
 
 
+def test_one_repeated_doc_id_spreads_over_tasks(spark):
+    docs = spark.range(0, 4000, 1, 4).selectExpr("CAST(NULL AS LONG) AS doc_id", "IF(id % 2 = 0, 'same text', 'text ' || id) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few bytes are one task's
+    try:
+        out = token_output.encode_sorted(docs, registry.tokenizer_path(), 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = {}
+    for r in out:
+        shards.setdefault(r.shard, []).append(r)
+    assert len(out) == 4000 and len(shards) > 1 and max(map(len, shards.values())) < 3000
+    for own in shards.values():
+        own.sort(key=lambda r: r.shard_start)
+        assert [r.shard_start for r in own] == np.concatenate([[0], np.cumsum([r.n_tokens for r in own])[:-1]]).tolist()
+
+
 def layout(folder):
     import glob
 
