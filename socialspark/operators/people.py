@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.functions.tags import TagPredicate, relationship, refs, relay_list
@@ -38,9 +38,11 @@ def relationships(pairs: DataFrame, follows: DataFrame) -> DataFrame:
 
 
 def search_profiles(queries: DataFrame, profiles: DataFrame, limit: int = 10, block: int = 1000) -> DataFrame:
-    """(query, pubkey, relevance, position): profiles that hold a query of three characters or more, by tier.
+    """(query, pubkey, relevance, position): profiles that hold a query of three bytes or more, by tier.
 
-    ``queries`` is a stated set, sent to all profiles in blocks of about ``block``; a query that is a key finds its profile alone.
+    ``queries`` is a stated set, sent to all profiles in blocks of about ``block``; a query that is a key finds its
+    profile too. Profiles and queries meet on the query's first three characters (all of a shorter one) by an equality
+    join, and only what meets is searched for the whole query.
     """
     q = cut(queries.select(F.trim("query").alias("query")).where(F.octet_length("query") >= 3).distinct(), "search-queries")
     blocks = max(-(-q.count() // block), 1)
@@ -48,14 +50,24 @@ def search_profiles(queries: DataFrame, profiles: DataFrame, limit: int = 10, bl
     return reduce(DataFrame.unionByName, parts)
 
 
+def _grams(text: Column) -> Column:
+    """The distinct strings of 1 to 3 characters in ``text`` that have three bytes or more, as every query's start has."""
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - k + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(k)))
+    return F.array_distinct(F.concat(of(3), *[F.filter(of(k), lambda g: F.octet_length(g) >= 3) for k in (1, 2)]))
+
+
 def _search_block(queries: DataFrame, profiles: DataFrame, limit: int) -> DataFrame:
-    q = F.broadcast(queries)
-    low = F.lower("query")
-    j = profiles.join(q, F.col("query").rlike("^[0-9a-f]{64}$") & (F.col("pubkey") == F.col("query")) | F.contains(F.lower(F.concat_ws(" ", "name", "display_name", "nip05", "lud16", "website", "about", "raw_json")), low))
+    q = queries.select("query", F.lower("query").alias("low"), F.substring(F.lower("query"), 1, 3).alias("gram"))
+    low, text = F.col("low"), F.lower(F.concat_ws(" ", "name", "display_name", "nip05", "lud16", "website", "about", "raw_json"))
+    fields = ["pubkey", "created_at", *dict.fromkeys(f for _, _, f in TIERS), "query", "low"]
+    holds = F.contains("text", low)
+    found = profiles.withColumn("text", text).withColumn("gram", F.explode(_grams(F.col("text")))).join(F.broadcast(q), "gram").where(holds).select(*fields)
+    keys = q.where(F.col("query").rlike("^[0-9a-f]{64}$"))
+    keyed = profiles.withColumn("text", text).join(F.broadcast(keys), F.col("pubkey") == F.col("query")).where(~holds).select(*fields)
     tests = {"is": lambda f: F.lower(f) == low, "starts": lambda f: F.startswith(F.lower(f), low), "has": lambda f: F.contains(F.lower(f), low)}
     key = F.when(F.col("pubkey") == F.col("query"), F.lit(100.0)).otherwise(F.lit(0.0))
     score = F.greatest(key, *[F.when(tests[how](F.col(f)), F.lit(float(s))).otherwise(F.lit(0.0)) for s, how, f in TIERS])
-    scored = j.withColumn("relevance", score)
+    scored = found.unionByName(keyed).withColumn("relevance", score)
     return top_per_key(scored, ["query"], [F.desc("relevance"), F.desc("created_at"), F.asc("pubkey")], limit, name="position").select("query", "pubkey", "relevance", "position")
 
 

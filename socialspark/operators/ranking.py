@@ -130,13 +130,14 @@ def jittered(scored: DataFrame, seed: str, counter: int, strength: float = 0.15)
 def per_viewer(pool: DataFrame, follows: DataFrame, weight: float, n: int) -> DataFrame:
     """(viewer, id, rank) from a pool shared by all viewers: those followed are boosted, then the best ``n`` of each viewer.
 
-    A viewer's own boosts are the only rows that differ from the pool's order, so every viewer takes the
-    pool's first n and its boosted rows; the pool is bounded, viewers are not.
+    Only a viewer's boosts (``weight`` of 0 or more) differ from the pool's order, so its best are among those and the
+    pool's first n. The first n are one scalar that every row reads; the shuffle carries follow edges and boosted rows,
+    of which a viewer has no more than the bounded pool has rows. Ties go to the newer row, then the greater id.
     """
-    base = pool.orderBy(F.desc("score"), F.desc("created_at"), F.desc("id")).limit(n).select("id", "score", "created_at", "pubkey")
-    viewers = follows.select("follower").distinct()
-    mine = pool.join(follows, pool["pubkey"] == follows["followed"]).select(F.col("follower").alias("viewer"), "id", (F.col("score") + F.lit(float(weight))).alias("score"), "created_at")
-    shared = viewers.crossJoin(F.broadcast(base)).select(F.col("follower").alias("viewer"), "id", "score", "created_at")  # n rows at most on the broadcast side
-    best = mine.unionByName(shared).groupBy("viewer", "id").agg(F.max("score").alias("score"), F.max("created_at").alias("created_at"))
-    w = Window.partitionBy("viewer").orderBy(F.desc("score"), F.desc("created_at"), F.desc("id"))
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("viewer", "id", "rank")
+    entry = lambda score: F.struct(score.cast("double").alias("score"), "created_at", "id")
+    first = pool.orderBy(F.desc("score"), F.desc("created_at"), F.desc("id")).limit(n).agg(F.collect_list(entry(F.col("score"))).alias("first")).scalar()
+    rows = pool.select("pubkey", entry(F.col("score") + F.lit(float(weight))).alias("mine"))
+    own = follows.select(F.col("follower").alias("viewer"), F.col("followed").alias("pubkey")).join(rows, "pubkey", "left").groupBy("viewer").agg(F.collect_set("mine").alias("mine"))
+    shared = F.filter(F.col("shared"), lambda r: ~F.exists("mine", lambda m: m["id"] == r["id"]))
+    best = own.withColumn("shared", first).select("viewer", F.slice(F.sort_array(F.concat("mine", shared), asc=False), 1, n).alias("best"))
+    return best.select("viewer", F.posexplode("best")).select("viewer", F.col("col.id").alias("id"), (F.col("pos") + 1).alias("rank"))

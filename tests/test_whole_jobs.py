@@ -6,7 +6,7 @@ from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
-from socialspark.operators import graph, people
+from socialspark.operators import graph, people, ranking
 from socialspark.plans import social
 
 START = datetime(2024, 1, 1)
@@ -57,3 +57,25 @@ def test_search_answers_every_query(spark):
     profiles = spark.createDataFrame([(f"p{n}", n, "", "", "", "", "", "", START) for n in names], columns)
     got = people.search_profiles(spark.createDataFrame([(n,) for n in names], "query string"), profiles).collect()
     assert sorted((r.query, r.pubkey, r.position) for r in got) == [(n, f"p{n}", 1) for n in names]
+
+
+def test_search_equals_a_scan_of_all_pairs(spark):
+    key = "ab" * 32
+    columns = "pubkey string, name string, display_name string, nip05 string, lud16 string, website string, about string, raw_json string, created_at timestamp_ntz"
+    people_rows = [("p1", "Ada Lovelace", None, "", "", "", "an about", "", START), ("p2", "\u65e5\u672c", "ADA", None, "", "", "", "{}", START), (key, "x", "", "", "", "", "", "", START), ("p3", None, None, None, None, None, None, None, START), ("p4", "\u00e9a \u65e5", "", "", "", "", "has " + key, "", START), (None, "lace", "", "", "", "", "", "", START)]
+    queries = ["ada", "LACE", "\u65e5", "\u00e9a", "ab", "an about", key, "zzz", None, " ada "]
+    got = {(r.query, r.pubkey) for r in people.search_profiles(spark.createDataFrame([(x,) for x in queries], "query string"), spark.createDataFrame(people_rows, columns)).collect()}
+    want = {(q.strip(), p[0]) for q in queries if q and len(q.strip().encode()) >= 3 for p in people_rows if q.strip().lower() in " ".join(f for f in p[1:8] if f is not None).lower() or p[0] == q}
+    assert got == want
+
+
+def test_viewers_take_their_boosts_and_the_shared_first_rows(spark):
+    pool = [(f"n{i}", START, f"a{i % 4}", float(i // 2)) for i in range(12)]
+    follows = [("v1", "a0"), ("v1", "a0"), ("v2", "a3"), ("v2", "nobody"), ("v3", "nobody"), (None, "a1")]
+    got = {tuple(r) for r in ranking.per_viewer(spark.createDataFrame(pool, "id string, created_at timestamp_ntz, pubkey string, score double"), spark.createDataFrame(follows, "follower string, followed string"), 3.0, 5).collect()}
+    want = set()
+    for v in {f for f, _ in follows}:
+        mine = {a for f, a in follows if f == v}
+        order = sorted(((s + 3.0 * (a in mine), at, i) for i, at, a, s in pool), reverse=True)
+        want |= {(v, i, k) for k, (_, _, i) in enumerate(order[:5], 1)}
+    assert got == want
