@@ -199,7 +199,12 @@ def _(t):
     return _views(t, ("events", "likes", "contacts", "profiles"), 3, dedup=False, late=True)
 
 
-@query_of("st9_stream_annotations")
+_TOK9 = "SELECT id, pubkey, content AS text, lower(content) AS low, list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{Nd}]+'), lambda x: strlen(x) >= 2) AS tok FROM ev WHERE event_id % 50 < 48 AND kind IN (1, 1111) AND len(list_filter(tags, lambda t: lower(t[1]) = 'e' AND len(t) >= 2)) > 0"
+_EACH = ("SELECT id AS event_id, 'contribution_quality' AS metric, round(greatest(least(rel * 0.25 + inf * 0.35 + nov * 0.15 + con * 0.25, 1), 0), 6) AS value FROM ql3 UNION ALL SELECT id, 'reply_relevance', round(rel, 6) FROM ql3 "
+         "UNION ALL SELECT id, 'reply_informativeness', round(inf, 6) FROM ql3 UNION ALL SELECT id, 'reply_novelty', round(nov, 6) FROM ql3 UNION ALL SELECT id, 'reply_constructiveness', round(con, 6) FROM ql3")
+
+
+@query_of("st9_stream_annotations", _EACH, ("tok", _TOK9), *_QL[1:])
 def _(t):
     def run(frames, base):
         events = st.seen_once(st.valid_events(frames))
