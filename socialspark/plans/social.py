@@ -214,7 +214,8 @@ def _(t):
 def _(t):
     roots, e, likes = _thread_roots(t), _edges(t), jobs.like_counts(t.tags)
     threads = latest.ranked(cut(_threads(t), "threads"), ["root_id"], [F.asc("level"), F.asc("event_id")], "place")
-    ranked = latest.ranked(graph.ranked_replies(e, likes, "likes").withColumnsRenamed({"parent_id": "root_id", "child_id": "event_id"}), ["root_id"], [F.desc("position")], "recency")
+    ranked = graph.ranked_replies(e, likes, "likes").join(e.select("parent_id", "child_id", (-tx.unix(F.col("created_at"))).alias("recency")), ["parent_id", "child_id"])
+    ranked = ranked.withColumnsRenamed({"parent_id": "root_id", "child_id": "event_id"})
     f = _follows(t)
     followed = graph.best_followed_reply(roots.select(F.col("pubkey").alias("viewer"), F.col("id").alias("parent_id")), e, f, likes).select(F.col("parent_id").alias("root_id"), F.col("child_id").alias("event_id"))
     return graph.thread_order(threads, graph.authored_chain(roots, e), followed, ranked)
