@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from corpus_pipeline import END_ID, tokenizer_path
-from socialspark.llm import decontaminate, exact_dedup, html_extract, minhash_dedup, quality_qda, source_mix, suffix_dedup, token_output, url_trust, warc
+from socialspark.llm import decontaminate, exact_dedup, html_extract, minhash_dedup, pii, quality_qda, source_mix, suffix_dedup, token_output, url_trust, warc
 from socialspark.sources.tables import table
 
 
@@ -55,13 +55,17 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_decontaminate": decontaminate.SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op7_warc_derivatives": warc.SQL, "op9_minhash_near_dedup": minhash_dedup.SQL}
+    sql = {"op1_decontaminate": decontaminate.SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op7_warc_derivatives": warc.SQL, "op9_minhash_near_dedup": minhash_dedup.SQL, "op13_pii": pii.SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
