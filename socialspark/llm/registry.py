@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from corpus_pipeline import END_ID, tokenizer_path
-from socialspark.llm import decontaminate, exact_dedup, html_extract, minhash_dedup, pii, quality_qda, source_mix, suffix_dedup, token_output, url_trust, warc
+from socialspark.llm import decontaminate, exact_dedup, html_extract, minhash_dedup, pii, quality_qda, source_mix, suffix_dedup, token_output, url_trust, warc, whitening
 from socialspark.sources.tables import table
 
 
@@ -55,6 +55,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
