@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from corpus_pipeline import END_ID, tokenizer_path
-from socialspark.llm import decontaminate, exact_dedup, html_extract, minhash_dedup, pii, quality_qda, source_mix, suffix_dedup, token_output, url_trust, warc, whitening
+from socialspark.llm import decontaminate, exact_dedup, filter_audit, html_extract, minhash_dedup, pii, quality_qda, source_mix, suffix_dedup, token_output, url_trust, warc, whitening
 from socialspark.sources.tables import table
 
 
@@ -55,6 +55,10 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("deviation_exact")
 
@@ -69,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op1_decontaminate": decontaminate.SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op7_warc_derivatives": warc.SQL, "op9_minhash_near_dedup": minhash_dedup.SQL, "op13_pii": pii.SQL}
+    sql = {"op1_decontaminate": decontaminate.SQL, "op5_exact_dedup": exact_dedup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op7_warc_derivatives": warc.SQL, "op9_minhash_near_dedup": minhash_dedup.SQL, "op11_filter_audit": filter_audit.SQL, "op13_pii": pii.SQL}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
