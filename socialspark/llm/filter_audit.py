@@ -1,11 +1,11 @@
 """Audit of five filters in every order, over a sparse document-term matrix.
 
-Tasks cut texts into blocks of about 8 MB and write a block as one CSR shard with words numbered inside the block, its
-distinct words, and what the other filters need. The distinct words of all blocks get global numbers (a written
-dictionary); each block's list of (own number, global number) meets its shard again, which is then a shard of the global
-matrix: row sums are words, nonzero entries distinct words. So what is shuffled are a block's distinct words, never
-texts. Flags become one mask of five bits for each document, masks are counted by part, and the 120 orders are worked out
-from the 32 counts of a part.
+Tasks cut texts into blocks of about 4 MB and write a block as one CSR shard with words numbered inside the block, its
+distinct words dealt to buckets by hash, and what the other filters need. A bucket's words of all blocks meet in one task,
+which numbers them as they pass (it holds the bucket's distinct words, not their blocks); each block's numbers then meet
+its shard again, which is now a shard of the global matrix: row sums are words, nonzero entries distinct words. So what
+is shuffled are a block's distinct words and its shard in short form, never texts. Flags become one mask of five bits for
+each document, masks are counted by part, and the 120 orders are worked out from the 32 counts of a part.
 
 Failures: A under 200 words; B 100 x distinct words < 50 x words; C 100 x capitals A-Z > 2 x code points; D holds one
 of ``#$%&*|``; E equals the text of a smaller doc_id. Words are runs without ASCII white space, case-sensitive.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import permutations
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +38,71 @@ LEAST_WORDS = 200
 LEAST_DISTINCT = 50  # percent of the words
 MOST_CAPITALS = 2  # percent of the code points
 SIGNS = b"#$%&*|"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 LONG_WORD = 256
+BUCKETS = 2048
 MASKS = 1 << len(FILTERS)
 
 SHARD = (
     "block long, doc_id array<long>, source array<string>, digest array<binary>, c array<boolean>, d array<boolean>, "
-    "length array<int>, term array<int>, count array<int>, words array<binary>"
+    "length array<int>, terms binary, counts binary, words array<struct<bucket:int,start:int,words:binary>>"
 )
+MATRIX = "block long, doc_id array<long>, source array<string>, digest array<binary>, c array<boolean>, d array<boolean>, length array<int>, term array<long>, count array<long>"
+ROWS = "doc_id long, source string, digest binary, n_words long, n_distinct long, c boolean, d boolean"
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative integers in as many bytes of seven bits as each needs, lowest first."""
+    v = values.astype(np.int64)
+    size = np.ones(len(v), np.int64)
+    for k in range(1, 9):
+        if not (more := v >> (7 * k) > 0).any():
+            break
+        size += more
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        own = size > k
+        out[at[own] + k] = (v[own] >> (7 * k)) & 127 | np.where(size[own] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.int64)
+    ends = np.flatnonzero(b < 128)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(b)) - np.repeat(begins, ends - begins + 1)
+    return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), begins)
+
+
+def row_starts(length: np.ndarray) -> np.ndarray:
+    return np.cumsum(length, dtype=np.int64) - length
+
+
+def packed_terms(term: np.ndarray, length: np.ndarray) -> bytes:
+    """Ascending numbers of each row as steps from the one before."""
+    steps = np.diff(term.astype(np.int64), prepend=0)
+    first = row_starts(length)[length > 0]
+    steps[first] = term[first]
+    return packed(steps)
+
+
+def unpacked_terms(raw: bytes, length: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(unpacked(raw))])
+    return total[1:] - np.repeat(total[row_starts(length)], length)
 
 
 def dictionary_key(word: bytes) -> bytes:
-    return word if len(word) <= LONG_WORD else b"\0long " + str(len(word)).encode() + b" " + hashlib.sha256(word).digest()
+    return word if len(word) <= LONG_WORD else b"\0long:%d:%s" % (len(word), hashlib.sha256(word).hexdigest().encode())
 
 
-def block_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """CSR of one block: entries a document, word numbers, counts; and the words in the order of their numbers."""
+def block_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict]]:
+    """CSR of one block: entries a document, word numbers (ascending by document), counts; and the words by bucket.
+
+    Numbers follow the buckets, so a bucket's words have the numbers from its start on.
+    """
     raw, words, sizes = data.tobytes(), [], []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         own = raw[a:b].split()  # bytes split at 0x09-0x0D and 0x20
@@ -61,11 +111,19 @@ def block_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if any(len(w) > LONG_WORD for w in words):
         words = [dictionary_key(w) for w in words]
     coded = pa.array(words, pa.binary()).dictionary_encode()
-    vocabulary = coded.dictionary
+    vocabulary = coded.dictionary.to_pylist()
+    bucket = np.array([crc32(w) % BUCKETS for w in vocabulary], np.int64)
+    order = np.argsort(bucket, kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    starts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+    places = order.tolist()
+    ends = [*starts[1:], len(places)] if starts else []
+    by_bucket = [{"bucket": int(bucket[places[a]]), "start": a, "words": b" ".join([vocabulary[k] for k in places[a:b]])} for a, b in zip(starts, ends, strict=True)]
     row = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
-    cell, count = np.unique(row * max(len(vocabulary), 1) + coded.indices.to_numpy(), return_counts=True)
-    rows, term = np.divmod(cell, max(len(vocabulary), 1))
-    return np.bincount(rows, minlength=len(sizes)), term.astype(np.int32), count.astype(np.int32), vocabulary
+    cell, count = np.unique(row * max(len(order), 1) + number[coded.indices.to_numpy()], return_counts=True)
+    rows, term = np.divmod(cell, max(len(order), 1))
+    return np.bincount(rows, minlength=len(sizes)), term, count, by_bucket
 
 
 def by_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -76,7 +134,8 @@ def by_row(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def shards(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row a block: documents, flags of C and D, digests, CSR with the block's own word numbers, its words."""
+    """One row a block: documents, flags of C and D, digests, CSR with the block's own word numbers, its words by bucket."""
+    words = pa.struct([("bucket", pa.int32()), ("start", pa.int32()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -84,7 +143,7 @@ def shards(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         for batch in batches:
             for first, end, data, offsets in blocks(batch, "text", block_bytes):
                 n = end - first
-                length, term, count, words = block_terms(data, offsets)
+                length, term, count, by_bucket = block_terms(data, offsets)
                 capitals = by_row((data >= 65) & (data <= 90), offsets)
                 points = by_row((data & 0xC0) != 0x80, offsets)
                 signs = by_row(np.isin(data, np.frombuffer(SIGNS, np.uint8)), offsets) > 0
@@ -94,79 +153,120 @@ def shards(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     [
                         pa.array([number], pa.int64()), one(batch.column("doc_id").slice(first, n), n), one(batch.column("source").slice(first, n).cast(pa.string()), n),
                         one(pa.array(digest, pa.binary()), n), one(pa.array(100 * capitals > MOST_CAPITALS * points), n), one(pa.array(signs), n),
-                        one(pa.array(length, pa.int32()), n), one(pa.array(term), len(term)), one(pa.array(count), len(count)), one(words, len(words)),
+                        one(pa.array(length, pa.int32()), n), pa.array([packed_terms(term, length)], pa.binary()), pa.array([packed(count)], pa.binary()),
+                        one(pa.array(by_bucket, words), len(by_bucket)),
                     ],
-                    names=["block", "doc_id", "source", "digest", "c", "d", "length", "term", "count", "words"],
+                    names=["block", "doc_id", "source", "digest", "c", "d", "length", "terms", "counts", "words"],
                 )
                 number += 1
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, SHARD)
 
 
-def dictionary(written: DataFrame) -> DataFrame:
-    """word, word_id: all distinct words, numbered from 0 without gaps. Written, so that numbers stay when tasks run again."""
-    spark = written.sparkSession
-    marked = cut(written.select(F.explode("words").alias("word")).distinct().withColumn("at", F.monotonically_increasing_id()), "words")
-    # the mark is (partition << 33) + place; a partition's numbers start after those of the partitions before it
-    part = F.shiftright("at", 33)
-    sizes = sorted((r.part, r.n) for r in marked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # one row a partition
-    starts, total = [], 0
-    for p, n in sizes:
-        starts.append((p, total))
-        total += n
-    begin = F.broadcast(spark.createDataFrame(starts, "part long, begin long"))  # one row a partition
-    return marked.join(begin, part == begin["part"]).select("word", (F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("word_id"))
+def numbering(written: DataFrame) -> DataFrame:
+    """One row per block and bucket: part, block, start, ids (numbers within the part, 4 bytes each), first, n_fresh, fresh
+    (the words that the part met here first, with the numbers from ``first`` on). Written, so that numbers stay when tasks run again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, known = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            ids, first, fresh, n_fresh = [], [], [], []
+            for blob in batch.column("words").to_pylist():
+                words, new = blob.split(b" "), len(known)
+                ids.append(np.array([known.setdefault(w, len(known)) for w in words], np.int32).tobytes())
+                first.append(new)
+                n_fresh.append(len(known) - new)
+                fresh.append(b" ".join([w for w, k in zip(words, np.frombuffer(ids[-1], np.int32).tolist(), strict=True) if k >= new]))
+            columns = [pa.array([part] * len(ids), pa.int64()), batch.column("block"), batch.column("start"), pa.array(ids, pa.binary()), pa.array(first, pa.int64()), pa.array(n_fresh, pa.int64()), pa.array(fresh, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "start", "ids", "first", "n_fresh", "fresh"])
+
+    rows = written.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.start", "w.words").repartition("bucket")
+    return cut(rows.select("block", "start", "words").mapInArrow(run, "part long, block long, start int, ids binary, first long, n_fresh long, fresh binary"), "word-numbers")
+
 
+def part_starts(numbers: DataFrame) -> dict[int, int]:
+    """Global number of each part's first word: one entry a task of :func:`numbering`."""
+    out, total = {}, 0
+    for r in sorted(numbers.groupBy("part").agg(F.sum("n_fresh").alias("n")).collect()):
+        out[r.part] = total
+        total += r.n
+    return out
 
-def document_term_matrix(written: DataFrame) -> DataFrame:
-    """The written shards with global word numbers: term is array<long>, sorted within a row; words are gone."""
-    own = written.select("block", F.posexplode("words").alias("own", "word"))
-    numbered = own.join(dictionary(written), "word").groupBy("block").agg(F.collect_list(F.struct("own", "word_id")).alias("numbers"))
-    joined = written.drop("words").join(numbered, "block", "left")
+
+def dictionary(numbers: DataFrame) -> DataFrame:
+    """word (binary), word_id: all distinct words, numbered from 0 without gaps."""
+    starts = part_starts(numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                row = batch.slice(k, 1)
-                pairs = row.column("numbers").flatten()
-                local, ids = pairs.field("own").to_numpy(), pairs.field("word_id").to_numpy()
-                to_global = np.zeros(len(local), np.int64)
-                to_global[local] = ids
-                length = row.column("length").flatten().to_numpy()
-                term, count = to_global[row.column("term").flatten().to_numpy()], row.column("count").flatten().to_numpy()
-                order = np.lexsort((term, np.repeat(np.arange(len(length)), length)))
-                one = lambda a: list_array(pa.array(a), np.array([len(a)]))
-                new = {"term": one(term[order]), "count": one(count[order])}
-                yield pa.RecordBatch.from_arrays([new.get(c, row.column(c)) for c in names], names=names)
-
-    names = [f.name for f in joined.schema if f.name != "numbers"]
-    return joined.mapInArrow(run, SHARD.replace("term array<int>", "term array<long>").replace(", words array<binary>", ""))
-
-
-def matrix_rows(matrix: DataFrame) -> DataFrame:
-    """One row a document: doc_id, source, digest, n_words (row sum), n_distinct (nonzero entries), c, d."""
+            for part, first, fresh in zip(*[batch.column(c).to_pylist() for c in ("part", "first", "fresh")], strict=True):
+                words = fresh.split(b" ")
+                begin = starts[part] + first
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(range(begin, begin + len(words)), pa.int64())], names=["word", "word_id"])
+
+    return numbers.where("n_fresh > 0").select("part", "first", "fresh").mapInArrow(run, "word binary, word_id long")
+
+
+def _global(batches: Iterator[pa.RecordBatch], starts: dict[int, int]) -> Iterator[dict]:
+    """A joined shard's columns with term and count unpacked, terms under global numbers and ascending by document."""
+    for batch in batches:
+        for k in range(len(batch)):
+            row = batch.slice(k, 1)
+            length = row.column("length").flatten().to_numpy()
+            own, count = unpacked_terms(row.column("terms")[0].as_py(), length), unpacked(row.column("counts")[0].as_py())
+            number = np.zeros(int(own.max(initial=-1)) + 1, np.int64)
+            for n in row.column("numbers")[0].as_py() or []:
+                ids = np.frombuffer(n["ids"], np.int32)
+                number[n["start"] : n["start"] + len(ids)] = ids + starts[n["part"]]
+            term = number[own]
+            order = np.lexsort((term, np.repeat(np.arange(len(length)), length)))
+            yield {"row": row, "length": length, "term": term[order], "count": count[order]}
+
+
+def with_numbers(written: DataFrame, numbers: DataFrame) -> DataFrame:
+    lists = numbers.groupBy("block").agg(F.collect_list(F.struct("part", "start", "ids")).alias("numbers"))  # one entry a bucket
+    return written.drop("words").join(lists, "block", "left")
+
+
+def document_term_matrix(written: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The written shards with global word numbers (``MATRIX``): documents' entries one after another, ``length`` of each."""
+    starts = part_starts(numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                row = batch.slice(k, 1)
-                flat = {c: row.column(c).flatten() for c in ("doc_id", "source", "digest", "c", "d", "length", "count")}
-                ends = np.cumsum(flat["length"].to_numpy(), dtype=np.int64)
-                sums = np.concatenate([[0], np.cumsum(flat["count"].to_numpy(), dtype=np.int64)])
-                begins = np.concatenate([[0], ends[:-1]])
-                yield pa.RecordBatch.from_arrays(
-                    [flat["doc_id"], flat["source"], flat["digest"], pa.array(sums[ends] - sums[begins]), flat["length"].cast(pa.int64()), flat["c"], flat["d"]],
-                    names=["doc_id", "source", "digest", "n_words", "n_distinct", "c", "d"],
-                )
+        same = ("block", "doc_id", "source", "digest", "c", "d", "length")
+        for s in _global(batches, starts):
+            lists = [list_array(pa.array(s[c], pa.int64()), np.array([len(s[c])])) for c in ("term", "count")]
+            yield pa.RecordBatch.from_arrays([*[s["row"].column(c) for c in same], *lists], names=[*same, "term", "count"])
+
+    return with_numbers(written, numbers).mapInArrow(run, MATRIX)
+
+
+def matrix_rows(written: DataFrame, numbers: DataFrame) -> DataFrame:
+    """One row a document of the matrix: doc_id, source, digest, n_words (row sum), n_distinct (nonzero entries), c, d."""
+    starts = part_starts(numbers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _global(batches, starts):
+            length, sums = s["length"], np.concatenate([[0], np.cumsum(s["count"])])
+            begins = row_starts(length)
+            new = np.diff(s["term"], prepend=-1) != 0  # within a row, entries of one word would be one nonzero
+            new[begins[length > 0]] = True
+            nonzero = np.concatenate([[0], np.cumsum(new)])
+            flat = {c: s["row"].column(c).flatten() for c in ("doc_id", "source", "digest", "c", "d")}
+            yield pa.RecordBatch.from_arrays(
+                [flat["doc_id"], flat["source"], flat["digest"], pa.array(sums[begins + length] - sums[begins]), pa.array(nonzero[begins + length] - nonzero[begins]), flat["c"], flat["d"]],
+                names=["doc_id", "source", "digest", "n_words", "n_distinct", "c", "d"],
+            )
 
-    return matrix.mapInArrow(run, "doc_id long, source string, digest binary, n_words long, n_distinct long, c boolean, d boolean")
+    return with_numbers(written, numbers).mapInArrow(run, ROWS)
 
 
 def failures(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a document: doc_id, source, mask of the filters it fails (bit 0 is A)."""
     written = cut(shards(docs, block_bytes), "term-shards")
-    rows = cut(matrix_rows(document_term_matrix(written)), "term-rows")
-    discard(written)
+    numbers = numbering(written)
+    rows = cut(matrix_rows(written, numbers), "term-rows")
+    discard(written), discard(numbers)
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("digest", "first")
     flags = [F.col("n_words") < LEAST_WORDS, 100 * F.col("n_distinct") < LEAST_DISTINCT * F.col("n_words"), F.col("c"), F.col("d"), F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))]
     mask = sum((f.cast("int") * (1 << k) for k, f in enumerate(flags[1:], 1)), flags[0].cast("int"))
