@@ -19,11 +19,11 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query_of(name: str, oracle: str | None = None, *more: tuple[str, str]):
+def query_of(name: str, oracle: str | None = None, *more: tuple[str, str], into: tuple[dict, dict] = (Q, SQL)):
     def wrap(f: Callable[[Tables], DataFrame]):
-        Q[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        into[0][name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if oracle:
-            SQL[name] = sql(oracle, *more)
+            into[1][name] = sql(oracle, *more)
         return f
 
     return wrap
