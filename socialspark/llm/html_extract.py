@@ -44,7 +44,11 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[^\W_]+")
+_TERM = re.compile(r"[^\W_]+|©")
+_ENDS = re.compile(r"[.!?…][^\w.!?…]{0,12}\Z")
 PATHS, WORDS, EXTRA, HIDDEN = 128, 32, 8, 16
+#: No block below this is main text, whatever else the page has.
+SECOND_LOOK = 0.15
 INPUTS = PATHS + WORDS + EXTRA
 
 
@@ -145,14 +149,14 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     for k, b in enumerate(blocks):
         for part in b.path:
             x[k, _bucket(part, PATHS)] = 1
-        words = b.text.split(" ")
+        words = _TERM.findall(b.text) or [""]  # signs between words say nothing, but for the one below
         places = [_bucket(w, WORDS) for w in words]
         x[k, PATHS : PATHS + WORDS] = np.bincount(places, minlength=WORDS) / len(words)
         e = x[k, PATHS + WORDS :]
         size = len(b.text)
         e[0] = math.log1p(len(words)) / 4
         e[1] = min(b.linked / size, 1)
-        e[2] = b.text[-1] in ".!?…"
+        e[2] = _ENDS.search(b.text) is not None
         e[3] = len(b.path) / 10
         e[4] = k / len(blocks)
         e[5] = b.path[-1:] == ("p",)
@@ -242,19 +246,29 @@ def training_page(r: random.Random) -> str:
 
     def phrase(lo: int, hi: int) -> str:
         text = " ".join(word() + ("," if r.random() < 0.08 else "") for _ in range(r.randint(min(lo, hi), hi)))
-        if r.random() < 0.05:
-            text = " ".join(w + r.choice(("***", "$$$", "%%%", "&amp;&amp;&amp;", "###")) for w in text.split())
+        return text
+
+    def signed(text: str) -> str:
+        """Some texts carry a sign after each word, one sign or several."""
+        if r.random() < 0.07:
+            signs = r.choice((("***", "$$$", "%%%", "&amp;&amp;&amp;", "###"), (" |",), (" /", " -"), ("*", "+")))
+            return " ".join(w + r.choice(signs) for w in text.split())
         return text
 
     sentence = lambda lo, hi: phrase(lo, hi).capitalize() + r.choice((".", ".", ".", "!", "?"))
     link = lambda: f'<a href="/{word()}">{phrase(1, 3)}</a>'
     attr = lambda *names: f' {r.choice(("class", "class", "id"))}="{r.choice(names)}{r.choice(("", "", "-1", " wide", "-box"))}"' if r.random() < 0.85 else ""
     named = lambda *names: f' {r.choice(("class", "id"))}="{r.choice(names)}{r.choice(("", "", "-1", " wide", "-box"))}"'
+    made = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=r.randint(4, 10)))
+    machine = lambda: r.choice(("", f' class="{made()}"', f' class="{made()} {made()}-{made()}"', f' id="{made()}"'))
+    often = lambda *names: named(*names) if r.random() < 0.8 else machine()
+    states = ("comments-open", "has-sidebar", "social-share", "with-menu", "cookie-bar", "no-ads", "nav-open", "widget-area", "footer-fixed", "related-posts-on", "banner-top", "newsletter-on")
+    state = lambda: f' class="{" ".join(r.sample(("post", "page", "entry", "hentry", "single", "wrap", *states), r.randint(1, 4)))}"'
 
     def menu() -> str:
         items = [link() for _ in range(r.randint(2, 9))]
         body = "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if r.random() < 0.7 else " | ".join(items)
-        return f"<nav{attr('menu', 'nav', 'navbar')}>{body}</nav>" if r.random() < 0.7 else f"<div{named('menu', 'nav', 'navigation', 'breadcrumb', 'topbar')}>{body}</div>"
+        return f"<nav{attr('menu', 'nav', 'navbar')}>{body}</nav>" if r.random() < 0.7 else f"<div{often('menu', 'nav', 'navigation', 'breadcrumb', 'topbar')}>{body}</div>"
 
     def advert() -> str:
         t = r.choice(("div", "div", "aside", "p", "section"))
@@ -275,15 +289,21 @@ def training_page(r: random.Random) -> str:
         t = r.choice(("div", "li", "article"))
         return f"<{s}{named('comments', 'comment-list', 'responses', 'discussion', 'disqus')}><h3>{phrase(1, 3)}</h3>{''.join(each() for _ in range(r.randint(1, 6)))}</{s}>" if (s := r.choice(("section", "div", "ol"))) else ""
 
+    in_divs = r.random() < 0.1
+
     def paragraph() -> str:
         text = " ".join(sentence(1 if r.random() < 0.15 else 4, r.choice((3, 8, 25, 40))) for _ in range(r.choice((1, 1, 2, 4, 8))))
-        k = r.random()
+        text, k = signed(text), r.random()
+        if in_divs and k < 0.8:
+            return f"<div>{MARK}{text}</div>"
         if k < 0.1:
             return f"<p><b>{MARK}{text}<br>"
         if k < 0.18:
             return f"<p>{MARK}{text}"
         if k < 0.3:
             return f"<p>{MARK}{text} {link()} {phrase(2, 9)}.</p>"
+        if k < 0.33:
+            return f'<p><a href="/{word()}">{MARK}{text}</a></p>'
         if k < 0.36:
             return f"<{(q := r.choice(('blockquote', 'pre', 'figcaption', 'h2', 'h3')))}>{MARK}{phrase(2, 14)}</{q}>"
         if k < 0.42:
@@ -301,37 +321,58 @@ def training_page(r: random.Random) -> str:
     if r.random() < 0.1:
         body.append(comments())
     inner = "".join(body)
+    if r.random() < 0.1:  # paragraphs parted by line breaks only
+        lines = [MARK + " ".join(sentence(4, 30) for _ in range(r.randint(1, 4))) for _ in range(r.randint(2, 6))]
+        inner = (f"<h1>{MARK}{title}</h1>" if r.random() < 0.5 else "") + r.choice(("<br><br>", "<br/>\n<br/>", "<br>")).join(lines)
     k = r.random()
-    if k < 0.5:
+    if k < 0.3:
         main = f"<article{attr('post', 'entry', 'story')}>{inner}</article>"
-    elif k < 0.65:
+    elif k < 0.4:
         main = f"<main{attr('content', 'main')}>{inner}</main>"
-    else:
+    elif k < 0.57:
         main = f"<div{named('content', 'article', 'post', 'entry', 'story', 'main', 'text')}>{inner}</div>"
-    if r.random() < 0.2:
+    elif k < 0.66:
+        main = f"<section{r.choice((machine(), attr('content', 'story', 'body')))}>{inner}</section>"
+    elif k < 0.76:
+        main = f"<div>{inner}</div>"
+    elif k < 0.84:
+        main = f"<div{machine()}>{inner}</div>"
+    elif k < 0.92:
+        main = f"<{(q := r.choice(('div', 'article', 'section', 'main')))}{state()}>{inner}</{q}>"
+    elif k < 0.97:
+        main = inner
+    else:
+        main = f"<table{machine()}><tr><td{machine()}>{inner}</td></tr></table>"
+    if r.random() < 0.25:
         main = f"<main><div{attr('wrapper', 'container', 'row')}>{main}</div></main>"
+    for _ in range(r.choice((0, 0, 1, 2, 3))):
+        main = f"<div{r.choice((machine, machine, state))()}>{main}</div>"
     before = [f() for f in (menu, advert, notice, sidebar, form) for _ in range(r.randint(0, 1))]
     if r.random() < 0.4:
         before.append(f"<header{attr('header', 'masthead')}>{r.choice((menu(), phrase(1, 5), '<h2>' + phrase(1, 4) + '</h2>' + menu()))}</header>")
     after = [f() for f in (comments, sidebar, advert, notice, menu, form) if r.random() < 0.3]
     foot = r.choice(("&copy; ", "Copyright ", "")) + phrase(1, 3) + r.choice((".example.com", ".org", " Ltd", "")) + r.choice((" &middot; ", " | ", " - ", " ")) + sentence(3, 14)
     if r.random() < 0.85:
-        after.append(f"<footer{attr('footer')}>{r.choice((foot, '<p>' + foot + '</p>'))}</footer>" if r.random() < 0.75 else f"<div{named('footer', 'copyright', 'legal')}>{foot}</div>")
+        after.append(f"<footer{attr('footer')}>{r.choice((foot, '<p>' + foot + '</p>'))}</footer>" if r.random() < 0.75 else f"<div{often('footer', 'copyright', 'legal')}>{foot}</div>")
     if r.random() < 0.7:
         r.shuffle(before)
         r.shuffle(after[:-1])
+    if r.random() < 0.06:  # hardly any page around the text
+        return r.choice((main, f"<body>{main}", f"<html><body>{main}</body></html>", f"{MARK}{' '.join(sentence(4, 30) for _ in range(r.randint(1, 6)))}", f"{before[0] if before else ''}{main}"))
     end = "</body></html>" if r.random() < 0.8 else ""
-    return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{''.join(before)}{main}{''.join(after)}{end}"
+    return f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body{state() if r.random() < 0.25 else ''}>{''.join(before)}{main}{''.join(after)}{end}"
 
 
 @lru_cache(maxsize=1)
-def trained(pages: int = 1600, epochs: int = 4, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Labeller:
+def trained(pages: int = 2600, epochs: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 5) -> Labeller:
     r, model = random.Random(seed), Labeller()
     made = []
     for _ in range(pages):
         blocks = leaf_blocks(training_page(r))
         y = np.array([MARK in b.text for b in blocks], np.float32)
-        clean = [Block(b.path, b.text.replace(MARK, "") or "-", b.linked) for b in blocks]
+        # an article must be known without its containers' names too
+        gone = {x for b in blocks for x in b.path if x[0] == "." and r.random() < 0.4} if r.random() < 0.3 else set()
+        clean = [Block(tuple(x for x in b.path if not y[k] or x not in gone), b.text.replace(MARK, "") or "-", b.linked) for k, b in enumerate(blocks)]
         made.append((vectors(clean), y))
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
     second = {k: np.zeros_like(v) for k, v in model.w.items()}
@@ -367,7 +408,10 @@ def main_text(pages: list[str], model: Labeller, group: int = 64) -> list[str]:
                 take = take[: len(take) // 2]
             p = model.forward(*_padded([vectors(blocks[k]) for k in take]))
             for row, k in enumerate(take):
-                texts[k] = "\n".join(b.text for b, q in zip(blocks[k], p[row], strict=False) if q >= 0.5)
+                own_p = p[row, : len(blocks[k])]
+                # a page without any block at one half gets a second look, at half of what its best block has
+                least = 0.5 if own_p.max() >= 0.5 else max(own_p.max() / 2, SECOND_LOOK)
+                texts[k] = "\n".join(b.text for b, q in zip(blocks[k], own_p, strict=True) if q >= least)
             own = own[len(take) :]
     return texts
 
