@@ -4,10 +4,11 @@ A rule (action, host, path) fits a URL whose host is the rule's or a subdomain o
 starts with the rule's; the longest fitting rule decides. Other URLs take their host's verdict: hosts
 are seeds with the share of their pages that rules allow (trust) or block (distrust); personalised
 PageRank carries trust along links and distrust against them, from a host to those that link to it.
-A host's distrust is the share of its own pages that rules block, and for the rest the damped share of what
-reaches it against links that comes from blocked seeds; trust likewise. So a host that links to nothing but
-a blocked one is judged alike however many others link there. A host is blocked where distrust exceeds
-trust by ``threshold`` or more.
+A surfer who starts at a host stops with the share of its pages that rules block or allow, else goes on by one of that
+host's links (damped); the host's distrust is the chance to stop at blocked pages. It is the reversed propagation from
+blocked seeds with each step weighed by the linker's own out-links, so it depends neither on how many others link to a
+blocked host nor on one link among many. Trust likewise, backwards along the links to a host. A host is blocked where
+distrust exceeds trust by ``threshold`` or more.
 
 Links are the absolute and protocol-relative hrefs in the pages. Pages are reduced to hosts before any
 join, host edges are summed before they are shuffled, and each round's scores are written.
@@ -73,39 +74,38 @@ def host_links(pages: DataFrame) -> DataFrame:
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust, trusted, distrusted) from seeds (host, trust, distrust) and links (src, dst, n).
 
-    score = (1 - damping) * seed + damping * sum of the neighbours' scores by link share, divided by
-    (1 - damping) at the end, iterated until no score moves by more than the tolerance (which damping reaches
-    after log(tolerance) / log(damping) rounds at the latest). Hosts that only occur in links start at 0.
-    ``trusted`` and ``distrusted`` are the shares of what reaches a host over links, were every host a seed, that comes
-    from trust and distrust: figures that do not depend on how many other hosts the neighbours share with. A host
-    passes on what is not its kind only in so far as it is no seed itself.
+    trust and distrust are personalised PageRank: (1 - damping) * seed + damping * the neighbours' scores by link share,
+    divided by (1 - damping) at the end. trusted and distrusted are the chances of the surfer described above: seed +
+    (1 - both seeds) * damping * the neighbours' chances by the host's own links. All are iterated until none moves by
+    more than the tolerance, which damping reaches after log(tolerance) / log(damping) rounds at the latest. Hosts that
+    only occur in links start at 0.
     """
-    out = links.groupBy("src").agg(F.sum("n").alias("t")).withColumnRenamed("src", "o")
-    into = links.groupBy("dst").agg(F.sum("n").alias("t")).withColumnRenamed("dst", "o")
-    forward = links.join(out, links["src"] == out["o"]).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit("trust").alias("kind"), (F.col("n") / F.col("t")).alias("share"))
-    backward = links.join(into, links["dst"] == into["o"]).select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit("distrust").alias("kind"), (F.col("n") / F.col("t")).alias("share"))
+    out = links.groupBy("src").agg(F.sum("n").alias("sent"))
+    into = links.groupBy("dst").agg(F.sum("n").alias("got"))
+    both = links.join(out, "src").join(into, "dst").select("src", "dst", (F.col("n") / F.col("sent")).alias("of_sent"), (F.col("n") / F.col("got")).alias("of_got"))
+    forward = both.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit("trust").alias("kind"), F.col("of_sent").alias("share"), F.col("of_got").alias("own"))
+    backward = both.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit("distrust").alias("kind"), F.col("of_got").alias("share"), F.col("of_sent").alias("own"))
     edges = cut(forward.unionByName(backward), "host-edges")
-    long = seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trust").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("distrust").alias("seed")))).alias("s")).select("host", "s.*")
+    open_ = (1 - F.col("trust") - F.col("distrust")).alias("open")
+    long = seeds.select("host", open_, F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trust").alias("seed")), F.struct(F.lit("distrust").alias("kind"), F.col("distrust").alias("seed")))).alias("s")).select("host", "open", "s.*")
     ends = edges.select(F.col("b").alias("host")).union(edges.select("a"))
-    others = ends.select("host", F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind")).withColumn("seed", F.lit(0.0))
-    base = cut(long.unionByName(others).groupBy("host", "kind").agg(F.sum("seed").alias("seed")), "host-seeds")
+    others = ends.select("host", F.lit(1.0).alias("open"), F.explode(F.array(F.lit("trust"), F.lit("distrust"))).alias("kind")).withColumn("seed", F.lit(0.0))
+    base = cut(long.unionByName(others).groupBy("host", "kind").agg(F.sum("seed").alias("seed"), F.min("open").alias("open")), "host-seeds")
     rest = 1 - damping
-    scores = cut(base.select("host", "kind", (F.col("seed") * rest).alias("score"), ((1 - F.col("seed")) * rest).alias("other")), "host-scores")
+    scores = cut(base.select("host", "kind", (F.col("seed") * rest).alias("score"), F.col("seed").alias("chance")), "host-scores")
     while True:
-        gained = edges.join(scores, (edges["a"] == scores["host"]) & (edges["kind"] == scores["kind"])).groupBy(F.col("b").alias("host"), edges["kind"]).agg(F.sum(F.col("share") * F.col("score")).alias("gain"), F.sum(F.col("share") * F.col("other")).alias("all"))
-        gain = lambda c: damping * F.coalesce(c, F.lit(0.0))
-        now = base.join(gained, ["host", "kind"], "left").select("host", "kind", "seed", (F.col("seed") * rest + gain("gain")).alias("score"), ((1 - F.col("seed")) * (F.lit(rest) + gain("all"))).alias("other"), gain("all").alias("other_in"))
+        gained = edges.join(scores, (edges["a"] == scores["host"]) & (edges["kind"] == scores["kind"])).groupBy(F.col("b").alias("host"), edges["kind"]).agg(F.sum(F.col("share") * F.col("score")).alias("gain"), F.sum(F.col("own") * F.col("chance")).alias("ahead"))
+        come = lambda c: damping * F.coalesce(c, F.lit(0.0))
+        now = base.join(gained, ["host", "kind"], "left").select("host", "kind", (F.col("seed") * rest + come("gain")).alias("score"), (F.col("seed") + F.col("open") * come("ahead")).alias("chance"))
         now = cut(now, "host-scores")
-        old = scores.select("host", "kind", F.col("score").alias("was"), F.col("other").alias("was_other"))
-        moved = now.join(old, ["host", "kind"]).agg(F.max(F.greatest(F.abs(F.col("score") - F.col("was")), F.abs(F.col("other") - F.col("was_other"))))).first()[0] or 0.0
+        old = scores.select("host", "kind", F.col("score").alias("was"), F.col("chance").alias("was_chance"))
+        moved = now.join(old, ["host", "kind"]).agg(F.max(F.greatest(F.abs(F.col("score") - F.col("was")), F.abs(F.col("chance") - F.col("was_chance"))))).first()[0] or 0.0
         discard(scores)
         scores = now
         if moved <= tolerance * rest:
             break
     pick = lambda k, c: F.coalesce(F.max(F.when(F.col("kind") == k, c)), F.lit(0.0))
-    bad_in = F.col("score") - F.col("seed") * rest
-    came = F.when(bad_in > 0, bad_in / (bad_in + F.col("other_in")))
-    scored = scores.groupBy("host").agg((pick("trust", F.col("score")) / rest).alias("trust"), (pick("distrust", F.col("score")) / rest).alias("distrust"), pick("trust", came).alias("trusted"), pick("distrust", came).alias("distrusted"))
+    scored = scores.groupBy("host").agg((pick("trust", F.col("score")) / rest).alias("trust"), (pick("distrust", F.col("score")) / rest).alias("distrust"), pick("trust", F.col("chance")).alias("trusted"), pick("distrust", F.col("chance")).alias("distrusted"))
     scored = cut(scored, "host-trust")
     for done in (edges, base, scores):
         discard(done)
@@ -113,16 +113,12 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, toleran
 
 
 def verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, damping: float = 0.85, threshold: float = 0.5) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, trust, distrust (shares of 1, as the threshold takes them)."""
+    """One row per page: page_id, host, path, rule, verdict, trust, distrust (chances, as the threshold takes them)."""
     judged = cut(judged_by_rules(pages, rule_table(pages.sparkSession, rules)), "judged")
     share = lambda action: F.avg(F.when(F.col("action") == action, 1.0).otherwise(0.0))
     seeds = judged.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     links = cut(host_links(pages), "host-links")
-    scored = propagate(seeds, links, damping).join(seeds.select("host", F.col("trust").alias("own_trust"), F.col("distrust").alias("own_distrust")), "host", "left")
-    # What rules say of a host's own pages counts in full, links fill the rest.
-    own = {k: F.coalesce(f"own_{k}", F.lit(0.0)) for k in ("trust", "distrust")}
-    open_ = (1 - own["trust"] - own["distrust"]) * damping
-    scored = scored.select("host", (own["trust"] + open_ * F.col("trusted")).alias("trust"), (own["distrust"] + open_ * F.col("distrusted")).alias("distrust"))
+    scored = propagate(seeds, links, damping).select("host", F.col("trusted").alias("trust"), F.col("distrusted").alias("distrust"))
     j = judged.join(scored, "host", "left")
     verdict = F.when(F.coalesce(F.col("distrust") - F.col("trust"), F.lit(0.0)) >= threshold, "block").otherwise("allow")
     return j.select("page_id", "host", "path", "rule", F.coalesce("action", verdict).alias("verdict"), "trust", "distrust")
@@ -130,5 +126,5 @@ def verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES,
 
 def allowed(pages: DataFrame, **params) -> DataFrame:
     """The pages that are not blocked, with all their columns."""
-    bad = verdicts(pages, **params).where("verdict = 'block'").select(F.col("page_id").alias("_id")).distinct()
-    return pages.join(bad, F.col("page_id").eqNullSafe(F.col("_id")), "left_anti")
+    bad = verdicts(pages, **params).where("verdict = 'block'").select("page_id").distinct()
+    return pages.alias("p").join(bad.alias("b"), F.col("p.page_id").eqNullSafe(F.col("b.page_id")), "left_anti")
