@@ -156,19 +156,57 @@ def write_warc(records: DataFrame, path: str) -> None:
 _LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)[ \t]*\r?$", re.I | re.M)
 
 
-def _unzipped(raw: bytes) -> bytes:
-    """The joined members of a gzip file (one a record, as crawlers write them), or the bytes themselves; a torn last member gives what it holds."""
-    if raw[:2] != b"\x1f\x8b":
-        return raw
-    out, rest = [], raw
-    while rest[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        try:
-            out.append(z.decompress(rest) + z.flush())
-        except zlib.error:
-            break
-        rest = z.unused_data
-    return b"".join(out)
+FIRST_STEP, LAST_STEP, MOST_OUT = 16 << 10, 1 << 20, 4 << 20
+
+
+def inflated(raw: bytes) -> Iterator[bytes]:
+    """A gzip file's members, one after another, in pieces of at most MOST_OUT bytes; a torn last member gives what it holds."""
+    view, at = memoryview(raw), 0
+    while view[at : at + 2] == b"\x1f\x8b":
+        z, step = zlib.decompressobj(31), FIRST_STEP
+        while not z.eof and at < len(view):
+            rest = view[at : at + step]  # what a member leaves of a step is copied, so steps begin small
+            at += len(rest)
+            try:
+                while len(rest):
+                    yield z.decompress(rest, MOST_OUT)
+                    rest = z.unconsumed_tail
+            except zlib.error:
+                return
+            at -= len(z.unused_data)
+            step = min(2 * step, LAST_STEP)
+        if tail := z.flush():
+            yield tail
+
+
+def zipped_records(raw: bytes) -> Iterator[tuple[bytes, bool]]:
+    """As :func:`split_records` of the unpacked file, holding one record at a time."""
+    buffer, wanted = bytearray(), 0
+    for piece in inflated(raw):
+        buffer += piece
+        if len(buffer) < wanted:
+            continue
+        at, wanted = 0, 0
+        while at < len(buffer):
+            if buffer[at : at + 2] == b"\r\n":
+                at += 2
+                continue
+            head = buffer.find(b"\r\n\r\n", at)
+            stated = _LENGTH.search(buffer, at, head + 2) if head >= 0 and buffer[at : at + 7] == b"WARC/1." else None
+            end = head + 4 + int(stated[1]) if stated else buffer.find(b"\r\n\r\nWARC/1.", at + 1)
+            if stated and end + 2 <= len(buffer) and buffer[end : end + 2] == b"\r\n":
+                yield bytes(buffer[at:end]), True
+            elif stated and end + 2 > len(buffer):  # not all here yet
+                wanted = end + 2 - at
+                break
+            elif (end := buffer.find(b"\r\n\r\nWARC/1.", at + 1)) >= 0 and head >= 0:
+                yield bytes(buffer[at:end]), False
+            else:
+                wanted = 2 * (len(buffer) - at)  # so that a long stretch without records is searched in linear time
+                break
+            at = end
+        del buffer[:at]
+    yield from split_records(bytes(buffer))
 
 
 def split_records(raw: bytes) -> Iterator[tuple[bytes, bool]]:
@@ -196,7 +234,8 @@ def split_records(raw: bytes) -> Iterator[tuple[bytes, bool]]:
 def read_warc(spark: SparkSession, path: str, step: int = 16 << 20) -> DataFrame:
     """(record, complete): the records of WARC 1.0 and 1.1 files, plain or gzip by member. Bytes that are not UTF-8 become U+FFFD.
 
-    A task holds one file at a time (2 GB at most, Spark's bound for a file as a row), and gives its records on in steps.
+    A task holds one file at a time as it is stored (2 GB at most, Spark's bound for a file as a row), unpacks one record at a
+    time, and gives its records on in steps.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +244,8 @@ def read_warc(spark: SparkSession, path: str, step: int = 16 << 20) -> DataFrame
                 rows: list[str] = []
                 whole: list[bool] = []
                 size = 0
-                for record, complete in split_records(_unzipped(content.as_py() or b"")):
+                raw = content.as_py() or b""
+                for record, complete in (zipped_records if raw[:2] == b"\x1f\x8b" else split_records)(raw):
                     rows.append(record.decode("utf-8", "replace"))
                     whole.append(complete)
                     size += len(record)
