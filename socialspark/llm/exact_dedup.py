@@ -107,9 +107,12 @@ def exact_groups(docs: DataFrame, bits: int = 12, longest: int = 1 << 16) -> Dat
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    kept = exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return keyed.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d._sha") == F.col("k._sha")), "left_semi").drop("_sha")
+    names = docs.columns
+    own = [f"c{k}" for k in range(len(names))]  # free of clashes with the columns compared
+    doc_id, text = own[names.index("doc_id")], own[names.index("text")]
+    kept = exact_groups(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.sha2(F.coalesce(F.col(text), F.lit("")), 256) == F.col("text_sha256"))
+    return docs.toDF(*own).join(kept, same, "left_semi").toDF(*names)
 
 
 SQL = """

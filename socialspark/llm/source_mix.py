@@ -112,10 +112,12 @@ def apply_mix(docs: DataFrame, **params) -> DataFrame:
     numbered on both sides, so each row takes one quota.
     """
     names = docs.columns
+    own = [f"c{k}" for k in range(len(names))]  # free of clashes with the columns added
+    at = dict(zip(names, own, strict=True))
     key = ["_id", "_source", "_size", "_text"]
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": word_count("text"), "_text": F.xxhash64("text")})
+    marked = docs.toDF(*own).withColumns({"_id": F.col(at["doc_id"]).cast("long"), "_source": F.col(at["source"]).cast("string"), "_size": word_count(at["text"]), "_text": F.xxhash64(at["text"])})
     same = Window.partitionBy(*key)
-    rest = [F.col(c) for c in names if c not in ("doc_id", "source", "text")]
+    rest = [F.col(at[c]) for c in names if c not in ("doc_id", "source", "text")]
     rows = marked.where("_size > 0").withColumn("_nth", F.row_number().over(same.orderBy(*rest) if rest else same.orderBy("_size")))
     taken = mix(docs, keep={"_text": F.xxhash64("text")}, **params).where("size > 0")
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_text", F.round(F.col("taken") / F.col("size")).cast("int").alias("_n"))
@@ -123,4 +125,4 @@ def apply_mix(docs: DataFrame, **params) -> DataFrame:
     r, t = rows.alias("r"), taken.alias("t")
     equal = [F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}")) for c in (*key, "_nth")]
     kept = r.join(t, reduce(Column.__and__, equal)).where("t._n > 0").select("r.*", "t._n")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*names)
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*own).toDF(*names)
