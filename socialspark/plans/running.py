@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from socialspark.operators import jobs, retention, stored
+from socialspark.operators import incremental, jobs, retention, stored
 from socialspark.plans.backfill import _frames, _stream, query_of as _query_of
 from socialspark.plans.social import _SILENT
 from socialspark.sources.scratch import new_path
@@ -147,3 +147,19 @@ def _(t):
         left = stored.read_stored(t.spark, path, schema).select(F.lit(name).alias("name"), "viewer", "event_id")
         out = left if out is None else out.unionByName(left)
     return out
+
+
+_COUNTS = """SELECT event_id, count(DISTINCT actor) FILTER (what = 'like') AS raw_likes, count(DISTINCT actor) FILTER (what = 'repost') AS raw_reposts, count(*) FILTER (what = 'reply') AS raw_replies, count(*) FILTER (what = 'quote') AS raw_quotes,
+  count(*) FILTER (what = 'zap') AS raw_zaps, CAST(sum(sats) AS BIGINT) AS raw_sats, count(DISTINCT actor) FILTER (what = 'like' AND good AND actor <> author) AS real_likes, count(DISTINCT actor) FILTER (what = 'repost' AND good AND actor <> author) AS real_reposts,
+  count(DISTINCT actor) FILTER (what = 'reply' AND good AND actor <> author) AS real_replies, count(DISTINCT actor) FILTER (what = 'quote' AND good AND actor <> author) AS real_quotes, count(DISTINCT actor) FILTER (what = 'zap' AND good) AS real_zaps,
+  CAST(coalesce(sum(sats) FILTER (good), 0) AS BIGINT) AS real_zap_sats, count(DISTINCT actor) FILTER (good AND actor <> author) AS real_actors FROM (SELECT a.*, n.pubkey AS author, a.actor IN (SELECT pubkey FROM ls WHERE score >= 50) AS good FROM acts a JOIN ev n ON n.id = a.event_id AND n.kind IN (1, 1111)) GROUP BY event_id"""
+
+
+@query_of("st11_incremental_rollup", "SELECT c.event_id, ev.pubkey, CAST(ev.kind AS INT) AS kind, ev.created_at, c.* EXCLUDE (event_id) FROM c JOIN ev ON ev.id = c.event_id", ("c", _COUNTS))
+def _(t):
+    """Features after a first tick over the older events and two ticks over what came since."""
+    roll = incremental.RollUp(t.spark, new_path(t.spark, "roll-up"), 16)
+    log = t.events.drop("event_id", "user_id")
+    for days in (3, 1, 0):
+        roll.tick(log.where(F.col("created_at") <= t.as_of - F.expr(f"INTERVAL {days} DAYS")), t.scores)
+    return roll.features()
