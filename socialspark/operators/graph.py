@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from socialspark.functions.tags import TagPredicate, root_ref
 from socialspark.operators.latest import latest, ranked, top_per_key
-from socialspark.sources.scratch import cut
+from socialspark.sources.scratch import cut, discard
 
 
 def forward_references(sources: DataFrame, events: DataFrame, predicate: TagPredicate, limit: int) -> DataFrame:
@@ -109,14 +109,36 @@ def expand_threads(roots: DataFrame, tags: DataFrame, levels: int = 8, frontier:
     return top_per_key(kept, ["root_id"], [F.asc("level"), F.desc("created_at"), F.desc("event_id")], limit).select("root_id", "event_id", "level")
 
 
-def thread_tree(edges: DataFrame, likes: DataFrame, depth: int | None = None) -> DataFrame:
-    """(node, depth, children, descendants, likes) of every node with a parent or a child."""
-    e = cut(edges.select(F.col("child_id").alias("event_id"), F.col("parent_id").alias("next_id")), "parents")
-    nodes = e.select(F.col("event_id").alias("id")).union(e.select("next_id")).distinct()
-    above = cut(walk(nodes, e, depth), "ancestors")
-    deep = above.groupBy(F.col("source_id").alias("node")).agg(F.max("step").alias("depth"))
-    below = above.groupBy(F.col("event_id").alias("node")).agg(F.count("*").alias("descendants"), F.count_if(F.col("step") == 1).alias("children"))
-    out = nodes.select(F.col("id").alias("node")).join(deep, "node", "left").join(below, "node", "left").join(likes.select(F.col("target_event_id").alias("node"), "likes"), "node", "left")
+def forest(links: DataFrame) -> tuple[DataFrame, int]:
+    """((id, depth, descendants) of every node of (id, up) links with one up each, rounds taken).
+
+    Pointers double: after round k a node points 2^k links up, and its size counts the nodes less than 2^k links below,
+    itself included. A round adds to each node the sizes of those that point at it, exactly 2^k below, and lets pointers
+    jump by their target's. So a chain of n takes about log2(n) rounds, each of one row a node, summed before it is
+    shuffled; no (node, ancestor) pairs. Nodes on a cycle or below one never come to a root: their figures are null.
+    """
+    up = F.col("up")
+    nodes = links.select("id").union(links.select(up.alias("id"))).distinct()
+    now = cut(nodes.join(links.dropDuplicates(["id"]), "id", "left").select("id", "up", up.isNotNull().cast("long").alias("depth"), F.lit(1).cast("long").alias("size")), "forest")
+    most, rounds = now.count().bit_length() + 1, 0
+    while rounds < most and now.where(up.isNotNull()).limit(1).count():
+        got = now.where(up.isNotNull()).groupBy(up.alias("id")).agg(F.sum("size").alias("got"))
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"))
+        jumped = now.where(up.isNotNull()).join(above, "up").select("id", "far", F.col("more"))
+        nxt = now.join(jumped, "id", "left").join(got, "id", "left")
+        nxt = cut(nxt.select("id", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("size") + F.coalesce("got", F.lit(0))).alias("size")), "forest")
+        discard(now)
+        now, rounds = nxt, rounds + 1
+    ends = lambda c: F.when(up.isNull(), c)
+    return now.select("id", ends(F.col("depth")).alias("depth"), ends(F.col("size") - 1).alias("descendants")), rounds
+
+
+def thread_tree(edges: DataFrame, likes: DataFrame) -> DataFrame:
+    """(node, depth, children, descendants, likes) of every node with a parent or a child; 0 where a cycle leaves no depth."""
+    links = edges.select(F.col("child_id").alias("id"), F.col("parent_id").alias("up"))
+    tree, _ = forest(links)
+    children = links.groupBy(F.col("up").alias("node")).agg(F.count_distinct("id").alias("children"))
+    out = tree.withColumnRenamed("id", "node").join(children, "node", "left").join(likes.select(F.col("target_event_id").alias("node"), "likes"), "node", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("node", zero("depth"), zero("children"), zero("descendants"), zero("likes"))
 
