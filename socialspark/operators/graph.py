@@ -115,11 +115,11 @@ def forest(links: DataFrame) -> tuple[DataFrame, int]:
     Pointers double: after round k a node points 2^k links up, and its size counts the nodes less than 2^k links below,
     itself included. A round adds to each node the sizes of those that point at it, exactly 2^k below, and lets pointers
     jump by their target's. So a chain of n takes about log2(n) rounds, each of one row a node, summed before it is
-    shuffled; no (node, ancestor) pairs. Nodes on a cycle or below one never come to a root: their figures are null.
+    shuffled; no (node, ancestor) pairs. On a cycle and below one, each other node counts once (:func:`cyclic`).
     """
-    up = F.col("up")
+    up, links = F.col("up"), links.dropDuplicates(["id"])
     nodes = links.select("id").union(links.select(up.alias("id"))).distinct()
-    now = cut(nodes.join(links.dropDuplicates(["id"]), "id", "left").select("id", "up", up.isNotNull().cast("long").alias("depth"), F.lit(1).cast("long").alias("size")), "forest")
+    now = cut(nodes.join(links, "id", "left").select("id", "up", up.isNotNull().cast("long").alias("depth"), F.lit(1).cast("long").alias("size")), "forest")
     most, rounds = now.count().bit_length() + 1, 0
     while rounds < most and now.where(up.isNotNull()).limit(1).count():
         got = now.where(up.isNotNull()).groupBy(up.alias("id")).agg(F.sum("size").alias("got"))
@@ -129,12 +129,39 @@ def forest(links: DataFrame) -> tuple[DataFrame, int]:
         nxt = cut(nxt.select("id", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("size") + F.coalesce("got", F.lit(0))).alias("size")), "forest")
         discard(now)
         now, rounds = nxt, rounds + 1
-    ends = lambda c: F.when(up.isNull(), c)
-    return now.select("id", ends(F.col("depth")).alias("depth"), ends(F.col("size") - 1).alias("descendants")), rounds
+    ended = now.where(up.isNull()).select("id", "depth", (F.col("size") - 1).alias("descendants"))
+    endless = now.where(up.isNotNull()).select("id", "up")
+    if not endless.limit(1).count():
+        return ended, rounds
+    return ended.unionByName(cyclic(links, endless, rounds)), rounds
+
+
+def cyclic(links: DataFrame, endless: DataFrame, rounds: int) -> DataFrame:
+    """(id, depth, descendants) of nodes that come to no root, from pointers (id, up) so far up that they end on the cycles.
+
+    On a cycle of n, a node has the n - 1 others above it, and below it all that come to the cycle; a node beside it has
+    its way to the cycle and then the cycle above it. Cycles are told apart by their smallest id, which doubles like the rest.
+    """
+    on = cut(endless.select(F.col("up").alias("id")).distinct().join(links, "id").select("id", "up", F.col("id").alias("least")), "cycles")
+    for _ in range(rounds):
+        far = on.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("least").alias("other"))
+        nxt = cut(on.join(far, "up").select("id", F.col("far").alias("up"), F.least("least", "other").alias("least")), "cycles")
+        discard(on)
+        on = nxt
+    label = on.select("id", "least")
+    length = label.groupBy("least").agg(F.count("*").alias("n"))
+    whole = endless.join(label.select(F.col("id").alias("up"), "least"), "up").groupBy("least").agg(F.count("*").alias("all"))
+    mine = label.join(length, "least").join(whole, "least").select("id", "n", "all")
+    beside = links.join(endless.select("id"), "id", "left_semi").join(label.select("id"), "id", "left_anti")
+    hanging, _ = forest(beside)  # its roots are on the cycles
+    way = hanging.join(label.select("id"), "id", "left_anti").select("id", F.col("depth").alias("way"), F.col("descendants").alias("below"))
+    above = way.join(endless, "id").join(label.select(F.col("id").alias("up"), "least"), "up").join(length, "least")
+    return mine.select("id", (F.col("n") - 1).alias("depth"), (F.col("all") - 1).alias("descendants")).unionByName(
+        above.select("id", (F.col("way") + F.col("n") - 1).alias("depth"), F.col("below").alias("descendants")))
 
 
 def thread_tree(edges: DataFrame, likes: DataFrame) -> DataFrame:
-    """(node, depth, children, descendants, likes) of every node with a parent or a child; 0 where a cycle leaves no depth."""
+    """(node, depth, children, descendants, likes) of every node with a parent or a child."""
     links = edges.select(F.col("child_id").alias("id"), F.col("parent_id").alias("up"))
     tree, _ = forest(links)
     children = links.groupBy(F.col("up").alias("node")).agg(F.count_distinct("id").alias("children"))

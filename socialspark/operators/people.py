@@ -37,33 +37,63 @@ def relationships(pairs: DataFrame, follows: DataFrame) -> DataFrame:
     return j.select("viewer", "candidate", relationship(F.coalesce("_a", F.lit(False)), F.coalesce("_b", F.lit(False))).alias("label"))
 
 
-def search_profiles(queries: DataFrame, profiles: DataFrame, limit: int = 10, block: int = 1000) -> DataFrame:
+def searched(profiles: DataFrame) -> DataFrame:
+    """Profiles with the text that a search looks through, and a number for postings (equal numbers only add candidates)."""
+    text = F.lower(F.concat_ws(" ", "name", "display_name", "nip05", "lud16", "website", "about", "raw_json"))
+    return profiles.withColumns({"text": text, "doc": F.xxhash64("pubkey")})
+
+
+def _grams(text: Column) -> Column:
+    """The distinct strings of 3 characters in ``text``, and those of 1 and 2 that have three bytes or more, as every shorter query has."""
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - k + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(k)))
+    return F.array_distinct(F.concat(of(3), *[F.filter(of(k), lambda g: F.octet_length(g) >= 3) for k in (1, 2)]))
+
+
+def gram_postings(profiles: DataFrame) -> DataFrame:
+    """(gram, doc): the posting lists of all profiles, in order of the gram, so that a few lists are read from few row groups."""
+    return searched(profiles).select(F.explode(_grams(F.col("text"))).alias("gram"), "doc").repartitionByRange("gram").sortWithinPartitions("gram", "doc")
+
+
+def gram_counts(postings: DataFrame) -> DataFrame:
+    """(gram, n): lengths of the posting lists."""
+    return postings.groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def search_profiles(queries: DataFrame, profiles: DataFrame, limit: int = 10, block: int = 1000, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query, pubkey, relevance, position): profiles that hold a query of three bytes or more, by tier.
 
-    ``queries`` is a stated set, sent to all profiles in blocks of about ``block``; a query that is a key finds its
-    profile too. Profiles and queries meet on the query's first three characters (all of a shorter one) by an equality
-    join, and only what meets is searched for the whole query.
+    ``queries`` is a stated set, worked off in blocks of about ``block``; a query that is a key finds its profile too. Each
+    query takes the posting list of its rarest gram, and only the profiles on it are searched for the whole query.
+    ``index`` (posting lists, their lengths) is written beforehand; without it it is made here.
     """
     q = cut(queries.select(F.trim("query").alias("query")).where(F.octet_length("query") >= 3).distinct(), "search-queries")
+    if index is None:
+        postings = cut(gram_postings(profiles), "postings")
+        index = postings, cut(gram_counts(postings), "gram-counts")
     blocks = max(-(-q.count() // block), 1)
-    parts = [_search_block(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b), profiles, limit) for b in range(blocks)]
+    parts = [_search_block(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b), profiles, limit, *index) for b in range(blocks)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _grams(text: Column) -> Column:
-    """The distinct strings of 1 to 3 characters in ``text`` that have three bytes or more, as every query's start has."""
-    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - k + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(k)))
-    return F.array_distinct(F.concat(of(3), *[F.filter(of(k), lambda g: F.octet_length(g) >= 3) for k in (1, 2)]))
+def rarest_grams(queries: DataFrame, counts: DataFrame) -> DataFrame:
+    """(query, gram): each query's gram with the shortest list; none for a query with a gram that no profile has."""
+    low = F.lower("query")
+    own = F.when(F.char_length(low) < 3, F.array(low)).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(low) - 2), lambda i: F.substr(low, i, F.lit(3))))
+    grams = queries.select("query", F.explode(F.array_distinct(own)).alias("gram"))
+    rarest = grams.join(counts, "gram", "left").groupBy("query").agg(F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r"))
+    return rarest.where("r.n IS NOT NULL").select("query", "r.gram")
 
 
-def _search_block(queries: DataFrame, profiles: DataFrame, limit: int) -> DataFrame:
-    q = queries.select("query", F.lower("query").alias("low"), F.substring(F.lower("query"), 1, 3).alias("gram"))
-    low, text = F.col("low"), F.lower(F.concat_ws(" ", "name", "display_name", "nip05", "lud16", "website", "about", "raw_json"))
+def _search_block(queries: DataFrame, profiles: DataFrame, limit: int, postings: DataFrame, counts: DataFrame) -> DataFrame:
+    rare = rarest_grams(queries, counts).collect()  # one row for each query of the block
+    wanted = queries.sparkSession.createDataFrame([(r.query, r.gram) for r in rare], "query string, gram string")
+    low = F.col("low")
     fields = ["pubkey", "created_at", *dict.fromkeys(f for _, _, f in TIERS), "query", "low"]
-    holds = F.contains("text", low)
-    found = profiles.withColumn("text", text).withColumn("gram", F.explode(_grams(F.col("text")))).join(F.broadcast(q), "gram").where(holds).select(*fields)
-    keys = q.where(F.col("query").rlike("^[0-9a-f]{64}$"))
-    keyed = profiles.withColumn("text", text).join(F.broadcast(keys), F.col("pubkey") == F.col("query")).where(~holds).select(*fields)
+    holds, p = F.contains("text", low), searched(profiles)
+    lists = postings.where(F.col("gram").isin(sorted({r.gram for r in rare})) if rare else F.lit(False)).join(wanted, "gram").select("query", "doc").distinct()
+    found = p.join(lists, "doc").withColumn("low", F.lower("query")).where(holds).select(*fields)
+    keys = queries.where(F.col("query").rlike("^[0-9a-f]{64}$")).withColumn("low", F.lower("query"))
+    keyed = p.join(keys, F.col("pubkey") == F.col("query")).where(~holds).select(*fields)
     tests = {"is": lambda f: F.lower(f) == low, "starts": lambda f: F.startswith(F.lower(f), low), "has": lambda f: F.contains(F.lower(f), low)}
     key = F.when(F.col("pubkey") == F.col("query"), F.lit(100.0)).otherwise(F.lit(0.0))
     score = F.greatest(key, *[F.when(tests[how](F.col(f)), F.lit(float(s))).otherwise(F.lit(0.0)) for s, how, f in TIERS])

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from socialspark.operators import enrich, jobs
 from socialspark.sources.ingest import flatten_tags, note_zaps
-from socialspark.sources.scratch import cut, exists
+from socialspark.sources.scratch import cut, exists, remove
 from socialspark.sources.tables import table
 
 KIND = """CASE WHEN event_id % 10 < 4 THEN 1 WHEN event_id % 10 < 6 THEN 7 WHEN event_id % 10 = 6 THEN 6
@@ -34,9 +35,23 @@ def _note(number: str) -> str:
     return f"(10 * (({number}) DIV 4) + ({number}) % 4)"
 
 
-#: (application, data folder, table): the written table's path and schema.
-_written: dict[tuple[str, str, str], tuple[str, StructType]] = {}
-_bounds: dict[tuple[str, str], Row] = {}
+#: (application, data folder, table): the state of the folder's files, the written table's path and schema.
+_written: dict[tuple[str, str, str], tuple[str, str, StructType]] = {}
+_bounds: dict[tuple[str, str, str], Row] = {}
+
+
+def files_state(spark: SparkSession, folder: str) -> str:
+    """A digest of the names, sizes and times of a data folder's files, so that tables written from others are not used."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo, seen = [path], []
+    while todo:
+        for f in fs.listStatus(todo.pop()):
+            if f.isDirectory():
+                todo.append(f.getPath())
+            else:
+                seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return sha256("\n".join(sorted(seen)).encode()).hexdigest()
 
 
 @dataclass
@@ -46,17 +61,25 @@ class Tables:
     spark: SparkSession
     sf_dir: str
 
-    def _stored(self, name: str, build: Callable[[], DataFrame], order: tuple[str, ...]) -> DataFrame:
+    @cached_property
+    def state(self) -> str:
+        return files_state(self.spark, self.sf_dir)
+
+    def stored(self, name: str, build: Callable[[], DataFrame], order: tuple[str, ...]) -> DataFrame:
+        """A table that is written once for the folder as it is; one written from other files is given up."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _written or not exists(self.spark, _written[key][0]):
+        state, path, schema = _written.get(key, ("", "", None))
+        if state != self.state or not exists(self.spark, path):
             made = cut(build().sortWithinPartitions(*order), f"table-{name}")
-            _written[key] = (made.scratch_path, made.schema)
-        path, schema = _written[key]
+            if path:
+                remove(self.spark, path)
+            _written[key] = (self.state, made.scratch_path, made.schema)
+            path, schema = made.scratch_path, made.schema
         return self.spark.read.schema(schema).parquet(path)
 
     @cached_property
     def bounds(self):
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.state)
         if key not in _bounds:
             _bounds[key] = table(self.spark, self.sf_dir, "events").selectExpr("max(event_id) + 1 AS n", "max(user_id) + 1 AS users", "date_trunc('second', max(ts)) AS as_of").first()
         return _bounds[key]
@@ -69,7 +92,7 @@ class Tables:
     @cached_property
     def events(self) -> DataFrame:
         """id, pubkey, kind, created_at, tags, content, event_id, user_id: the canonical event."""
-        return self._stored("events", self._events, ("kind", "created_at"))
+        return self.stored("events", self._events, ("kind", "created_at"))
 
     def _events(self) -> DataFrame:
         b, users = self.bounds, self.bounds.users
@@ -108,21 +131,21 @@ class Tables:
 
     @cached_property
     def tags(self) -> DataFrame:
-        return self._stored("tags", lambda: flatten_tags(self.events), ("tag_key", "kind", "created_at"))
+        return self.stored("tags", lambda: flatten_tags(self.events), ("tag_key", "kind", "created_at"))
 
     @cached_property
     def zaps(self) -> DataFrame:
-        return self._stored("zaps", lambda: note_zaps(self.events), ("created_at",))
+        return self.stored("zaps", lambda: note_zaps(self.events), ("created_at",))
 
     @cached_property
     def edges(self) -> DataFrame:
         """Reply edges."""
-        return self._stored("edges", lambda: jobs.reply_edges(self.tags), ("created_at",))
+        return self.stored("edges", lambda: jobs.reply_edges(self.tags), ("created_at",))
 
     @cached_property
     def contacts(self) -> DataFrame:
         """Newest contact lists."""
-        return self._stored("contacts", lambda: jobs.contacts_latest(self.events), ("pubkey",))
+        return self.stored("contacts", lambda: jobs.contacts_latest(self.events), ("pubkey",))
 
     @cached_property
     def follows(self) -> DataFrame:
@@ -140,7 +163,7 @@ class Tables:
     @cached_property
     def scores(self) -> DataFrame:
         """source, pubkey, score, followers, nodes, fetched_at: two versions of each author's external score."""
-        return self._stored("scores", self._scores, ("pubkey",))
+        return self.stored("scores", self._scores, ("pubkey",))
 
     def _scores(self) -> DataFrame:
         u = table(self.spark, self.sf_dir, "events").select("user_id").distinct()

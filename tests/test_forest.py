@@ -15,12 +15,10 @@ def brute(up):
         while at in up and up[at] not in path:
             at = up[at]
             path.append(at)
-        cycle = at in up
-        depth[n] = None if cycle else len(path) - 1
-        if not cycle:
-            for a in path[1:]:
-                size[a] += 1
-    return {(n, depth[n], None if depth[n] is None else size[n]) for n in nodes}
+        depth[n] = len(path) - 1
+        for a in path[1:]:
+            size[a] += 1
+    return {(n, depth[n], size[n]) for n in nodes}
 
 
 def links(spark, up):
@@ -35,7 +33,7 @@ def test_random_forests_stars_and_cycles(spark):
     r = random.Random(5)
     up = {n: r.randrange(n) for n in range(1, 150) if n % 40}
     up |= {200 + k: 199 for k in range(80)} | {300 + k: 299 + k for k in range(1, 70)}
-    up |= {500: 501, 501: 502, 502: 500, 510: 500, 511: 510, 520: 520}  # a cycle, what hangs on it, a node above itself
+    up |= {500: 501, 501: 502, 502: 500, 510: 500, 511: 510, 512: 510, 513: 501, 520: 520, 530: 531, 531: 530}  # cycles, what hangs on them, a node above itself
     tree, _ = graph.forest(links(spark, up))
     assert got(tree) == brute(up)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from socialspark.operators import graph, people, ranking
 from socialspark.plans import social
+from socialspark.plans.fixtures import Tables
 
 START = datetime(2024, 1, 1)
 
@@ -79,3 +80,17 @@ def test_viewers_take_their_boosts_and_the_shared_first_rows(spark):
         order = sorted(((s + 3.0 * (a in mine), at, i) for i, at, a, s in pool), reverse=True)
         want |= {(v, i, k) for k, (_, _, i) in enumerate(order[:5], 1)}
     assert got == want
+
+
+def test_files_added_to_a_folder_are_seen(spark, tmp_path):
+    import shutil
+
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "sf", copy_function=shutil.copyfile)
+    (tmp_path / "sf").chmod(0o755)
+    sf = f"file://{tmp_path}/sf"
+    before = Tables(spark, sf).events.count()
+    assert Tables(spark, sf).events.count() == before == spark.read.parquet(f"{sf}/events.parquet").count()
+    spark.read.parquet(f"{sf}/events.parquet").where("event_id < 100").coalesce(1).write.parquet(f"{sf}/fewer")
+    part = next(p for p in (tmp_path / "sf" / "fewer").iterdir() if p.name.startswith("part-"))
+    shutil.copyfile(part, tmp_path / "sf" / "events.parquet")
+    assert Tables(spark, sf).events.count() == 100
