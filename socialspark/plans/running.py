@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.operators import incremental, jobs, retention, stored
-from socialspark.plans.backfill import _frames, _stream, query_of as _query_of
+from socialspark.plans.backfill import _EV2, _TG2, _frames, _stream, query_of as _query_of
 from socialspark.plans.social import _SILENT
 from socialspark.sources.scratch import new_path
-from socialspark.streaming import annotations, intake, resume
+from socialspark.streaming import annotations, intake, resume, states
 from socialspark.streaming import ingest as st
 
 Q, SQL = {}, {}
@@ -163,3 +163,19 @@ def _(t):
     for days in (3, 1, 0):
         roll.tick(log.where(F.col("created_at") <= t.as_of - F.expr(f"INTERVAL {days} DAYS")), t.scores)
     return roll.features()
+
+
+@query_of(
+    "st7_state_counts",
+    "SELECT target_event_id, coalesce(likes, 0) AS likes, coalesce(reposts, 0) AS reposts, coalesce(quotes, 0) AS quotes, coalesce(sats, 0) AS sats, coalesce(zaps, 0) AS zaps FROM (SELECT tag_value AS target_event_id, count(DISTINCT pubkey) FILTER (kind = 7 AND tag_key = 'e') AS likes, count(DISTINCT pubkey) FILTER (kind IN (6, 16) AND tag_key = 'e') AS reposts, count(DISTINCT event_id) FILTER (kind = 1 AND tag_key = 'q') AS quotes FROM tg2 "
+    "WHERE strlen(tag_value) = 64 AND (kind IN (6, 7, 16) AND tag_key = 'e' OR kind = 1 AND tag_key = 'q') GROUP BY 1) FULL JOIN (SELECT target_event_id, CAST(sum(sats) AS BIGINT) AS sats, count(*) AS zaps FROM zaps WHERE zap_receipt_id IN (SELECT id FROM ev2) GROUP BY 1) USING (target_event_id)",
+    _EV2, _TG2,
+)
+def _(t):
+    """Counts from sketches and sums that batches leave; exact while a target has few actors, else within the sketch's error."""
+
+    def run(frames, base):
+        events = st.seen_once(st.valid_events(frames)).select("id", "pubkey", "kind", "created_at", "tags", "content")
+        return st.micro_batches(events, f"{base}/state", once=True).foreachBatch(states.keep_states(f"{base}/out", 3)).start()
+
+    return states.counts(states.read_states(t.spark, f"{_stream(t, run, 1)}/out"))
