@@ -213,7 +213,16 @@ def _(t):
     return _threads(t)
 
 
-@query_of("q15_thread_order")
+@query_of(
+    "q15_thread_order",
+    "SELECT root_id, event_id, CAST(row_number() OVER (PARTITION BY root_id ORDER BY tier, spot, event_id) AS INT) AS position FROM (SELECT * FROM tiers WHERE (root_id, event_id) IN (SELECT (root_id, event_id) FROM tr) QUALIFY row_number() OVER (PARTITION BY root_id, event_id ORDER BY tier, spot) = 1)",
+    ("x", _EXPAND), ("own", _CHAIN), ("rts", "SELECT id, pubkey FROM ev WHERE kind = 1 AND len(tags) = 0"),
+    ("tr", "SELECT root_id, event_id, row_number() OVER (PARTITION BY root_id ORDER BY level, event_id) AS place FROM x WHERE level > 0"),
+    ("ch", "SELECT root_id, event_id, step FROM (WITH RECURSIVE c(root_id, author, event_id, step) AS (SELECT id, pubkey, id, 0 FROM rts UNION ALL SELECT root_id, author, child_id, step + 1 FROM c JOIN own ON own.parent_id = c.event_id AND own.child_pubkey = author WHERE step < 8) SELECT * FROM c) WHERE step > 0"),
+    ("fo", "SELECT rts.id AS root_id, child_id AS event_id FROM rts JOIN edges ON parent_id = rts.id JOIN fe ON fe.follower = rts.pubkey AND fe.followed = child_pubkey LEFT JOIN lk ON lk.id = child_id QUALIFY row_number() OVER (PARTITION BY rts.id ORDER BY coalesce(likes, 0) DESC, edges.created_at DESC, child_id DESC) = 1"),
+    ("rk", "SELECT parent_id AS root_id, child_id AS event_id, -epoch(created_at)::BIGINT AS recency, row_number() OVER (PARTITION BY parent_id ORDER BY coalesce(likes, 0) DESC, created_at DESC, child_id DESC) AS position FROM edges LEFT JOIN lk ON lk.id = child_id"),
+    ("tiers", "SELECT root_id, event_id, 1 AS tier, step::BIGINT AS spot FROM ch UNION ALL SELECT root_id, event_id, 2, 0 FROM fo UNION ALL SELECT root_id, event_id, 3, position FROM rk WHERE position <= 10 UNION ALL SELECT root_id, event_id, 4, recency FROM rk UNION ALL SELECT root_id, event_id, 5, place FROM tr"),
+)
 def _(t):
     roots, e, likes = _thread_roots(t), _edges(t), jobs.like_counts(t.tags)
     threads = latest.ranked(cut(_threads(t), "threads"), ["root_id"], [F.asc("level"), F.asc("event_id")], "place")
