@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from socialspark.operators import incremental, jobs, retention, stored
+from socialspark.operators import incremental, jobs, layout, retention, stored
 from socialspark.plans.backfill import _EV2, _TG2, _frames, _stream, query_of as _query_of
 from socialspark.plans.social import _SILENT
 from socialspark.sources.scratch import new_path
@@ -179,3 +179,20 @@ def _(t):
         return st.micro_batches(events, f"{base}/state", once=True).foreachBatch(states.keep_states(f"{base}/out", 3)).start()
 
     return states.counts(states.read_states(t.spark, f"{_stream(t, run, 1)}/out"))
+
+
+def _bucketed(t):
+    return layout.bucketed(t.tags, "tags_by_event", "event_id", 16), layout.bucketed(t.events.select("id", "kind", "content"), "events_by_id", "id", 16)
+
+
+@query_of("j1_bucketed", "SELECT tg.event_id, tag_key, tag_value, content FROM tg JOIN ev ON ev.id = tg.event_id WHERE tag_key IN ('q', 'd')")
+def _(t):
+    tags, events = _bucketed(t)
+    return layout.hydrated(tags.where("tag_key IN ('q', 'd')"), events, "content").select("event_id", "tag_key", "tag_value", "content")
+
+
+@query_of("j2_bucketed", "SELECT tg.event_id, tag_value AS target_id, s.content AS source_content, t.content AS target_content FROM tg JOIN ev s ON s.id = tg.event_id JOIN ev t ON t.id = tag_value WHERE tag_key = 'e' AND t.kind = 1 AND tg.kind = 7")
+def _(t):
+    tags, events = _bucketed(t)
+    rows = layout.both_sides(tags.where("tag_key = 'e' AND kind = 7"), events, "content")
+    return rows.where("target_kind = 1").select("event_id", "target_id", "source_content", "target_content")
