@@ -3,6 +3,8 @@
 import tempfile
 from datetime import datetime
 
+import pytest
+
 from socialspark.streaming import states
 
 EVENT = "id string, pubkey string, kind int, created_at timestamp_ntz, tags array<array<string>>, content string"
@@ -17,7 +19,15 @@ def batch(spark, k, n=40):
     return rows
 
 
-def test_fifty_batches_equal_one_pass_and_open_few_files(spark):
+@pytest.fixture
+def one_partition(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_fifty_batches_equal_one_pass_and_open_few_files(spark, one_partition):
     base = "file://" + tempfile.mkdtemp(prefix="states-test-")
     write, every, opened = states.keep_states(base, 8), [], []
     for k in range(50):
