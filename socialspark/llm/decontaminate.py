@@ -5,9 +5,10 @@ benchmark's vocabulary end a run, runs too short for any match are left out, and
 others are sorted by prefix doubling. Every test suffix is then found by binary search in every shard:
 the range of shard suffixes that share its first ``window`` words gives all locations, and matches are
 followed from there to their end, so each document's longest verbatim match is known. Documents with a
-location are affected and can be removed. No document is shuffled. The benchmark goes out in blocks of about
-``block_bytes``, one after another; test suffixes are searched a batch at a time, so memory is bounded
-by a block of the benchmark and one block of documents.
+location are affected and can be removed. No document is shuffled or written again. Windows that occur in several
+items are one entry with the set of those items, so that equal items and shared prompts cost no more than one. The
+benchmark goes out in blocks of about ``block_bytes``; a task takes its documents some MB at a time and
+loads the blocks one after another for them, so memory is bounded by a block of the benchmark and one block of documents.
 
 Defined cases: null and empty texts have no words and are clean; items without words have no window;
 rows that repeat a doc_id are judged one by one; null doc_ids pass through; a null item_id is the
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from socialspark.llm.arrow_text import blocks, list_array
-from socialspark.sources.scratch import cut, discard
+from socialspark.sources.scratch import cut
 
 #: A-Z to a-z; digits, a-z and all bytes of non-ASCII characters stay; everything else parts words.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -60,21 +62,69 @@ class TestSet:
         self.need = np.repeat(np.minimum(size, window), size)
         self.longest = int(size.max(initial=0))
 
+    def windows(self) -> TestSet:
+        """Add the distinct windows (``rep``: a suffix that starts each; ``sets``: its set of items) and the order of the suffixes behind them.
 
-class Shard:
-    """Suffix array over the words of one block of documents."""
-
-    def __init__(self, test: TestSet, data: np.ndarray, offsets: np.ndarray, shortest: int, depth: int):
-        raw, listed, counts = data.tobytes(), [], []
+        ``ranks[k]`` orders the places of ``tokens`` by their next 2**k words within the item, ``pairs[k]`` holds the pairs of ranks
+        of half the words behind each rank; all suffixes that share a window are the range ``low`` to ``high`` of ``full``.
+        """
+        left, rank, step = np.zeros(len(self.tokens), np.int64), self.tokens, 1
+        left[self.start] = self.left
+        self.ranks, self.pairs = [rank.astype(np.int32)], [np.zeros(0, np.int64)]
+        while step < self.longest:
+            after = np.where(left[:-step] >= step, rank[step:], 0)
+            pairs, rank = np.unique(rank * (int(rank.max()) + 1) + np.concatenate([after, np.zeros(step, np.int64)]), return_inverse=True)
+            self.ranks.append(rank.astype(np.int32))
+            self.pairs.append(pairs)
+            step *= 2
+        order = np.argsort(rank[self.start], kind="stable")
+        full = order[self.left[order] >= self.window]
+        new = np.ones(len(full), bool)
+        if len(full):
+            new[1:] = False
+            for k in range(self.window):
+                word = self.tokens[self.start[full] + k]
+                new[1:] |= word[1:] != word[:-1]
+        short = order[(self.left[order] == self.need[order]) & (self.need[order] < self.window)]  # whole items
+        own = rank[self.start[short]]
+        new = np.concatenate([new, np.ones(min(len(short), 1), bool), own[1:] != own[:-1]])
+        members, bounds = np.concatenate([full, short]), np.append(np.flatnonzero(new), len(full) + len(short))
+        self.full, self.rep = self.start[full], members[bounds[:-1]]
+        self.low, self.high = np.minimum(bounds[:-1], len(full)), np.minimum(bounds[1:], len(full))
+        pairs = np.unique((np.cumsum(new) - 1) * (len(self.names) + 1) + self.item[members])
+        at = np.searchsorted(pairs // (len(self.names) + 1), np.arange(len(self.rep) + 1))
+        known: dict[bytes, int] = {}
+        items = (pairs % (len(self.names) + 1)).astype(np.int32)
+        self.sets = np.array([known.setdefault(items[x:y].tobytes(), len(known)) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
+        self.items = list(known)
+        return self
+
+    def named(self, which: int) -> list[str]:
+        """Names of a set of items, sorted."""
+        return [self.names[k] for k in np.frombuffer(self.items[which], np.int32).tolist()]
+
+
+class Words:
+    """The words of one block of documents, each document ended by b"", which no vocabulary holds."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        raw, self.listed, counts = data.tobytes(), [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             own = words(raw[a:b])
             counts.append(len(own))
-            listed += own
-            listed.append(b"")  # parts documents: never in the vocabulary
-        get = test.vocab.get
-        ids = np.fromiter((get(w, 0) for w in listed), np.int64, len(listed))
+            self.listed += own
+            self.listed.append(b"")
         self.counts = np.array(counts, np.int64)
         self.doc_start = np.concatenate([[0], np.cumsum(self.counts + 1)])
+
+
+class Shard:
+    """Suffix array over the words of one block of documents."""
+
+    def __init__(self, test: TestSet, text: Words, shortest: int, depth: int):
+        get = test.vocab.get
+        ids = np.fromiter((get(w, 0) for w in text.listed), np.int64, len(text.listed))
+        self.doc_start = text.doc_start
         known = np.concatenate([[False], ids > 0, [False]])
         edges = np.flatnonzero(known[1:] != known[:-1])
         begin, end = edges[::2], edges[1::2]
@@ -136,26 +186,57 @@ class Shard:
         return lo, hi
 
     def locations(self, test: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(test suffix, shard position, words in common) wherever a test suffix's needed words occur.
-
-        The words in common are counted once for a whole match and are less by one at each later word of it.
-        """
-        which = np.flatnonzero(test.left >= test.need)
-        lo, hi = self.search(test, which, test.need[which]) if len(self.order) and len(which) else (np.zeros(0, np.int64),) * 2
+        """(distinct window, shard position, words in common with any item from there) wherever a window occurs: a row for each position and length of windows at most."""
+        need = test.need[test.rep]
+        lo, hi = self.search(test, test.rep, need) if len(self.order) and len(need) else (np.zeros(len(need), np.int64),) * 2
         much = hi - lo
-        suffix = np.repeat(which[: len(much)], much)
-        pos = self.order[np.repeat(lo - (np.cumsum(much) - much), much) + np.arange(len(suffix))]
-        length = np.zeros(len(pos), np.int64)
-        text = np.concatenate([self.text, np.zeros(1, np.int64)])
-        before = np.where(pos > 0, text[pos - 1], 0)
-        active = np.flatnonzero((before == 0) | (before != test.tokens[test.start[suffix] - 1]))  # the others continue a match counted further left
-        size = test.need[suffix[active]]
-        while len(active):
-            length[active] = size
-            own = text[np.minimum(pos[active] + size, len(text) - 1)]
-            on = (own > 0) & (own == test.tokens[test.start[suffix[active]] + size])
-            active, size = active[on], size[on] + 1
-        return suffix, pos, length
+        window = np.repeat(np.arange(len(need)), much)
+        pos = self.order[np.repeat(lo - (np.cumsum(much) - much), much) + np.arange(len(window))]
+        length = need[window]
+        on = np.flatnonzero(test.high[window] > test.low[window])  # items shorter than a window end with it
+        if len(on):
+            length[on] = self._follow(test, pos[on], test.low[window[on]], test.high[window[on]])
+        return window, pos, length
+
+    def _follow(self, test: TestSet, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Words that the positions share with the test suffixes of their ranges, by jumps of falling powers of two."""
+        zero = self.text == 0
+        run = np.cumsum(zero) - zero
+        hit = np.zeros(int(run[-1]) + 1, bool)
+        hit[run[pos]] = True
+        inside = hit[run]
+        at, own = (np.cumsum(inside) - 1)[pos], self.text[inside]
+        ranks, step = [own], 1
+        while step < test.longest:
+            own, level = ranks[-1], len(ranks)
+            after = np.concatenate([own[step:], np.zeros(min(step, len(own)), np.int64)])
+            both = np.flatnonzero((own > 0) & (after > 0))
+            key = own[both] * (int(test.ranks[level - 1].max()) + 1) + after[both]
+            there = np.minimum(np.searchsorted(test.pairs[level], key), len(test.pairs[level]) - 1)
+            same = test.pairs[level][there] == key
+            if not same.any():
+                break
+            ranks.append(np.zeros(len(own), np.int64))
+            ranks[-1][both[same]] = there[same]
+            step *= 2
+        length, lo, hi = np.full(len(pos), test.window, np.int64), lo.copy(), hi.copy()
+        for k in reversed(range(len(ranks))):
+            wanted = ranks[k][at + length]
+            live = np.flatnonzero(wanted > 0)
+            ends = []
+            for upper in (False, True):
+                low, high = lo[live], hi[live]
+                while (open_ := np.flatnonzero(low < high)).size:
+                    mid = (low[open_] + high[open_]) // 2
+                    there, goal = test.ranks[k][test.full[mid] + length[live[open_]]], wanted[live[open_]]
+                    less = there <= goal if upper else there < goal
+                    low[open_[less]] = mid[less] + 1
+                    high[open_[~less]] = mid[~less]
+                ends.append(low)
+            on = ends[0] < ends[1]
+            lo[live[on]], hi[live[on]] = ends[0][on], ends[1][on]
+            length[live[on]] += 1 << k
+        return length
 
     def longest(self, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
         """Words and one shard position of the longest match of every test suffix; the array must be sorted to ``test.longest`` words.
@@ -198,100 +279,102 @@ def _parts(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return rows.withColumn("part", F.xxhash64("name", "text")), max(1, -(-total // block_bytes))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 8 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the columns ``keep``, then n_words, n_hit, n_items, items_sha256, contaminated, longest, items, begins, ends.
 
     ``longest`` is the number of words of the document's longest verbatim match that holds a window (0 if none);
-    ``begins`` and ``ends`` are the word ranges hit. A benchmark of several blocks is searched block by block: each pass is written before the next block is
-    broadcast, so neither the driver nor a task ever holds more than one block.
+    ``begins`` and ``ends`` are the word ranges hit. The blocks of a large benchmark are prepared one after another on the driver, sent
+    to every executor's disk (some 15 bytes for each byte of the benchmark) and loaded one after another in the tasks, in one pass over the documents.
     """
     carried = [f"_k{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)], F.col("text").cast("string").alias("text"))
-    rows = rows.selectExpr("*", "cast(null as long) n_words", "0L longest", "cast(array() as array<string>) items", "cast(array() as array<int>) begins", "cast(array() as array<int>) ends")
     schema = docs.select(*keep).schema
-    for name, kind in (("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")):
+    for name, kind in (("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean"),
+                       ("longest", "long"), ("items", ArrayType(StringType())), ("begins", ArrayType(IntegerType())), ("ends", ArrayType(IntegerType()))):
         schema = schema.add(name, kind)
-    for name in ("longest", "items", "begins", "ends"):
-        schema = schema.add(rows.schema[name])
     rank, parts = _parts(benchmark, block_bytes)
-    before = None
+    sent = []
     for k in range(parts):
-        part = rank.where(F.pmod("part", F.lit(parts)) == k)
-        shared = docs.sparkSession.sparkContext.broadcast(TestSet([(r.name, r.text) for r in part.select("name", "text").toLocalIterator()], window))
-        if k + 1 == parts:
-            return rows.mapInArrow(_pass(shared, carried, keep), schema)
-        rows = cut(rows.mapInArrow(_pass(shared, carried), rows.schema), "contamination")
-        shared.unpersist()
-        if before is not None:
-            discard(before)
-        before = rows
-    raise AssertionError("at least one block")
-
-
-def _digests(carried: list[pa.Array], keep: tuple[str, ...], n_words: pa.Array, longest: pa.Array, items: pa.Array, b: pa.Array, e: pa.Array) -> pa.RecordBatch:
-    names = [sorted(x) for x in items.to_pylist()]
-    hit = [sum(y - x for x, y in zip(p, q, strict=True)) for p, q in zip(b.to_pylist(), e.to_pylist(), strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [*carried, n_words, pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
-         pa.array([x > 0 for x in hit], pa.bool_()), longest, pa.array(names, pa.list_(pa.string())), b, e],
-        names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "items", "begins", "ends"])
-
-
-def _pass(shared, carried: list[str], keep: tuple[str, ...] | None = None):
-    """One block of the benchmark against all rows; with ``keep``, the last pass, which gives the digests."""
+        part = rank.where(F.pmod("part", F.lit(parts)) == k).select("name", "text")
+        sent.append(docs.sparkSession.sparkContext.broadcast(TestSet([(r.name, r.text) for r in part.toLocalIterator()], window).windows()))
+    return rows.mapInArrow(_pass(sent, carried, keep), schema)
+
+
+#: Item names in one batch of rows that leaves a task; a row with more makes a batch of its own.
+BATCH_NAMES = 1 << 20
+
+
+def _pass(sent: list, carried: list[str], keep: tuple[str, ...]):
+    """All blocks of the benchmark against the documents, some MB of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test: TestSet = shared.value
-        shortest = int(test.need.min(initial=test.window))
         for batch in batches:
             for first, end, data, offsets in blocks(batch, "text"):
-                shard = Shard(test, data, offsets, shortest, test.window)
-                n, size = end - first, int(shard.doc_start[-1])
-                suffix, pos, length = shard.locations(test)
-                at = shard.at[pos]
-                cover = np.zeros(size + 1, np.int32)
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + test.need[suffix], -1)
-                doc = np.searchsorted(shard.doc_start, at, side="right") - 1
-                longest = np.zeros(n, np.int64)
-                np.maximum.at(longest, doc, length)
-                pairs = np.unique(np.stack([doc, test.item[suffix]], 1), axis=0)
-                # runs of words hit by this block, then merged with those of the blocks before
-                hit = np.concatenate([[0], (np.cumsum(cover)[:-1] > 0).astype(np.int8), [0]])
-                edges = np.flatnonzero(hit[1:] != hit[:-1])
-                begins, ends = edges[::2], edges[1::2]
-                doc_of = np.searchsorted(shard.doc_start, begins, side="right") - 1
-                begins, ends = begins - shard.doc_start[doc_of], ends - shard.doc_start[doc_of]
-                spans_n = np.bincount(doc_of, minlength=n)[:n]
-                items = list_array(pa.array([test.names[k] for k in pairs[:, 1].tolist()], pa.string()), np.bincount(pairs[:, 0], minlength=n)[:n])
-                b, e = list_array(pa.array(begins.astype(np.int32)), spans_n), list_array(pa.array(ends.astype(np.int32)), spans_n)
-                old = batch.slice(first, n)
-                longest = np.maximum(longest, old.column("longest").to_numpy())
-                if len(old.column("begins").flatten()) or len(old.column("items").flatten()):
-                    items, b, e = _merge(old, items, b, e)
-                kept = [old.column(c) for c in carried]
-                if keep:
-                    yield _digests(kept, keep, pa.array(shard.counts), pa.array(longest), items, b, e)
-                else:
-                    yield pa.RecordBatch.from_arrays([*kept, old.column("text"), pa.array(shard.counts), pa.array(longest), items, b, e], names=[*carried, "text", "n_words", "longest", "items", "begins", "ends"])
+                text, n = Words(data, offsets), end - first
+                hit, longest = np.zeros(len(text.listed), bool), np.zeros(n, np.int64)
+                found: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+                names: dict[tuple[int, int], list[str]] = {}
+                for k, shared in enumerate(sent):
+                    test: TestSet = shared.value
+                    for doc, which in _search(test, text, hit, longest):
+                        found[doc].append((k, which))
+                        if (k, which) not in names:
+                            names[k, which] = test.named(which)
+                    if len(sent) > 1:
+                        vars(shared).pop("_value", None)  # loaded again from the executor's disk for the next documents
+                        del test
+                yield from _rows([batch.slice(first, n).column(c) for c in carried], keep, text, hit, longest, found, names)
 
     return run
 
 
-def _merge(old: pa.RecordBatch, items: pa.Array, b: pa.Array, e: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
-    out = ([], [], [])
-    for k in range(old.num_rows):
-        out[0].append(sorted({*old.column("items")[k].as_py(), *items[k].as_py()}))
-        spans = sorted([*zip(old.column("begins")[k].as_py(), old.column("ends")[k].as_py(), strict=True), *zip(b[k].as_py(), e[k].as_py(), strict=True)])
-        merged: list[list[int]] = []
-        for x, y in spans:
-            if merged and x <= merged[-1][1]:
-                merged[-1][1] = max(y, merged[-1][1])
-            else:
-                merged.append([x, y])
-        out[1].append([x for x, _ in merged])
-        out[2].append([y for _, y in merged])
-    return pa.array(out[0], pa.list_(pa.string())), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.int32()))
+def _search(test: TestSet, text: Words, hit: np.ndarray, longest: np.ndarray) -> list[tuple[int, int]]:
+    """Mark the words hit and raise the longest matches; return the (document, set of items) found."""
+    shard = Shard(test, text, int(test.need.min(initial=test.window)), test.window)
+    window, pos, length = shard.locations(test)
+    at = shard.at[pos]
+    cover = np.zeros(len(hit) + 1, np.int32)
+    np.add.at(cover, at, 1)
+    np.add.at(cover, at + test.need[test.rep[window]], -1)
+    hit |= np.cumsum(cover)[:-1] > 0
+    doc = np.searchsorted(text.doc_start, at, side="right") - 1
+    np.maximum.at(longest, doc, length)
+    pairs = np.unique(doc * (len(test.items) + 1) + test.sets[window])
+    return [divmod(x, len(test.items) + 1) for x in pairs.tolist()]
+
+
+def _rows(kept: list[pa.Array], keep: tuple[str, ...], text: Words, hit: np.ndarray, longest: np.ndarray, found: list, names: dict) -> Iterator[pa.RecordBatch]:
+    n = len(longest)
+    padded = np.concatenate([[0], hit.astype(np.int8), [0]])
+    edges = np.flatnonzero(padded[1:] != padded[:-1])
+    begins, ends = edges[::2], edges[1::2]
+    doc = np.searchsorted(text.doc_start, begins, side="right") - 1
+    n_hit = np.zeros(n, np.int64)
+    np.add.at(n_hit, doc, ends - begins)
+    begins, ends = (begins - text.doc_start[doc]).astype(np.int32), (ends - text.doc_start[doc]).astype(np.int32)
+    spans = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n)[:n])])
+    empty = hashlib.sha256(b"").hexdigest()
+    first, many, own, digests, last = 0, 0, [], [], None
+    for k in range(n):
+        if not found[k]:
+            own.append([])
+            digests.append(empty)
+        elif last is not None and found[k] == found[last]:
+            own.append(own[-1])
+            digests.append(digests[-1])
+        else:
+            lists = [names[x] for x in found[k]]
+            own.append(lists[0] if len(lists) == 1 else sorted(set().union(*lists)))
+            digests.append(hashlib.sha256(",".join(own[-1]).encode()).hexdigest())
+        last, many = k, many + len(own[-1])
+        if k + 1 == n or many >= BATCH_NAMES:
+            part, a, b = slice(first, k + 1), int(spans[first]), int(spans[k + 1])
+            sizes = np.diff(spans[first : k + 2])
+            yield pa.RecordBatch.from_arrays(
+                [*[c.slice(first, k + 1 - first) for c in kept], pa.array(text.counts[part]), pa.array(n_hit[part]), pa.array([len(x) for x in own], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit[part] > 0),
+                 pa.array(longest[part]), pa.array(own, pa.list_(pa.string())), list_array(pa.array(begins[a:b]), sizes), list_array(pa.array(ends[a:b]), sizes)],
+                names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "items", "begins", "ends"])
+            first, many, own, digests, last = k + 1, 0, [], [], None
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
@@ -307,7 +390,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 1
             test: TestSet = shared.value
             for batch in batches:
                 for first, _, data, offsets in blocks(batch, "text"):
-                    shard = Shard(test, data, offsets, 1, test.longest)
+                    shard = Shard(test, Words(data, offsets), 1, test.longest)
                     best, pos = shard.longest(test)
                     some = np.flatnonzero(best > 0)
                     doc, word = shard.place(pos[some])
@@ -317,9 +400,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 1
 
         part = cut(docs_.mapInArrow(run, "item_id string, item_word long, length long, doc_id long, doc_word long"), "longest-matches")
         out = part if out is None else out.unionByName(part)
-    best = Window.partitionBy("item_id", "item_word").orderBy(F.desc("length"), "doc_id", "doc_word")
-    # one row per shard and suffix at most meets here: the shards' maxima, not the matches
-    return out.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+    best = out.groupBy("item_id", "item_word").agg(F.min(F.struct((-F.col("length")).alias("less"), "doc_id", "doc_word")).alias("best"))
+    return best.select("item_id", "item_word", (-F.col("best.less")).alias("length"), "best.doc_id", "best.doc_word")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
