@@ -30,9 +30,9 @@ def test_invoice_amounts(spark):
 
 
 def test_zap_takes_amount_and_own_target(spark):
-    tags = [["e", H("a")], ["amount", "123000"], ["bolt11", "lnbc2500u1x"], ["description", '{"tags":[["e","' + H("b") + '"]]}']]
+    tags = [["e", H("a")], ["amount", "457000"], ["bolt11", "lnbc2500u1x"], ["description", '{"tags":[["e","' + H("b") + '"]]}']]
     row = note_zaps(events(spark, [(H("c"), H("d"), 9735, 1, tags, "")])).first()
-    assert (row.target_event_id, row.sats) == (H("a"), 123)
+    assert (row.target_event_id, row.sats) == (H("a"), 457)
 
 
 def test_policies():
