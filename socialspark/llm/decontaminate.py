@@ -97,6 +97,7 @@ class TestSet:
         items = (pairs % (len(self.names) + 1)).astype(np.int32)
         self.sets = np.array([known.setdefault(items[x:y].tobytes(), len(known)) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
         self.items = list(known)
+        del self.item, self.word, self.left  # not sent: the search needs them no more
         return self
 
     def named(self, which: int) -> list[str]:
@@ -279,12 +280,12 @@ def _parts(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return rows.withColumn("part", F.xxhash64("name", "text")), max(1, -(-total // block_bytes))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 4 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 1 << 20, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per document: the columns ``keep``, then n_words, n_hit, n_items, items_sha256, contaminated, longest, items, begins, ends.
 
     ``longest`` is the number of words of the document's longest verbatim match that holds a window (0 if none);
     ``begins`` and ``ends`` are the word ranges hit. The blocks of a large benchmark are prepared one after another on the driver, sent
-    to every executor's disk (some 15 bytes for each byte of the benchmark) and loaded one after another in the tasks, in one pass over the documents.
+    to every executor's disk (30 to 50 bytes for each byte of the benchmark, so 30 to 50 MB a block) and loaded one after another in the tasks, in one pass over the documents.
     """
     carried = [f"_k{k}" for k in range(len(keep))]
     rows = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, carried, strict=True)], F.col("text").cast("string").alias("text"))

@@ -102,7 +102,7 @@ def test_blocks_write_no_text(spark, monkeypatch):
     texts = [words(r, 50, 3000) + (" " + items[k * 5][1] if k % 3 else "") for k in range(80)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = table(spark, [(k, t, "s") for k, t in enumerate(texts)])
-    got = decontaminate.contamination(docs, bench, block_bytes=2000)
+    got = decontaminate.contamination(docs, bench, block_bytes=20_000)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     rows = {g.doc_id: g for g in got.collect()}
