@@ -98,11 +98,11 @@ def test_blocks_write_no_text(spark, monkeypatch):
     """A benchmark of many blocks goes over the documents once; nothing is written."""
     monkeypatch.setattr(scratch, "new_path", lambda *a: pytest.fail("writes"))
     r = random.Random(4)
-    items = [(k, words(r, 60, 3000)) for k in range(400)]
-    texts = [words(r, 50, 3000) + (" " + items[k * 5][1] if k % 3 else "") for k in range(80)]
+    items = [(k, words(r, 60, 3000)) for k in range(100)]
+    texts = [words(r, 50, 3000) + (" " + items[k * 2][1] if k % 3 else "") for k in range(40)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = table(spark, [(k, t, "s") for k, t in enumerate(texts)])
-    got = decontaminate.contamination(docs, bench, block_bytes=20_000)
+    got = decontaminate.contamination(docs, bench, block_bytes=5000)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     rows = {g.doc_id: g for g in got.collect()}
