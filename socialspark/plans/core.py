@@ -15,7 +15,7 @@ from socialspark.operators import jobs, latest, query
 from socialspark.operators.aggregate import AggregateSpec
 from socialspark.operators.query import EventQuery, TagFilter
 from socialspark.plans.fixtures import Tables
-from socialspark.plans.oracle import sql
+from socialspark.plans.oracle import ALL_TARGETS, sql
 from socialspark.sources.ingest import profiles
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,7 +272,7 @@ def _real(t):
     return jobs.engagement_real(targets, t.tags, t.zaps, t.edges, t.events, t.scores)
 
 
-@query_of("m8_note_engagement_real", "SELECT * FROM realc")
+@query_of("m8_note_engagement_real", "SELECT * FROM realc", ALL_TARGETS)
 def _(t):
     return _real(t)
 

@@ -15,7 +15,7 @@ from socialspark.functions.tags import TagPredicate
 from socialspark.operators import enrich, graph, jobs, latest, notify, people, query, ranking, retention, reviews
 from socialspark.plans.core import _REFS, _user_stats
 from socialspark.plans.fixtures import Tables
-from socialspark.plans.oracle import sql
+from socialspark.plans.oracle import ALL_TARGETS, sql
 from socialspark.sources.ingest import audit_units, profiles
 from socialspark.sources.scratch import cut, new_path
 from socialspark.streaming.ingest import ExemptAuthors
@@ -486,13 +486,13 @@ def _built_features(t):
 _FT = "SELECT realc.event_id, ev.pubkey, ev.kind, ev.created_at, coalesce(lk.likes, 0) AS raw_likes, CAST(coalesce(zt.sats, 0) AS BIGINT) AS raw_sats, real_likes, real_reposts, real_replies, real_quotes, real_zap_sats, real_actors, coalesce(ls.score, 0) AS author_score, CAST(coalesce(st.followers, 0) AS BIGINT) AS author_followers, coalesce(mv.value, 0) AS contribution_quality FROM realc JOIN ev ON ev.id = realc.event_id LEFT JOIN lk ON lk.id = ev.id LEFT JOIN zt ON zt.id = ev.id LEFT JOIN ls ON ls.pubkey = ev.pubkey LEFT JOIN st ON st.pubkey = ev.pubkey LEFT JOIN mv ON mv.event_id = ev.id"
 
 
-@query_of("m9_note_rank_features", "SELECT * FROM ft", ("mv", _MV), ("ft", _FT))
-@query_of("j4_feature_assembly", "SELECT * FROM ft", ("mv", _MV), ("ft", _FT))
+@query_of("m9_note_rank_features", "SELECT * FROM ft", ALL_TARGETS, ("mv", _MV), ("ft", _FT))
+@query_of("j4_feature_assembly", "SELECT * FROM ft", ALL_TARGETS, ("mv", _MV), ("ft", _FT))
 def _(t):
     return _features(t).select("event_id", "pubkey", "kind", "created_at", "raw_likes", "raw_sats", "real_likes", "real_reposts", "real_replies", "real_quotes", "real_zap_sats", "real_actors", "author_score", "author_followers", "contribution_quality")
 
 
-@query_of("st11_rollup_tick", "SELECT * FROM ft", ("mv", _MV), ("ft", _FT))
+@query_of("st11_rollup_tick", "SELECT * FROM ft", ALL_TARGETS, ("mv", _MV), ("ft", _FT))
 def _(t):
     since = t.as_of - F.expr("INTERVAL 10 DAYS")
     newest = _metrics(t).where("computed_at = 1").select("event_id", "metric", "value")
@@ -511,8 +511,8 @@ _WEIGHTS = {"likes": 1.0, "replies": 2.0, "reposts": 1.5, "quotes": 1.2, "zap_sa
 _SCORE = "ln(1.0::DOUBLE + real_likes) + 2.0::DOUBLE * ln(1.0::DOUBLE + real_replies) + 1.5::DOUBLE * ln(1.0::DOUBLE + real_reposts) + 1.2::DOUBLE * ln(1.0::DOUBLE + real_quotes) + 0.3::DOUBLE * ln(1.0::DOUBLE + real_zap_sats) + 0.5::DOUBLE * real_actors + 0.02::DOUBLE * CASE WHEN author_followers >= 2 THEN author_score ELSE 0 END + contribution_quality + 3.0::DOUBLE * pow(0.5::DOUBLE, greatest(epoch(as_of) - epoch(created_at), 0) / 86400.0::DOUBLE)"
 
 
-@query_of("r1_feature_ranking", f"SELECT event_id, pubkey, round({_SCORE}, 6) AS score FROM ft, bnd WHERE kind = 1 ORDER BY {_SCORE} DESC, created_at DESC, event_id DESC LIMIT 100", ("mv", _MV), ("ft", _FT))
-@query_of("t4_rank_order", f"SELECT event_id, pubkey, round({_SCORE}, 6) AS score FROM ft, bnd WHERE kind = 1 ORDER BY {_SCORE} DESC, created_at DESC, event_id DESC LIMIT 100", ("mv", _MV), ("ft", _FT))
+@query_of("r1_feature_ranking", f"SELECT event_id, pubkey, round({_SCORE}, 6) AS score FROM ft, bnd WHERE kind = 1 ORDER BY {_SCORE} DESC, created_at DESC, event_id DESC LIMIT 100", ALL_TARGETS, ("mv", _MV), ("ft", _FT))
+@query_of("t4_rank_order", f"SELECT event_id, pubkey, round({_SCORE}, 6) AS score FROM ft, bnd WHERE kind = 1 ORDER BY {_SCORE} DESC, created_at DESC, event_id DESC LIMIT 100", ALL_TARGETS, ("mv", _MV), ("ft", _FT))
 def _(t):
     s = ranking.feature_scores(_features(t).where("kind = 1"), _WEIGHTS, t.as_of, min_followers=2)
     return ranking.top_scores(s, 100).select("event_id", "pubkey", F.round("score", 6).alias("score"))
@@ -548,7 +548,7 @@ def _(t):
 _GLOBAL = "ln(1.0::DOUBLE + real_likes) + 0.5::DOUBLE * ln(1.0::DOUBLE + real_replies) + 0.1::DOUBLE * CASE WHEN author_followers >= 2 THEN author_score ELSE 0 END + 2.0::DOUBLE * contribution_quality + 4.0::DOUBLE * pow(0.5::DOUBLE, greatest(epoch(as_of) - epoch(created_at), 0) / 172800.0::DOUBLE)"
 
 
-@query_of("r4_routed_rankings", f"SELECT 'global' AS request, 'features' AS plan, event_id AS id, round({_GLOBAL}, 6) AS score FROM ft, bnd WHERE kind = 1 UNION ALL SELECT 'personal', 'live', id, round(score, 6) FROM w UNION ALL SELECT 'unmapped', 'live', ev.id, round(coalesce(z.c, 0), 6) FROM ev LEFT JOIN (SELECT tag_value AS id, count(DISTINCT pubkey) AS c FROM tg WHERE tag_key = 'e' AND kind = 9735 GROUP BY 1) z USING (id) WHERE ev.kind = 1", ("mv", _MV), ("ft", _FT), ("w", _W3))
+@query_of("r4_routed_rankings", f"SELECT 'global' AS request, 'features' AS plan, event_id AS id, round({_GLOBAL}, 6) AS score FROM ft, bnd WHERE kind = 1 UNION ALL SELECT 'personal', 'live', id, round(score, 6) FROM w UNION ALL SELECT 'unmapped', 'live', ev.id, round(coalesce(z.c, 0), 6) FROM ev LEFT JOIN (SELECT tag_value AS id, count(DISTINCT pubkey) AS c FROM tg WHERE tag_key = 'e' AND kind = 9735 GROUP BY 1) z USING (id) WHERE ev.kind = 1", ALL_TARGETS, ("mv", _MV), ("ft", _FT), ("w", _W3))
 def _(t):
     shared = tuple(replace(x, min_followers=2) if x.source == "author_score" else x for x in _TERMS)
     requests = {"global": (shared, True), "personal": (_TERMS, False), "unmapped": ((ranking.Term("references", "zaps", 1.0),), True)}
