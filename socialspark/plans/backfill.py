@@ -105,7 +105,7 @@ def _(t):
 def _stream(t, after, files_per_batch=100, **order):
     """Run a streaming plan over the frames, in order of arrival, to its end and return what it wrote."""
     base = new_path(t.spark, "stream")
-    _frames(t, **order).write.json(f"{base}/in")
+    st.write_folder(_frames(t, **order), f"{base}/in")
     st.in_file_order(t.spark, f"{base}/in")
     frames = st.read_folder(t.spark, f"{base}/in", files_per_batch)
     q = after(frames, base)
@@ -130,7 +130,7 @@ def _(t):
     exempt = jobs.scored_actors(t.scores, 90)
 
     def run(frames, base):
-        events = st.capped(st.valid_events(frames.where("relay = 'wss://a'")).drop("tags"), exempt, 2)
+        events = st.capped(st.valid_events(frames.where("relay = 'wss://a'")).select("id", "pubkey", "kind", "ingest_ts"), exempt, 2)
         return st.micro_batches(events.select("id"), f"{base}/state", once=True).format("parquet").option("path", f"{base}/out").outputMode("append").start()
 
     return t.spark.read.schema("id string").parquet(f"{_stream(t, run)}/out")

@@ -52,7 +52,7 @@ def _(t):
     versions = [jobs.scored_actors(t.scores, 90), jobs.latest_scores(t.scores).where("score < 20")]
     for n, (authors, part) in enumerate(zip(versions, (frames.where(_half(t)), frames.where(~_half(t))), strict=True)):
         intake.publish(authors, f"{base}/exempt", n)
-        part.write.json(f"{base}/in/part={n}")
+        st.write_folder(part, f"{base}/in/part={n}")
         st.in_file_order(t.spark, f"{base}/in/part={n}")
         _ended(intake.start_split(events, base, exemption, once=True))
         _ended(intake.start_counting(t.spark, base, _CAP_ROW, 2, once=True))

@@ -22,6 +22,8 @@ from socialspark.sources.ingest import decode_frames, flatten_tags, note_zaps, p
 from socialspark.sources.scratch import cut, discard
 
 CAPPED = (1, 6, 16, 1111)
+#: States of the daily cap for each day.
+CAP_BUCKETS = 64
 FRAMES = "relay string, ingest_ts timestamp, value string"
 
 
@@ -36,6 +38,11 @@ def read_topic(spark: SparkSession, servers: str, topic: str, offsets_per_batch:
     return raw.selectExpr("cast(key as string) AS relay", "timestamp AS ingest_ts", "cast(value as string) AS value")
 
 
+def write_folder(frames: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Frames as a folder of JSON lines. They are compressed: most of a frame is hexadecimal, and its copies from other relays lie beside it."""
+    frames.write.mode(mode).option("compression", "gzip").json(path)
+
+
 def in_file_order(spark: SparkSession, path: str) -> None:
     """Give a folder's files modification times that rise with their names, the order in which a stream reads them."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -64,10 +71,11 @@ def seen_once(events: DataFrame, keep: str = "1 hour") -> DataFrame:
     return events.withWatermark("ingest_ts", keep).dropDuplicatesWithinWatermark(["id"])
 
 
-def capped(events: DataFrame, exempt: DataFrame, cap: int, keep: str = "1 hour") -> DataFrame:
+def capped(events: DataFrame, exempt: DataFrame, cap: int, keep: str = "1 hour", buckets: int = CAP_BUCKETS) -> DataFrame:
     """Without posts beyond an author's ``cap`` of a UTC day of ingestion; exempt authors and other kinds pass.
 
-    Of a micro-batch the first by (ingest_ts, id) stay; no more than ``cap`` of an author-day are held at once. A day's
+    Of a micro-batch the first by (ingest_ts, id) stay; no more than ``cap`` of an author-day are held at once. A state holds
+    the counters of a day's authors in one of ``buckets`` by their hash, so that calls do not grow with author-days. A day's
     counts leave the state when the watermark, ``keep`` behind the newest arrival, has passed its end.
     """
     free = exempt.select("pubkey").distinct().withColumn("_free", F.lit(True))
@@ -79,23 +87,31 @@ def capped(events: DataFrame, exempt: DataFrame, cap: int, keep: str = "1 hour")
         if state.hasTimedOut:
             state.remove()
             return
-        used = state.get[0] if state.exists else 0
-        left, n, first = max(cap - used, 0), 0, None
+        used = dict(zip(*state.get, strict=True)) if state.exists else {}
+        seen: dict[str, int] = {}
+        first = None
         for rows in frames:
             counts = rows["_counts"].to_numpy(bool)
-            n += int(counts.sum())
             if not counts.all():
                 yield rows.loc[~counts, schema.names].reset_index(drop=True)
-            if left and counts.any():
-                first = pd.concat([first, rows.loc[counts]]).sort_values(["ingest_ts", "id"], kind="stable").head(left)
-        state.update((used + n,))
+            posts = rows.loc[counts]
+            for author, n in posts["pubkey"].value_counts().items():
+                seen[author] = seen.get(author, 0) + n
+            posts = posts[[used.get(a, 0) < cap for a in posts["pubkey"]]]
+            if len(posts):
+                posts = (posts if first is None else pd.concat([first, posts])).sort_values(["ingest_ts", "id"], kind="stable")
+                left = [cap - used.get(a, 0) for a in posts["pubkey"]]
+                first = posts[posts.groupby("pubkey").cumcount() < left]
+        for author, n in seen.items():
+            used[author] = min(used.get(author, 0) + int(n), cap)
+        state.update((list(used), list(used.values())))
         ends = int((pd.Timestamp(key[1], tz="UTC") + pd.Timedelta(days=1)).timestamp() * 1000)
         state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         if first is not None:
             yield first[schema.names].reset_index(drop=True)
 
-    day = flagged.withColumn("_day", F.to_date("ingest_ts")).groupBy("pubkey", "_day")
-    return day.applyInPandasWithState(step, schema, "used long", "append", GroupStateTimeout.EventTimeTimeout).drop("_counts")
+    day = flagged.withColumns({"_bucket": F.pmod(F.xxhash64("pubkey"), F.lit(buckets)), "_day": F.to_date("ingest_ts")}).groupBy("_bucket", "_day")
+    return day.applyInPandasWithState(step, schema, "authors array<string>, used array<long>", "append", GroupStateTimeout.EventTimeTimeout).drop("_counts")
 
 
 def relay_marks(events: DataFrame, back: str = "5 minutes") -> DataFrame:

@@ -24,7 +24,7 @@ AHEAD = timedelta(minutes=10)
 
 def land(frames: DataFrame, path: str, mode: str = "append") -> None:
     """Frames into the landing folder."""
-    frames.withColumn("day", F.to_date("ingest_ts")).write.mode(mode).partitionBy("day").json(path)
+    frames.withColumn("day", F.to_date("ingest_ts")).write.mode(mode).option("compression", "gzip").partitionBy("day").json(path)
 
 
 def read_landing(spark: SparkSession, path: str, since_day: str | None = None, files_per_batch: int = 100) -> DataFrame:
