@@ -123,3 +123,13 @@ def jitter(c: Column, seed: str, counter: int, strength: float = 0.15) -> Column
 
 def policy_thresholds(policy: str) -> tuple[float, float]:
     return POLICY_THRESHOLDS.get(policy.strip().upper(), STRICT_THRESHOLDS)
+
+
+def packed(key: Column) -> Column:
+    """A key as bytes: 64 lower-case hexadecimal digits in 32; any other text as it is, behind 33 zero bytes."""
+    return F.when(key.rlike("^[0-9a-f]{64}\\z"), F.unhex(key)).otherwise(F.concat(F.unhex(F.lit("00" * 33)), F.encode(key, "UTF-8")))
+
+
+def unpacked(key: Column) -> Column:
+    """The text that :func:`packed` took."""
+    return F.when(F.octet_length(key) == 32, F.lower(F.hex(key))).otherwise(F.decode(F.substring(key, 34, 1 << 30), "UTF-8"))

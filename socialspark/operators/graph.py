@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from socialspark.functions.tags import TagPredicate, root_ref
+from socialspark.functions.text import packed, unpacked
 from socialspark.operators.latest import latest, ranked, top_per_key
 from socialspark.sources.scratch import cut, discard
 
@@ -187,12 +188,23 @@ def ranked_replies(edges: DataFrame, counter: DataFrame, by: str) -> DataFrame:
     return j.select("parent_id", "child_id", "score", (F.col("place") + F.col("earlier")).cast("int").alias("position"))
 
 
-def best_followed_reply(viewers: DataFrame, edges: DataFrame, follows: DataFrame, likes: DataFrame) -> DataFrame:
-    """(viewer, parent_id, child_id): of the replies by people the viewer follows, the most liked, then newest. ``viewers``: (viewer, parent_id)."""
-    f = follows.select(F.col("follower").alias("viewer"), F.col("followed").alias("child_pubkey"))
-    j = viewers.join(edges, "parent_id").join(f, ["viewer", "child_pubkey"], "left_semi").join(likes.select(F.col("target_event_id").alias("child_id"), "likes"), "child_id", "left")
-    order = [F.desc(F.coalesce("likes", F.lit(0))), F.desc("created_at"), F.desc("child_id")]
-    return latest(j, ["viewer", "parent_id"], order).select("viewer", "parent_id", "child_id")
+def best_followed_reply(viewers: DataFrame | None, edges: DataFrame, follows: DataFrame, likes: DataFrame) -> DataFrame:
+    """(viewer, parent_id, child_id): of the replies by people the viewer follows, the most liked, then newest. ``viewers``: (viewer, parent_id), or None for every viewer at every parent.
+
+    A reply meets its author's followers once, so that rows grow with replies times followers, not with a thread's replies
+    times its viewers; those rows are shuffled once, with 64-digit keys in 32 bytes.
+    """
+    f = follows.select(packed(F.col("follower")).alias("viewer"), F.col("followed").alias("child_pubkey"))
+    scored = edges.join(likes.select(F.col("target_event_id").alias("child_id"), "likes"), "child_id", "left")
+    j = scored.select(packed(F.col("parent_id")).alias("parent_id"), "child_id", "child_pubkey", "created_at", F.coalesce("likes", F.lit(0)).alias("likes"))
+    if viewers is not None:
+        asked = viewers.select(packed(F.col("viewer")).alias("viewer"), packed(F.col("parent_id")).alias("parent_id")).distinct()
+        j = j.join(asked, "parent_id").join(f, ["viewer", "child_pubkey"], "left_semi")
+    else:
+        j = j.join(f, "child_pubkey")
+    j = j.select("viewer", "parent_id", "child_id", "created_at", "likes").repartition("viewer", "parent_id")
+    best = latest(j, ["viewer", "parent_id"], [F.desc("likes"), F.desc("created_at"), F.desc("child_id")])
+    return best.select(unpacked(F.col("viewer")).alias("viewer"), unpacked(F.col("parent_id")).alias("parent_id"), "child_id")
 
 
 def thread_order(threads: DataFrame, chain: DataFrame, followed: DataFrame, ranked: DataFrame, ranked_limit: int = 10) -> DataFrame:

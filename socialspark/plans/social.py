@@ -127,9 +127,7 @@ def _(t):
 
 @query_of("q5_best_followed_reply", "SELECT viewer, parent_id, child_id FROM (SELECT fe.follower AS viewer, parent_id, child_id, row_number() OVER (PARTITION BY fe.follower, parent_id ORDER BY coalesce(likes, 0) DESC, created_at DESC, child_id DESC) AS r FROM edges JOIN fe ON fe.followed = child_pubkey LEFT JOIN lk ON lk.id = child_id) WHERE r = 1")
 def _(t):
-    e, f = _edges(t), _follows(t)
-    viewers = e.join(f, F.col("child_pubkey") == F.col("followed")).select(F.col("follower").alias("viewer"), "parent_id").distinct()
-    return graph.best_followed_reply(viewers, e, f, jobs.like_counts(t.tags))
+    return graph.best_followed_reply(None, _edges(t), _follows(t), jobs.like_counts(t.tags))
 
 
 @query_of("q6_follow_counts", "SELECT st.pubkey, CAST(coalesce(len(list_distinct(contacts)), 0) AS BIGINT) AS following, CAST(st.followers AS BIGINT) AS followers FROM st LEFT JOIN ct USING (pubkey)")

@@ -25,3 +25,19 @@ def test_thread_order_of_the_given_events(spark):
         whole.setdefault(r.root_id, set()).add(r.event_id)
     assert {k: set(v) for k, v in places.items()} == whole
     assert all(sorted(v.values()) == list(range(1, len(v) + 1)) for v in places.values())
+
+
+def test_every_viewer_gets_the_best_followed_reply_of_each_parent(spark):
+    from datetime import datetime
+
+    from socialspark.operators import graph
+
+    a, upper, word = "0a" * 32, "0A" * 32, "viewer"
+    at = datetime(2024, 1, 1)
+    edges = spark.createDataFrame([("c1", "p", "x", 1, at), ("c2", "p", "y", 1, at), ("c3", "p", "x", 1, at), ("c4", a, "x", 1, at)], "child_id string, parent_id string, child_pubkey string, kind int, created_at timestamp_ntz")
+    follows = spark.createDataFrame([(a, "x"), (a, "y"), (upper, "x"), (word, "y")], "follower string, followed string")
+    likes = spark.createDataFrame([("c2", 3)], "target_event_id string, likes long")
+    got = {(r.viewer, r.parent_id): r.child_id for r in graph.best_followed_reply(None, edges, follows, likes).collect()}
+    assert got == {(a, "p"): "c2", (upper, "p"): "c3", (word, "p"): "c2", (a, a): "c4", (upper, a): "c4"}
+    some = spark.createDataFrame([(a, "p"), (word, a)], "viewer string, parent_id string")
+    assert [tuple(r) for r in graph.best_followed_reply(some, edges, follows, likes).collect()] == [(a, "p", "c2")]
