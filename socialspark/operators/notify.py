@@ -23,16 +23,16 @@ def feed(candidates: DataFrame, events: DataFrame, tags: DataFrame, scores: Data
     direct_parent_author, replies_viewer_thread, actor_score. Everything below is bounded to the window first.
     """
     inside = (F.col("created_at") >= start) & (F.col("created_at") < end)
-    c = candidates.where(inside).dropDuplicates(["viewer", "event_id", "reason"])
-    e = tags.where(inside & (F.col("tag_key") == "e") & (F.octet_length("tag_value") == 64)).join(c.select("event_id").distinct(), "event_id", "left_semi")
-    pick = lambda f, m: f(F.when(F.col("marker") == m, F.col("tag_value")), F.when(F.col("marker") == m, F.col("tag_index")))
-    meta = e.groupBy("event_id").agg((F.count_if(F.col("marker").isin(*PLAIN_MARKERS)) > 0).alias("is_reply"), F.coalesce(pick(F.min_by, "reply"), pick(F.max_by, ""), pick(F.min_by, "root")).alias("parent_id"))
+    c = candidates.where(inside).repartition("event_id").dropDuplicates(["viewer", "event_id", "reason"])
+    # What a reference needs of its target is looked up once; from there on all lies by event, and candidates are not dealt out again.
     authors = events.select(F.col("id").alias("tag_value"), F.col("pubkey").alias("ref_author"))
-    thread = e.where(F.col("marker").isin(*PLAIN_MARKERS)).join(authors, "tag_value").select("event_id", F.col("ref_author").alias("viewer")).distinct().withColumn("replies_viewer_thread", F.lit(True))
-    parents = authors.select(F.col("tag_value").alias("parent_id"), F.col("ref_author").alias("direct_parent_author"))
+    e = tags.where(inside & (F.col("tag_key") == "e") & (F.octet_length("tag_value") == 64)).select("event_id", "tag_value", "tag_index", "marker").join(authors, "tag_value", "left")
+    pick = lambda f, m: f(F.when(F.col("marker") == m, F.struct("ref_author")), F.when(F.col("marker") == m, F.col("tag_index")))
+    plain = F.col("marker").isin(*PLAIN_MARKERS)
+    meta = e.groupBy("event_id").agg((F.count_if(plain) > 0).alias("is_reply"), F.coalesce(pick(F.min_by, "reply"), pick(F.max_by, ""), pick(F.min_by, "root"))["ref_author"].alias("direct_parent_author"), F.collect_set(F.when(plain, F.col("ref_author"))).alias("thread_authors"))
     s = latest_scores(scores).select(F.col("pubkey").alias("actor_pubkey"), F.col("score").alias("actor_score"))
-    body = events.select(F.col("id").alias("event_id"), F.col("pubkey").alias("event_pubkey"), F.col("kind").alias("event_kind"))
-    out = c.join(body, "event_id").join(meta, "event_id", "left").join(parents, "parent_id", "left").join(thread, ["event_id", "viewer"], "left").join(s, "actor_pubkey", "left")
+    body = events.where(inside).select(F.col("id").alias("event_id"), F.col("pubkey").alias("event_pubkey"), F.col("kind").alias("event_kind"))
+    out = c.join(body, "event_id").join(meta, "event_id", "left").withColumn("replies_viewer_thread", F.array_contains("thread_authors", F.col("viewer"))).drop("thread_authors").join(s, "actor_pubkey", "left")
     false = F.lit(False)
     return out.select("viewer", "created_at", "event_id", "reason", "actor_pubkey", "event_pubkey", "event_kind", F.coalesce("is_reply", false).alias("is_reply"),
                       F.coalesce("direct_parent_author", F.lit("")).alias("direct_parent_author"), F.coalesce("replies_viewer_thread", false).alias("replies_viewer_thread"), F.coalesce("actor_score", F.lit(0.0)).alias("actor_score"))
