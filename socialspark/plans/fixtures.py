@@ -6,7 +6,8 @@ and key prune their row groups and no query builds the log again.
 
 The mapping is arithmetic on event_id, with one join for the authors of targets, so it needs no ranking
 over all rows: in each run of ten ids the first four are notes, two are reactions, then a repost, a zap,
-a comment and an event of a rarer kind.
+a comment and an event of a rarer kind. That join and the sort run over the given numbers; hashes, tags and
+contents, which are twenty times as wide, are worked out of its rows and never shuffled.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ KIND = """CASE WHEN event_id % 10 < 4 THEN 1 WHEN event_id % 10 < 6 THEN 7 WHEN
  WHEN event_id % 10 = 7 THEN 9735 WHEN event_id % 10 = 8 THEN 1111
  ELSE CASE event_id DIV 10 % 6 WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 2 THEN 10002 WHEN 3 THEN 30078 WHEN 4 THEN 4 ELSE 10000 END END"""
 
+#: Number of a note.
+NOTE = "4 * (event_id DIV 10) + event_id % 10"
+
 
 def _note(number: str) -> str:
     """event_id of the note with a number."""
@@ -70,7 +74,8 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         state, path, schema = _written.get(key, ("", "", None))
         if state != self.state or not exists(self.spark, path):
-            made = cut(build().sortWithinPartitions(*order), f"table-{name}")
+            rows = build()
+            made = cut(rows.sortWithinPartitions(*order) if order else rows, f"table-{name}")
             if path:
                 remove(self.spark, path)
             _written[key] = (self.state, made.scratch_path, made.schema)
@@ -89,24 +94,38 @@ class Tables:
         """The newest event's time; stands for now."""
         return F.lit(self.bounds.as_of).cast("timestamp_ntz")
 
+    @cached_property
+    def numbers(self) -> DataFrame:
+        """event_id, user_id, value, event_type, kind, created_at and the user id of the target's author, by kind and time: what the canonical event is worked out of."""
+        return self.stored("numbers", self._numbers, ("kind", "created_at"))
+
+    def _target(self) -> str:
+        """event_id of the note that an event answers or engages; null if none."""
+        notes = max(4 * (self.bounds.n // 10), 1)
+        return f"CASE WHEN kind = 1 THEN CASE WHEN note % 2 = 1 THEN {_note('event_id * 31 % note')} END WHEN kind IN (6, 7, 1111, 9735) THEN {_note(f'event_id * 31 % {notes}')} END"
+
+    def _numbers(self) -> DataFrame:
+        given = table(self.spark, self.sf_dir, "events").selectExpr("event_id", "user_id", "value", "event_type", f"{KIND} AS kind", "date_trunc('second', ts) AS created_at")
+        named = given.selectExpr("*", f"{NOTE} AS note").selectExpr("*", f"{self._target()} AS target").drop("note")
+        authors = given.where("kind = 1").select(F.col("event_id").alias("target"), F.col("user_id").alias("target_user"))  # targets are notes
+        # always by shuffle: a few numbers a row, and the same plan at any size
+        found = named.where("target IS NOT NULL").join(authors.hint("merge"), "target", "left").drop("target")
+        return found.unionByName(named.where("target IS NULL").drop("target").withColumn("target_user", F.lit(None).cast("long")))
+
     @cached_property
     def events(self) -> DataFrame:
         """id, pubkey, kind, created_at, tags, content, event_id, user_id: the canonical event."""
-        return self.stored("events", self._events, ("kind", "created_at"))
-
-    def _events(self) -> DataFrame:
-        b, users = self.bounds, self.bounds.users
-        notes = max(4 * (b.n // 10), 1)
-        ev = table(self.spark, self.sf_dir, "events").selectExpr(
-            "event_id", "user_id", "value", "event_type", "sha2('e' || event_id, 256) AS id", "sha2('u' || user_id, 256) AS pubkey",
-            f"{KIND} AS kind", "date_trunc('second', ts) AS created_at", "4 * (event_id DIV 10) + event_id % 10 AS note",
-        )
+        return self.stored("events", lambda: self.canonical(self.numbers.sortWithinPartitions("kind", "created_at")), ())
+
+    def canonical(self, numbers: DataFrame) -> DataFrame:
+        """The canonical events of some rows of ``numbers``, in their order."""
+        users = self.bounds.users
+        notes = max(4 * (self.bounds.n // 10), 1)
+        ev = numbers.selectExpr("*", "sha2('e' || event_id, 256) AS id", "sha2('u' || user_id, 256) AS pubkey", "sha2('u' || target_user, 256) AS target_pubkey", f"{NOTE} AS note")
         ev = ev.selectExpr(
-            "*", f"CASE WHEN kind = 1 THEN CASE WHEN note % 2 = 1 THEN {_note('event_id * 31 % note')} END WHEN kind IN (6, 7, 1111, 9735) THEN {_note(f'event_id * 31 % {notes}')} END AS target",
+            "*", f"{self._target()} AS target",
             f"CASE WHEN kind = 1 AND note % 4 = 1 THEN {_note('event_id * 17 % note')} END AS root", f"CASE WHEN kind = 1 AND event_id % 5 = 0 THEN {_note(f'event_id * 17 % {notes}')} END AS quote",
         )
-        authors = ev.select(F.col("event_id").alias("target"), F.col("pubkey").alias("target_pubkey"))
-        ev = ev.join(authors, "target", "left")
         h = lambda prefix, x: f"sha2('{prefix}' || ({x}), 256)"
         msat = "cast(cast(round(value * 1000) as bigint) as string)"
         tags = f"""CASE
