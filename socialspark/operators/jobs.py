@@ -161,11 +161,16 @@ def rank_features(real: DataFrame, stats: DataFrame, events: DataFrame, scores:
                       F.coalesce("author_score", F.lit(0.0)).alias("author_score"), F.coalesce("author_followers", F.lit(0)).cast("long").alias("author_followers"), F.coalesce("contribution_quality", F.lit(0.0)).alias("contribution_quality"))
 
 
-def notification_candidates(tags: DataFrame) -> DataFrame:
-    """(viewer, event_id, actor_pubkey, created_at, kind, reason) by the people an event names, without its author."""
+def notification_rows(tags: DataFrame) -> DataFrame:
+    """(viewer, event_id, actor_pubkey, created_at, kind, reason) by the people an event names, without its author; a person named twice twice."""
     reason = F.when(F.col("kind") == 3, "follow").when(F.col("kind").isin(6, 16), "repost").when(F.col("kind") == 7, "reaction").when(F.col("kind") == 9735, "zap").otherwise("mention")
     rows = tags.where("tag_key = 'p' AND octet_length(tag_value) = 64 AND kind IN (1, 3, 6, 7, 16, 9735) AND tag_value <> pubkey")
-    return rows.select(F.col("tag_value").alias("viewer"), "event_id", F.col("pubkey").alias("actor_pubkey"), "created_at", "kind", reason.alias("reason")).dropDuplicates(["viewer", "event_id", "reason"])
+    return rows.select(F.col("tag_value").alias("viewer"), "event_id", F.col("pubkey").alias("actor_pubkey"), "created_at", "kind", reason.alias("reason"))
+
+
+def notification_candidates(tags: DataFrame) -> DataFrame:
+    """The notification rows, each viewer, event and reason once."""
+    return notification_rows(tags).dropDuplicates(["viewer", "event_id", "reason"])
 
 
 def addressable_latest(events: DataFrame) -> DataFrame:

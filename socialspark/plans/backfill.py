@@ -60,18 +60,28 @@ def _(t):
     return log.select("month", "id", "kind", F.json_array_length("tags_json").cast("long").alias("n_tags"), "first_seen_at", "last_seen_at")
 
 
+#: Files that the frames come in at least, and events a file as they grow.
+FRAME_FILES, FRAMES_A_FILE = 8, 250_000
+
+
 def _frames(t, ahead=False, late=False):
     """The events as relay frames, each from two relays, one in fifty malformed; partitions follow each other in time of arrival.
 
     ``ahead``: one in fifty claims a time an hour after its arrival. ``late``: frames arrive in no order of time, the two copies of an event far apart.
     """
-    e = t.events.repartitionByRange("created_at", "id").selectExpr("id", "pubkey", "kind", "timestampdiff(SECOND, timestamp_ntz '1970-01-01', created_at) AS arrival", "tags", "content", "repeat('0', 128) AS sig", "event_id")
+    # the order is made of numbers; what a frame holds is worked out after it
+    relays = F.explode(F.array(F.lit("wss://a"), F.lit("wss://b"))).alias("relay")
+    files = max(FRAME_FILES, -(-t.bounds.n // FRAMES_A_FILE))
+    if late:
+        rows = t.numbers.select("*", relays).repartitionByRange(files, F.xxhash64("event_id", "relay"))
+    else:
+        rows = t.numbers.repartitionByRange(files, "created_at", F.expr("sha2('e' || event_id, 256)"))
+    e = t.canonical(rows).selectExpr("id", "pubkey", "kind", "timestampdiff(SECOND, timestamp_ntz '1970-01-01', created_at) AS arrival", "tags", "content", "repeat('0', 128) AS sig", "event_id", *(["relay"] if late else []))
     claimed = F.when(F.col("event_id") % 50 == 7, F.col("arrival") + 3600).otherwise(F.col("arrival")) if ahead else F.col("arrival")
     e = e.withColumn("created_at", claimed)
     body = F.to_json(F.struct("id", "pubkey", "created_at", "kind", "tags", "content", "sig"))
     frame = F.when(F.col("event_id") % 50 == 49, F.concat(F.lit('["EVENT","s",'), body)).when(F.col("event_id") % 50 == 48, '["EOSE","s"]').otherwise(F.concat(F.lit('["EVENT","s",'), body, F.lit("]")))
-    out = e.select(frame.alias("value"), F.timestamp_seconds("arrival").alias("ingest_ts"), F.explode(F.array(F.lit("wss://a"), F.lit("wss://b"))).alias("relay"))
-    return out.repartitionByRange(F.xxhash64("value", "relay")) if late else out
+    return e.select(frame.alias("value"), F.timestamp_seconds("arrival").alias("ingest_ts"), "relay" if late else relays)
 
 
 @query_of("s1_decoded_frames", "SELECT id, pubkey, kind, created_at, CAST(len(tags) AS INT) AS n_tags FROM ev WHERE event_id % 50 < 48")
@@ -139,7 +149,7 @@ def _(t):
 @query_of("st3_ahead_of_time", "SELECT id, event_id % 50 = 7 AS ahead FROM ev WHERE event_id % 50 < 48")
 def _(t):
     def run(frames, base):
-        return st.micro_batches(st.seen_once(st.valid_events(frames)).select("id", "ahead"), f"{base}/state", once=True).format("parquet").option("path", f"{base}/out").outputMode("append").start()
+        return st.micro_batches(st.seen_once(st.valid_events(frames).select("id", "ahead", "ingest_ts")).drop("ingest_ts"), f"{base}/state", once=True).format("parquet").option("path", f"{base}/out").outputMode("append").start()
 
     return t.spark.read.schema("id string, ahead boolean").parquet(f"{_stream(t, run, ahead=True)}/out")
 

@@ -30,6 +30,8 @@ KIND = """CASE WHEN event_id % 10 < 4 THEN 1 WHEN event_id % 10 < 6 THEN 7 WHEN
  WHEN event_id % 10 = 7 THEN 9735 WHEN event_id % 10 = 8 THEN 1111
  ELSE CASE event_id DIV 10 % 6 WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 2 THEN 10002 WHEN 3 THEN 30078 WHEN 4 THEN 4 ELSE 10000 END END"""
 
+#: Columns of ``Tables.numbers``.
+GIVEN = ("event_id", "user_id", "value", "event_type", "kind", "created_at", "target_user")
 #: Number of a note.
 NOTE = "4 * (event_id DIV 10) + event_id % 10"
 
@@ -118,7 +120,7 @@ class Tables:
         return self.stored("events", lambda: self.canonical(self.numbers.sortWithinPartitions("kind", "created_at")), ())
 
     def canonical(self, numbers: DataFrame) -> DataFrame:
-        """The canonical events of some rows of ``numbers``, in their order."""
+        """The canonical events of some rows of ``numbers``, in their order; further columns go along."""
         users = self.bounds.users
         notes = max(4 * (self.bounds.n // 10), 1)
         ev = numbers.selectExpr("*", "sha2('e' || event_id, 256) AS id", "sha2('u' || user_id, 256) AS pubkey", "sha2('u' || target_user, 256) AS target_pubkey", f"{NOTE} AS note")
@@ -146,7 +148,8 @@ class Tables:
         content = """CASE WHEN kind = 7 THEN element_at(array('+', '', '-', '!'), cast(event_id % 4 + 1 as int))
             WHEN kind = 0 THEN '{"name":"user' || user_id || '","display_name":"' || CASE WHEN event_id % 3 = 0 THEN '' ELSE 'User Number ' || user_id END || '","picture":"https://img.example/' || user_id || '.png","about":"about ' || event_type || '","nip05":"u' || user_id || '@example.com","website":"https://site' || (user_id % 9) || '.example"}'
             WHEN kind = 30078 THEN '{"seenUntil":' || (event_id * 1000) || '}' WHEN kind IN (1, 1111) THEN 'note about ' || event_type || ' ' || cast(event_id % 97 as string) ELSE '' END"""
-        return ev.selectExpr("id", "pubkey", "kind", "created_at", f"cast({tags} AS array<array<string>>) AS tags", f"{content} AS content", "event_id", "user_id")
+        more = [c for c in numbers.columns if c not in GIVEN]
+        return ev.selectExpr("id", "pubkey", "kind", "created_at", f"cast({tags} AS array<array<string>>) AS tags", f"{content} AS content", "event_id", "user_id", *more)
 
     @cached_property
     def tags(self) -> DataFrame:

@@ -84,7 +84,7 @@ def _word_counts(events: pd.DataFrame) -> pd.DataFrame:
 )
 def _(t):
     def run(frames, base):
-        events = st.seen_once(st.valid_events(frames)).select("id", "kind", "content")
+        events = st.seen_once(st.valid_events(frames).select("id", "kind", "content", "ingest_ts")).drop("ingest_ts")
         return st.micro_batches(events, f"{base}/state", once=True).foreachBatch(annotations.annotate_each(f"{base}/out", _word_counts)).start()
 
     return annotations.read_outcomes(t.spark, f"{_stream(t, run)}/out").select("event_id", "outcome", "value", "error")
@@ -175,7 +175,7 @@ def _(t):
     """Counts from sketches and sums that batches leave; exact while a target has few actors, else within the sketch's error."""
 
     def run(frames, base):
-        events = st.seen_once(st.valid_events(frames)).select("id", "pubkey", "kind", "created_at", "tags", "content")
+        events = st.seen_once(st.valid_events(frames).select("id", "pubkey", "kind", "created_at", "tags", "content", "ingest_ts")).drop("ingest_ts")
         return st.micro_batches(events, f"{base}/state", once=True).foreachBatch(states.keep_states(f"{base}/out", 3)).start()
 
     return states.counts(states.read_states(t.spark, f"{_stream(t, run, 1)}/out"))

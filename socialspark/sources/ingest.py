@@ -21,11 +21,11 @@ PROFILE_FIELDS = ("name", "display_name", "picture", "about", "nip05", "lud16",
 
 def decode_frames(frames: DataFrame, value: str = "value") -> DataFrame:
     """Events of ``["EVENT", subscription, {...}]`` lines; other frames and malformed lines give nothing."""
-    parts = F.from_json(F.col(value), "array<string>")
-    e = F.from_json(F.get(parts, F.lit(2)), EVENT)
+    # a generator's columns are not put in place of their uses, so that a line is parsed once, not once for each condition on it
+    event = lambda parts: F.when(F.get(parts, F.lit(0)) == "EVENT", F.from_json(F.get(parts, F.lit(2)), EVENT))
     others = [c for c in frames.columns if c != value]
-    decoded = frames.select(*others, F.get(parts, F.lit(0)).alias("_frame"), e.alias("e"))
-    return decoded.where("_frame = 'EVENT' AND e.id IS NOT NULL").select(*others, "e.*").withColumn("created_at", F.timestamp_seconds("created_at").cast("timestamp_ntz"))
+    decoded = frames.select(*others, F.inline(F.transform(F.array(F.from_json(F.col(value), "array<string>")), event)))
+    return decoded.where("id IS NOT NULL").withColumn("created_at", F.timestamp_seconds("created_at").cast("timestamp_ntz"))
 
 
 def shape_problem() -> Column:

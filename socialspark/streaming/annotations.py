@@ -55,7 +55,7 @@ def annotate_each(base: str, process: Processor, size: int = SIZE) -> Callable[[
 
     def write(batch: DataFrame, batch_id: int) -> None:
         once = batch.dropDuplicates(["id"])
-        outcomes(once, process, size).write.mode("overwrite").partitionBy("outcome").parquet(f"{base}/outcomes/batch={batch_id}")
+        outcomes(once, process, size).write.mode("overwrite").option("compression", "zstd").partitionBy("outcome").parquet(f"{base}/outcomes/batch={batch_id}")
 
     return write
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from socialspark.functions.text import packed, unpacked
 from socialspark.operators import jobs
 from socialspark.operators.latest import latest
 from socialspark.sources.ingest import decode_frames, flatten_tags, note_zaps, profiles, split_by_shape
@@ -68,7 +69,18 @@ def valid_events(frames: DataFrame) -> DataFrame:
 
 def seen_once(events: DataFrame, keep: str = "1 hour") -> DataFrame:
     """The first sighting of each event over all relays. The watermark is on ingestion time: an author may back-date events."""
-    return events.withWatermark("ingest_ts", keep).dropDuplicatesWithinWatermark(["id"])
+    return once(events, ["id"], keep)
+
+
+def once(events: DataFrame, key: list[str], keep: str = "1 hour") -> DataFrame:
+    """The first row of each key. What is not needed after it should be left out before: all columns go to the key's state.
+    Keys of 64 digits travel as 32 bytes, in tags too."""
+    back = {c: unpacked(F.col(c)) for c in ("id", "pubkey") if c in events.columns}
+    there = {c: packed(F.col(c)) for c in back}
+    if "tags" in events.columns:
+        each = lambda f: F.transform("tags", lambda tag: F.transform(tag, f))
+        there["tags"], back["tags"] = each(packed), each(unpacked)
+    return events.withColumns(there).withWatermark("ingest_ts", keep).dropDuplicatesWithinWatermark(key).withColumns(back)
 
 
 def capped(events: DataFrame, exempt: DataFrame, cap: int, keep: str = "1 hour", buckets: int = CAP_BUCKETS) -> DataFrame:
@@ -155,17 +167,18 @@ def hourly_counts(events: DataFrame) -> DataFrame:
     return w.select(F.col("window.start").alias("hour"), "kind", "n")
 
 
-#: Row-level tables that a batch of events adds to; aggregates are taken when they are read.
+#: Row-level tables that a batch of events adds to; aggregates are taken when they are read, and rows written more than once
+#: count once then (:func:`read_view`), so neither a batch's events nor its rows are shuffled to find repeats.
 VIEWS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "events": lambda e: e.select("id", "pubkey", "kind", "created_at", "tags", "content"),
-    "likes": lambda e: flatten_tags(e).where(f"kind = 7 AND {jobs.REFERENCE}").select(F.col("tag_value").alias("target_event_id"), "pubkey").distinct(),
-    "reposts": lambda e: flatten_tags(e).where(f"kind IN (6, 16) AND {jobs.REFERENCE}").select(F.col("tag_value").alias("target_event_id"), "pubkey").distinct(),
-    "quotes": lambda e: flatten_tags(e).where("kind = 1 AND tag_key = 'q' AND octet_length(tag_value) = 64").select(F.col("tag_value").alias("target_event_id"), "event_id").distinct(),
-    "posts": lambda e: e.where("kind IN (1, 1111)").select("pubkey", "id").distinct(),
+    "likes": lambda e: flatten_tags(e).where(f"kind = 7 AND {jobs.REFERENCE}").select(F.col("tag_value").alias("target_event_id"), "pubkey"),
+    "reposts": lambda e: flatten_tags(e).where(f"kind IN (6, 16) AND {jobs.REFERENCE}").select(F.col("tag_value").alias("target_event_id"), "pubkey"),
+    "quotes": lambda e: flatten_tags(e).where("kind = 1 AND tag_key = 'q' AND octet_length(tag_value) = 64").select(F.col("tag_value").alias("target_event_id"), "event_id"),
+    "posts": lambda e: e.where("kind IN (1, 1111)").select("pubkey", "id"),
     "zaps": note_zaps,
     "contacts": jobs.contacts_latest,
     "profiles": profiles,
-    "candidates": lambda e: jobs.notification_candidates(flatten_tags(e)),
+    "candidates": lambda e: jobs.notification_rows(flatten_tags(e)),
 }
 
 
@@ -178,17 +191,19 @@ def read_view(spark: SparkSession, base: str, name: str, schema: str) -> DataFra
     rows = spark.read.option("basePath", f"{base}/{name}").schema(schema).parquet(f"{base}/{name}/batch=*").drop("batch")
     if name in LATEST:
         return latest(rows, [LATEST[name]], [F.desc("created_at"), F.desc("event_id")])
-    return rows.distinct()
+    text = [f.name for f in rows.schema if f.dataType.simpleString() == "string"]
+    once = rows.withColumns({c: packed(F.col(c)) for c in text}).distinct()  # keys of 64 digits travel as 32 bytes
+    return once.withColumns({c: unpacked(F.col(c)) for c in text})
 
 
 def write_views(base: str, names: tuple[str, ...] = tuple(VIEWS)) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: each view's rows of a batch go to a folder of that batch, replaced if it is repeated."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.drop("relay", "ingest_ts", "ahead", "sig").dropDuplicates(["id"]).persist()
+        rows = batch.drop("relay", "ingest_ts", "ahead", "sig").persist()
         try:
             for name in names:
-                VIEWS[name](rows).write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+                VIEWS[name](rows).write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/{name}/batch={batch_id}")
         finally:
             rows.unpersist()
 
@@ -202,9 +217,14 @@ def annotate(base: str, processor: Callable[[DataFrame], DataFrame]) -> Callable
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = processor(batch)
-        rows.write.mode("overwrite").parquet(f"{base}/metrics/batch={batch_id}")
-        done = rows.select(F.col("event_id").alias("id")).distinct()
-        batch.select("id").join(done, "id", "left_anti").write.mode("overwrite").parquet(f"{base}/skipped/batch={batch_id}")
+        batch.persist()  # read twice; without it the stream's state would be worked through again
+        try:
+            rows, path = processor(batch), f"{base}/metrics/batch={batch_id}"
+            schema = rows.schema
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            done = batch.sparkSession.read.schema(schema).parquet(path).select(F.col("event_id").alias("id")).distinct()
+            batch.select("id").join(done, "id", "left_anti").write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/skipped/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return write

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from socialspark.sources.scratch import exists
-from socialspark.streaming.ingest import FRAMES, micro_batches, relay_marks, valid_events
+from socialspark.streaming.ingest import FRAMES, micro_batches, once as once_by, relay_marks, valid_events
 
 EVENT_ROW = "id string, pubkey string, kind int, created_at timestamp_ntz, relay string"
 #: Events further ahead of their arrival do not move a mark.
@@ -55,7 +55,7 @@ def store(base: str, run: int, earlier: DataFrame | None) -> Callable[[DataFrame
         rows = batch.persist()
         try:
             new = rows if earlier is None else rows.join(earlier, ["id", "relay"], "left_anti")
-            new.select("id", "pubkey", "kind", "created_at", "relay").write.mode("overwrite").parquet(f"{base}/events/run={run}/batch={batch_id}")
+            new.select("id", "pubkey", "kind", "created_at", "relay").write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/events/run={run}/batch={batch_id}")
             relay_marks(rows).select("relay", "mark").write.mode("overwrite").parquet(f"{base}/marks/run={run}/batch={batch_id}")
         finally:
             rows.unpersist()
@@ -88,8 +88,7 @@ def start(spark: SparkSession, landing: str, base: str, checkpoint: str, files_p
         # what earlier runs hold of the overlap, and events that claimed a later time: little, whatever the log's size
         earlier = stored_sightings(spark, base).where((F.col("run") < run) & (F.col("created_at") >= F.lit(low))).select("id", "relay")
         since = str((low - AHEAD).date())
-    events = valid_events(read_landing(spark, landing, since, files_per_batch))
+    events = valid_events(read_landing(spark, landing, since, files_per_batch)).select("id", "pubkey", "kind", "created_at", "relay", "ahead", "ingest_ts")
     if low is not None:
         events = events.join(marks.select("relay", "resume_at"), "relay", "left").where("resume_at IS NULL OR created_at >= resume_at").drop("resume_at")
-    once_a_relay = events.withWatermark("ingest_ts", "1 hour").dropDuplicatesWithinWatermark(["id", "relay"])
-    return micro_batches(once_a_relay, checkpoint, once=once).foreachBatch(store(base, run, earlier)).start()
+    return micro_batches(once_by(events, ["id", "relay"]), checkpoint, once=once).foreachBatch(store(base, run, earlier)).start()
