@@ -37,8 +37,8 @@ def keep_latest(events: DataFrame, kinds: tuple[int, ...] = LATEST_PER_AUTHOR, p
 def drop_silent_posts(events: DataFrame, counters: list[DataFrame], as_of: Column, days: int = 365) -> DataFrame:
     """Without notes older than ``days`` that were never liked, reposted, quoted, zapped or answered."""
     engaged = reduce(DataFrame.unionByName, [c.select(F.col("target_event_id").alias("id")) for c in counters]).distinct()
-    old = events.where((F.col("kind") == 1) & (F.col("created_at") < as_of - F.expr(f"INTERVAL {days} DAYS")))
-    return events.join(old.select("id").join(engaged, "id", "left_anti"), "id", "left_anti")
+    old = F.coalesce((F.col("kind") == 1) & (F.col("created_at") < as_of - F.expr(f"INTERVAL {days} DAYS")), F.lit(False))
+    return events.where(~old).unionByName(events.where(old).join(engaged, "id", "left_semi"))  # only old notes move
 
 
 def report(before: DataFrame, rules: dict[str, DataFrame], min_matched: int = MIN_MATCHED) -> DataFrame:

@@ -64,6 +64,15 @@ def _(t):
 FRAME_FILES, FRAMES_A_FILE = 8, 250_000
 
 
+def _files(t) -> int:
+    return max(FRAME_FILES, -(-t.bounds.n // FRAMES_A_FILE))
+
+
+def in_time(t) -> DataFrame:
+    """The numbers in partitions that follow each other in time: what events are worked out of, so that only numbers move."""
+    return t.numbers.repartitionByRange(_files(t), "created_at", F.expr("sha2('e' || event_id, 256)"))
+
+
 def _frames(t, ahead=False, late=False):
     """The events as relay frames, each from two relays, one in fifty malformed; partitions follow each other in time of arrival.
 
@@ -71,11 +80,10 @@ def _frames(t, ahead=False, late=False):
     """
     # the order is made of numbers; what a frame holds is worked out after it
     relays = F.explode(F.array(F.lit("wss://a"), F.lit("wss://b"))).alias("relay")
-    files = max(FRAME_FILES, -(-t.bounds.n // FRAMES_A_FILE))
     if late:
-        rows = t.numbers.select("*", relays).repartitionByRange(files, F.xxhash64("event_id", "relay"))
+        rows = t.numbers.select("*", relays).repartitionByRange(_files(t), F.xxhash64("event_id", "relay"))
     else:
-        rows = t.numbers.repartitionByRange(files, "created_at", F.expr("sha2('e' || event_id, 256)"))
+        rows = in_time(t)
     e = t.canonical(rows).selectExpr("id", "pubkey", "kind", "timestampdiff(SECOND, timestamp_ntz '1970-01-01', created_at) AS arrival", "tags", "content", "repeat('0', 128) AS sig", "event_id", *(["relay"] if late else []))
     claimed = F.when(F.col("event_id") % 50 == 7, F.col("arrival") + 3600).otherwise(F.col("arrival")) if ahead else F.col("arrival")
     e = e.withColumn("created_at", claimed)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.operators import incremental, jobs, layout, retention, stored
-from socialspark.plans.backfill import _EV2, _TG2, _frames, _stream, query_of as _query_of
+from socialspark.plans.backfill import _EV2, _TG2, _frames, _stream, in_time, query_of as _query_of
 from socialspark.plans.social import _SILENT
 from socialspark.sources.scratch import new_path
 from socialspark.streaming import annotations, intake, resume, states
@@ -105,9 +105,11 @@ def _(t):
     return rows.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "kind", "n")
 
 
-def _by_day(rows: DataFrame, path: str, order: list[str]) -> str:
+def _by_day(rows: DataFrame, path: str, order: list[str], dealt: bool = False) -> str:
+    """``dealt``: the rows come in partitions of a few days each already."""
     by_day = rows.withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
-    by_day.hint("rebalance", "day").sortWithinPartitions(*order).write.partitionBy("day").parquet(path)
+    laid = by_day if dealt else by_day.hint("rebalance", "day")
+    laid.sortWithinPartitions("day", *order).write.option("compression", "zstd").partitionBy("day").parquet(path)
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in by_day.schema)
 
 
@@ -124,7 +126,7 @@ _KEPT_KINDS = (0, 1, 3, 6, 7, 1111, 9735, 30078)
 def _(t):
     """All retention rules, one after another, on a stored event log; days that lose nothing keep their files."""
     path = f"{new_path(t.spark, 'stored-log')}/events"
-    schema = _by_day(t.events.drop("event_id", "user_id"), path, ["kind", "created_at", "pubkey", "id"])
+    schema = _by_day(t.canonical(in_time(t)).drop("event_id", "user_id"), path, ["kind", "created_at", "pubkey", "id"], dealt=True)
     counters = [jobs.like_counts(t.tags), jobs.repost_counts(t.tags), jobs.quote_counts(t.tags), jobs.zap_totals(t.zaps), jobs.direct_reply_counts(t.edges)]
     rules = {
         "kinds": lambda log: retention.prune_kinds(log, _KEPT_KINDS)[0],

@@ -67,6 +67,30 @@ def test_silent_posts_of_a_stored_log(spark, log):
     assert {"n00", "n11", "p0", "x"} <= ids(spark, log) and not {"n01", "n02", "n10"} & ids(spark, log)
 
 
+def test_rules_move_no_wide_rows_and_end_in_one_rewrite(spark):
+    path = tempfile.mkdtemp(prefix="stored-") + "/log"
+    at = F.lit(MONTHS[0]).cast("timestamp_ntz") + F.expr("make_dt_interval(id % 90)")
+    wide = F.array(F.array(*[F.sha2(F.concat(F.lit(f"{k}"), "id"), 256) for k in range(20)]))
+    df = spark.range(40_000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"), F.concat(F.lit("u"), F.col("id") % 500).alias("pubkey"), F.element_at(F.array(*map(F.lit, (0, 1, 3, 4))), (F.col("id") % 4 + 1).cast("int")).alias("kind"), at.alias("created_at"), wide.alias("tags"))
+    df.withColumn("month", F.date_format("created_at", "yyyy-MM")).write.partitionBy("month").parquet(f"file://{path}")
+    before, whole = stored.read_stored(spark, f"file://{path}", LOG).drop("tags").toPandas(), sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(path) for f in names)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    began = shuffled()
+    rules = {"kinds": lambda e: retention.prune_kinds(e, (0, 1, 3))[0], "latest": retention.keep_latest, "ids": lambda e: e.where(~F.col("id").startswith("0")).select("id")}
+    change = stored.apply_rules(spark, f"file://{path}", LOG, rules)
+    assert shuffled() - began < whole / 4  # the whole log moved with each rule
+    kept = before[before.kind != 4]
+    newest = kept[kept.kind != 1].sort_values(["created_at", "id"]).groupby(["kind", "pubkey"]).tail(1)
+    kept = set(kept[kept.kind == 1].id) | set(newest.id)
+    assert ids(spark, path) == {i for i in kept if i[0] != "0"}
+    assert change["kinds"].removed == 10_000 and change["latest"].removed == 30_000 - len(kept) and sum(c.removed for c in change.values()) == 40_000 - len(ids(spark, path))
+
+
 FEED = "viewer string, computed_at timestamp_ntz, day string"
 
 
