@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from socialspark.operators import incremental
 from socialspark.operators.incremental import RollUp
 from socialspark.plans.fixtures import Tables
 
@@ -67,3 +68,26 @@ def test_a_repeated_tick_late_targets_and_changed_scores(spark):
     assert rows(roll.features().select(*names)) == [(2, 1, 5, 1, 0, 0, 1)]
     roll.tick(df(late), scores(["ann", "bob", "eve"]), rescored=spark.createDataFrame([("eve",)], "pubkey string"))
     assert rows(roll.features().select(*names)) == [(2, 1, 5, 1, 1, 5, 2)]
+
+
+def test_what_is_stored_is_neither_written_nor_shuffled_again(spark):
+    t = Tables(spark, SF)
+    log = t.events.drop("event_id", "user_id")
+    times = sorted(r.created_at for r in log.select("created_at").collect())
+    roll, at = RollUp(spark, folder(), 4), times[int(len(times) * 0.9)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    began = shuffled()
+    roll.tick(log.where(F.col("created_at") <= F.lit(at)), t.scores)
+    before, first = {n: files(spark, roll, n) for n in ("acts", "notes", "features")}, shuffled() - began
+    began = shuffled()
+    roll.tick(log, t.scores)  # a tenth of the events, which name targets in every bucket
+    assert shuffled() - began < 0.6 * first
+    assert all(before[n] and before[n] <= files(spark, roll, n) for n in before)
+    again = RollUp(spark, roll.base, 4)
+    spark.sql(f"DROP TABLE {again._table('acts', incremental.ACTS)}")  # as in an application that comes later: the files last
+    assert rows(again.features()) == rows(roll.features()) != [] and again.tick(log, t.scores).events == 0
