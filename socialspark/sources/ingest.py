@@ -87,13 +87,19 @@ def relay_provenance(seen: DataFrame) -> DataFrame:
     return seen.groupBy("event_id", "relay").agg(F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at"))
 
 
+def note_zap(tags: Column) -> Column:
+    """(target, sats) of a zap receipt's tags."""
+    described = F.from_json(first_value(tags, "description"), "tags array<array<string>>")["tags"]
+    target = F.coalesce(F.get(refs(tags), F.lit(0)), F.get(refs(described), F.lit(0)))
+    msats = uint_or_zero(F.coalesce(first_value(tags, "amount"), F.lit("")))
+    sats = F.when(msats > 0, F.floor(msats / 1000).cast("long")).otherwise(bolt11_sats(F.coalesce(first_value(tags, "bolt11"), F.lit(""))))
+    return F.struct(target.alias("target"), sats.alias("sats"))
+
+
 def note_zaps(events: DataFrame) -> DataFrame:
     """zap_receipt_id, target_event_id, pubkey, created_at, sats of zap receipts with a target."""
-    described = F.from_json(first_value(F.col("tags"), "description"), "tags array<array<string>>")["tags"]
-    target = F.coalesce(F.get(refs(F.col("tags")), F.lit(0)), F.get(refs(described), F.lit(0)))
-    msats = uint_or_zero(F.coalesce(first_value(F.col("tags"), "amount"), F.lit("")))
-    sats = F.when(msats > 0, F.floor(msats / 1000).cast("long")).otherwise(bolt11_sats(F.coalesce(first_value(F.col("tags"), "bolt11"), F.lit(""))))
-    return events.where("kind = 9735").select(F.col("id").alias("zap_receipt_id"), target.alias("target_event_id"), "pubkey", "created_at", sats.alias("sats")).where("target_event_id IS NOT NULL")
+    zap = note_zap(F.col("tags"))
+    return events.where("kind = 9735").select(F.col("id").alias("zap_receipt_id"), zap["target"].alias("target_event_id"), "pubkey", "created_at", zap["sats"].alias("sats")).where("target_event_id IS NOT NULL")
 
 
 def profiles(events: DataFrame) -> DataFrame:

@@ -15,27 +15,31 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from socialspark.operators import jobs
-from socialspark.sources.ingest import flatten_tags, note_zaps
+from socialspark.sources.ingest import note_zap
 from socialspark.sources.scratch import exists, remove
 
 LG_K = 12
+#: Tasks that write a batch's states: a batch is a few files, and each task reports to the driver.
+WRITERS = 8
 SKETCHES = ("likers", "reposters", "quoters")
 STATE = "target_event_id string, " + ", ".join(f"{s} binary" for s in SKETCHES) + ", sats long, zaps long"
 
 
 def batch_states(events: DataFrame) -> DataFrame:
-    """One row of states a target, of events that occur once."""
-    tags = flatten_tags(events)
-    part = lambda where, actor: tags.where(where).groupBy(F.col("tag_value").alias("target_event_id")).agg(F.hll_sketch_agg(actor, LG_K).alias("s"))
-    parts = [
-        part(f"kind = 7 AND {jobs.REFERENCE}", "pubkey"), part(f"kind IN (6, 16) AND {jobs.REFERENCE}", "pubkey"),
-        part("kind = 1 AND tag_key = 'q' AND octet_length(tag_value) = 64", "event_id"),
-    ]
-    rows = [p.select("target_event_id", *[(F.col("s") if k == i else F.lit(None).cast("binary")).alias(n) for i, n in enumerate(SKETCHES)], F.lit(0).cast("long").alias("sats"), F.lit(0).cast("long").alias("zaps")) for k, p in enumerate(parts)]
-    zaps = note_zaps(events).groupBy("target_event_id").agg(F.sum("sats").alias("sats"), F.count("*").alias("zaps"))
-    rows.append(zaps.select("target_event_id", *[F.lit(None).cast("binary").alias(n) for n in SKETCHES], "sats", "zaps"))
-    return merged(reduce(DataFrame.unionByName, rows))
+    """One row of states a target, of events that occur once: each event is read once and gives the rows of all that it names."""
+    tag = lambda t, at: F.get(t, F.lit(at))
+    names = lambda key: F.filter("tags", lambda t: (tag(t, 0) == key) & (F.octet_length(tag(t, 1)) == 64))
+    row = lambda target, who, what, sats: F.struct(target.alias("target_event_id"), who.alias("who"), F.lit(what).alias("what"), sats.alias("sats"))
+    act = lambda key, who, what: F.transform(names(key), lambda t: row(tag(t, 1), F.col(who), what, F.lit(None).cast("long")))
+    zap = note_zap(F.col("tags"))
+    kind = F.col("kind")
+    acts = F.when(kind == 7, act("e", "pubkey", "like")).when(kind.isin(6, 16), act("e", "pubkey", "repost")).when(kind == 1, act("q", "id", "quote"))
+    acts = acts.when((kind == 9735) & zap["target"].isNotNull(), F.array(row(zap["target"], F.col("id"), "zap", zap["sats"])))
+    rows = events.select(F.explode(acts).alias("r")).select("r.*")
+    sketch = lambda what: F.hll_sketch_agg(F.when(F.col("what") == what, F.col("who")), LG_K)
+    some = lambda what, name: F.when(F.count_if(F.col("what") == what) > 0, sketch(what)).alias(name)
+    return rows.groupBy("target_event_id").agg(
+        some("like", "likers"), some("repost", "reposters"), some("quote", "quoters"), F.coalesce(F.sum("sats"), F.lit(0)).alias("sats"), F.count_if(F.col("what") == "zap").alias("zaps"))
 
 
 def merged(states: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def keep_states(base: str, fold: int = 8) -> Callable[[DataFrame, int], None]:
         upto, _, _ = _paths(spark, base)
         if batch_id <= upto:
             return
-        batch_states(batch).write.mode("overwrite").parquet(f"{base}/batches/batch={batch_id}")
+        batch_states(batch).coalesce(WRITERS).write.mode("overwrite").parquet(f"{base}/batches/batch={batch_id}")
         upto, after, paths = _paths(spark, base)
         if len(after) < fold:
             return

@@ -38,3 +38,22 @@ def test_fifty_batches_equal_one_pass_and_open_few_files(spark):
             assert abs(got[note][name] - n) <= max(4 * 0.016 * n, 1), (name, got[note][name], n)
     assert got[NOTE[0]].quotes == 50 and got[NOTE[1]].zaps == 50 and got[NOTE[1]].sats == sum(range(1, 51))
     assert states.read_states(spark, base + "/none").count() == 0
+
+
+def test_a_batch_is_read_once_and_shuffled_once(spark):
+    plan = states.batch_states(spark.createDataFrame(spark.sparkContext.parallelize(batch(spark, 0), 2), EVENT))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange") == 1  # a scan of a batch runs its whole stream plan again
+
+
+def test_a_batch_leaves_few_files(spark):
+    base, before = "file://" + tempfile.mkdtemp(prefix="states-test-"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream with state
+    try:
+        rows = [(f"{i:064d}", "a" * 64, 7, AT, [["e", f"{i:064d}"]], "+") for i in range(400)]
+        states.keep_states(base, 8)(spark.createDataFrame(rows, EVENT), 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(spark.read.parquet(f"{base}/batches/batch=0").inputFiles()) <= states.WRITERS
+    assert states.read_states(spark, base).count() == 400
