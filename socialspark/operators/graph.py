@@ -171,8 +171,9 @@ def thread_tree(edges: DataFrame, likes: DataFrame) -> DataFrame:
     return out.select("node", zero("depth"), zero("children"), zero("descendants"), zero("likes"))
 
 
-def ranked_replies(edges: DataFrame, counter: DataFrame, by: str) -> DataFrame:
-    """(parent_id, child_id, score, position): direct replies by a counter of theirs; those without stay, with 0.
+def ranked_replies(edges: DataFrame, counter: DataFrame, by: str, *more: str) -> DataFrame:
+    """(parent_id, child_id, score, position): direct replies by a counter of theirs; those without stay, with 0. ``more``:
+    ``created_at``, if that is to come along.
 
     All replies are range-partitioned in their order and numbered within a partition; a parent's earlier
     partitions add their counts. So no task sorts all replies of a hot parent.
@@ -185,20 +186,25 @@ def ranked_replies(edges: DataFrame, counter: DataFrame, by: str) -> DataFrame:
     before = Window.partitionBy("parent_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     earlier = j.groupBy("parent_id", "part").agg(F.count("*").alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     j = ranked(j, ["parent_id", "part"], order, "place").join(earlier, ["parent_id", "part"])
-    return j.select("parent_id", "child_id", "score", (F.col("place") + F.col("earlier")).cast("int").alias("position"))
+    return j.select("parent_id", "child_id", "score", (F.col("place") + F.col("earlier")).cast("int").alias("position"), *more)
+
+
+def _bytes(df: DataFrame, key: str) -> Column:
+    """A key column as bytes; one that is packed already as it is."""
+    return F.col(key) if dict(df.dtypes)[key] == "binary" else packed(F.col(key))
 
 
 def best_followed_reply(viewers: DataFrame | None, edges: DataFrame, follows: DataFrame, likes: DataFrame) -> DataFrame:
     """(viewer, parent_id, child_id): of the replies by people the viewer follows, the most liked, then newest. ``viewers``: (viewer, parent_id), or None for every viewer at every parent.
 
     A reply meets its author's followers once, so that rows grow with replies times followers, not with a thread's replies
-    times its viewers; those rows are shuffled once, with 64-digit keys in 32 bytes.
+    times its viewers; those rows are shuffled once, with 64-digit keys in 32 bytes. Keys may come packed; the viewer and the parent are given as texts.
     """
-    f = follows.select(packed(F.col("follower")).alias("viewer"), F.col("followed").alias("child_pubkey"))
+    f = follows.select(_bytes(follows, "follower").alias("viewer"), F.col("followed").alias("child_pubkey"))
     scored = edges.join(likes.select(F.col("target_event_id").alias("child_id"), "likes"), "child_id", "left")
-    j = scored.select(packed(F.col("parent_id")).alias("parent_id"), "child_id", "child_pubkey", "created_at", F.coalesce("likes", F.lit(0)).alias("likes"))
+    j = scored.select(_bytes(edges, "parent_id").alias("parent_id"), "child_id", "child_pubkey", "created_at", F.coalesce("likes", F.lit(0)).alias("likes"))
     if viewers is not None:
-        asked = viewers.select(packed(F.col("viewer")).alias("viewer"), packed(F.col("parent_id")).alias("parent_id")).distinct()
+        asked = viewers.select(_bytes(viewers, "viewer").alias("viewer"), _bytes(viewers, "parent_id").alias("parent_id")).distinct()
         j = j.join(asked, "parent_id").join(f, ["viewer", "child_pubkey"], "left_semi")
     else:
         j = j.join(f, "child_pubkey")

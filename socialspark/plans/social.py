@@ -222,13 +222,18 @@ def _(t):
     ("tiers", "SELECT root_id, event_id, 1 AS tier, step::BIGINT AS spot FROM ch UNION ALL SELECT root_id, event_id, 2, 0 FROM fo UNION ALL SELECT root_id, event_id, 3, position FROM rk WHERE position <= 10 UNION ALL SELECT root_id, event_id, 4, recency FROM rk UNION ALL SELECT root_id, event_id, 5, place FROM tr"),
 )
 def _(t):
-    roots, e, likes = _thread_roots(t), _edges(t), jobs.like_counts(t.tags)
-    threads = latest.ranked(cut(_threads(t), "threads"), ["root_id"], [F.asc("level"), F.asc("event_id")], "place")
-    ranked = graph.ranked_replies(e, likes, "likes").join(e.select("parent_id", "child_id", (-tx.unix(F.col("created_at"))).alias("recency")), ["parent_id", "child_id"])
-    ranked = ranked.withColumnsRenamed({"parent_id": "root_id", "child_id": "event_id"})
-    f = _follows(t)
-    followed = graph.best_followed_reply(roots.select(F.col("pubkey").alias("viewer"), F.col("id").alias("parent_id")), e, f, likes).select(F.col("parent_id").alias("root_id"), F.col("child_id").alias("event_id"))
-    return graph.thread_order(threads, graph.authored_chain(roots, e), followed, ranked)
+    """Keys are 32 bytes all the way, which sort as their digits do."""
+    short = lambda df, *keys: df.withColumns({k: tx.packed(F.col(k)) for k in keys})
+    roots, e = short(_thread_roots(t).select("id", "pubkey"), "id", "pubkey"), short(_edges(t), "child_id", "parent_id", "child_pubkey")
+    likes, follows = short(jobs.like_counts(t.tags), "target_event_id"), short(_follows(t), "follower", "followed")
+    expanded = cut(graph.expand_threads(roots, short(t.tags.select("event_id", "kind", "created_at", "tag_key", "tag_value"), "event_id", "tag_value")), "threads")
+    threads = latest.ranked(expanded, ["root_id"], [F.asc("level"), F.asc("event_id")], "place")
+    ranked = graph.ranked_replies(e, likes, "likes", "created_at")
+    ranked = ranked.select(F.col("parent_id").alias("root_id"), F.col("child_id").alias("event_id"), "position", (-tx.unix(F.col("created_at"))).alias("recency"))
+    followed = graph.best_followed_reply(roots.select(F.col("pubkey").alias("viewer"), F.col("id").alias("parent_id")), e, follows, likes)
+    followed = followed.select(tx.packed(F.col("parent_id")).alias("root_id"), F.col("child_id").alias("event_id"))
+    rows = graph.thread_order(threads, graph.authored_chain(roots, e), followed, ranked)
+    return rows.withColumns({k: tx.unpacked(F.col(k)) for k in ("root_id", "event_id")})
 
 
 @query_of("q16_hydration", "SELECT stats.event_id, likes, replies, coalesce(nullif(display_name, ''), nullif(name, '')) AS author_name, CAST(len(list_filter(tags, lambda t: t[1] = 'q')) AS INT) AS quoted FROM stats JOIN ev ON ev.id = stats.event_id LEFT JOIN pf USING (pubkey)")

@@ -41,3 +41,13 @@ def test_every_viewer_gets_the_best_followed_reply_of_each_parent(spark):
     assert got == {(a, "p"): "c2", (upper, "p"): "c3", (word, "p"): "c2", (a, a): "c4", (upper, a): "c4"}
     some = spark.createDataFrame([(a, "p"), (word, a)], "viewer string, parent_id string")
     assert [tuple(r) for r in graph.best_followed_reply(some, edges, follows, likes).collect()] == [(a, "p", "c2")]
+
+
+def test_packed_keys_stay_bytes_in_the_shuffles(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(social, "cut", lambda df, label: seen.update({label: dict(df.dtypes)}) or df)
+    order = graph.thread_order
+    monkeypatch.setattr(graph, "thread_order", lambda *frames: seen.update(frames=[dict(f.dtypes) for f in frames]) or order(*frames))
+    rows = social.Q["q15_thread_order"](spark, SF)
+    assert all(types[k] == "binary" for types in (seen["threads"], *seen["frames"]) for k in ("root_id", "event_id"))  # 64 digits took twice the room
+    assert dict(rows.dtypes) == {"root_id": "string", "event_id": "string", "position": "int"}
