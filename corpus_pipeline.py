@@ -21,6 +21,8 @@ END_ID = 2
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Of a stage's texts on their way to Python and back. Spark's 64 MB a batch, several times over for each task, is much of an executor.
 BATCH_BYTES = "8m"
+#: A worker that has encoded lives on in the next stages with what it remembers; more pieces would save time here, at some 130 bytes each.
+MEMO_ENTRIES = 100_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -62,7 +64,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token file, read back: doc_id, start, n_tokens, tokens."""
     _small_batches(spark)
-    return token_output.token_table(docs, tokenizer_path(), END_ID)
+    return token_output.token_table(docs, tokenizer_path(), END_ID, memo_entries=MEMO_ENTRIES)
 
 
 STAGES = [

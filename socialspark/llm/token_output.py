@@ -26,33 +26,38 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from socialspark.llm.arrow_text import list_array
+from socialspark.llm.arrow_text import blocks, list_array
 from socialspark.sources.scratch import new_path
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, tokens array<int>"
 _LATIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)").fullmatch
-#: A mark after a letter and before a space or newline is a pre-token of its own.
-_MARK = re.compile(r"[.,](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)(?=[ \n])")
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The characters that byte-level models write for bytes: printable ones themselves, the others from 256 on.
-_BYTE_CHARS = {b: chr(b) for b in _PLAIN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
-_encoders: dict[str, PieceEncoder] = {}
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+#: Pieces that a worker remembers between blocks, at some 130 bytes each.
+MEMO_ENTRIES = 600_000
+#: Of texts that are encoded at a time; their pieces are looked up once each.
+BLOCK_BYTES = 2 << 20
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-class Memo(dict):
-    """Ids of pieces as little-endian bytes, made on first use; None for a piece that needs its neighbours."""
+class Memo:
+    """Ids of pieces as little-endian bytes; none for a piece that needs its neighbours.
 
-    def __init__(self, tok, direct: bool):
-        self.tok, self.direct = tok, direct
+    At most ``entries`` pieces are held, in two halves: when the newer one is full it becomes the older one, whose
+    pieces come back as they are used again, so that common pieces stay and rare ones go.
+    """
+
+    def __init__(self, tok, direct: bool, entries: int):
+        self.tok, self.direct, self.half, self.newer, self.older = tok, direct, max(entries // 2, 1), {}, {}
+        self.tokenize = tok.model.tokenize  # reading ``tok.model`` makes an object each time
 
     def _pretoken(self, token: str) -> bytes:
-        if token.isascii():
-            mapped = token.replace(" ", "Ġ").replace("\n", "Ċ")
-        else:
-            mapped = "".join([_BYTE_CHARS[b] for b in token.encode()])
-        return array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(token.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
 
-    def __missing__(self, piece: str) -> bytes | None:
+    def _ids(self, piece: str) -> bytes:
+        if self.direct and piece[0] == " " and piece.isascii() and piece[1:].isalpha():  # the most common form
+            return array("I", [t.id for t in self.tokenize("Ġ" + piece[1:])]).tobytes()
         m = _LATIN(piece) if self.direct else None
         if m:
             lead, word, marks = m.groups()
@@ -62,18 +67,27 @@ class Memo(dict):
             if word:
                 ids, lead = ids + self._pretoken(lead + word), ""
             if marks:
-                ids += self._pretoken(lead + marks)
-            elif lead or not word:
-                ids = None
-        else:
-            body = piece[1:] if piece[0] in " \n" else piece
-            ids = None if not body or body[0].isspace() or body[-1].isspace() else array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
-        self[piece] = ids
-        return ids
+                return ids + self._pretoken(lead + marks)
+            return b"" if lead or not word else ids
+        body = piece[1:] if piece[0] in " \n" else piece
+        return b"" if not body or body[0].isspace() or body[-1].isspace() else array("I", self.tok.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """Of different pieces that are not empty."""
+        known = list(map(self.newer.get, pieces))
+        late = [k for k, x in enumerate(known) if x is None]
+        for k in late:
+            known[k] = x if (x := self.older.get(pieces[k])) is not None else self._ids(pieces[k])
+        for at in range(0, len(late), self.half):
+            part = late[at : at + self.half]
+            if len(self.newer) + len(part) > self.half:
+                self.newer, self.older = {}, self.newer
+            self.newer.update((pieces[k], known[k]) for k in part)
+        return known
 
 
 class PieceEncoder:
-    """Encodes texts through a bounded memo of space- and newline-led pieces.
+    """Encodes blocks of texts by their different pieces, which are led by a space or a newline, through a bounded memo.
 
     A single space or newline between two characters that are not white space always starts a new
     pre-token of a byte-level tokenizer, so the ids of a text are the joined ids of its pieces. Texts
@@ -87,45 +101,62 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         # Words of Latin letters go straight to the library's model: its pre-tokens are the word with its space, and the marks after it.
         self.direct = json.loads(self.tok.to_str())["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and self.tok.normalizer is None
-        self.entries, self.memo = entries, self._new_memo()
-
-    def _new_memo(self) -> Memo:
-        memo = Memo(self.tok, self.direct)
-        memo[""] = b""
-        return memo
+        self.memo = Memo(self.tok, self.direct, entries)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if len(self.memo) > self.entries:
-            self.memo = self._new_memo()
-        if "\0" in text or any(a in text for a in self.added):
-            return self.whole(text)
-        if self.direct:
-            text = _MARK.sub("\0\\g<0>", text)
-        try:
-            return b"".join(map(self.memo.__getitem__, text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")))
-        except TypeError:  # a piece that needs its neighbours
-            return self.whole(text.replace("\0", ""))
-
-
-def _texts(column: pa.Array, step: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    texts, size, first = [], 0, 0
-    for k, t in enumerate(column):
-        texts.append(t.as_py() or "")
-        size += len(texts[-1])
-        if size >= step:
-            yield first, texts
-            texts, size, first = [], 0, k + 1
-    if texts:
-        yield first, texts
-
-
-def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: int = 800_000) -> DataFrame:
+    def _starts(self, data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Where pieces start, given the starts of texts."""
+        gap = (data == 32) | (data == 10)
+        cut = gap.copy()
+        if self.direct and len(data) > 2:  # a mark after a letter and before a space or newline is a pre-token of its own
+            at = np.flatnonzero(((data == 46) | (data == 44))[1:-1] & gap[2:]) + 1
+            last, lead = data[at - 1], data[at - 2]  # at 1 the lead is the block's last byte, which only a stray one follows
+            latin = (lead == 0xC3) & (last >= 0x80) & (last <= 0xBF) & (last != 0x97) & (last != 0xB7)
+            cut[at[((last | 32) - 97 < 26) & (last < 128) | latin & (at > 1)]] = True
+        cut[texts] = True
+        return np.flatnonzero(cut)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a block (their UTF-8 bytes and where they start), each with the end id, and their numbers of ids."""
+        end = np.array([end_id], "<u4").tobytes()
+        starts = self._starts(data, offsets[:-1][np.diff(offsets) > 0])
+        # every text is followed by an empty piece, which stands for its end
+        ends = np.searchsorted(starts, offsets[1:])
+        at = np.append(np.insert(starts, ends, offsets[1:]), offsets[-1]).astype(np.int32)
+        ends = ends + np.arange(len(ends))
+        pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        empty = names.index("")
+        names[empty : empty + 1] = []
+        known = self.memo.ids(names)
+        known.insert(empty, end)
+        index = pieces.indices.to_numpy()
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), "<i4")
+        each = lengths[index]
+        upto = np.cumsum(each)
+        values = ids[np.repeat((np.cumsum(lengths) - lengths)[index] - (upto - each), each) + np.arange(upto[-1])]
+        n = np.diff(upto[ends], prepend=0)
+
+        raw = data.tobytes()
+        whole = {int(np.searchsorted(offsets, m.start(), side="right")) - 1 for a in self.added for m in re.finditer(re.escape(a), raw)}
+        apart = lengths == 0  # pieces that need their neighbours
+        if apart.any():
+            whole.update(np.searchsorted(ends, np.flatnonzero(apart[index])).tolist())
+        if whole:
+            texts = np.split(values, np.cumsum(n)[:-1])
+            for k in whole:
+                texts[k] = np.frombuffer(self.whole(raw[offsets[k] : offsets[k + 1]].decode()) + end, "<i4")
+            values, n = np.concatenate(texts), np.array([len(t) for t in texts], np.int64)
+        return values, n
+
+
+def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """Documents in ascending doc_id order over range partitions, encoded: the rows of the format.
 
     Below doc_id the ranges go by the text's hash and the row's place, so that the rows of one doc_id, or of one
@@ -134,19 +165,16 @@ def encode_sorted(docs: DataFrame, tokenizer: str, end_id: int, memo_entries: in
     arrow = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = PieceEncoder(tokenizer, memo_entries)
-        encoder, shard, at = _encoders[tokenizer], TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        if (tokenizer, memo_entries) not in _encoders:
+            _encoders[tokenizer, memo_entries] = PieceEncoder(tokenizer, memo_entries)
+        encoder, shard, at = _encoders[tokenizer, memo_entries], TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, texts in _texts(batch.column("text")):
-                ids = [encoder.encode(t) + end for t in texts]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                starts = at + np.concatenate([[0], np.cumsum(n)[:-1]])
+            for first, after, data, offsets in blocks(batch, "text", BLOCK_BYTES):
+                ids, n = encoder.encode(data, offsets, end_id)
+                starts = at + np.cumsum(n) - n
                 at += int(n.sum())
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(texts)), pa.array(np.full(len(n), shard, np.int32)), pa.array(starts), pa.array(n), list_array(values, n)],
+                    [batch.column("doc_id").slice(first, after - first), pa.array(np.full(len(n), shard, np.int32)), pa.array(starts), pa.array(n), list_array(pa.array(ids), n)],
                     schema=arrow,
                 )
 
@@ -191,8 +219,8 @@ def token_digests(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, **layout) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, memo_entries: int = MEMO_ENTRIES, **layout) -> DataFrame:
     """Encode, write in the format (in the shared folder unless ``path`` is given), and read back."""
     path = path or new_path(docs.sparkSession, "tokens")
-    write_tokens(encode_sorted(docs, tokenizer, end_id), path, **layout)
+    write_tokens(encode_sorted(docs, tokenizer, end_id, memo_entries), path, **layout)
     return read_tokens(docs.sparkSession, path)

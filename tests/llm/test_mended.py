@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from socialspark.llm import exact_dedup, source_mix, url_trust, warc
+from socialspark.llm import exact_dedup, registry, source_mix, token_output, url_trust, warc
 
 from test_operators import table, words
 
@@ -93,3 +93,24 @@ def test_members_anywhere_give_the_same_records(cut):
     else:
         assert list(warc.zipped_records(raw)) == list(warc.split_records(plain))
     assert list(warc.zipped_records(gzip.compress(b"") * 3)) == []
+
+
+def test_encoder_holds_no_more_pieces_than_it_may_within_one_text():
+    path = registry.tokenizer_path()
+    encoder = token_output.PieceEncoder(path, 1_000)
+    words = ["w" + "".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(5_000)]
+    texts = [" ".join(words), "", "é, ÷. a\t b", "one<|endoftext|>two,\nthree. ", " ".join(words[:300])]
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    ids, n = encoder.encode(np.frombuffer("".join(texts).encode(), np.uint8), offsets, 2)
+    assert ids.astype("<u4").tobytes() == b"".join(encoder.whole(t) + b"\2\0\0\0" for t in texts)
+    assert n.tolist() == [len(encoder.whole(t)) // 4 + 1 for t in texts]
+    assert len(encoder.memo.newer) + len(encoder.memo.older) <= 1_000
+
+
+def test_encoder_looks_a_piece_of_a_block_up_once(monkeypatch):
+    encoder, asked = token_output.PieceEncoder(registry.tokenizer_path(), 1_000), []
+    known = encoder.memo.ids
+    monkeypatch.setattr(encoder.memo, "ids", lambda pieces: asked.extend(pieces) or known(pieces))
+    data = np.frombuffer(b"so it is so it is so it is" * 50, np.uint8)
+    encoder.encode(data, np.array([0, len(data) // 2, len(data)]), 2)
+    assert len(asked) == len(set(asked)) <= 6
