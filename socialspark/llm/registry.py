@@ -18,7 +18,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.token_digests(token_output.token_table(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", corpus_pipeline.BATCH_BYTES)
+    return token_output.digest_table(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
 def op3_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,9 +35,9 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The characters that byte-level models write for bytes: printable ones themselves, the others from 256 on.
 _BYTE_CHARS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _PLAIN)}
 #: Pieces that a worker remembers between blocks, at some 130 bytes each.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 #: Of texts that are encoded at a time; their pieces are looked up once each.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
@@ -197,16 +197,34 @@ def write_tokens(rows: DataFrame, path: str, encoding: str = "dictionary", row_g
     )
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def _placed(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """``rows`` of stored files with ``start`` for their shard's place and their own in it."""
+    shards = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per file: small enough to send to all tasks
+    bases = shards.selectExpr("shard", "sum(n) OVER (ORDER BY shard) - n AS base")
+    return rows.join(F.broadcast(bases), "shard").withColumn("start", F.col("base") + F.col("shard_start"))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The rows with ``start``: ids of all documents before each one. Select what you need; token pages load only if asked for."""
-    rows = spark.read.schema(SCHEMA).parquet(path)
-    shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per file: small enough to send to all tasks
-    bases = shards.selectExpr("shard", "sum(n) OVER (ORDER BY shard) - n AS base")
-    return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "tokens")
+    stored = _stored(spark, path)
+    return _placed(stored, stored).select("doc_id", "start", "n_tokens", "tokens")
+
+
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``token_digests`` of the rows, taken before they meet their shard's place, so that only the digests pass that join."""
+    stored = _stored(spark, path)
+    digests = token_digests(stored.select("doc_id", "shard", "shard_start", "n_tokens", "tokens"))
+    return _placed(digests, stored).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def token_digests(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of each document's ids as little-endian unsigned integers."""
+    """The rows with, in place of the ids, the CRC-32 of each document's ids as little-endian unsigned integers."""
+    kept = rows.drop("tokens").schema
+    names = list(kept.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,13 +232,22 @@ def token_digests(rows: DataFrame) -> DataFrame:
             offsets = col.offsets.to_numpy()
             raw = memoryview(np.ascontiguousarray(col.values.to_numpy().astype("<u4", copy=False))).cast("B")
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "start", "n_tokens")] + [pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(run, kept.add("ids_crc32", "long"))
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, memo_entries: int = MEMO_ENTRIES, **layout) -> DataFrame:
-    """Encode, write in the format (in the shared folder unless ``path`` is given), and read back."""
+def _write(docs: DataFrame, tokenizer: str, end_id: int, path: str | None, memo_entries: int, **layout) -> str:
     path = path or new_path(docs.sparkSession, "tokens")
     write_tokens(encode_sorted(docs, tokenizer, end_id, memo_entries), path, **layout)
-    return read_tokens(docs.sparkSession, path)
+    return path
+
+
+def token_table(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, memo_entries: int = MEMO_ENTRIES, **layout) -> DataFrame:
+    """Encode, write in the format (in the shared folder unless ``path`` is given), and read back."""
+    return read_tokens(docs.sparkSession, _write(docs, tokenizer, end_id, path, memo_entries, **layout))
+
+
+def digest_table(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, memo_entries: int = MEMO_ENTRIES, **layout) -> DataFrame:
+    """The same with the digest of each document's ids as read back."""
+    return read_digests(docs.sparkSession, _write(docs, tokenizer, end_id, path, memo_entries, **layout))

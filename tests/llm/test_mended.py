@@ -114,3 +114,13 @@ def test_encoder_looks_a_piece_of_a_block_up_once(monkeypatch):
     data = np.frombuffer(b"so it is so it is so it is" * 50, np.uint8)
     encoder.encode(data, np.array([0, len(data) // 2, len(data)]), 2)
     assert len(asked) == len(set(asked)) <= 6
+
+
+def test_token_digests_are_taken_before_the_join(spark):
+    docs = table(spark, [(k, words(random.Random(k), 30) if k % 3 else None, "s") for k in range(40)])
+    digests = token_output.digest_table(docs, registry.tokenizer_path(), 2)
+    assert digests.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    plan = digests._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")
+    rows = token_output.token_digests(token_output.token_table(docs, registry.tokenizer_path(), 2))
+    assert sorted(digests.collect()) == sorted(rows.collect())
