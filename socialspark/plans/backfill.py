@@ -62,28 +62,36 @@ def _(t):
 
 #: Files that the frames come in at least, and events a file as they grow.
 FRAME_FILES, FRAMES_A_FILE = 8, 250_000
+#: Events that a task parses where a batch is one such file; compressed files are not split in reading.
+EVENTS_A_TASK = 32_000
 
 
 def _files(t) -> int:
-    return max(FRAME_FILES, -(-t.bounds.n // FRAMES_A_FILE))
+    return max(FRAME_FILES, -(-t.bounds.rows // FRAMES_A_FILE))
 
 
-def in_time(t) -> DataFrame:
+def _pieces(t) -> int:
+    """Files that one of :func:`_files` is laid in, so that more than one task parses it."""
+    return max(1, -(-t.bounds.rows // (_files(t) * EVENTS_A_TASK)))
+
+
+def in_time(t, pieces: int = 1) -> DataFrame:
     """The numbers in partitions that follow each other in time: what events are worked out of, so that only numbers move."""
-    return t.numbers.repartitionByRange(_files(t), "created_at", F.expr("sha2('e' || event_id, 256)"))
+    return t.numbers.repartitionByRange(_files(t) * pieces, "created_at", F.expr("sha2('e' || event_id, 256)"))
 
 
-def _frames(t, ahead=False, late=False):
+def _frames(t, ahead=False, late=False, pieces=1):
     """The events as relay frames, each from two relays, one in fifty malformed; partitions follow each other in time of arrival.
 
     ``ahead``: one in fifty claims a time an hour after its arrival. ``late``: frames arrive in no order of time, the two copies of an event far apart.
+    ``pieces``: files to each one that there would be.
     """
     # the order is made of numbers; what a frame holds is worked out after it
     relays = F.explode(F.array(F.lit("wss://a"), F.lit("wss://b"))).alias("relay")
     if late:
         rows = t.numbers.select("*", relays).repartitionByRange(_files(t), F.xxhash64("event_id", "relay"))
     else:
-        rows = in_time(t)
+        rows = in_time(t, pieces)
     e = t.canonical(rows).selectExpr("id", "pubkey", "kind", "timestampdiff(SECOND, timestamp_ntz '1970-01-01', created_at) AS arrival", "tags", "content", "repeat('0', 128) AS sig", "event_id", *(["relay"] if late else []))
     claimed = F.when(F.col("event_id") % 50 == 7, F.col("arrival") + 3600).otherwise(F.col("arrival")) if ahead else F.col("arrival")
     e = e.withColumn("created_at", claimed)
@@ -120,16 +128,18 @@ def _(t):
     return annotation_rows(a).select("event_id", "metric", F.round("value", 6).alias("value"), "model_version")
 
 
+def _ended(query):
+    """Wait for a run over what is there. It ends by itself, however long its input takes, or raises what stopped it."""
+    query.awaitTermination()
+
+
 def _stream(t, after, files_per_batch=100, **order):
     """Run a streaming plan over the frames, in order of arrival, to its end and return what it wrote."""
     base = new_path(t.spark, "stream")
     st.write_folder(_frames(t, **order), f"{base}/in")
     st.in_file_order(t.spark, f"{base}/in")
     frames = st.read_folder(t.spark, f"{base}/in", files_per_batch)
-    q = after(frames, base)
-    if not q.awaitTermination(600):
-        q.stop()
-        raise TimeoutError("the stream did not end")
+    _ended(after(frames, base))
     return base
 
 

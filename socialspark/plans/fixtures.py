@@ -88,7 +88,7 @@ class Tables:
     def bounds(self):
         key = (self.spark.sparkContext.applicationId, self.sf_dir, self.state)
         if key not in _bounds:
-            _bounds[key] = table(self.spark, self.sf_dir, "events").selectExpr("max(event_id) + 1 AS n", "max(user_id) + 1 AS users", "date_trunc('second', max(ts)) AS as_of").first()
+            _bounds[key] = table(self.spark, self.sf_dir, "events").selectExpr("count(*) AS rows", "max(event_id) + 1 AS n", "max(user_id) + 1 AS users", "date_trunc('second', max(ts)) AS as_of").first()
         return _bounds[key]
 
     @property

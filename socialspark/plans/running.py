@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.operators import incremental, jobs, layout, retention, stored
-from socialspark.plans.backfill import _EV2, _TG2, _frames, _stream, in_time, query_of as _query_of
+from socialspark.plans.backfill import _EV2, _TG2, _ended, _frames, _pieces, _stream, in_time, query_of as _query_of
 from socialspark.plans.social import _SILENT
 from socialspark.sources.scratch import new_path
 from socialspark.streaming import annotations, intake, resume, states
@@ -28,12 +28,6 @@ def _half(t):
     return F.col("ingest_ts") < (t.as_of - F.expr("INTERVAL 10 DAYS")).cast("timestamp")
 
 
-def _ended(query):
-    if not query.awaitTermination(600):
-        query.stop()
-        raise TimeoutError("the stream did not end")
-
-
 _CAP_ROW = "id string, pubkey string, kind int, ingest_ts timestamp"
 _FREE = "CASE WHEN created_at < {half} THEN pubkey IN (SELECT pubkey FROM ls WHERE score >= 90) ELSE pubkey IN (SELECT pubkey FROM ls WHERE score < 20) END".format(half=_HALF)
 
@@ -180,7 +174,8 @@ def _(t):
         events = st.seen_once(st.valid_events(frames).select("id", "pubkey", "kind", "created_at", "tags", "content", "ingest_ts")).drop("ingest_ts")
         return st.micro_batches(events, f"{base}/state", once=True).foreachBatch(states.keep_states(f"{base}/out", 3)).start()
 
-    return states.counts(states.read_states(t.spark, f"{_stream(t, run, 1)}/out"))
+    pieces = _pieces(t)
+    return states.counts(states.read_states(t.spark, f"{_stream(t, run, pieces, pieces=pieces)}/out"))
 
 
 def _bucketed(t):
