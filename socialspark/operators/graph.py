@@ -94,20 +94,24 @@ def authored_chain(roots: DataFrame, edges: DataFrame, depth: int = 8, allowed:
     return out
 
 
-def expand_threads(roots: DataFrame, tags: DataFrame, levels: int = 8, frontier: int = 100, limit: int = 500) -> DataFrame:
-    """(root_id, event_id, level): notes and comments that reference a seen node, level by level; a level takes the newest ``frontier`` of a root."""
-    refs = cut(tags.where("kind IN (1, 1111) AND tag_key = 'e'").select(F.col("tag_value").alias("to"), F.col("event_id").alias("from_id"), "created_at").distinct(), "references")
-    seen = roots.select(F.col("id").alias("root_id"), F.col("id").alias("event_id"), F.lit(0).alias("level"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+def expand_threads(roots: DataFrame, tags: DataFrame, levels: int | None = 8) -> DataFrame:
+    """(root_id, event_id, level): notes and comments that reference a seen node, level by level, each at its lowest level.
+
+    A level takes all events that a root has there; the walk stops where no root goes on, or after ``levels`` steps if that is given.
+    Past the first level only references to events that reference others can match, so the rest are left out of its joins.
+    """
+    refs = cut(tags.where("kind IN (1, 1111) AND tag_key = 'e'").select(F.col("tag_value").alias("to"), F.col("event_id").alias("from_id")).distinct(), "references")
+    seen = roots.select(F.col("id").alias("root_id"), F.col("id").alias("event_id"), F.lit(0).alias("level"))
     front = seen
-    for level in range(1, levels + 1):
-        nxt = front.select("root_id", F.col("event_id").alias("to")).join(refs, "to").select("root_id", F.col("from_id").alias("event_id"), "created_at").distinct()
-        nxt = nxt.join(seen.select("root_id", "event_id"), ["root_id", "event_id"], "left_anti")
-        front = cut(top_per_key(nxt, ["root_id"], [F.desc("created_at"), F.desc("event_id")], frontier).withColumn("level", F.lit(level)), "thread-level")
+    for level in count(1) if levels is None else range(1, levels + 1):
+        if level == 2:
+            refs = cut(refs.join(refs.select(F.col("from_id").alias("to")).distinct(), "to", "left_semi"), "inner-references")
+        nxt = front.select("root_id", F.col("event_id").alias("to")).join(refs, "to").select("root_id", F.col("from_id").alias("event_id")).distinct()
+        front = cut(nxt.join(seen.select("root_id", "event_id"), ["root_id", "event_id"], "left_anti").withColumn("level", F.lit(level)), "thread-level")
         if not front.limit(1).count():
             break
-        seen = seen.unionByName(front.select("root_id", "event_id", "level", "created_at"))
-    kept = seen.where("level > 0")
-    return top_per_key(kept, ["root_id"], [F.asc("level"), F.desc("created_at"), F.desc("event_id")], limit).select("root_id", "event_id", "level")
+        seen = seen.unionByName(front)
+    return seen.where("level > 0")
 
 
 def forest(links: DataFrame) -> tuple[DataFrame, int]:

@@ -204,6 +204,8 @@ def _threads(t):
 
 
 _EXPAND = "SELECT root_id, event_id, min(level) AS level FROM (WITH RECURSIVE c(root_id, event_id, level) AS (SELECT id, id, 0 FROM ev WHERE kind = 1 AND len(tags) = 0 UNION SELECT root_id, tg.event_id, level + 1 FROM c JOIN tg ON tg.tag_value = c.event_id AND tag_key = 'e' AND tg.kind IN (1, 1111) WHERE level < 8) SELECT * FROM c) GROUP BY 1, 2"
+#: To any level: no thread is deeper than there are events.
+_EXPAND_ALL = _EXPAND.replace("level < 8", "level < (SELECT count(*) FROM ev)")
 
 
 @query_of("q14_threads", "SELECT root_id, event_id, CAST(level AS INT) AS level FROM x WHERE level > 0", ("x", _EXPAND))
@@ -214,7 +216,7 @@ def _(t):
 @query_of(
     "q15_thread_order",
     "SELECT root_id, event_id, CAST(row_number() OVER (PARTITION BY root_id ORDER BY tier, spot, event_id) AS INT) AS position FROM (SELECT * FROM tiers WHERE (root_id, event_id) IN (SELECT (root_id, event_id) FROM tr) QUALIFY row_number() OVER (PARTITION BY root_id, event_id ORDER BY tier, spot) = 1)",
-    ("x", _EXPAND), ("own", _CHAIN), ("rts", "SELECT id, pubkey FROM ev WHERE kind = 1 AND len(tags) = 0"),
+    ("x", _EXPAND_ALL), ("own", _CHAIN), ("rts", "SELECT id, pubkey FROM ev WHERE kind = 1 AND len(tags) = 0"),
     ("tr", "SELECT root_id, event_id, row_number() OVER (PARTITION BY root_id ORDER BY level, event_id) AS place FROM x WHERE level > 0"),
     ("ch", "SELECT root_id, event_id, step FROM (WITH RECURSIVE c(root_id, author, event_id, step) AS (SELECT id, pubkey, id, 0 FROM rts UNION ALL SELECT root_id, author, child_id, step + 1 FROM c JOIN own ON own.parent_id = c.event_id AND own.child_pubkey = author WHERE step < 8) SELECT * FROM c) WHERE step > 0"),
     ("fo", "SELECT rts.id AS root_id, child_id AS event_id FROM rts JOIN edges ON parent_id = rts.id JOIN fe ON fe.follower = rts.pubkey AND fe.followed = child_pubkey LEFT JOIN lk ON lk.id = child_id QUALIFY row_number() OVER (PARTITION BY rts.id ORDER BY coalesce(likes, 0) DESC, edges.created_at DESC, child_id DESC) = 1"),
@@ -226,7 +228,7 @@ def _(t):
     short = lambda df, *keys: df.withColumns({k: tx.packed(F.col(k)) for k in keys})
     roots, e = short(_thread_roots(t).select("id", "pubkey"), "id", "pubkey"), short(_edges(t), "child_id", "parent_id", "child_pubkey")
     likes, follows = short(jobs.like_counts(t.tags), "target_event_id"), short(_follows(t), "follower", "followed")
-    expanded = cut(graph.expand_threads(roots, short(t.tags.select("event_id", "kind", "created_at", "tag_key", "tag_value"), "event_id", "tag_value")), "threads")
+    expanded = cut(graph.expand_threads(roots, short(t.tags.select("event_id", "kind", "tag_key", "tag_value"), "event_id", "tag_value"), levels=None), "threads")
     threads = latest.ranked(expanded, ["root_id"], [F.asc("level"), F.asc("event_id")], "place")
     ranked = graph.ranked_replies(e, likes, "likes", "created_at")
     ranked = ranked.select(F.col("parent_id").alias("root_id"), F.col("child_id").alias("event_id"), "position", (-tx.unix(F.col("created_at"))).alias("recency"))
