@@ -72,13 +72,14 @@ def value_metric(name: str, value: Column) -> Column:
     return {"COUNT": F.count("*"), "COUNT_DISTINCT": F.count_distinct(value), "SUM": F.sum(n), "AVG": whole, "MIN": F.min(n), "MAX": F.max(n)}[name]
 
 
-def references_per_target(targets: DataFrame, tags: DataFrame, key: str = "e", newest: int = 500, dims: tuple[str, ...] = (), metrics: tuple[tuple[str, str, str], ...] = (("n", "COUNT", "event_id"),), first: int | None = None) -> DataFrame:
-    """For each target (column id) its newest referencing events, aggregated; ``metrics`` are (name, function, column).
+def references_per_target(targets: DataFrame, tags: DataFrame, key: str = "e", newest: int | None = 500, dims: tuple[str, ...] = (), metrics: tuple[tuple[str, str, str], ...] = (("n", "COUNT", "event_id"),), first: int | None = None) -> DataFrame:
+    """For each target (column id) its newest referencing events (all of them, if ``newest`` is None), aggregated; ``metrics`` are (name, function, column).
 
     Targets without references give a row of zeros where there are no dimensions.
     """
     refs = tags.where(F.col("tag_key") == key).join(targets.select(F.col("id").alias("tag_value")), "tag_value", "left_semi").dropDuplicates(["tag_value", "event_id"])
-    refs = top_per_key(refs, ["tag_value"], [F.desc("created_at"), F.desc("event_id")], newest)
+    if newest is not None:
+        refs = top_per_key(refs, ["tag_value"], [F.desc("created_at"), F.desc("event_id")], newest)
     out = refs.groupBy(F.col("tag_value").alias("target_id"), *dims).agg(*[value_metric(f, F.col(c)).alias(n) for n, f, c in metrics])
     if not dims:
         zeros = [F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n, _, _ in metrics]

@@ -69,9 +69,9 @@ def top_scores(scored: DataFrame, limit: int, offset: int = 0) -> DataFrame:
 
 
 def by_references(targets: DataFrame, tags: DataFrame, function: str = "COUNT_DISTINCT", column: str = "pubkey", kinds: tuple[int, ...] = (7,)) -> DataFrame:
-    """(id, score): targets by what references them."""
+    """(id, score): targets by all that references them."""
     rows = tags.where(F.col("kind").isin(*kinds))
-    return references_per_target(targets, rows, metrics=(("score", function, column),)).withColumnRenamed("target_id", "id")
+    return references_per_target(targets, rows, newest=None, metrics=(("score", function, column),)).withColumnRenamed("target_id", "id")
 
 
 def weighted_scores(candidates: DataFrame, terms: tuple[Term, ...], tags: DataFrame, scores: DataFrame, metrics: DataFrame, as_of: Column) -> DataFrame:
