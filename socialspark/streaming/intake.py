@@ -2,10 +2,9 @@
 
 Two queries in a row. The first one (:func:`by_exemption`) looks at the exemption set again in every micro-batch and
 writes each event once, as passed or as counted. The second one (:func:`counted_posts`) takes the counted ones through
-value state on the RocksDB store: keyed by (UTC day of arrival, bucket of authors), one counter an author, at most
-``bound`` counters a day. Beyond the bound authors are not counted and their posts pass; who comes first within a
-micro-batch is told by arrival in each Arrow batch. A day's counters go when the
-watermark has passed its end.
+value state on the RocksDB store: keyed by (UTC day of arrival, bucket of authors), one counter an author, for all
+authors. Only if a ``bound`` is asked for, authors beyond that many a day are not counted and their posts pass; who comes
+first within a micro-batch is then told by arrival in each Arrow batch. A day's counters go when the watermark has passed its end.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from pyspark.sql.streaming.query import StreamingQuery
 from socialspark.sources.scratch import exists
 from socialspark.streaming.ingest import CAPPED, ExemptAuthors, micro_batches
 
-BOUND = 200_000
 BUCKETS = 64
 REFRESH_SECONDS = 15 * 60
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -94,7 +92,7 @@ def by_exemption(base: str, exemption: RefreshedExemption) -> Callable[[DataFram
 class DailyCounters(StatefulProcessor):
     """Of each author-day the first ``cap`` posts by (ingest_ts, id) of a micro-batch, after those of earlier batches."""
 
-    def __init__(self, cap: int, bound: int, columns: list[str]):
+    def __init__(self, cap: int, bound: int | None, columns: list[str]):
         self.cap, self.bound, self.columns = cap, bound, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -119,7 +117,7 @@ class DailyCounters(StatefulProcessor):
                     continue
                 if self.used.containsKey((author,)):
                     used[author] = self.used.getValue((author,))[0]
-                elif size < self.bound:
+                elif self.bound is None or size < self.bound:
                     used[author], size = 0, size + 1
                 else:
                     uncounted.add(author)
@@ -150,11 +148,11 @@ class DailyCounters(StatefulProcessor):
         pass
 
 
-def counted_posts(counted: DataFrame, cap: int, bound: int = BOUND, buckets: int = BUCKETS, keep: str = "1 hour") -> DataFrame:
-    """Posts within their author's cap. Start it inside :func:`rocksdb_state`."""
+def counted_posts(counted: DataFrame, cap: int, bound: int | None = None, buckets: int = BUCKETS, keep: str = "1 hour") -> DataFrame:
+    """Posts within their author's cap; ``bound``: counters a day, if they are to be bounded. Start it inside :func:`rocksdb_state`."""
     schema = counted.schema
     keyed = counted.withWatermark("ingest_ts", keep).withColumns({"_day": F.to_date("ingest_ts"), "_bucket": F.pmod(F.xxhash64("pubkey"), F.lit(buckets)).cast("int")})
-    counters = DailyCounters(cap, max(bound // buckets, 1), schema.names)
+    counters = DailyCounters(cap, None if bound is None else max(bound // buckets, 1), schema.names)
     return keyed.groupBy("_day", "_bucket").transformWithStateInPandas(counters, schema, "Append", "EventTime")
 
 
