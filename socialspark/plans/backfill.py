@@ -62,8 +62,10 @@ def _(t):
 
 #: Files that the frames come in at least, and events a file as they grow.
 FRAME_FILES, FRAMES_A_FILE = 8, 250_000
-#: Events that a task parses where a batch is one such file; compressed files are not split in reading.
+#: Events that a task parses where a batch is a few such files; compressed files are not split in reading.
 EVENTS_A_TASK = 32_000
+#: Events a batch of a run in several ones, and such batches at least. Each batch writes every partition of the state anew.
+EVENTS_A_BATCH, BATCHES = 500_000, 8
 
 
 def _files(t) -> int:
@@ -75,6 +77,10 @@ def _pieces(t) -> int:
     return max(1, -(-t.bounds.rows // (_files(t) * EVENTS_A_TASK)))
 
 
+def _batches(t) -> int:
+    return max(BATCHES, -(-t.bounds.rows // EVENTS_A_BATCH))
+
+
 def in_time(t, pieces: int = 1) -> DataFrame:
     """The numbers in partitions that follow each other in time: what events are worked out of, so that only numbers move."""
     return t.numbers.repartitionByRange(_files(t) * pieces, "created_at", F.expr("sha2('e' || event_id, 256)"))
@@ -133,12 +139,15 @@ def _ended(query):
     query.awaitTermination()
 
 
-def _stream(t, after, files_per_batch=100, **order):
-    """Run a streaming plan over the frames, in order of arrival, to its end and return what it wrote."""
+def _stream(t, after, files_per_batch=100, batches=None, **order):
+    """Run a streaming plan over the frames, in order of arrival, to its end and return what it wrote.
+
+    ``batches``: how many at most, however many files the frames are laid in.
+    """
     base = new_path(t.spark, "stream")
     st.write_folder(_frames(t, **order), f"{base}/in")
-    st.in_file_order(t.spark, f"{base}/in")
-    frames = st.read_folder(t.spark, f"{base}/in", files_per_batch)
+    files = st.in_file_order(t.spark, f"{base}/in")
+    frames = st.read_folder(t.spark, f"{base}/in", max(1, -(-files // batches)) if batches else files_per_batch)
     _ended(after(frames, base))
     return base
 

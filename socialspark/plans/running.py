@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from socialspark.operators import incremental, jobs, layout, retention, stored
-from socialspark.plans.backfill import _EV2, _TG2, _ended, _frames, _pieces, _stream, in_time, query_of as _query_of
+from socialspark.plans.backfill import _EV2, _TG2, _batches, _ended, _frames, _pieces, _stream, in_time, query_of as _query_of
 from socialspark.plans.social import _SILENT
 from socialspark.sources.scratch import new_path
 from socialspark.streaming import annotations, intake, resume, states
@@ -174,8 +174,7 @@ def _(t):
         events = st.seen_once(st.valid_events(frames).select("id", "pubkey", "kind", "created_at", "tags", "content", "ingest_ts")).drop("ingest_ts")
         return st.micro_batches(events, f"{base}/state", once=True).foreachBatch(states.keep_states(f"{base}/out", 3)).start()
 
-    pieces = _pieces(t)
-    return states.counts(states.read_states(t.spark, f"{_stream(t, run, pieces, pieces=pieces)}/out"))
+    return states.counts(states.read_states(t.spark, f"{_stream(t, run, batches=_batches(t), pieces=_pieces(t))}/out"))
 
 
 def _bucketed(t):

@@ -44,8 +44,8 @@ def write_folder(frames: DataFrame, path: str, mode: str = "errorifexists") -> N
     frames.write.mode(mode).option("compression", "gzip").json(path)
 
 
-def in_file_order(spark: SparkSession, path: str) -> None:
-    """Give a folder's files modification times that rise with their names, the order in which a stream reads them."""
+def in_file_order(spark: SparkSession, path: str) -> int:
+    """Give a folder's files modification times that rise with their names, the order in which a stream reads them; how many there are."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
@@ -53,6 +53,7 @@ def in_file_order(spark: SparkSession, path: str) -> None:
         start = fs.getFileStatus(files[0]).getModificationTime()
         for i, file in enumerate(files):
             fs.setTimes(file, start + 1000 * i, -1)
+    return len(files)
 
 
 def micro_batches(df: DataFrame, checkpoint: str, seconds: int = 5, once: bool = False) -> DataStreamWriter:

@@ -41,4 +41,16 @@ def test_files_follow_the_rows_not_the_ids(spark, tmp_path):
 
 def test_a_large_batch_comes_in_several_files():
     t = lambda rows: SimpleNamespace(bounds=SimpleNamespace(rows=rows, n=rows))
-    assert [(backfill._files(t(n)), backfill._pieces(t(n))) for n in (1_000, 100_000, 6_000_000, 36_000_000)] == [(8, 1), (8, 1), (24, 8), (144, 8)]
+    got = [(backfill._files(t(n)), backfill._pieces(t(n)), backfill._batches(t(n))) for n in (1_000, 100_000, 6_000_000, 36_000_000)]
+    assert got == [(8, 1, 8), (8, 1, 8), (24, 8, 12), (144, 8, 72)]
+
+
+def test_batches_follow_the_rows_not_the_files(monkeypatch):
+    """Frames may be laid in more files than asked for."""
+    asked = []
+    monkeypatch.setattr(backfill, "new_path", lambda spark, label: "/base")
+    monkeypatch.setattr(backfill, "_frames", lambda t, **order: None)
+    for files in (0, 5, 8, 211):
+        monkeypatch.setattr(backfill, "st", SimpleNamespace(write_folder=lambda *_: None, in_file_order=lambda *_, n=files: n, read_folder=lambda spark, path, n: asked.append(n)))
+        backfill._stream(SimpleNamespace(spark=None), lambda frames, base: Slow(), batches=8)
+    assert asked == [1, 1, 1, 27]
